@@ -15,7 +15,7 @@ def round_to_step(x: Column | str, step: Column | float) -> Column:
 
 
 def strike_level(strike: Column | str, atm: Column | str, step: Column | str) -> Column:
-    return (as_col(strike) - as_col(atm)) / as_col(step)
+    return (as_col(strike).cast("double") - as_col(atm)) / as_col(step)
 
 
 def level_type(level: Column | str) -> Column:

@@ -105,7 +105,8 @@ def straddle_bars(
     else:
         day_num = []
     is_ce, is_pe = F.col("instrument_type") == CALL, F.col("instrument_type") == PUT
-    summed = rows.groupBy(*keys, "day", "date").agg(
+    # Shuffled by (series, day) once; the sum per bar and all that follows per day stays in place.
+    summed = rows.repartition(*keys, "day").groupBy(*keys, "day", "date").agg(
         *[prices.round2(F.sum(c)).alias(c) for c in ("open", "high", "low", "close")],
         F.sum("volume").alias("volume"),
         F.sum("oi").alias("oi"),

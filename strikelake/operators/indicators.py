@@ -31,12 +31,9 @@ def roc_sum(
     NULL until ``length`` earlier rows exist, and where one of them is zero or NULL.
     """
     v = prices.as_col(x)
-    lags = [F.lag(v, i).over(w) for i in range(1, length + 1)]
-    terms = [F.try_divide(v - earlier, earlier) * F.lit(float(scale)) for earlier in lags]
-    total = terms[0]
-    for term in terms[1:]:
-        total = total + term
-    return total / F.lit(float(divisor))
+    earlier = F.collect_list(v).over(w.rowsBetween(-length, -1))
+    total = F.aggregate(earlier, F.lit(0.0), lambda acc, e: acc + F.try_divide(v - e, e) * float(scale))
+    return F.when(F.size(earlier) == length, total / float(divisor))
 
 
 def bollinger(x: Column | str, w: WindowSpec, width: float = BOLLINGER_WIDTH) -> dict[str, Column]:
@@ -82,17 +79,18 @@ def with_running_stats(seg: Segmented, df: DataFrame, legs: bool) -> DataFrame:
         "incremental_min_close": seg.running("close_min"),
     })
     count = F.col("cumulative_count")
-    df = df.withColumns({
+    averages = {
         "incremental_close_avg": prices.ratio("cumulative_sum_close", count),
         "incremental_oi_avg": prices.ratio("cumulative_sum_oi", count),
-    })
+    }
     if legs:
-        df = df.withColumns({
+        averages |= {
             "incremental_CE_close_avg": prices.ratio(seg.running("ce_sum"), count),
             "incremental_PE_close_avg": prices.ratio(seg.running("pe_sum"), count),
             "running_min_ce": seg.running("ce_min"),
             "running_min_pe": seg.running("pe_min"),
-        })
+        }
+    df = df.withColumns(averages)
     df = seg.add_running(df, "MAX_incremental_close_avg", "max", F.col("incremental_close_avg"))
     return df.withColumn(
         "trailing_sl",

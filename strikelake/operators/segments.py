@@ -21,6 +21,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from strikelake.session import shared_dir
+
 # A segment of 128 days of 3-minute bars is about 16,000 rows.
 DAYS_PER_SEGMENT = 128
 
@@ -53,6 +55,14 @@ def _merge(kind: str, before: Column, local: Column) -> Column:
     return F.coalesce(local, before)
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """The same rows, written once to the checkpoint folder of the session."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(f"{shared_dir(df.sparkSession)}/checkpoints")
+    return df.checkpoint()
+
+
 def trading_days(df: DataFrame, keys: Sequence[str], day: str = "day") -> DataFrame:
     """One row per (series, day)."""
     return df.groupBy(*keys, day).agg(F.count(F.lit(1)).alias("bars"))
@@ -65,6 +75,7 @@ class Segmented:
     df: DataFrame
     keys: list[str]
     order: list[str]
+    day: str
     lookback: int
     carried: dict[str, tuple[str, Column]] = field(default_factory=dict)
     restarted: bool = False
@@ -73,16 +84,21 @@ class Segmented:
     @property
     def window(self) -> WindowSpec:
         """Rows of the segment in series order, halo included: for lags and rolling frames."""
-        return Window.partitionBy(*self.keys, _SEG).orderBy(*self.order)
+        return Window.partitionBy(*self.keys, _SEG).orderBy(*self._sorted)
+
+    @property
+    def _sorted(self) -> list[str]:
+        """Day first, so that windows within a day reuse the sort of the segment."""
+        return [self.day, *(c for c in self.order if c != self.day)]
 
     @property
     def _running(self) -> WindowSpec:
-        return (Window.partitionBy(*self.keys, _SEG, *self.frame).orderBy(*self.order)
+        return (Window.partitionBy(*self.keys, _SEG, *self.frame).orderBy(*self._sorted)
                 .rowsBetween(Window.unboundedPreceding, Window.currentRow))
 
-    def day_window(self, day: str = "day") -> WindowSpec:
+    def day_window(self) -> WindowSpec:
         """Rows of one trading day up to the current one. Days are never split over segments."""
-        return (Window.partitionBy(*self.keys, _SEG, day).orderBy(*self.order)
+        return (Window.partitionBy(*self.keys, _SEG, self.day).orderBy(*self.order)
                 .rowsBetween(Window.unboundedPreceding, Window.currentRow))
 
     def rolling(self, rows: int) -> WindowSpec:
@@ -111,37 +127,36 @@ class Segmented:
             local = _partial(kind, own).over(w)
         return local if self.restarted else _merge(kind, F.col(f"_before_{name}"), local)
 
-    def restart(self, df: DataFrame, day: str = "day") -> DataFrame:
+    def restart(self, df: DataFrame) -> DataFrame:
         """Begin the running aggregates anew with every trading day.
 
         Days are never split over segments, so nothing is carried and the halo is no longer needed.
         """
-        self.restarted, self.frame = True, (day,)
+        self.restarted, self.frame = True, (self.day,)
         return self.own_rows(df)
 
     def add_running(self, df: DataFrame, out: str, kind: str, value: Column) -> DataFrame:
         """A running aggregate of a column that itself depends on running aggregates.
 
-        Its totals per segment are taken here, after the first pass, and joined back on
-        (series, segment); the rows keep their partitioning.
+        The rows are needed twice here, for the totals of the earlier segments and for the result.
+        They are written to the checkpoint folder in between: what lies upstream is computed once,
+        and the executors lost later cost no recomputation from the source.
         """
         own = F.when(~F.col(_HALO), value)
         if self.restarted:
             return df.withColumn(out, _partial(kind, own).over(self._running))
-        if kind == "last":
-            total = F.max_by(own, F.when(own.isNotNull(), F.struct(*self.order)))
-            before = F.last("_total", ignorenulls=True)
-        else:
-            total = _partial(kind, own)
-            before = _partial("sum" if kind == "count" else kind, F.col("_total"))
+        last = kind == "last"
+        w = self._running
+        local = F.last(own, ignorenulls=True) if last else _partial(kind, own)
+        df = settled(df.withColumn("_local", local.over(w)))
+        total = F.max_by(own, F.when(own.isNotNull(), F.struct(*self._sorted))) if last else _partial(kind, own)
+        before = (F.last("_total", ignorenulls=True) if last
+                  else _partial("sum" if kind == "count" else kind, F.col("_total")))
         earlier = (Window.partitionBy(*self.keys).orderBy(_SEG)
                    .rowsBetween(Window.unboundedPreceding, -1))
         totals = (df.groupBy(*self.keys, _SEG).agg(total.alias("_total"))
                   .select(*self.keys, _SEG, before.over(earlier).alias("_before_total")))
-        w = self._running
-        local = (F.last(own, ignorenulls=True) if kind == "last" else _partial(kind, own)).over(w)
-        return (df.withColumn("_local", local)
-                .join(totals, [*self.keys, _SEG], "left")
+        return (df.join(totals, [*self.keys, _SEG], "left")
                 .withColumn(out, _merge(kind, F.col("_before_total"), F.col("_local")))
                 .drop("_local", "_before_total"))
 
@@ -162,6 +177,8 @@ def cut(
     lookback: int = 0,
     carry: dict[str, tuple[str, Column]] | None = None,
     days: int = DAYS_PER_SEGMENT,
+    keep: Column | None = None,
+    number_days: bool = False,
 ) -> Segmented:
     """Cut every series of ``df`` into segments of ``days`` trading days.
 
@@ -169,14 +186,21 @@ def cut(
     rolling result feeds another). ``carry`` names the running aggregates: (kind, column) with kind
     one of sum, count, min, max, first, last; the last two skip NULLs. ``order`` must be unique
     within a series and sort by ``day`` first.
+
+    ``keep`` drops rows; with ``number_days`` the days are numbered from the latest back in
+    ``day_num``, and a day whose rows are all dropped still takes its number.
     """
     if lookback > days:
         raise ValueError("lookback may not exceed the days of a segment")
     keys, carry = list(keys), dict(carry or {})
     order = [order] if isinstance(order, str) else list(order)
 
-    partials = [F.count(F.lit(1)).alias("_n")]
+    def kept(value: Column) -> Column:
+        return value if keep is None else F.when(keep, value)
+
+    partials = [F.count(kept(F.lit(1))).alias("_n")]
     for name, (kind, value) in carry.items():
+        value = kept(value)
         if kind in ("first", "last"):
             pick = F.min_by if kind == "first" else F.max_by
             agg = pick(value, F.when(value.isNotNull(), F.struct(*order)))
@@ -186,12 +210,16 @@ def cut(
     daily = df.groupBy(*keys, day).agg(*partials)
 
     by_series = Window.partitionBy(*keys)
-    by_day = by_series.orderBy(day)
-    earlier = by_series.orderBy(_SEG).rangeBetween(Window.unboundedPreceding, -1)
-    later_in_segment = (Window.partitionBy(*keys, _SEG).orderBy(day)
-                        .rowsBetween(1, Window.unboundedFollowing))
-    daily = daily.withColumn(
-        _SEG, F.floor((F.row_number().over(by_day) - 1) / F.lit(days)).cast("bigint"))
+    if number_days:
+        newest_first = by_series.orderBy(F.col(day).desc())
+        daily = daily.withColumn("day_num", F.row_number().over(newest_first).cast("bigint"))
+    if keep is not None:
+        daily = daily.where(F.col("_n") > 0)
+    nth_day = F.row_number().over(by_series.orderBy(day))
+    daily = daily.withColumn(_SEG, F.floor((nth_day - 1) / F.lit(days)).cast("bigint"))
+
+    in_order = by_series.orderBy(_SEG)
+    earlier = in_order.rangeBetween(Window.unboundedPreceding, -1)
     columns = [F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias(_BEFORE),
                (F.col(day) == F.max(day).over(by_series)).alias(_LATEST)]
     for name, (kind, _) in carry.items():
@@ -204,20 +232,20 @@ def cut(
             before = _partial("sum" if kind == "count" else kind, part)
         columns.append(before.over(earlier).alias(f"_before_{name}"))
     if lookback:
-        feeds_next = (
-            (F.coalesce(F.sum("_n").over(later_in_segment), F.lit(0)) < lookback)
-            & (F.col(_SEG) < F.max(_SEG).over(by_series)))
-        columns.append(feeds_next.alias("_feeds_next"))
-    daily = daily.select(*keys, day, _SEG, *columns)
-
-    rows = df.join(daily, [*keys, day])
+        later = (Window.partitionBy(*keys, _SEG).orderBy(day)
+                 .rowsBetween(1, Window.unboundedFollowing))
+        columns.append((
+            (F.coalesce(F.sum("_n").over(later), F.lit(0)) < lookback)
+            & (F.col(_SEG) < F.max(_SEG).over(by_series))).alias("_feeds_next"))
+    daily = daily.select(*keys, day, _SEG, *(["day_num"] if number_days else []), *columns)
+
+    rows = (df if keep is None else df.where(keep)).join(daily, [*keys, day])
+    plain = [c for c in rows.columns if c not in (_SEG, "_feeds_next")]
     if lookback:
-        here = F.struct(F.col(_SEG).alias("s"), F.lit(False).alias("h"))
-        after = F.struct((F.col(_SEG) + 1).alias("s"), F.lit(True).alias("h"))
+        here = F.struct(F.col(_SEG).alias(_SEG), F.lit(False).alias(_HALO))
+        after = F.struct((F.col(_SEG) + 1).alias(_SEG), F.lit(True).alias(_HALO))
         copies = F.when(F.col("_feeds_next"), F.array(here, after)).otherwise(F.array(here))
-        rows = (rows.withColumn("_copy", F.explode(copies))
-                .withColumn(_SEG, F.col("_copy.s")).withColumn(_HALO, F.col("_copy.h"))
-                .drop("_copy", "_feeds_next"))
+        rows = rows.select(*plain, F.inline(copies))
     else:
-        rows = rows.withColumn(_HALO, F.lit(False))
-    return Segmented(rows, keys, order, lookback, carry)
+        rows = rows.select(*plain, _SEG, F.lit(False).alias(_HALO))
+    return Segmented(rows, keys, order, day, lookback, carry)

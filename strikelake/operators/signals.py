@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -60,14 +61,18 @@ def _displayed(
     if frame not in (LATEST, DAY, WHOLE):
         raise ValueError(f"unknown frame {frame!r}")
     stats = {**ind.close_stats(), **(ind.leg_stats() if legs else {})}
-    seg = cut(bars, keys, lookback=ind.ROC_LENGTH, carry=stats if frame == WHOLE else None, days=days)
+    needed = ["date", "CE_close", "PE_close"] if legs else ["date"]
+    complete = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in needed])
+    seg = cut(bars, keys, lookback=ind.ROC_LENGTH, carry=stats if frame == WHOLE else None, days=days,
+              keep=complete, number_days="day_num" not in bars.columns)
     seg.carried = stats
     columns = ["close", "CE_close", "PE_close"] if legs else ["close"]
-    df = seg.df.withColumns({f"ROC_AVG_{c}": ind.roc_sum(c, seg.window) for c in columns})
+    df = seg.df.withColumns({
+        **{f"ROC_AVG_{c}": ind.roc_sum(c, seg.window) for c in columns},
+        "IS_LATEST_DAY": seg.is_latest_day()})
     if legs:
         df = df.withColumn("ROC_AVG_CEPE_AVG",
                            (F.col("ROC_AVG_CE_close") + F.col("ROC_AVG_PE_close")) / 2)
-    df = df.withColumn("IS_LATEST_DAY", seg.is_latest_day())
     if frame == LATEST:
         df = df.where("IS_LATEST_DAY")
     if frame != WHOLE:
@@ -82,6 +87,9 @@ def straddle_signals(
 ) -> DataFrame:
     """All straddle analytics for every series: ROC, running statistics, StopLoss, EntryAllowed.
 
+    Bars without a time or without either leg are dropped; unless ``bars`` has a ``day_num`` already,
+    their days are numbered before that.
+
     ``frame`` is ``latest`` (rows of the last trading day), ``day`` (all days, each on its own) or
     ``series`` (all days as one running frame).
     """

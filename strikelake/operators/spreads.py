@@ -9,7 +9,7 @@ from strikelake.functions import prices
 from strikelake.operators import segments
 from strikelake.operators.bars import traded
 from strikelake.operators.indicators import roc_average
-from strikelake.schemas import CALL, PUT
+from strikelake.schemas import CALL, PUT, STRIKE
 
 SHORT, LONG = "Short", "Long"
 PAIR = ["spread_id", "name", "near_expiry"]
@@ -25,7 +25,7 @@ def spread_legs(
     """
     def leg(role: str, expiry, side: str, shift: float) -> Column:
         return F.struct(F.lit(role).alias("role"), F.lit(expiry).cast("date").alias("expiry"),
-                        F.lit(side).alias("instrument_type"), (F.col("at") + shift).alias("strike"))
+                        F.lit(side).alias("instrument_type"), (F.col("at") + F.lit(shift).cast(STRIKE)).cast(STRIKE).alias("strike"))
     base = contracts.where(F.col("expiry") == F.lit(short_expiry).cast("date")).select(
         "name", F.col("strike").alias("at")).distinct()
     legs = F.array(leg(SHORT, short_expiry, CALL, 0.0), leg(SHORT, short_expiry, PUT, 0.0),

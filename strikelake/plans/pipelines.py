@@ -49,7 +49,8 @@ def straddle_signals(
     keys: Sequence[str] = SERIES,
 ) -> DataFrame:
     """Straddle analytics of every underlying, expiry and strike."""
-    return S.straddle_signals(B.straddle_bars(legs, keys, num_days, days_back), keys, frame)
+    bars = B.straddle_bars(legs, keys, num_days, days_back, both_legs=False, numbered=False)
+    return S.straddle_signals(bars, keys, frame)
 
 
 def leg_signals(
@@ -57,8 +58,10 @@ def leg_signals(
     keys: Sequence[str] = LEG,
 ) -> DataFrame:
     """Analytics of every single contract."""
-    rows = B.last_days(B.traded(legs), keys, num_days, days_back).withColumn(
-        "ohlc4", prices.ohlc4())
+    rows = B.traded(legs)
+    if num_days is not None or days_back:
+        rows = B.last_days(rows, keys, num_days, days_back)
+    rows = rows.withColumn("ohlc4", prices.ohlc4())
     return S.leg_signals(rows, keys, frame)
 
 

@@ -1,7 +1,13 @@
-"""Fixed table schemas. Prices are DOUBLE, volumes and open interest BIGINT, everywhere."""
+"""Fixed table schemas. Prices are DOUBLE, volumes and open interest BIGINT, everywhere.
+
+The strike is part of every series key, so it is an exact DECIMAL: Spark normalises floating-point
+keys operator by operator, and rows hashed by a DOUBLE key are shuffled again at the next one.
+"""
 
 from pyspark.sql import types as T
 
+STRIKE = T.DecimalType(18, 4)
+
 # The column names and order of the instrument master and the candle table.
 INSTRUMENTS = T.StructType([
     T.StructField("instrument_token", T.LongType()),
@@ -10,7 +16,7 @@ INSTRUMENTS = T.StructType([
     T.StructField("name", T.StringType()),
     T.StructField("last_price", T.DoubleType()),
     T.StructField("expiry", T.DateType()),
-    T.StructField("strike", T.DoubleType()),
+    T.StructField("strike", STRIKE),
     T.StructField("tick_size", T.DoubleType()),
     T.StructField("lot_size", T.IntegerType()),
     T.StructField("instrument_type", T.StringType()),
@@ -22,7 +28,7 @@ CANDLES = T.StructType([
     T.StructField("instrument_token", T.LongType()),
     T.StructField("name", T.StringType()),
     T.StructField("expiry", T.DateType()),
-    T.StructField("strike", T.DoubleType()),
+    T.StructField("strike", STRIKE),
     T.StructField("instrument_type", T.StringType()),
     T.StructField("date", T.TimestampNTZType()),
     T.StructField("open", T.DoubleType()),

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strikelake.operators.bars import ohlc_bars
-from strikelake.schemas import EXCHANGE, FUTURES_SEGMENT, OPTIONS_SEGMENT
+from strikelake.schemas import EXCHANGE, FUTURES_SEGMENT, OPTIONS_SEGMENT, STRIKE
 
 SHORT_EXPIRY, LONG_EXPIRY = "2024-02-01", "2024-02-08"
 BAR_WIDTH = "6 hours"
@@ -25,7 +25,7 @@ def _leg_columns(events: DataFrame) -> DataFrame:
     order = F.when(kind == "click", 0).when(kind == "view", 1).when(kind == "purchase", 2).otherwise(3)
     return events.where(kind != "error").select(
         "ts", "event_id", F.lit("IDX").alias("name"),
-        (F.lit(54100) + 100 * slot).cast("double").alias("strike"),
+        (F.lit(54100) + 100 * slot).cast(STRIKE).alias("strike"),
         F.when(kind.isin("click", "purchase"), "CE").otherwise("PE").alias("instrument_type"),
         F.when(kind.isin("click", "view"), F.lit(SHORT_EXPIRY)).otherwise(F.lit(LONG_EXPIRY))
         .cast("date").alias("expiry"),
@@ -71,7 +71,7 @@ def instruments(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("p_brand").alias("name"),
         F.col("p_retailprice").alias("last_price"),
         F.date_add(F.lit(SHORT_EXPIRY).cast("date"), (7 * (key % 4)).cast("int")).alias("expiry"),
-        (100 * F.col("p_size")).cast("double").alias("strike"),
+        (100 * F.col("p_size")).cast(STRIKE).alias("strike"),
         F.lit(0.05).alias("tick_size"),
         F.lit(15).alias("lot_size"),
         F.when(is_future, "FUT").when(key % 2 == 0, "CE").otherwise("PE").alias("instrument_type"),

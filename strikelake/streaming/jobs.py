@@ -107,7 +107,7 @@ def refresh_signals(
     upsert(batch, candles_path, f"{batch_id}/candles", version=version)
     history = touched_history(read_candles(spark, candles_path, refresh=True), batch, ind.ROC_LENGTH)
     signals = (S.straddle_signals(history, frame=S.DAY)
-               .where(F.col("day") >= F.col("from_day")).drop("from_day", "IS_LATEST_DAY"))
+               .where(F.col("day") >= F.col("from_day")).drop("from_day", "day_num", "IS_LATEST_DAY"))
     upsert(signals, signals_path, f"{batch_id}/signals", key=[*SERIES, "date"])
 
 
