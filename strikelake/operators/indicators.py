@@ -19,6 +19,9 @@ BOLLINGER_WIDTH = 2
 OI_DIFF_LENGTH = 21
 RANGE_PADDING = 0.05
 
+# Far above the rounding error of a sum of ratios near one, far below the change of one price tick.
+ROUNDING = 1e-11
+
 
 # --- columns -------------------------------------------------------------------------------------
 
@@ -29,11 +32,17 @@ def roc_sum(
     """Sum of the relative changes against each of the last ``length`` rows, over ``divisor``.
 
     NULL until ``length`` earlier rows exist, and where one of them is zero or NULL.
+
+    The changes are (x - e) / e = x/e - 1 for every earlier value e, so their sum is x times the
+    rolling sum of reciprocals, less their number: one rolling sum instead of ``length`` lags. What
+    rounding leaves where the changes cancel out, as on a flat price, is zero.
     """
     v = prices.as_col(x)
-    earlier = F.collect_list(v).over(w.rowsBetween(-length, -1))
-    total = F.aggregate(earlier, F.lit(0.0), lambda acc, e: acc + F.try_divide(v - e, e) * float(scale))
-    return F.when(F.size(earlier) == length, total / float(divisor))
+    reciprocal = F.try_divide(F.lit(1.0), v)
+    earlier = w.rowsBetween(-length, -1)
+    total = v * F.sum(reciprocal).over(earlier) - float(length)
+    total = F.when(F.abs(total) < ROUNDING, 0.0).otherwise(total)
+    return F.when(F.count(reciprocal).over(earlier) == length, total * (scale / divisor))
 
 
 def bollinger(x: Column | str, w: WindowSpec, width: float = BOLLINGER_WIDTH) -> dict[str, Column]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import partial
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -46,13 +46,11 @@ def query(fn: Query) -> Query:
 def steady(df: DataFrame) -> DataFrame:
     """Doubles at 6 decimals, so that the last bits left by the order of additions do not show. Ten
     decimals are taken first, which keeps a value half way between two where it is."""
-    def shown(f: T.StructField) -> Column:
-        if isinstance(f.dataType, T.DecimalType):
-            return F.col(f.name).cast("double").alias(f.name)
-        if isinstance(f.dataType, T.DoubleType):
-            return F.round(F.col(f.name).cast("decimal(38,10)"), 6).cast("double").alias(f.name)
-        return F.col(f.name)
-    return df.select([shown(f) for f in df.schema])
+    shown = {
+        "double": "double(round(cast({0} as decimal(38,10)), 6)) as {0}",
+        "decimal(18,4)": "double({0}) as {0}",
+    }
+    return df.selectExpr(*[shown.get(kind, "{0}").format(f"`{name}`") for name, kind in df.dtypes])
 
 
 def _straddles(spark: SparkSession, sf_dir: str) -> DataFrame:
