@@ -152,6 +152,8 @@ def fill_gaps(bars: DataFrame, width_seconds: int, keys: Sequence[str], values:
 
     The grid is grown day by day, so no row ever holds more than one day of slots.
     """
+    if width_seconds <= 0 or 86_400 % width_seconds:
+        raise ValueError("the grid must divide the day")
     keys = list(keys)
     span = bars.groupBy(*keys).agg(F.min("date").alias("_from"), F.max("date").alias("_to"))
     slots = int(86_400 // width_seconds)

@@ -149,8 +149,8 @@ def rsi(bars: DataFrame, keys: Sequence[str], length: int = RSI_LENGTH,
     keys = list(keys)
     seg = cut(bars, keys, lookback=1, days=days)
     close, before = F.col("close"), F.lag("close").over(seg.window)
-    df = seg.finish(seg.df.withColumns({"rownum": seg.rownum(), "_before": before}))
-    totals = bars.groupBy(*keys).agg(F.count(F.lit(1)).alias("bars"))
+    df = seg.finish(seg.df.withColumns(
+        {"rownum": seg.rownum(), "bars": seg.rows_in_series(), "_before": before}))
     rising = close > F.col("_before")
     gain = F.when(rising, F.try_divide(close - F.col("_before"), F.col("_before"))).otherwise(0.0) * 100
     loss = F.when(rising, 0.0).otherwise(F.try_divide(F.col("_before") - close, close)) * 100
@@ -159,7 +159,7 @@ def rsi(bars: DataFrame, keys: Sequence[str], length: int = RSI_LENGTH,
     distance = F.col("bars") - 1 - F.greatest(change, F.lit(length))
     weight = F.when(change >= 1, F.pow(keep, distance) / length)
     newest = F.struct("date")
-    out = df.join(totals, keys).groupBy(*keys).agg(
+    out = df.groupBy(*keys).agg(
         F.max("bars").alias("bars"),
         F.sum(gain * weight).alias("avg_gain"),
         F.sum(loss * weight).alias("avg_loss"),

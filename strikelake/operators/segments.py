@@ -26,7 +26,7 @@ from strikelake.session import shared_dir
 # A segment of 128 days of 3-minute bars is about 16,000 rows.
 DAYS_PER_SEGMENT = 128
 
-_SEG, _HALO, _BEFORE, _LATEST = "_segment", "_halo", "_rows_before", "_latest_day"
+_SEG, _HALO, _BEFORE, _LATEST, _ROWS = "_segment", "_halo", "_rows_before", "_latest_day", "_rows"
 
 
 def _partial(kind: str, value: Column) -> Column:
@@ -111,6 +111,9 @@ class Segmented:
         own = F.count(F.when(~F.col(_HALO), F.lit(1))).over(self._running)
         return own if self.restarted else own + F.col(_BEFORE)
 
+    def rows_in_series(self) -> Column:
+        return F.col(_ROWS)
+
     def is_latest_day(self) -> Column:
         return F.col(_LATEST)
 
@@ -165,7 +168,7 @@ class Segmented:
 
     def finish(self, df: DataFrame) -> DataFrame:
         """Drop the halo and the helper columns."""
-        helpers = [_SEG, _HALO, _BEFORE, _LATEST, *(f"_before_{n}" for n in self.carried)]
+        helpers = [_SEG, _HALO, _BEFORE, _LATEST, _ROWS, *(f"_before_{n}" for n in self.carried)]
         return self.own_rows(df).drop(*helpers)
 
 
@@ -221,6 +224,7 @@ def cut(
     in_order = by_series.orderBy(_SEG)
     earlier = in_order.rangeBetween(Window.unboundedPreceding, -1)
     columns = [F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias(_BEFORE),
+               F.sum("_n").over(by_series).alias(_ROWS),
                (F.col(day) == F.max(day).over(by_series)).alias(_LATEST)]
     for name, (kind, _) in carry.items():
         part = F.col(f"_p_{name}")

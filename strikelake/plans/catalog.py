@@ -8,6 +8,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import DataStreamWriter
 
 from strikelake.functions import labels, prices, strikes
 from strikelake.operators import bars as B
@@ -469,6 +470,10 @@ def _second_pull(bars: DataFrame) -> DataFrame:
     return later.withColumn("close", F.when(overlap, F.col("close") + 1).otherwise(F.col("close")))
 
 
+def _job(path: str) -> str:
+    return path.rsplit("/", 1)[1]
+
+
 def _candle_columns() -> list[str]:
     return [f.name for f in CANDLES]
 
@@ -477,8 +482,8 @@ def _candle_columns() -> list[str]:
 def candles_upsert(spark, sf_dir):
     bars = fx.bars(spark, sf_dir).select(*_candle_columns())
     path = fresh_dir(spark, "candles")
-    sinks.upsert(_first_pull(bars), path, f"{path.rsplit('/', 1)[1]}/1")
-    sinks.upsert(_second_pull(bars), path, f"{path.rsplit('/', 1)[1]}/2")
+    sinks.upsert(_first_pull(bars), path, f"{_job(path)}/1")
+    sinks.upsert(_second_pull(bars), path, f"{_job(path)}/2")
     return steady(tables.read_candles(spark, path))
 
 
@@ -486,23 +491,25 @@ def candles_upsert(spark, sf_dir):
 def pull_selected(spark, sf_dir):
     path = fresh_dir(spark, "pulled")
     pipelines.pull(fx.bars(spark, sf_dir).select(*_candle_columns()), fx.contracts(spark, sf_dir),
-                   fx.spot(spark, sf_dir), path, path.rsplit("/", 1)[1], num_strikes=3)
+                   fx.spot(spark, sf_dir), path, _job(path), num_strikes=3)
     return steady(tables.read_candles(spark, path))
 
 
-def _land_pulls(spark, sf_dir) -> str:
-    """Two overlapping pulls as files of a landing folder; ``pull`` tells which is newer."""
-    path = fresh_dir(spark, "landing-pulls")
+def _pulls(spark, sf_dir) -> list[DataFrame]:
+    """Two overlapping pulls; ``pull`` tells which is newer."""
     bars = fx.bars(spark, sf_dir).select(*_candle_columns())
-    for n, part in enumerate((_first_pull(bars), _second_pull(bars)), start=1):
-        part.withColumn("pull", F.lit(n)).coalesce(1).write.mode("append").parquet(path)
-    return path
+    return [part.withColumn("pull", F.lit(n))
+            for n, part in enumerate((_first_pull(bars), _second_pull(bars)), start=1)]
 
 
-def _landed_stream(spark, path: str, files_per_trigger: int = 1) -> DataFrame:
+def _land_and_run(pulls: list[DataFrame], landing: str, checkpoint: str,
+                  job: Callable[[DataFrame], DataStreamWriter]) -> None:
+    """Every pull lands and is then taken in by the stream, which goes on from its checkpoint."""
     schema = T.StructType([*CANDLES.fields, T.StructField("pull", T.IntegerType())])
-    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
-            .parquet(path))
+    for pull in pulls:
+        pull.write.mode("append").parquet(landing)
+        landed = pull.sparkSession.readStream.schema(schema).parquet(landing)
+        jobs.run(job(landed), checkpoint)
 
 
 @query
@@ -515,31 +522,30 @@ def stream_bars(spark, sf_dir):
 
 @query
 def stream_dedup(spark, sf_dir):
-    landing = fresh_dir(spark, "landing-twice")
-    bars = fx.bars(spark, sf_dir).select(*_candle_columns())
-    for n in (1, 2):
-        bars.withColumn("pull", F.lit(n)).coalesce(1).write.mode("append").parquet(landing)
     out = fresh_dir(spark, "stream-dedup")
-    once = jobs.stream_dedup(_landed_stream(spark, landing).drop("pull"), "60 days")
-    jobs.run(jobs.append_to(once, f"{out}/data"), f"{out}/checkpoint")
-    return steady(spark.read.schema(once.schema).parquet(f"{out}/data"))
+    bars = fx.bars(spark, sf_dir).select(*_candle_columns())
+    _land_and_run(
+        [bars.withColumn("pull", F.lit(n)) for n in (1, 2)], f"{out}/landing", f"{out}/checkpoint",
+        lambda landed: jobs.append_to(jobs.stream_dedup(landed.drop("pull"), "60 days"), f"{out}/data"))
+    return steady(spark.read.schema(CANDLES).parquet(f"{out}/data"))
 
 
 @query
 def stream_upsert(spark, sf_dir):
     out = fresh_dir(spark, "stream-upsert")
-    landed = _landed_stream(spark, _land_pulls(spark, sf_dir))
-    jobs.run(jobs.upsert_to(landed, f"{out}/candles", out.rsplit("/", 1)[1], version="pull"),
-             f"{out}/checkpoint")
+    _land_and_run(
+        _pulls(spark, sf_dir), f"{out}/landing", f"{out}/checkpoint",
+        lambda landed: jobs.upsert_to(landed, f"{out}/candles", _job(out), version="pull"))
     return steady(tables.read_candles(spark, f"{out}/candles"))
 
 
 @query
 def stream_signals(spark, sf_dir):
     out = fresh_dir(spark, "stream-signals")
-    landed = _landed_stream(spark, _land_pulls(spark, sf_dir))
-    jobs.run(jobs.signals_to(landed, f"{out}/candles", f"{out}/signals", out.rsplit("/", 1)[1],
-                             version="pull"), f"{out}/checkpoint")
+    _land_and_run(
+        _pulls(spark, sf_dir), f"{out}/landing", f"{out}/checkpoint",
+        lambda landed: jobs.signals_to(landed, f"{out}/candles", f"{out}/signals", _job(out),
+                                       version="pull"))
     return steady(spark.read.parquet(f"{out}/signals").select(
         *SERIES, "day", "date", "close", "rownum", "ROC_AVG_close", "incremental_close_avg",
         "StopLoss", "EntryAllowed"))
