@@ -59,7 +59,7 @@ def settled(df: DataFrame) -> DataFrame:
     """The same rows, written once to the checkpoint folder of the session."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(f"{shared_dir(df.sparkSession)}/checkpoints")
+        context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
 
 
@@ -78,6 +78,7 @@ class Segmented:
     day: str
     lookback: int
     carried: dict[str, tuple[str, Column]] = field(default_factory=dict)
+    totals: tuple[str, ...] = ()
     restarted: bool = False
     frame: tuple[str, ...] = ()
 
@@ -114,6 +115,10 @@ class Segmented:
     def rows_in_series(self) -> Column:
         return F.col(_ROWS)
 
+    def whole(self, name: str) -> Column:
+        """The aggregate ``name`` over the whole series, the same on all its rows."""
+        return F.col(f"_whole_{name}")
+
     def is_latest_day(self) -> Column:
         return F.col(_LATEST)
 
@@ -168,7 +173,8 @@ class Segmented:
 
     def finish(self, df: DataFrame) -> DataFrame:
         """Drop the halo and the helper columns."""
-        helpers = [_SEG, _HALO, _BEFORE, _LATEST, _ROWS, *(f"_before_{n}" for n in self.carried)]
+        helpers = [_SEG, _HALO, _BEFORE, _LATEST, _ROWS, *(f"_before_{n}" for n in self.carried),
+                   *(f"_whole_{n}" for n in self.totals)]
         return self.own_rows(df).drop(*helpers)
 
 
@@ -182,6 +188,7 @@ def cut(
     days: int = DAYS_PER_SEGMENT,
     keep: Column | None = None,
     number_days: bool = False,
+    whole: dict[str, tuple[str, Column]] | None = None,
 ) -> Segmented:
     """Cut every series of ``df`` into segments of ``days`` trading days.
 
@@ -190,12 +197,14 @@ def cut(
     one of sum, count, min, max, first, last; the last two skip NULLs. ``order`` must be unique
     within a series and sort by ``day`` first.
 
+    ``whole`` names aggregates over all rows of a series (sum, count, min or max).
+
     ``keep`` drops rows; with ``number_days`` the days are numbered from the latest back in
     ``day_num``, and a day whose rows are all dropped still takes its number.
     """
     if lookback > days:
         raise ValueError("lookback may not exceed the days of a segment")
-    keys, carry = list(keys), dict(carry or {})
+    keys, carry, whole = list(keys), dict(carry or {}), dict(whole or {})
     order = [order] if isinstance(order, str) else list(order)
 
     def kept(value: Column) -> Column:
@@ -210,6 +219,7 @@ def cut(
         else:
             agg = _partial(kind, value)
         partials.append(agg.alias(f"_p_{name}"))
+    partials += [_partial(kind, kept(value)).alias(f"_w_{name}") for name, (kind, value) in whole.items()]
     daily = df.groupBy(*keys, day).agg(*partials)
 
     by_series = Window.partitionBy(*keys)
@@ -235,6 +245,9 @@ def cut(
         else:
             before = _partial("sum" if kind == "count" else kind, part)
         columns.append(before.over(earlier).alias(f"_before_{name}"))
+    for name, (kind, _) in whole.items():
+        total = _partial("sum" if kind == "count" else kind, F.col(f"_w_{name}"))
+        columns.append(total.over(by_series).alias(f"_whole_{name}"))
     if lookback:
         later = (Window.partitionBy(*keys, _SEG).orderBy(day)
                  .rowsBetween(1, Window.unboundedFollowing))
@@ -252,4 +265,4 @@ def cut(
         rows = rows.select(*plain, F.inline(copies))
     else:
         rows = rows.select(*plain, _SEG, F.lit(False).alias(_HALO))
-    return Segmented(rows, keys, order, day, lookback, carry)
+    return Segmented(rows, keys, order, day, lookback, carry, tuple(whole))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from strikelake.functions import prices
 from strikelake.operators import segments
 from strikelake.operators.bars import traded
-from strikelake.operators.indicators import roc_average
+from strikelake.operators.indicators import ROC_LENGTH, roc_sum
 from strikelake.schemas import CALL, PUT, STRIKE
 
 SHORT, LONG = "Short", "Long"
@@ -117,9 +117,10 @@ def spread_bars(pairs: DataFrame) -> DataFrame:
 def spread_signals(spreads: DataFrame, latest_only: bool = False,
                    days: int = segments.DAYS_PER_SEGMENT) -> DataFrame:
     """Rate of change of both pairs, their difference and their sum, plus the latest-day flag."""
-    out = roc_average(spreads, ["Short_close", "Long_close", "Close_Diff1", "Close_Diff2"],
-                      keys=PAIR, order=["date", "day_num"], days=days)
-    newest = spreads.groupBy(*PAIR).agg(F.min("day_num").alias("_newest"))
-    out = (out.join(newest, PAIR)
-           .withColumn("IS_LATEST_DAY", F.col("day_num") == F.col("_newest")).drop("_newest"))
+    seg = segments.cut(spreads, PAIR, order=["date", "day_num"], lookback=ROC_LENGTH, days=days,
+                       whole={"newest": ("min", F.col("day_num"))})
+    columns = ["Short_close", "Long_close", "Close_Diff1", "Close_Diff2"]
+    out = seg.finish(seg.df.withColumns({
+        **{f"ROC_AVG_{c}": roc_sum(c, seg.window) for c in columns},
+        "IS_LATEST_DAY": F.col("day_num") == seg.whole("newest")}))
     return out.where("IS_LATEST_DAY") if latest_only else out

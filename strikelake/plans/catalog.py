@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,7 +20,7 @@ from strikelake.operators import positions as P
 from strikelake.operators import signals as S
 from strikelake.operators import spreads as X
 from strikelake.plans import pipelines
-from strikelake.schemas import CANDLES, INSTRUMENTS, LEG, OPTIONS_SEGMENT, SERIES
+from strikelake.schemas import CANDLES, LEG, SERIES
 from strikelake.session import fresh_dir
 from strikelake.sources import fixtures as fx
 from strikelake.sources import sinks, tables
@@ -36,17 +37,20 @@ SESSION_END = (15, 30)
 # Overlapping pulls: the second begins before the first ends and revises what they share.
 FIRST_PULL_END, SECOND_PULL_START = "2024-01-20", "2024-01-10"
 WATERMARK = "12 hours"
-HA_KEYS = LEG
 
 
 def query(fn: Query) -> Query:
-    QUERIES[fn.__name__] = fn
-    return fn
+    @wraps(fn)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return steady(fn(spark, sf_dir))
+    QUERIES[fn.__name__] = run
+    return run
 
 
 def steady(df: DataFrame) -> DataFrame:
-    """Doubles at 6 decimals, so that the last bits left by the order of additions do not show. Ten
-    decimals are taken first, which keeps a value half way between two where it is."""
+    """The form results are compared in: decimals as doubles, and doubles at 6 decimals, so that the
+    last bits left by the order of additions do not show. Ten decimals are taken first, which keeps
+    a value half way between two where it is."""
     shown = {
         "double": "double(round(cast({0} as decimal(38,10)), 6)) as {0}",
         "decimal(18,4)": "double({0}) as {0}",
@@ -70,13 +74,13 @@ def _landed(df: DataFrame, label: str) -> str:
 @query
 def instr_load(spark, sf_dir):
     path = _landed(fx.instruments(spark, sf_dir), "landing-instruments")
-    return steady(tables.load_instruments(spark, path))
+    return tables.load_instruments(spark, path)
 
 
 @query
 def instr_segments(spark, sf_dir):
-    return steady(C.tradable(fx.instruments(spark, sf_dir)).select(
-        "name", "segment", "instrument_token", "expiry", "strike", "instrument_type"))
+    return C.tradable(fx.instruments(spark, sf_dir)).select(
+        "name", "segment", "instrument_token", "expiry", "strike", "instrument_type")
 
 
 @query
@@ -89,7 +93,7 @@ def instr_counts(spark, sf_dir):
 def snapshot_roundtrip(spark, sf_dir):
     path = fresh_dir(spark, "snapshot")
     sinks.write_snapshot(C.tradable(fx.instruments(spark, sf_dir)), path)
-    return steady(tables.read_instruments(spark, path))
+    return tables.read_instruments(spark, path)
 
 
 @query
@@ -114,7 +118,7 @@ def round_step(spark, sf_dir):
 
 @query
 def atm_strike(spark, sf_dir):
-    return steady(C.atm_strikes(fx.spot(spark, sf_dir)))
+    return C.atm_strikes(fx.spot(spark, sf_dir))
 
 
 def _full_chain(spark, sf_dir):
@@ -123,30 +127,30 @@ def _full_chain(spark, sf_dir):
 
 @query
 def chain_slice(spark, sf_dir):
-    return steady(_full_chain(spark, sf_dir))
+    return _full_chain(spark, sf_dir)
 
 
 @query
 def strike_token(spark, sf_dir):
-    return steady(C.strike_tokens(_full_chain(spark, sf_dir)))
+    return C.strike_tokens(_full_chain(spark, sf_dir))
 
 
 @query
 def chain_bars(spark, sf_dir):
-    return steady(C.chain_bars(fx.bars(spark, sf_dir), _full_chain(spark, sf_dir)))
+    return C.chain_bars(fx.bars(spark, sf_dir), _full_chain(spark, sf_dir))
 
 
 # --- bars ----------------------------------------------------------------------------------------
 
 @query
 def ohlc_bars(spark, sf_dir):
-    return steady(fx.bars(spark, sf_dir))
+    return fx.bars(spark, sf_dir)
 
 
 @query
 def candles_load(spark, sf_dir):
     path = _landed(fx.bars(spark, sf_dir), "landing-candles")
-    return steady(tables.load_candles(spark, path))
+    return tables.load_candles(spark, path)
 
 
 def _delivered_twice(spark, sf_dir):
@@ -158,44 +162,44 @@ def _delivered_twice(spark, sf_dir):
 
 @query
 def bars_clean(spark, sf_dir):
-    return steady(B.clean_bars(_delivered_twice(spark, sf_dir), version="pull").drop("pull"))
+    return B.clean_bars(_delivered_twice(spark, sf_dir), version="pull").drop("pull")
 
 
 @query
 def leg_bars(spark, sf_dir):
-    return steady(B.leg_bars(fx.bars(spark, sf_dir), num_days=5, days_back=1))
+    return B.leg_bars(fx.bars(spark, sf_dir), num_days=5, days_back=1)
 
 
 @query
 def session_filter(spark, sf_dir):
-    return steady(B.session_bars(fx.bars(spark, sf_dir), *SESSION_END))
+    return B.session_bars(fx.bars(spark, sf_dir), *SESSION_END)
 
 
 @query
 def straddle_bars(spark, sf_dir):
-    return steady(B.straddle_bars(fx.bars(spark, sf_dir)))
+    return B.straddle_bars(fx.bars(spark, sf_dir))
 
 
 @query
 def last_n_days(spark, sf_dir):
-    return steady(B.straddle_bars(fx.bars(spark, sf_dir), num_days=3, days_back=1, both_legs=False))
+    return B.straddle_bars(fx.bars(spark, sf_dir), num_days=3, days_back=1, both_legs=False)
 
 
 @query
 def latest_day_flag(spark, sf_dir):
     flagged = B.latest_day_flag(_straddles(spark, sf_dir))
-    return steady(flagged.select(*SERIES, "day", "date", "close", "IS_LATEST_DAY"))
+    return flagged.select(*SERIES, "day", "date", "close", "IS_LATEST_DAY")
 
 
 @query
 def first_n_bars(spark, sf_dir):
-    return steady(B.first_bars(_straddles(spark, sf_dir), 24).select(*SERIES, "date", "close"))
+    return B.first_bars(_straddles(spark, sf_dir), 24).select(*SERIES, "date", "close")
 
 
 @query
 def gap_fill(spark, sf_dir):
     filled = B.fill_gaps(_straddles(spark, sf_dir), 6 * 3600, SERIES, ["close", "CE_close", "PE_close", "oi"])
-    return steady(filled)
+    return filled
 
 
 @query
@@ -218,8 +222,8 @@ def lookback_days(spark, sf_dir):
 @query
 def roc_avg(spark, sf_dir):
     out = ind.roc_average(_straddles(spark, sf_dir))
-    return steady(out.select(*SERIES, "date", "ROC_AVG_close", "ROC_AVG_CE_close",
-                             "ROC_AVG_PE_close", "ROC_AVG_CEPE_AVG"))
+    return out.select(*SERIES, "date", "ROC_AVG_close", "ROC_AVG_CE_close",
+                             "ROC_AVG_PE_close", "ROC_AVG_CEPE_AVG")
 
 
 RUNNING = ["cumulative_sum_close", "cumulative_count", "cumulative_sum_oi", "incremental_min_close",
@@ -230,42 +234,42 @@ RUNNING_LEGS = ["incremental_CE_close_avg", "incremental_PE_close_avg", "running
 @query
 def running_stats(spark, sf_dir):
     out = ind.running_stats(_straddles(spark, sf_dir))
-    return steady(out.select(*SERIES, "date", *RUNNING, *RUNNING_LEGS))
+    return out.select(*SERIES, "date", *RUNNING, *RUNNING_LEGS)
 
 
 @query
 def bollinger(spark, sf_dir):
     out = ind.bollinger_bands(_straddles(spark, sf_dir))
-    return steady(out.select(*SERIES, "date", "close", "bb_mid", "bb_upper", "bb_lower"))
+    return out.select(*SERIES, "date", "close", "bb_mid", "bb_upper", "bb_lower")
 
 
 @query
 def vwap_oiwap(spark, sf_dir):
     out = ind.weighted_prices(_straddles(spark, sf_dir))
-    return steady(out.select(*SERIES, "date", "vwap", "oiwap"))
+    return out.select(*SERIES, "date", "vwap", "oiwap")
 
 
 @query
 def leg_ratios(spark, sf_dir):
-    return steady(ind.leg_ratios(_straddles(spark, sf_dir)).select(*SERIES, "date", "ce_pe_ratio", "oi_pcr"))
+    return ind.leg_ratios(_straddles(spark, sf_dir)).select(*SERIES, "date", "ce_pe_ratio", "oi_pcr")
 
 
 @query
 def oi_diff(spark, sf_dir):
     out = ind.oi_difference(_straddles(spark, sf_dir))
-    return steady(out.select(*SERIES, "date", "oi_diff", "oi_diff_avg"))
+    return out.select(*SERIES, "date", "oi_diff", "oi_diff_avg")
 
 
 @query
 def roc_expanding(spark, sf_dir):
     out = ind.roc_expanding(_straddles(spark, sf_dir))
-    return steady(out.select(*SERIES, "date", "ROC_AVG_close", "roc_mean"))
+    return out.select(*SERIES, "date", "ROC_AVG_close", "roc_mean")
 
 
 @query
 def premium_decay(spark, sf_dir):
     out = ind.premium_decay(_straddles(spark, sf_dir))
-    return steady(out.select(*SERIES, "date", "close", "premium_decay_pct"))
+    return out.select(*SERIES, "date", "close", "premium_decay_pct")
 
 
 @query
@@ -275,7 +279,7 @@ def day_boundaries(spark, sf_dir):
 
 @query
 def latest_values(spark, sf_dir):
-    return steady(ind.latest_values(_straddles(spark, sf_dir), ["close", "CE_close", "PE_close", "oi"]))
+    return ind.latest_values(_straddles(spark, sf_dir), ["close", "CE_close", "PE_close", "oi"])
 
 
 @query
@@ -285,14 +289,14 @@ def candle_summary(spark, sf_dir):
 
 @query
 def series_range(spark, sf_dir):
-    return steady(ind.series_range(_straddles(spark, sf_dir), "CE_close", "PE_close"))
+    return ind.series_range(_straddles(spark, sf_dir), "CE_close", "PE_close")
 
 
 @query
 def extra_indicators(spark, sf_dir):
     out = ind.extra_indicators(_straddles(spark, sf_dir))
-    return steady(out.select(*SERIES, "date", "close", "bb_mid", "bb_upper", "bb_lower", "ce_pe_ratio",
-                             "oi_pcr", "oi_diff", "oi_diff_avg", "vwap", "oiwap", "premium_decay_pct"))
+    return out.select(*SERIES, "date", "close", "bb_mid", "bb_upper", "bb_lower", "ce_pe_ratio",
+                             "oi_pcr", "oi_diff", "oi_diff_avg", "vwap", "oiwap", "premium_decay_pct")
 
 
 # --- signals -------------------------------------------------------------------------------------
@@ -311,31 +315,31 @@ def straddle_query(spark, sf_dir, frame, width=fx.BAR_WIDTH, num_days=None):
 
 @query
 def straddle_signals(spark, sf_dir):
-    return steady(straddle_query(spark, sf_dir, S.WHOLE).select(*SIGNALS))
+    return straddle_query(spark, sf_dir, S.WHOLE).select(*SIGNALS)
 
 
 @query
 def straddle_signals_latest(spark, sf_dir):
     """The chart default: the latest of the last days, running statistics of that day."""
-    return steady(straddle_query(spark, sf_dir, S.LATEST, num_days=10).select(*SIGNALS))
+    return straddle_query(spark, sf_dir, S.LATEST, num_days=10).select(*SIGNALS)
 
 
 @query
 def stop_loss(spark, sf_dir):
-    return steady(straddle_query(spark, sf_dir, S.DAY).select(*SERIES, "day", "date", "close", "StopLoss"))
+    return straddle_query(spark, sf_dir, S.DAY).select(*SERIES, "day", "date", "close", "StopLoss")
 
 
 @query
 def entry_allowed(spark, sf_dir):
-    return steady(straddle_query(spark, sf_dir, S.DAY).select(
-        *SERIES, "day", "date", "Open_Max_Close", "EntryAllowed"))
+    return straddle_query(spark, sf_dir, S.DAY).select(
+        *SERIES, "day", "date", "Open_Max_Close", "EntryAllowed")
 
 
 @query
 def leg_signals(spark, sf_dir):
     out = pipelines.leg_signals(fx.bars(spark, sf_dir), num_days=None, frame=S.WHOLE)
-    return steady(out.select(*LEG, "day", "day_num", "date", "close", "oi", "ohlc4", "rownum",
-                             "IS_LATEST_DAY", "ROC_AVG_close", *RUNNING))
+    return out.select(*LEG, "day", "day_num", "date", "close", "oi", "ohlc4", "rownum",
+                             "IS_LATEST_DAY", "ROC_AVG_close", *RUNNING)
 
 
 # --- spreads -------------------------------------------------------------------------------------
@@ -353,23 +357,23 @@ def _pairs(spark, sf_dir, inverted=False):
 def legs_resolve(spark, sf_dir):
     """Four legs per strike, the long pair 100 points out, roles swapped."""
     legs = X.spread_legs(fx.contracts(spark, sf_dir), fx.SHORT_EXPIRY, fx.LONG_EXPIRY, 100, 100)
-    return steady(X.resolve_legs(legs, fx.contracts(spark, sf_dir), inverted=True))
+    return X.resolve_legs(legs, fx.contracts(spark, sf_dir), inverted=True)
 
 
 @query
 def calendar_legs(spark, sf_dir):
-    return steady(_pairs(spark, sf_dir))
+    return _pairs(spark, sf_dir)
 
 
 @query
 def calendar_bars(spark, sf_dir):
-    return steady(X.spread_bars(_pairs(spark, sf_dir)))
+    return X.spread_bars(_pairs(spark, sf_dir))
 
 
 @query
 def calendar_signals(spark, sf_dir):
-    return steady(pipelines.calendar_signals(
-        fx.bars(spark, sf_dir), fx.contracts(spark, sf_dir), _spread_legs(spark, sf_dir)))
+    return pipelines.calendar_signals(
+        fx.bars(spark, sf_dir), fx.contracts(spark, sf_dir), _spread_legs(spark, sf_dir))
 
 
 # --- momentum and RSI ----------------------------------------------------------------------------
@@ -386,19 +390,19 @@ def _calls_and_puts(spark, sf_dir):
 @query
 def ratio_bars(spark, sf_dir):
     calls, puts = _calls_and_puts(spark, sf_dir)
-    return steady(M.ratio_bars(calls, puts, PAIR_KEYS))
+    return M.ratio_bars(calls, puts, PAIR_KEYS)
 
 
 @query
 def heikin_ashi(spark, sf_dir):
-    out = M.heikin_ashi(fx.bars(spark, sf_dir), HA_KEYS)
-    return steady(out.select(*HA_KEYS, "date", "ha_open", "ha_high", "ha_low", "ha_close"))
+    out = M.heikin_ashi(fx.bars(spark, sf_dir), LEG)
+    return out.select(*LEG, "date", "ha_open", "ha_high", "ha_low", "ha_close")
 
 
 @query
 def roc_mean_pct(spark, sf_dir):
     out = M.roc_mean(fx.bars(spark, sf_dir), "close", LEG)
-    return steady(out.select(*LEG, "date", "close", "roc_mean"))
+    return out.select(*LEG, "date", "close", "roc_mean")
 
 
 def daily_bars(spark, sf_dir):
@@ -410,7 +414,7 @@ def daily_bars(spark, sf_dir):
 def mtf_asof(spark, sf_dir):
     chart = fx.bars(spark, sf_dir).select(*LEG, "day", "date", "close")
     coarse = daily_bars(spark, sf_dir).select(*LEG, "known_at", F.col("close").alias("day_close"))
-    return steady(M.as_of(chart, coarse, "day_close", "known_at", LEG))
+    return M.as_of(chart, coarse, "day_close", "known_at", LEG)
 
 
 def _momentum(spark, sf_dir):
@@ -420,22 +424,22 @@ def _momentum(spark, sf_dir):
 
 @query
 def mmi(spark, sf_dir):
-    return steady(_momentum(spark, sf_dir).drop("rownum"))
+    return _momentum(spark, sf_dir).drop("rownum")
 
 
 @query
 def mmi_latest(spark, sf_dir):
-    return steady(M.latest_reading(_momentum(spark, sf_dir), PAIR_KEYS))
+    return M.latest_reading(_momentum(spark, sf_dir), PAIR_KEYS)
 
 
 @query
 def rsi(spark, sf_dir):
-    return steady(M.rsi(fx.bars(spark, sf_dir), LEG))
+    return M.rsi(fx.bars(spark, sf_dir), LEG)
 
 
 @query
 def rsi_scan(spark, sf_dir):
-    return steady(M.rsi_scan(M.rsi(fx.bars(spark, sf_dir), LEG)))
+    return M.rsi_scan(M.rsi(fx.bars(spark, sf_dir), LEG))
 
 
 @query
@@ -443,14 +447,14 @@ def order_intents(spark, sf_dir):
     readings = M.rsi_scan(M.rsi(fx.bars(spark, sf_dir), LEG)).withColumn(
         "margin", F.col("last_close") * MARGIN_RATE)
     out = P.order_intents(readings, CAPITAL, LOSS)
-    return steady(out.select(*LEG, "last_close", "buy_signal", "side", "quantity", "stop"))
+    return out.select(*LEG, "last_close", "buy_signal", "side", "quantity", "stop")
 
 
 # --- positions -----------------------------------------------------------------------------------
 
 @query
 def open_positions(spark, sf_dir):
-    return steady(P.open_positions(fx.orders(spark, sf_dir)))
+    return P.open_positions(fx.orders(spark, sf_dir))
 
 
 @query
@@ -484,7 +488,7 @@ def candles_upsert(spark, sf_dir):
     path = fresh_dir(spark, "candles")
     sinks.upsert(_first_pull(bars), path, f"{_job(path)}/1")
     sinks.upsert(_second_pull(bars), path, f"{_job(path)}/2")
-    return steady(tables.read_candles(spark, path))
+    return tables.read_candles(spark, path)
 
 
 @query
@@ -492,7 +496,7 @@ def pull_selected(spark, sf_dir):
     path = fresh_dir(spark, "pulled")
     pipelines.pull(fx.bars(spark, sf_dir).select(*_candle_columns()), fx.contracts(spark, sf_dir),
                    fx.spot(spark, sf_dir), path, _job(path), num_strikes=3)
-    return steady(tables.read_candles(spark, path))
+    return tables.read_candles(spark, path)
 
 
 def _pulls(spark, sf_dir) -> list[DataFrame]:
@@ -517,7 +521,7 @@ def stream_bars(spark, sf_dir):
     out = fresh_dir(spark, "stream-bars")
     closed = jobs.stream_bars(fx.tick_stream(spark, sf_dir), fx.BAR_WIDTH, WATERMARK)
     jobs.run(jobs.append_to(closed, f"{out}/data"), f"{out}/checkpoint")
-    return steady(spark.read.schema(closed.schema).parquet(f"{out}/data"))
+    return spark.read.schema(closed.schema).parquet(f"{out}/data")
 
 
 @query
@@ -527,7 +531,7 @@ def stream_dedup(spark, sf_dir):
     _land_and_run(
         [bars.withColumn("pull", F.lit(n)) for n in (1, 2)], f"{out}/landing", f"{out}/checkpoint",
         lambda landed: jobs.append_to(jobs.stream_dedup(landed.drop("pull"), "60 days"), f"{out}/data"))
-    return steady(spark.read.schema(CANDLES).parquet(f"{out}/data"))
+    return spark.read.schema(CANDLES).parquet(f"{out}/data")
 
 
 @query
@@ -536,7 +540,7 @@ def stream_upsert(spark, sf_dir):
     _land_and_run(
         _pulls(spark, sf_dir), f"{out}/landing", f"{out}/checkpoint",
         lambda landed: jobs.upsert_to(landed, f"{out}/candles", _job(out), version="pull"))
-    return steady(tables.read_candles(spark, f"{out}/candles"))
+    return tables.read_candles(spark, f"{out}/candles")
 
 
 @query
@@ -546,9 +550,9 @@ def stream_signals(spark, sf_dir):
         _pulls(spark, sf_dir), f"{out}/landing", f"{out}/checkpoint",
         lambda landed: jobs.signals_to(landed, f"{out}/candles", f"{out}/signals", _job(out),
                                        version="pull"))
-    return steady(spark.read.parquet(f"{out}/signals").select(
+    return spark.read.parquet(f"{out}/signals").select(
         *SERIES, "day", "date", "close", "rownum", "ROC_AVG_close", "incremental_close_avg",
-        "StopLoss", "EntryAllowed"))
+        "StopLoss", "EntryAllowed")
 
 
 def flagship(spark: SparkSession, sf_dir: str, width: str) -> DataFrame:

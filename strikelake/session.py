@@ -33,16 +33,17 @@ def get_spark(app_name: str = "strikelake", master: str | None = None, **conf: s
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, named by ``spark.checkpoint.dir``.
 
-    A temporary folder is made only in local mode with the setting absent, that is in tests.
+    Without the setting, the checkpoint folder set on the context is taken. A temporary folder is
+    made only in local mode with neither, that is in tests.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if root:
         return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    root = tempfile.mkdtemp(prefix="strikelake-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="strikelake-"))
+    return context.getCheckpointDir().rstrip("/")
 
 
 def fresh_dir(spark: SparkSession, label: str) -> str:

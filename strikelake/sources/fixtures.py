@@ -15,6 +15,11 @@ from strikelake.schemas import EXCHANGE, FUTURES_SEGMENT, OPTIONS_SEGMENT, STRIK
 SHORT_EXPIRY, LONG_EXPIRY = "2024-02-01", "2024-02-08"
 BAR_WIDTH = "6 hours"
 
+# Read from a column: a literal would be folded out of the keys, and plans would no longer be those of
+# a table with many underlyings.
+def _underlying():
+    return F.when(F.col("event_id").isNotNull(), "IDX").alias("name")
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -24,7 +29,7 @@ def _leg_columns(events: DataFrame) -> DataFrame:
     slot, kind = F.col("user_id") % 5, F.col("event_type")
     order = F.when(kind == "click", 0).when(kind == "view", 1).when(kind == "purchase", 2).otherwise(3)
     return events.where(kind != "error").select(
-        "ts", "event_id", F.lit("IDX").alias("name"),
+        "ts", "event_id", _underlying(),
         (F.lit(54100) + 100 * slot).cast(STRIKE).alias("strike"),
         F.when(kind.isin("click", "purchase"), "CE").otherwise("PE").alias("instrument_type"),
         F.when(kind.isin("click", "view"), F.lit(SHORT_EXPIRY)).otherwise(F.lit(LONG_EXPIRY))
@@ -47,7 +52,7 @@ def tick_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def spot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").where(F.col("event_type") == "error").select(
-        "ts", "event_id", F.lit("IDX").alias("name"), (F.lit(54300) + F.col("value")).alias("price"))
+        "ts", "event_id", _underlying(), (F.lit(54300) + F.col("value")).alias("price"))
 
 
 def bars(spark: SparkSession, sf_dir: str, width: str = BAR_WIDTH) -> DataFrame:

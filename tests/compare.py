@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import decimal
 import glob
 import math
 import os
@@ -24,6 +25,8 @@ def _plain(v):
         return None if math.isnan(v) else v + 0.0
     if isinstance(v, dt.datetime):
         return v.replace(tzinfo=None)
+    if isinstance(v, decimal.Decimal):
+        raise TypeError("results hold no decimals, the two sides print them differently")
     return v
 
 

@@ -123,13 +123,31 @@ def test_signals_refreshed_out_of_order_equal_the_batch(spark):
     assert rows(got) == rows(want)
 
 
-def test_the_shared_folder_is_the_one_the_session_names(spark):
-    before = shared_dir(spark)
-    try:
-        spark.conf.set("spark.checkpoint.dir", "/tmp/strikelake-named/")
-        assert fresh_dir(spark, "x").startswith("/tmp/strikelake-named/x-")
-    finally:
-        spark.conf.set("spark.checkpoint.dir", before)
+class FakeSession:
+    """The few parts of a session that decide on the shared folder."""
+
+    def __init__(self, conf, master, checkpoint=None):
+        self.conf = self.sparkContext = self
+        self.settings, self.master, self.checkpoint = conf, master, checkpoint
+
+    def get(self, key, default):
+        return self.settings.get(key, default)
+
+    def getCheckpointDir(self):
+        return self.checkpoint
+
+    def setCheckpointDir(self, path):
+        self.checkpoint = path
+
+
+def test_the_shared_folder_is_the_one_the_session_names():
+    named = {"spark.checkpoint.dir": "hdfs://shared/run/"}
+    assert fresh_dir(FakeSession(named, "yarn"), "x").startswith("hdfs://shared/run/x-")
+    assert shared_dir(FakeSession({}, "yarn", "hdfs://other")) == "hdfs://other"
+    with pytest.raises(RuntimeError):
+        shared_dir(FakeSession({}, "yarn"))
+    local = FakeSession({}, "local[2]")
+    assert shared_dir(local) == shared_dir(local) == local.checkpoint
 
 
 def final_plan(df):
