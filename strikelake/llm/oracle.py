@@ -24,10 +24,34 @@ m AS (SELECT doc_id, len(w) AS n_words, length(regexp_replace(text, '[\x20\x09-\
 b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
 """
 
+_TERM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
+def _terms(table: str, key: str) -> str:
+    low = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"SELECT {key}, regexp_extract_all({low}, '{_TERM}') AS w FROM {table}"
+
+
+LEAKS = f"""
+WITH d AS ({_terms("documents", "doc_id")}), b AS ({_terms("benchmark", "item_id")}),
+bw AS (SELECT DISTINCT item_id, least(len(w), 10) AS k, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS win
+       FROM (SELECT item_id, w, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i FROM b WHERE len(w) > 0)),
+dw AS (SELECT doc_id, i, k, array_to_string(w[i:i + k - 1], ' ') AS win
+       FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, (SELECT DISTINCT k FROM bw))),
+h AS (SELECT doc_id, i, k, item_id FROM dw JOIN bw USING (k, win)),
+n AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS j FROM h) GROUP BY doc_id),
+m AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+      FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM h) GROUP BY doc_id)
+"""
+
 ORACLES: dict[str, str] = {
     "op7_quality": QUALITY + """
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT (base_failed OR word_chars > 16 * n_words OR word_chars < 2 * n_words OR 10 * n_symbols > n_words
             OR 10 * n_caps > 4 * word_chars OR 10 * n_dup_lines > 3 * n_words) AS kept
 FROM b""",
+    "op8_decontamination": LEAKS + """
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)""",
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strikelake.llm import quality
+from strikelake.llm import phrase_index, quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,6 +22,13 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words and items of ``benchmark`` found in every document."""
+    found = phrase_index.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return phrase_index.digest(found)
+
+
 QUERIES: dict[str, Query] = {
     "op7_quality": op7_quality,
+    "op8_decontamination": op8_decontamination,
 }
