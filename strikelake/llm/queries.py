@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strikelake.llm import parity_join, phrase_index, quality
+from strikelake.llm import parity_join, phrase_index, pii, quality, secrets
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets found in every document."""
+    return secrets.digest(secrets.scan(_table(spark, sf_dir, "documents")))
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Set size and near-copy class of every document."""
     return parity_join.classes(_table(spark, sf_dir, "documents"))
@@ -33,8 +38,15 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrase_index.digest(found)
 
 
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data found in every document."""
+    return pii.digest(pii.scan(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 QUERIES: dict[str, Query] = {
+    "op3_secrets": op3_secrets,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_quality": op7_quality,
     "op8_decontamination": op8_decontamination,
+    "op9_personal_data": op9_personal_data,
 }
