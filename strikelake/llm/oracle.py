@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from strikelake.llm import urls
+
 _WORD = r"[^\x20\x09-\x0D]+"
 
 QUALITY = rf"""
@@ -44,7 +46,33 @@ m AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS
       FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM h) GROUP BY doc_id)
 """
 
+_FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _fits(of: str, start: str) -> str:
+    return f"((host = '{of}' OR ends_with(host, '.{of}')) AND starts_with(path, '{start}'))"
+
+
+def _urls() -> str:
+    """The rules and the vocabulary of the operator, with one regular expression per term."""
+    def hits(terms: tuple[str, ...]) -> str:
+        return " + ".join(f"regexp_matches(url, '(^|[^a-z0-9]){t}($|[^a-z0-9])')::INTEGER" for t in terms)
+
+    by_length = sorted(urls.RULES, key=lambda r: -len(r[1] + r[2]))
+    rule = " ".join(f"WHEN {_fits(h, p)} THEN '{h + p}'" for _, h, p in by_length)
+    said = " ".join(f"WHEN {_fits(h, p)} THEN '{v}'" for v, h, p in by_length)
+    return f"""
+WITH p AS (SELECT page_id, {_FOLD.format("coalesce(url, '')")} AS url,
+                  {_FOLD.format("regexp_extract(coalesce(url, ''), '^(?s:.*?)://([^/?#]*)', 1)")} AS host,
+                  regexp_extract(coalesce(url, ''), '^(?s:.*?)://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+h AS (SELECT *, {hits(urls.STRICT)} AS n_strict, {hits(urls.SOFT)} AS n_soft FROM p)
+SELECT page_id, host, path, CASE {rule} END AS rule, n_strict, n_soft,
+       CASE {said} WHEN n_strict > 0 OR n_soft >= {urls.SOFT_HITS} THEN 'block' ELSE 'allow' END AS verdict
+FROM h"""
+
+
 ORACLES: dict[str, str] = {
+    "op1_url_filter": _urls(),
     "op7_quality": QUALITY + """
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT (base_failed OR word_chars > 16 * n_words OR word_chars < 2 * n_words OR 10 * n_symbols > n_words

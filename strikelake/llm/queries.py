@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strikelake.llm import parity_join, phrase_index, pii, quality, secrets
+from strikelake.llm import parity_join, phrase_index, pii, quality, secrets, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule and verdict of every page's URL."""
+    return urls.judge(_table(spark, sf_dir, "pages"))
+
+
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets found in every document."""
     return secrets.digest(secrets.scan(_table(spark, sf_dir, "documents")))
@@ -44,6 +49,7 @@ def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_url_filter": op1_url_filter,
     "op3_secrets": op3_secrets,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_quality": op7_quality,
