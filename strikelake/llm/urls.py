@@ -81,7 +81,7 @@ def mark(pages: DataFrame, url: str = "url", strict: tuple[str, ...] = STRICT, s
          soft_hits: int = SOFT_HITS) -> DataFrame:
     """Add ``n_strict``, ``n_soft`` (distinct terms) and ``rejected`` by the vocabulary."""
     names = pages.columns
-    added = T.StructType().add("n_strict", "int").add("n_soft", "int").add("rejected", "boolean")
+    added = T.StructType().add("n_strict", T.IntegerType()).add("n_soft", T.IntegerType()).add("rejected", T.BooleanType())
     clash = set(added.names) & set(names)
     if clash:
         raise ValueError(f"columns {sorted(clash)} exist")
