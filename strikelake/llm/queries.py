@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strikelake.llm import parity_join, phrase_index, pii, quality, secrets, urls
+from strikelake.llm import packing, parity_join, phrase_index, pii, quality, secrets, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +21,11 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(_table(spark, sf_dir, "pages"))
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packed id matrices of all documents."""
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets found in every document."""
     return secrets.digest(secrets.scan(_table(spark, sf_dir, "documents")))
@@ -50,6 +55,7 @@ def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_url_filter": op1_url_filter,
+    "op2_packing": op2_packing,
     "op3_secrets": op3_secrets,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_quality": op7_quality,
