@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strikelake.llm import packing, parity_join, phrase_index, pii, quality, secrets, urls
+from strikelake.llm import html_crf, packing, parity_join, phrase_index, pii, quality, secrets, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,6 +31,11 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(_table(spark, sf_dir, "documents")))
 
 
+def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_crf.extract(_table(spark, sf_dir, "pages"))
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Set size and near-copy class of every document."""
     return parity_join.classes(_table(spark, sf_dir, "documents"))
@@ -57,6 +62,7 @@ QUERIES: dict[str, Query] = {
     "op1_url_filter": op1_url_filter,
     "op2_packing": op2_packing,
     "op3_secrets": op3_secrets,
+    "op4_main_text": op4_main_text,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_quality": op7_quality,
     "op8_decontamination": op8_decontamination,
