@@ -5,8 +5,9 @@ leading space, and a text's first word the one that SentencePiece puts before a
 lattice: its substrings up to the longest piece are exploded, equi-joined to the piece table, and the matching edges
 grouped by word; a character that no piece covers gets an edge of its UTF-8 bytes. A higher-order ``aggregate`` folds
 Viterbi over the edges by their ends: at every position the best score and the ids that reach it. The score of a path is
-the sum of its pieces' scores, as the unigram algorithm has it, whatever algorithm made the table; ids can so differ
-from those of a merge-based encoder, the decoded text can't.
+the sum of its pieces' log-probabilities, as the unigram algorithm has it. A merge-based table has ranks in their place
+(0, -1, -2, ...), which the law of Zipf and Mandelbrot turns into logarithms, -ln(rank + ``SHIFT``); ids can there differ
+from those of merging step by step, the decoded text can't.
 
 A corpus has far fewer distinct words than words. Tasks turn their documents in chunks of about ``CHUNK`` bytes into
 a dictionary and the documents as dictionary numbers. Only the dictionaries are shuffled by word, the results go back
@@ -21,6 +22,7 @@ columns are ignored; an empty table gives no rows. A text's own U+2581 goes thro
 
 from __future__ import annotations
 
+import math
 import os
 from collections.abc import Iterator
 from functools import lru_cache
@@ -39,6 +41,7 @@ MODEL = os.environ.get("SENTENCEPIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.mod
 CHUNK = 24_000_000
 LONGEST = 512
 UNKNOWN = 10.0  # how far below the worst piece an uncovered character scores
+SHIFT = 1000.0
 MARK = "▁"
 
 VOCABULARY, DOCUMENTS = range(2)
@@ -64,6 +67,8 @@ class Pieces:
                 self.bytes[i] = b""
             elif " " not in plain[1:] and all(c >= " " for c in plain):
                 self.rows.append((plain, i, float(sp.get_score(i))))
+        if all(s <= 0 and s == int(s) for _, _, s in self.rows):  # ranks of merges
+            self.rows = [(p, i, -math.log(SHIFT - s)) for p, i, s in self.rows]
         self.longest = max(len(p) for p, _, _ in self.rows)
         self.worst = min(s for _, _, s in self.rows)
 

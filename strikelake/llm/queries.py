@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strikelake.llm import html_crf, packing, parity_join, phrase_index, pii, quality, secrets, urls
+from strikelake.llm import html_crf, lattice, packing, parity_join, phrase_index, pii, quality, secrets, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -58,6 +58,11 @@ def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.scan(_table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piece ids of every document."""
+    return lattice.encode(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_url_filter": op1_url_filter,
     "op2_packing": op2_packing,
@@ -67,4 +72,5 @@ QUERIES: dict[str, Query] = {
     "op7_quality": op7_quality,
     "op8_decontamination": op8_decontamination,
     "op9_personal_data": op9_personal_data,
+    "op10_sentencepiece": op10_sentencepiece,
 }
