@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strikelake.llm import html_crf, lattice, packing, parity_join, phrase_index, pii, quality, secrets, urls
+from strikelake.llm import bwt_dedup, html_crf, lattice, packing, parity_join, phrase_index, pii, quality, secrets, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -36,6 +36,11 @@ def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_crf.extract(_table(spark, sf_dir, "pages"))
 
 
+def op5_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that an earlier one has in strings of 50."""
+    return bwt_dedup.report(_table(spark, sf_dir, "documents"))
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Set size and near-copy class of every document."""
     return parity_join.classes(_table(spark, sf_dir, "documents"))
@@ -68,6 +73,7 @@ QUERIES: dict[str, Query] = {
     "op2_packing": op2_packing,
     "op3_secrets": op3_secrets,
     "op4_main_text": op4_main_text,
+    "op5_repeated_strings": op5_repeated_strings,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_quality": op7_quality,
     "op8_decontamination": op8_decontamination,
