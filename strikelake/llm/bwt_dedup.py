@@ -175,7 +175,7 @@ def _column(found: dict[int, list[tuple]], kind: int, k: int, of: type) -> np.nd
     return np.concatenate([np.frombuffer(v[k], of) for v in found.get(kind, [])] or [np.zeros(0, of)])
 
 
-def _meet_names(buckets: int):
+def _meet_names(buckets: int, many: int):
     """Names of a bucket -> those of several ids, to the rows that have them (name, key); frequent ones with counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,7 +190,7 @@ def _meet_names(buckets: int):
                 back = np.repeat(met, group)
                 yield from packed.rows(_deal(key[back], buckets), NAMES, name[back], key[back])
                 total = np.add.reduceat(weight >> 1, edge)
-                often = met & (total > MANY)
+                often = met & (total > many)
                 if often.any():
                     yield packed.row(0, FREQUENT, name[edge][often].tobytes(), total[often].tobytes())
             # Rows of one chunk share a name; what is equal only between rows of one id, the later passes leave.
@@ -350,7 +350,7 @@ def merge(transforms: list[np.ndarray], ended: list[int], passes: int) -> tuple[
     return shard, block
 
 
-def repeated_windows(body: np.ndarray, length: np.ndarray, document: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def repeated_windows(body: np.ndarray, length: np.ndarray, document: np.ndarray, size: int = SHARD) -> tuple[np.ndarray, np.ndarray]:
     """Of a collection of texts in ``body``: (text, window) of the windows that also stand in a text of a smaller document."""
     n = length + 1  # a place for the end
     ends = np.concatenate([[0], np.cumsum(n)])
@@ -366,7 +366,7 @@ def repeated_windows(body: np.ndarray, length: np.ndarray, document: np.ndarray)
     symbol[has] = np.searchsorted(known, letters) + 1
     # Shards of whole texts.
     left = length[text] - place
-    cuts = np.concatenate([[0], np.flatnonzero(np.diff(ends[1:] // SHARD)) + 1, [len(length)]])
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(ends[1:] // size)) + 1, [len(length)]])
     orders, transforms, ended = [], [], []
     for a, b in zip(ends[cuts[:-1]], ends[cuts[1:]]):
         if a < b:
@@ -389,7 +389,7 @@ def repeated_windows(body: np.ndarray, length: np.ndarray, document: np.ndarray)
     return text[gone], place[gone]
 
 
-def _meet_segments(buckets: int):
+def _meet_segments(buckets: int, shard: int):
     """Segments of a bucket -> byte ranges that rows lose."""
 
     def lost(key, low, high) -> Iterator[pa.RecordBatch]:
@@ -423,7 +423,7 @@ def _meet_segments(buckets: int):
             if not len(chosen):
                 continue
             of = first[chosen]
-            text, window = repeated_windows(_ragged(body, start[of], length[of]), length[of], ids[of])
+            text, window = repeated_windows(_ragged(body, start[of], length[of]), length[of], ids[of], shard)
             if not len(text):
                 continue
             # Neighbouring windows as ranges, for every row of the smallest document that has the segment.
@@ -488,29 +488,30 @@ def _dealt(rows: DataFrame, buckets: int) -> DataFrame:
     return rows.repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind")
 
 
-def _lost(docs: DataFrame, buckets: int) -> DataFrame:
+def _lost(docs: DataFrame, buckets: int, many: int, shard: int) -> DataFrame:
     names = stored(_dealt(docs.mapInArrow(_emit_names(buckets), packed.SCHEMA), buckets)
-                   .mapInArrow(_meet_names(buckets), packed.SCHEMA), "names")
+                   .mapInArrow(_meet_names(buckets, many), packed.SCHEMA), "names")
     texts = docs.mapInArrow(_emit_texts(buckets), packed.SCHEMA)
     met = names.where(F.col("kind") == NAMES)
     segments = _dealt(met.unionByName(texts), buckets).mapInArrow(_emit_segments(buckets, _frequent(names)), packed.SCHEMA)
-    return stored(_dealt(segments, buckets).mapInArrow(_meet_segments(buckets), packed.SCHEMA), "lost")
+    return stored(_dealt(segments, buckets).mapInArrow(_meet_segments(buckets, shard), packed.SCHEMA), "lost")
 
 
-def _removed(docs: DataFrame, kept: bool, schema: str) -> DataFrame:
+def _removed(docs: DataFrame, kept: bool, schema: str, many: int, shard: int) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(16, int(size // BUCKET))
-    lost = _lost(docs, buckets)
+    lost = _lost(docs, buckets, many, shard)
     texts = docs.mapInArrow(_emit_texts(buckets), packed.SCHEMA)
     return _dealt(lost.unionByName(texts), buckets).mapInArrow(_remove(kept), schema)
 
 
-def report(docs: DataFrame) -> DataFrame:
-    """Per document: bytes, removed bytes, maximal removed runs and the SHA-256 of what is left."""
-    return _removed(docs, False, RESULT)
+def report(docs: DataFrame, many: int = MANY, shard: int = SHARD) -> DataFrame:
+    """Per document: bytes, removed bytes, maximal removed runs and the SHA-256 of what is left. ``many`` and
+    ``shard`` shape the work, not the result."""
+    return _removed(docs, False, RESULT, many, shard)
 
 
-def without_repeats(docs: DataFrame) -> DataFrame:
+def without_repeats(docs: DataFrame, many: int = MANY, shard: int = SHARD) -> DataFrame:
     """``doc_id, text`` without the repeated strings; a character that is cut becomes U+FFFD."""
-    return _removed(docs, True, "doc_id bigint, text string")
+    return _removed(docs, True, "doc_id bigint, text string", many, shard)
