@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-
-from strikelake.operators.bars import latest_version
-from strikelake.session import shared_dir
+from pyspark.sql import types as T
 
 CANDLE_KEY = ["instrument_token", "expiry", "date"]
 CANDLE_PARTITIONS = ["expiry", "day"]
+_COMMIT = T.StructType([T.StructField("batch_id", T.StringType()), T.StructField("rows", T.LongType()),
+                        T.StructField("mark", T.DecimalType(38, 0))])
 
 
 def write_snapshot(df: DataFrame, path: str, partitions: Sequence[str] = ("name", "segment")) -> None:
@@ -21,10 +23,28 @@ def write_snapshot(df: DataFrame, path: str, partitions: Sequence[str] = ("name"
      .option("partitionOverwriteMode", "static").partitionBy(*partitions).parquet(path))
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop_path)
+def _read(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame | None:
+    """The table as it is now, or None if there is none yet."""
+    spark.catalog.refreshByPath(path)
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as exc:
+        if exc.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
+def commits_path(path: str) -> str:
+    """Where the batches that a table has taken in are recorded."""
+    return f"{path.rstrip('/')}_commits"
+
+
+def newest(rows: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """One row per key: the greatest by ``order``, and of equal ones by all other columns, so that the choice
+    never depends on the order of the rows. Aggregated before the shuffle."""
+    rest = [c for c in rows.columns if c not in key and c not in order]
+    picked = rows.groupBy(*key).agg(F.max(F.struct(*order, *rest)).alias("_r"))
+    return picked.select(*[F.col(c) if c in key else F.col(f"_r.{c}").alias(c) for c in rows.columns])
 
 
 def upsert(
@@ -37,33 +57,39 @@ def upsert(
 ) -> None:
     """Insert new keys and replace known ones; rows that the batch does not mention stay.
 
-    Only the partitions the batch touches are read and rewritten. The batch and the merged rows are
-    written to staging folders under the shared folder first, and the partitions are replaced from
-    there, so the batch is computed once and the table is never read and overwritten in one job. A
-    batch that is run again after a crash finds its finished staging folder and repeats only what
-    is missing: the upsert is idempotent. Within the batch the row with the greatest ``version`` wins.
+    Per key the row with the greatest ``version`` stays, whichever batch brings it and in whatever
+    order batches land; the table keeps the column for that. Without a version, and between equal
+    ones, the later batch wins.
+
+    Only the partitions the batch touches are read and rewritten, in one job that replaces them as it
+    commits. A batch is recorded beside the table with its id, its number of rows and a checksum of them; the
+    same batch again is skipped, so replaying an old one undoes nothing, while other rows under a used
+    id are taken in. After a crash before the record the batch runs again and gives the same table.
     """
     spark = batch.sparkSession
-    staged = f"{shared_dir(spark)}/staging/{batch_id}"
-    columns = [c for c in batch.columns if c != version]
-    schema = batch.select(columns).schema
-    if not _exists(spark, f"{staged}/merged/_SUCCESS"):
-        if not _exists(spark, f"{staged}/new/_SUCCESS"):
-            rows = batch.withColumn("_v", F.col(version) if version else F.lit(1))
-            (latest_version(rows.select(*columns, "_v"), key, "_v").select(*columns)
-             .write.mode("overwrite").parquet(f"{staged}/new"))
-        new = spark.read.schema(schema).parquet(f"{staged}/new")
-        merged = new
-        if _exists(spark, path):
-            # Literal bounds prune the listing, the semi join keeps exactly the touched partitions.
-            bounds = new.agg(*[f(c).alias(f"{f.__name__}_{c}") for c in partitions for f in (F.min, F.max)])
-            low_high = bounds.first()
-            table = spark.read.schema(schema).parquet(path)
-            for c in partitions:
-                table = table.where(F.col(c).between(low_high[f"min_{c}"], low_high[f"max_{c}"]))
-            old = table.join(new.select(*partitions).distinct(), list(partitions), "left_semi")
-            merged = old.join(new.select(*key), list(key), "left_anti").unionByName(new)
-        merged.hint("rebalance", *partitions).write.mode("overwrite").parquet(f"{staged}/merged")
-    (spark.read.schema(schema).parquet(f"{staged}/merged")
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy(*partitions).parquet(path))
+    order = [version] if version else []
+    new = newest(batch, key, order).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        names = [F.coalesce(F.xxhash64(*sorted(new.columns)), F.lit(0)).cast("decimal(38,0)")]
+        bounds = [f(c).alias(f"{f.__name__}_{c}") for c in partitions for f in (F.min, F.max)]
+        seen = new.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(names[0]), F.lit(0)).cast("decimal(38,0)").alias("mark"), *bounds).first()
+        done = _read(spark, commits_path(path), _COMMIT)
+        commit = spark.range(1).select(F.lit(batch_id).alias("batch_id"), F.lit(seen["rows"]).cast("long").alias("rows"),
+                                       F.lit(seen["mark"]).cast("decimal(38,0)").alias("mark"))
+        if done is not None and not done.join(commit, ["batch_id", "rows", "mark"], "left_semi").isEmpty():
+            return
+        if seen["rows"]:
+            merged = new
+            table = _read(spark, path, new.schema)
+            if table is not None:
+                # Literal bounds prune the listing, the semi join keeps exactly the touched partitions.
+                for c in partitions:
+                    table = table.where(F.col(c).between(seen[f"min_{c}"], seen[f"max_{c}"]))
+                old = table.join(new.select(*partitions).distinct(), list(partitions), "left_semi")
+                both = old.withColumn("_late", F.lit(0)).unionByName(new.withColumn("_late", F.lit(1)))
+                merged = newest(both, key, [*order, "_late"]).drop("_late")
+            (merged.hint("rebalance", *partitions).write.mode("overwrite")
+             .option("partitionOverwriteMode", "dynamic").partitionBy(*partitions).parquet(path))
+        commit.coalesce(1).write.mode("append").parquet(commits_path(path))
+    finally:
+        new.unpersist()
