@@ -51,7 +51,7 @@ def clean_bars(bars: DataFrame, version: str | None = None) -> DataFrame:
     """Traded bars, one per contract and bar time."""
     rows = traded(bars)
     if version is None:
-        return rows.dropDuplicates(["instrument_token", "date"])
+        return rows.dropDuplicates(["instrument_token", "expiry", "date"])
     return latest_version(rows, ["instrument_token", "expiry", "date"], version)
 
 
@@ -71,12 +71,14 @@ def day_numbers(
 
 def last_days(
     bars: DataFrame, keys: Sequence[str] = SERIES, num_days: int | None = None, days_back: int = 0,
+    calendar: DataFrame | None = None,
 ) -> DataFrame:
     """Keep trading days ``days_back < rank <= days_back + num_days`` and add ``day_num``.
 
-    On a table partitioned by ``day`` the join prunes the scan to the days kept.
+    On a table partitioned by ``day`` the join prunes the scan to the days kept. The days themselves are ranked on
+    ``calendar``, rows of (series, day) such as the table kept beside the candles, if there is one; else on the bars.
     """
-    return bars.join(day_numbers(bars, keys, num_days, days_back), [*keys, "day"])
+    return bars.join(day_numbers(bars if calendar is None else calendar, keys, num_days, days_back), [*keys, "day"])
 
 
 def session_bars(bars: DataFrame, end_hour: int, end_minute: int) -> DataFrame:
@@ -150,7 +152,8 @@ def first_bars(bars: DataFrame, n: int, keys: Sequence[str] = SERIES, order: str
 def fill_gaps(bars: DataFrame, width_seconds: int, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
     """Put each series on a fixed grid from its first to its last bar, carrying values forward.
 
-    The grid is grown day by day, so no row ever holds more than one day of slots.
+    The grid is grown day by day, so no row ever holds more than one day of slots, and the days are dealt
+    out before their slots are made, so the grid is not made where the few spans stand.
     """
     if width_seconds <= 0 or 86_400 % width_seconds:
         raise ValueError("the grid must divide the day")
@@ -160,6 +163,7 @@ def fill_gaps(bars: DataFrame, width_seconds: int, keys: Sequence[str], values:
     step = F.make_dt_interval(secs=F.lit(width_seconds))
     grid = (
         span.withColumn("day", F.explode(F.sequence(F.to_date("_from"), F.to_date("_to"))))
+        .repartition(int(span.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys, "day")
         .withColumn("_slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
         .withColumn("date", F.col("day").cast("timestamp_ntz") + step * F.col("_slot"))
         .where(F.col("date").between(F.col("_from"), F.col("_to")))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
@@ -19,9 +20,6 @@ BOLLINGER_WIDTH = 2
 OI_DIFF_LENGTH = 21
 RANGE_PADDING = 0.05
 
-# Far above the rounding error of a sum of ratios near one, far below the change of one price tick.
-ROUNDING = 1e-11
-
 
 # --- columns -------------------------------------------------------------------------------------
 
@@ -31,18 +29,13 @@ def roc_sum(
 ) -> Column:
     """Sum of the relative changes against each of the last ``length`` rows, over ``divisor``.
 
-    NULL until ``length`` earlier rows exist, and where one of them is zero or NULL.
-
-    The changes are (x - e) / e = x/e - 1 for every earlier value e, so their sum is x times the
-    rolling sum of reciprocals, less their number: one rolling sum instead of ``length`` lags. What
-    rounding leaves where the changes cancel out, as on a flat price, is zero.
+    NULL until ``length`` earlier rows exist, and where one of them is zero or NULL. Every change is taken
+    by itself, so a flat price gives exactly zero; all lags share one window.
     """
     v = prices.as_col(x)
-    reciprocal = F.try_divide(F.lit(1.0), v)
-    earlier = w.rowsBetween(-length, -1)
-    total = v * F.sum(reciprocal).over(earlier) - float(length)
-    total = F.when(F.abs(total) < ROUNDING, 0.0).otherwise(total)
-    return F.when(F.count(reciprocal).over(earlier) == length, total * (scale / divisor))
+    earlier = [F.lag(v, k).over(w) for k in range(1, length + 1)]
+    changes = [F.try_divide(v - e, e) for e in earlier]
+    return reduce(lambda a, b: a + b, changes) * (scale / divisor)
 
 
 def bollinger(x: Column | str, w: WindowSpec, width: float = BOLLINGER_WIDTH) -> dict[str, Column]:

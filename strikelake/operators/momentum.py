@@ -172,11 +172,11 @@ def rsi(bars: DataFrame, keys: Sequence[str], length: int = RSI_LENGTH,
     return out.select(*keys, "bars", prices.round2(value).alias("rsi"), "last_close", "previous_close")
 
 
-def rsi_scan(readings: DataFrame) -> DataFrame:
+def rsi_scan(readings: DataFrame, low: float = RSI_LOW, high: float = RSI_HIGH) -> DataFrame:
     """Oversold and turning up is a signal; otherwise the reading falls in a band."""
     r = F.col("rsi")
-    turning = (r < RSI_LOW) & (F.col("last_close") > F.col("previous_close"))
+    turning = (r < low) & (F.col("last_close") > F.col("previous_close"))
     return readings.withColumns({
         "buy_signal": F.coalesce(turning, F.lit(False)),
-        "band": F.when(r > RSI_HIGH, "high").when(r < RSI_LOW, "low").when(r.isNotNull(), "neutral"),
+        "band": F.when(r > high, "high").when(r < low, "low").when(r.isNotNull(), "neutral"),
     })

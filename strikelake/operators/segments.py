@@ -21,8 +21,6 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from strikelake.session import shared_dir
-
 # A segment of 128 days of 3-minute bars is about 16,000 rows.
 DAYS_PER_SEGMENT = 128
 
@@ -55,14 +53,6 @@ def _merge(kind: str, before: Column, local: Column) -> Column:
     return F.coalesce(local, before)
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """The same rows, written once to the checkpoint folder of the session."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint()
-
-
 def trading_days(df: DataFrame, keys: Sequence[str], day: str = "day") -> DataFrame:
     """One row per (series, day)."""
     return df.groupBy(*keys, day).agg(F.count(F.lit(1)).alias("bars"))
@@ -146,9 +136,9 @@ class Segmented:
     def add_running(self, df: DataFrame, out: str, kind: str, value: Column) -> DataFrame:
         """A running aggregate of a column that itself depends on running aggregates.
 
-        The rows are needed twice here, for the totals of the earlier segments and for the result.
-        They are written to the checkpoint folder in between: what lies upstream is computed once,
-        and the executors lost later cost no recomputation from the source.
+        The rows are needed twice here: for the result, and for the totals of the earlier segments, of which
+        only this column and the keys are read. Nothing runs before an action, and filters and
+        projections of the result reach the source.
         """
         own = F.when(~F.col(_HALO), value)
         if self.restarted:
@@ -156,7 +146,7 @@ class Segmented:
         last = kind == "last"
         w = self._running
         local = F.last(own, ignorenulls=True) if last else _partial(kind, own)
-        df = settled(df.withColumn("_local", local.over(w)))
+        df = df.withColumn("_local", local.over(w))
         total = F.max_by(own, F.when(own.isNotNull(), F.struct(*self._sorted))) if last else _partial(kind, own)
         before = (F.last("_total", ignorenulls=True) if last
                   else _partial("sum" if kind == "count" else kind, F.col("_total")))
@@ -202,8 +192,7 @@ def cut(
     ``keep`` drops rows; with ``number_days`` the days are numbered from the latest back in
     ``day_num``, and a day whose rows are all dropped still takes its number.
     """
-    if lookback > days:
-        raise ValueError("lookback may not exceed the days of a segment")
+    days = max(days, lookback)  # the halo reaches one segment back, and a day has a row at least
     keys, carry, whole = list(keys), dict(carry or {}), dict(whole or {})
     order = [order] if isinstance(order, str) else list(order)
 
