@@ -429,9 +429,20 @@ def _momentum() -> dict[str, str]:
 SELECT c.name, c.expiry, c.strike, c.day, c.date, c.open / nullif(p.open, 0) AS open,
   c.high / nullif(p.high, 0) AS high, c.low / nullif(p.low, 0) AS low, c.close / nullif(p.close, 0) AS close
 FROM bars c JOIN bars p USING ({SERIES}, date) WHERE c.instrument_type = 'CE' AND p.instrument_type = 'PE'""",
-        "base": f"""
-SELECT {SERIES}, day, date, {roc('hc', W, divisor=20, scale=100)} AS base_avg, row_number() OVER {W} AS rn
+        "compared": f"""
+SELECT {SERIES}, date, {roc('hc', W, divisor=20, scale=100)} AS m
 FROM (SELECT *, (open + high + low + close) / 4 AS hc FROM ratio)""",
+        "own": f"""
+SELECT {SERIES}, date, {roc('hc', W, divisor=20, scale=100)} AS m
+FROM (SELECT *, (open + high + low + close) / 4 AS hc FROM bars WHERE instrument_type = 'CE')""",
+        "compared_days": f"""
+SELECT {SERIES}, date + INTERVAL '1 day' AS known_at, {roc('hc', W, divisor=20, scale=100)} AS m
+FROM (SELECT c.name, c.expiry, c.strike, c.date, (c.open / nullif(p.open, 0) + c.high / nullif(p.high, 0)
+        + c.low / nullif(p.low, 0) + c.close / nullif(p.close, 0)) / 4 AS hc
+      FROM day_bars c JOIN day_bars p USING ({SERIES}, date) WHERE c.instrument_type = 'CE' AND p.instrument_type = 'PE')""",
+        "base": f"""
+SELECT {SERIES}, c.day, c.date, m.m AS base_avg, row_number() OVER {W} AS rn
+FROM (SELECT * FROM bars WHERE instrument_type = 'CE') c LEFT JOIN compared m USING ({SERIES}, date)""",
         "lines": f"""
 SELECT *, CASE WHEN rn >= 21 THEN greatest(max(base_avg) OVER {w21}, 0) END - base_avg AS neg_mmi,
   base_avg - CASE WHEN rn >= 21 THEN least(min(base_avg) OVER {w21}, 0) END AS pos_mmi FROM base""",
@@ -479,7 +490,26 @@ FROM readings""",
         return text.replace("WITH ", "WITH RECURSIVE ", 1) if re.search(r"\b(ha|wilder) AS \(", text) else text
 
     key_date = [*KEYS, "date"]
+    several = {**ctes, "base": f"""
+SELECT name, expiry, strike, day, date, (m0 + m1 + m2) / 3 AS base_avg, row_number() OVER {W} AS rn
+FROM (SELECT c.*, d.m AS m1 FROM (
+        SELECT c.name, c.expiry, c.strike, c.day, c.date, m.m AS m0, o.m AS m2
+        FROM (SELECT * FROM bars WHERE instrument_type = 'CE') c LEFT JOIN compared m USING ({SERIES}, date)
+        LEFT JOIN own o USING ({SERIES}, date)) c
+      ASOF LEFT JOIN (SELECT * FROM compared_days WHERE m IS NOT NULL) d
+      ON c.name = d.name AND c.expiry = d.expiry AND c.strike = d.strike AND c.date >= d.known_at)"""}
+    late = {"revised": UPSERTED, **ctes, "changes": ctes["changes"].replace("FROM bars", "FROM revised")}
     return {
+        "mmi_multi": with_ctes(f"""SELECT {cols([*key_date, 'day', 'crossed', 'signal_up'],
+                    ['base_avg', 'neg_mmi', 'pos_mmi', 'crosspoint'])} FROM momentum""", several),
+        "stream_rsi": with_ctes(f"SELECT {LEG}, bars, rsi, last_close, previous_close FROM readings", late).replace(
+            "WITH ", "WITH RECURSIVE ", 1),
+        "scan_and_size": made(f"""
+SELECT {LEG}, rsi, last_close, 'BUY' AS side, quantity,
+  CASE WHEN quantity > 0 THEN (cents - ((cents % 5) + 5) % 5) / 100 END AS stop
+FROM (SELECT *, CAST(round(CAST({r2('last_close - 100 / nullif(quantity, 0)')} AS DECIMAL(18,6)) * 100, 0) AS BIGINT) AS cents
+      FROM (SELECT *, CAST(floor(10000 / nullif(last_close * 0.2, 0)) AS BIGINT) AS quantity FROM readings
+            WHERE rsi < 55 AND last_close > previous_close)) ORDER BY rsi, {LEG} LIMIT 5"""),
         "ratio_bars": made(f"SELECT {cols([*key_date, 'day'], BAR_DOUBLE)} FROM ratio"),
         "heikin_ashi": made(f"""SELECT {LEG}, date, {r6('ho')} AS ha_open, {r6('greatest(high, ho, hc)')} AS ha_high,
   {r6('least(low, ho, hc)')} AS ha_low, {r6('hc')} AS ha_close FROM ha"""),
@@ -514,7 +544,15 @@ FROM ord s LEFT JOIN ord p ON p.order_id = s.parent_order_id WHERE s.status = 'T
             f"SELECT order_id, parent_order_id, tradingsymbol, quantity, {r6('average_price')} AS average_price FROM positions", ctes),
         "positions_pnl": with_ctes(f"""
 SELECT tradingsymbol, count(*) AS positions, {r2('sum((last_price - average_price) * quantity)')} AS pnl
-FROM positions JOIN quotes USING (tradingsymbol) GROUP BY ROLLUP (tradingsymbol)""", ctes),
+FROM positions JOIN quotes USING (tradingsymbol) GROUP BY ROLLUP (tradingsymbol)""", ctes).replace(
+            "count(*) AS positions", "count(*) AS positions, count(*) FILTER (last_price IS NULL) AS unquoted").replace(
+            "positions JOIN quotes", "positions LEFT JOIN quotes"),
+        "positions_marked": with_ctes(f"""
+SELECT tradingsymbol, count(*) AS positions, count(*) FILTER (last_price IS NULL) AS unquoted,
+  {r2('sum((last_price - average_price) * quantity)')} AS pnl
+FROM positions LEFT JOIN (SELECT tradingsymbol, max_by(average_price, order_id) AS last_price FROM ord
+  WHERE o_orderdate = (SELECT max(o_orderdate) FROM ord) GROUP BY tradingsymbol) USING (tradingsymbol)
+GROUP BY ROLLUP (tradingsymbol)""", ctes),
     }
 
 
@@ -525,6 +563,11 @@ def _sinks() -> dict[str, str]:
                "straddle_all": CTES["straddle_all"].replace("FROM bars", "FROM revised")}
     return {
         "candles_upsert": upserted,
+        "upsert_out_of_order": upserted,
+        "upsert_replayed": upserted,
+        "pull_next_expiry": with_ctes(f"""
+SELECT {cols([f'b.{c} AS {c}' for c in BAR_PLAIN], [])}, b.open, b.high, b.low, b.close
+FROM bars b SEMI JOIN (SELECT * FROM contracts WHERE abs(strike - 54300) <= 3 * 50) c USING (instrument_token, expiry)"""),
         "stream_upsert": upserted,
         "stream_dedup": with_ctes(bars),
         # Bars whose end the watermark has passed: twelve hours behind the newest tick.
@@ -543,8 +586,11 @@ FROM bars b SEMI JOIN (SELECT * FROM chain WHERE abs(Strike_level) <= 3
 
 def oracles() -> dict[str, str]:
     plain = {**_instruments(), **_bars(), **_indicators()}
-    return {**{k: with_ctes(v) for k, v in plain.items()}, **_signals(), **_spreads_done(), **_momentum(),
+    done = {**{k: with_ctes(v) for k, v in plain.items()}, **_signals(), **_spreads_done(), **_momentum(),
             **_positions(), **_sinks()}
+    # Segments of few days change the plan, not the result.
+    again = ("roc_avg", "running_stats", "straddle_signals", "mmi", "mtf_asof", "rsi")
+    return {**done, **{f"{k}_cut": done[k] for k in again}}
 
 
 def _spreads_done() -> dict[str, str]:

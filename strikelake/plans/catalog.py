@@ -32,6 +32,7 @@ QUERIES: dict[str, Query] = {}
 # Parameters of the checked queries.
 NUM_STRIKES = 8
 CAPITAL, LOSS, MARGIN_RATE = 10_000.0, 100.0, 0.2
+MAX_ORDERS, MILD_LOW = 5, 55
 SESSION_END = (15, 30)
 # Overlapping pulls: the second begins before the first ends and revises what they share.
 FIRST_PULL_END, SECOND_PULL_START = "2024-01-20", "2024-01-10"
@@ -218,11 +219,13 @@ def lookback_days(spark, sf_dir):
 
 # --- indicators ----------------------------------------------------------------------------------
 
+ROC_COLUMNS = [*SERIES, "date", "ROC_AVG_close", "ROC_AVG_CE_close", "ROC_AVG_PE_close", "ROC_AVG_CEPE_AVG"]
+
+
 @query
 def roc_avg(spark, sf_dir):
     out = ind.roc_average(_straddles(spark, sf_dir))
-    return out.select(*SERIES, "date", "ROC_AVG_close", "ROC_AVG_CE_close",
-                             "ROC_AVG_PE_close", "ROC_AVG_CEPE_AVG")
+    return out.select(*ROC_COLUMNS)
 
 
 RUNNING = ["cumulative_sum_close", "cumulative_count", "cumulative_sum_oi", "incremental_min_close",
@@ -426,6 +429,20 @@ def mmi(spark, sf_dir):
     return _momentum(spark, sf_dir).drop("rownum")
 
 
+def _daily_calls_and_puts(spark, sf_dir):
+    legs = daily_bars(spark, sf_dir)
+    return (legs.where(F.col("instrument_type") == "CE"), legs.where(F.col("instrument_type") == "PE"))
+
+
+@query
+def mmi_multi(spark, sf_dir):
+    """Three comparisons: on the chart's bars, on day bars as far as known, and with the symbol itself."""
+    calls, puts = _calls_and_puts(spark, sf_dir)
+    day_calls, day_puts = _daily_calls_and_puts(spark, sf_dir)
+    chosen = [puts, pipelines.Comparison(day_puts, day_calls, "known_at"), pipelines.Comparison()]
+    return pipelines.momentum(calls, chosen, PAIR_KEYS).drop("rownum")
+
+
 @query
 def mmi_latest(spark, sf_dir):
     return M.latest_reading(_momentum(spark, sf_dir), PAIR_KEYS)
@@ -449,6 +466,42 @@ def order_intents(spark, sf_dir):
     return out.select(*LEG, "last_close", "buy_signal", "side", "quantity", "stop")
 
 
+@query
+def scan_and_size(spark, sf_dir):
+    """Scan to orders in one pipeline, with a mild threshold and the order limit of a session."""
+    out = pipelines.scan_and_size(fx.bars(spark, sf_dir), LEG, CAPITAL, LOSS, MARGIN_RATE, max_orders=MAX_ORDERS, low=MILD_LOW)
+    return out.select(*LEG, "rsi", "last_close", "side", "quantity", "stop")
+
+
+# --- series cut into several segments ------------------------------------------------------------
+
+def cut_again(name: str, days: int, run: Callable[..., DataFrame]) -> None:
+    """Register a query again with segments of few days; its counterpart stays the same."""
+    def again(spark, sf_dir):
+        return run(spark, sf_dir, days)
+    again.__name__ = f"{name}_cut"
+    CUT[f"{name}_cut"] = name
+    query(again)
+
+
+CUT: dict[str, str] = {}
+FEW, MORE = 5, 21  # days: running aggregates need no look-back, rates of change one of 20 bars
+_RUN = {
+    "roc_avg": (MORE, lambda spark, d, n: ind.roc_average(_straddles(spark, d), days=n).select(*ROC_COLUMNS)),
+    "running_stats": (FEW, lambda spark, d, n: ind.running_stats(_straddles(spark, d), days=n).select(*SERIES, "date", *RUNNING, *RUNNING_LEGS)),
+    "straddle_signals": (MORE, lambda spark, d, n: pipelines.straddle_signals(
+        fx.bars(spark, d), num_days=None, frame=S.WHOLE, days=n).select(*SIGNALS)),
+    "mmi": (MORE, lambda spark, d, n: pipelines.momentum(
+        (c := _calls_and_puts(spark, d))[0], [c[1]], PAIR_KEYS, days=n).drop("rownum")),
+    "mtf_asof": (FEW, lambda spark, d, n: M.as_of(
+        fx.bars(spark, d).select(*LEG, "day", "date", "close"),
+        daily_bars(spark, d).select(*LEG, "known_at", F.col("close").alias("day_close")), "day_close", "known_at", LEG, days=n)),
+    "rsi": (FEW, lambda spark, d, n: M.rsi(fx.bars(spark, d), LEG, days=n)),
+}
+for _name, (_days, _fn) in _RUN.items():
+    cut_again(_name, _days, _fn)
+
+
 # --- positions -----------------------------------------------------------------------------------
 
 @query
@@ -461,6 +514,15 @@ def positions_pnl(spark, sf_dir):
     return pipelines.positions_profit(fx.orders(spark, sf_dir)).withColumn("pnl", prices.round2("pnl"))
 
 
+@query
+def positions_marked(spark, sf_dir):
+    """Profit at the prices of the last order day; symbols without an order on it have no quote."""
+    orders = fx.orders(spark, sf_dir)
+    last = orders.agg(F.max("o_orderdate").alias("o_orderdate"))
+    quotes = P.latest_quotes(orders.join(last, "o_orderdate", "left_semi"))
+    return P.profit_by_symbol(P.open_positions(orders), quotes).withColumn("pnl", prices.round2("pnl"))
+
+
 # --- sinks and streams ---------------------------------------------------------------------------
 
 def _first_pull(bars: DataFrame) -> DataFrame:
@@ -490,6 +552,35 @@ def candles_upsert(spark, sf_dir):
     return tables.read_candles(spark, path)
 
 
+@query
+def upsert_out_of_order(spark, sf_dir):
+    """The newer pull lands first; versions decide, not the order of landing."""
+    path = fresh_dir(spark, "late")
+    first, second = _pulls(spark, sf_dir)
+    sinks.upsert(second, path, f"{_job(path)}/1", version="pull")
+    sinks.upsert(first, path, f"{_job(path)}/2", version="pull")
+    return tables.read_candles(spark, path)
+
+
+@query
+def upsert_replayed(spark, sf_dir):
+    """The older batch runs again after the newer one."""
+    path = fresh_dir(spark, "again")
+    first, second = (p.drop("pull") for p in _pulls(spark, sf_dir))
+    for batch, n in ((first, 1), (second, 2), (first, 1)):
+        sinks.upsert(batch, path, f"{_job(path)}/{n}")
+    return tables.read_candles(spark, path)
+
+
+@query
+def pull_next_expiry(spark, sf_dir):
+    """Both expiries around a strike of one's own, with strikes 50 apart."""
+    path = fresh_dir(spark, "pulled")
+    pipelines.pull(fx.bars(spark, sf_dir).select(*_candle_columns()), fx.contracts(spark, sf_dir), fx.spot(spark, sf_dir),
+                   path, _job(path), num_strikes=3, next_expiry=True, steps={"IDX": 50}, custom={"IDX": 54300})
+    return tables.read_candles(spark, path)
+
+
 @query
 def pull_selected(spark, sf_dir):
     path = fresh_dir(spark, "pulled")
@@ -542,6 +633,15 @@ def stream_upsert(spark, sf_dir):
     return tables.read_candles(spark, f"{out}/candles")
 
 
+@query
+def stream_rsi(spark, sf_dir):
+    out = fresh_dir(spark, "stream-rsi")
+    _land_and_run(
+        _pulls(spark, sf_dir), f"{out}/landing", f"{out}/checkpoint",
+        lambda landed: jobs.rsi_to(landed, f"{out}/candles", f"{out}/rsi", _job(out), version="pull"))
+    return spark.read.parquet(f"{out}/rsi").select(*LEG, "bars", "rsi", "last_close", "previous_close")
+
+
 @query
 def stream_signals(spark, sf_dir):
     out = fresh_dir(spark, "stream-signals")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from strikelake.operators import momentum as M
 from strikelake.operators import positions as P
 from strikelake.operators import signals as S
 from strikelake.operators import spreads as X
+from strikelake.operators.segments import DAYS_PER_SEGMENT
 from strikelake.schemas import LEG, SERIES
 from strikelake.sources.sinks import upsert, write_snapshot
 
@@ -46,23 +48,23 @@ def pull(
 
 def straddle_signals(
     legs: DataFrame, num_days: int | None = 2, days_back: int = 0, frame: str = S.LATEST,
-    keys: Sequence[str] = SERIES,
+    keys: Sequence[str] = SERIES, days: int = DAYS_PER_SEGMENT,
 ) -> DataFrame:
     """Straddle analytics of every underlying, expiry and strike."""
     bars = B.straddle_bars(legs, keys, num_days, days_back, both_legs=False, numbered=False)
-    return S.straddle_signals(bars, keys, frame)
+    return S.straddle_signals(bars, keys, frame, days)
 
 
 def leg_signals(
     legs: DataFrame, num_days: int | None = 2, days_back: int = 0, frame: str = S.LATEST,
-    keys: Sequence[str] = LEG,
+    keys: Sequence[str] = LEG, days: int = DAYS_PER_SEGMENT,
 ) -> DataFrame:
     """Analytics of every single contract."""
     rows = B.traded(legs)
     if num_days is not None or days_back:
         rows = B.last_days(rows, keys, num_days, days_back)
     rows = rows.withColumn("ohlc4", prices.ohlc4())
-    return S.leg_signals(rows, keys, frame)
+    return S.leg_signals(rows, keys, frame, days)
 
 
 def calendar_signals(
@@ -75,37 +77,57 @@ def calendar_signals(
     return X.spread_signals(X.spread_bars(pairs), latest_only)
 
 
+@dataclass(frozen=True)
+class Comparison:
+    """What a symbol is compared with: bars of the other with the symbol's keys, or None for the symbol itself.
+
+    ``known_at`` names the column with the time from which a bar of a coarser time frame is known; its
+    comparison is then read as of each chart bar.
+    """
+
+    other: DataFrame | None = None
+    symbol: DataFrame | None = None
+    known_at: str | None = None
+
+
 def momentum(
-    symbols: DataFrame, comparisons: Sequence[DataFrame], keys: Sequence[str],
-    length: int = ind.ROC_LENGTH, range_length: int = M.RANGE_LENGTH,
+    symbols: DataFrame, comparisons: Sequence[DataFrame | Comparison], keys: Sequence[str],
+    length: int = ind.ROC_LENGTH, range_length: int = M.RANGE_LENGTH, days: int = DAYS_PER_SEGMENT,
 ) -> DataFrame:
-    """Momentum comparison of every symbol with one or more others; with itself if none is given.
+    """Momentum comparison of every symbol with up to four others; with itself if none is given.
 
-    Each comparison is a frame of bars carrying the same keys as the symbol it is compared with.
+    Each comparison is a frame of bars carrying the same keys as the symbol it is compared with, or a
+    ``Comparison`` on another time frame, whose ``symbol`` are the symbol's bars on that frame. All bars of the chart
+    stay; where a comparison has no value, the base average is NULL, whatever their order.
     """
     keys = list(keys)
-    parts: list[DataFrame] = []
-    for n, other in enumerate(comparisons or [None]):
-        rows = symbols if other is None else M.ratio_bars(symbols, other, keys)
+    base = symbols.select(*keys, "day", "date")
+    chosen = [c if isinstance(c, Comparison) else Comparison(c) for c in comparisons] or [Comparison()]
+    for n, c in enumerate(chosen):
+        bars = symbols if c.symbol is None else c.symbol
+        rows = bars if c.other is None else M.ratio_bars(bars, c.other, keys)
+        value = f"roc_mean_{n}"
         rows = rows.select(*keys, "day", "date", M.smoothed_close().alias("ha_close"))
-        parts.append(M.roc_mean(rows, "ha_close", keys, length)
-                     .withColumnRenamed("roc_mean", f"roc_mean_{n}").drop("ha_close"))
-    base = parts[0]
-    for part in parts[1:]:
-        base = base.join(part.drop("day"), [*keys, "date"], "left")
-    columns = [F.col(f"roc_mean_{n}") for n in range(len(parts))]
+        part = M.roc_mean(rows, "ha_close", keys, length, days).select(*keys, "date", F.col("roc_mean").alias(value))
+        if c.known_at:
+            known = part.join(bars.select(*keys, "date", c.known_at), [*keys, "date"])
+            base = (M.as_of(base, known, value, c.known_at, keys, days)
+                    .withColumnRenamed(f"{value}_asof", value))
+        else:
+            base = base.join(part, [*keys, "date"], "left")
+    columns = [F.col(f"roc_mean_{n}") for n in range(len(chosen))]
     base = base.withColumn("base_avg", M.base_average(columns)).select(*keys, "day", "date", "base_avg")
-    return M.mmi(base, keys, length=range_length)
+    return M.mmi(base, keys, length=range_length, days=days)
 
 
 def scan_and_size(
     bars: DataFrame, keys: Sequence[str], capital: float, loss: float, margin_rate: float,
-    max_orders: int | None = None,
+    max_orders: int | None = None, low: float = M.RSI_LOW,
 ) -> DataFrame:
-    """RSI scan of every symbol and the order each signal would place."""
-    signals = M.rsi_scan(M.rsi(bars, keys)).where("buy_signal").withColumn(
+    """RSI scan of every symbol and the order each signal would place; the order limit takes the lowest readings."""
+    signals = M.rsi_scan(M.rsi(bars, keys), low).where("buy_signal").withColumn(
         "margin", F.col("last_close") * margin_rate)
-    return P.order_intents(signals, capital, loss, max_orders=max_orders, rank_by=keys[0])
+    return P.order_intents(signals, capital, loss, max_orders=max_orders, rank_by=["rsi", *keys])
 
 
 def positions_profit(orders: DataFrame) -> DataFrame:

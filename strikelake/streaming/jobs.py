@@ -8,12 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from strikelake.operators import bars as B
 from strikelake.operators import indicators as ind
+from strikelake.operators import momentum as M
 from strikelake.operators import signals as S
 from strikelake.schemas import LEG, SERIES
 from strikelake.sources.sinks import upsert
@@ -70,45 +72,113 @@ def append_to(df: DataFrame, path: str) -> DataStreamWriter:
 def upsert_to(candles: DataFrame, path: str, job: str, version: str | None = None) -> DataStreamWriter:
     """Every micro-batch merged into the candle table.
 
-    ``job`` and the batch id name the staging folder, which makes a repeated batch harmless; a new
-    checkpoint starts its ids again and so needs a new job name.
+    ``job`` and the batch id name the batch, which makes a repeated one harmless. A new checkpoint starts its ids
+    again; its batches hold other rows and are taken in under the used ids.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         upsert(batch, path, f"{job}/{batch_id}", version=version)
     return candles.writeStream.outputMode("append").foreachBatch(write)
 
 
-def touched_history(candles: DataFrame, batch: DataFrame, lookback: int,
+def days_path(candles_path: str) -> str:
+    """The table of (series, day, bars) that is kept beside the candles."""
+    return f"{candles_path.rstrip('/')}_days"
+
+
+def _within(table: DataFrame, low_high: Row, columns: Sequence[str]) -> DataFrame:
+    """Literal bounds, which prune the partitions that are listed."""
+    for c in columns:
+        table = table.where(F.col(c).between(low_high[f"min_{c}"], low_high[f"max_{c}"]))
+    return table
+
+
+def _bounds(df: DataFrame, columns: Sequence[str]) -> Row:
+    return df.agg(*[f(c).alias(f"{f.__name__}_{c}") for c in columns for f in (F.min, F.max)]).first()
+
+
+def affected_spans(days: DataFrame, touched: DataFrame, lookback: int, keys: Sequence[str] = SERIES) -> DataFrame:
+    """Per touched series the days whose signals change, ``from_day`` to ``to_day``, and ``start``, from which on bars
+    are needed for them.
+
+    A changed bar alters its own day and, through the rate of change, the next ``lookback`` bars. ``touched`` has the
+    series' first and last touched day; ``days`` has (series, day, bars), so no bar is read here.
+    """
+    keys = list(keys)
+    rows = days.join(touched, keys)
+    newest, oldest = Window.partitionBy(*keys).orderBy(F.col("day").desc()), Window.partitionBy(*keys).orderBy("day")
+
+    def nearer(w: WindowSpec, side: Column) -> Column:
+        """Bars on this side of the touched days that are nearer to them than this day."""
+        return F.coalesce(F.sum(F.when(side, F.col("bars"))).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    before, after = F.col("day") < F.col("first"), F.col("day") > F.col("last")
+    rows = rows.withColumns({"_before": nearer(newest, before), "_after": nearer(oldest, after)})
+    return rows.groupBy(*keys).agg(
+        F.max("first").alias("from_day"),
+        F.greatest(F.max("last"), F.max(F.when(after & (F.col("_after") < lookback), F.col("day")))).alias("to_day"),
+        F.least(F.max("first"), F.min(F.when(before & (F.col("_before") < lookback), F.col("day")))).alias("start"))
+
+
+def touched_history(spark: SparkSession, batch: DataFrame, candles_path: str, batch_id: str, lookback: int,
                     keys: Sequence[str] = SERIES) -> DataFrame:
-    """Straddle bars that signals of a batch depend on, with ``from_day``, the first day to rewrite.
+    """Straddle bars that the signals touched by a merged batch depend on, with ``from_day`` and ``to_day``.
 
-    A changed bar alters its own day and, through the rate of change, the bars after it. So every
-    touched series is taken from its earliest touched day on, plus as many days before as hold
-    ``lookback`` bars.
+    The days the batch touched are counted anew from their own partitions; the table of days then tells which
+    partitions of the candles are needed, and only these are listed and read.
     """
     keys = list(keys)
-    first = batch.groupBy(*keys).agg(F.min("day").alias("from_day"))
-    straddles = B.straddle_bars(candles, keys, numbered=False).join(first, keys)
-    newest_first = (Window.partitionBy(*keys).orderBy(F.col("day").desc())
-                    .rowsBetween(Window.unboundedPreceding, -1))
-    before = (straddles.where(F.col("day") < F.col("from_day")).groupBy(*keys, "day")
-              .agg(F.count(F.lit(1)).alias("n"))
-              .withColumn("_newer", F.coalesce(F.sum("n").over(newest_first), F.lit(0)))
-              .where(F.col("_newer") < lookback).groupBy(*keys).agg(F.min("day").alias("_start")))
-    return (straddles.join(before, keys, "left")
-            .where(F.col("day") >= F.coalesce("_start", "from_day")).drop("_start"))
+    where = _bounds(batch, ["expiry", "day"])
+    if where["min_day"] is None:
+        return B.straddle_bars(batch, keys, numbered=False).withColumns({"from_day": F.col("day"), "to_day": F.col("day")})
+    candles = read_candles(spark, candles_path, refresh=True)
+    own = _within(candles, where, ["expiry", "day"]).join(batch.select("expiry", "day").distinct(), ["expiry", "day"], "left_semi")
+    counted = B.straddle_bars(own, keys, numbered=False).groupBy(*keys, "day").agg(F.count(F.lit(1)).alias("bars"))
+    upsert(counted, days_path(candles_path), f"{batch_id}/days", key=[*keys, "day"], partitions=["expiry"])
+    spark.catalog.refreshByPath(days_path(candles_path))
+    days = _within(spark.read.schema(counted.schema).parquet(days_path(candles_path)), where, ["expiry"])
+    touched = batch.groupBy(*keys).agg(F.min("day").alias("first"), F.max("day").alias("last"))
+    spans = affected_spans(days, touched, lookback, keys)
+    reach = spans.agg(F.min("start").alias("min_day"), F.max("to_day").alias("max_day")).first()
+    if reach["min_day"] is None:  # no bar with both legs
+        reach = where
+    candles = _within(_within(candles, where, ["expiry"]), reach, ["day"])
+    straddles = B.straddle_bars(candles, keys, numbered=False).join(spans, keys)
+    return straddles.where(F.col("day").between(F.col("start"), F.col("to_day"))).drop("start")
 
 
 def refresh_signals(
     spark: SparkSession, batch: DataFrame, candles_path: str, signals_path: str, batch_id: str,
     version: str | None = None,
 ) -> None:
-    """Merge a batch of candles, then recompute and merge the signals it touches."""
+    """Merge a batch of candles, then recompute and merge the signals it touches. The batch is read once."""
+    batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        upsert(batch, candles_path, f"{batch_id}/candles", version=version)
+        history = touched_history(spark, batch, candles_path, batch_id, ind.ROC_LENGTH)
+        signals = (S.straddle_signals(history, frame=S.DAY)
+                   .where(F.col("day").between(F.col("from_day"), F.col("to_day"))).drop("from_day", "to_day", "day_num", "IS_LATEST_DAY"))
+        upsert(signals, signals_path, f"{batch_id}/signals", key=[*SERIES, "date"])
+    finally:
+        batch.unpersist()
+
+
+def refresh_rsi(
+    spark: SparkSession, batch: DataFrame, candles_path: str, readings_path: str, batch_id: str,
+    version: str | None = None, keys: Sequence[str] = LEG,
+) -> None:
+    """Merge a batch of candles, then read the RSI of the contracts it touches anew."""
     upsert(batch, candles_path, f"{batch_id}/candles", version=version)
-    history = touched_history(read_candles(spark, candles_path, refresh=True), batch, ind.ROC_LENGTH)
-    signals = (S.straddle_signals(history, frame=S.DAY)
-               .where(F.col("day") >= F.col("from_day")).drop("from_day", "day_num", "IS_LATEST_DAY"))
-    upsert(signals, signals_path, f"{batch_id}/signals", key=[*SERIES, "date"])
+    touched = batch.select(*keys).distinct()
+    history = read_candles(spark, candles_path, refresh=True).join(touched, list(keys), "left_semi")
+    upsert(M.rsi(history, keys), readings_path, f"{batch_id}/rsi", key=list(keys), partitions=["expiry"])
+
+
+def rsi_to(
+    candles: DataFrame, candles_path: str, readings_path: str, job: str, version: str | None = None,
+) -> DataStreamWriter:
+    def write(batch: DataFrame, batch_id: int) -> None:
+        refresh_rsi(batch.sparkSession, batch, candles_path, readings_path, f"{job}/{batch_id}", version)
+    return candles.writeStream.outputMode("append").foreachBatch(write)
 
 
 def signals_to(
