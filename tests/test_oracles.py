@@ -3,10 +3,12 @@
 import pytest
 
 import __spark_entry__ as entry
+from strikelake.oracle import sql
+from strikelake.plans import catalog
 from tests.compare import connect, difference
 
 SF_DIR = "/root/testdata/sf0.01"
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLES = catalog.QUERIES, sql.oracles()
 
 
 @pytest.fixture(scope="module")
@@ -16,6 +18,7 @@ def con():
 
 def test_every_query_has_a_counterpart():
     assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))

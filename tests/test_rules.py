@@ -13,6 +13,7 @@ from strikelake.operators import momentum as M
 from strikelake.operators import positions as P
 from strikelake.operators import signals as S
 from strikelake.operators import spreads as X
+from strikelake.plans import pipelines
 
 D = dt.date
 
@@ -293,3 +294,23 @@ def test_range_of_equal_values(spark):
     df = spark.createDataFrame([("A", 2.0, 2.0)], "name string, a double, b double")
     r = ind.series_range(df, "a", "b", ["name"]).first()
     assert (r.axis_min, r.axis_max) == (1.0, 3.0)
+
+
+def test_momentum_keeps_all_chart_bars_in_any_order(spark):
+    days = [(f"2024-01-{1 + i // 3:02d}", i) for i in range(60)]
+    df = spark.createDataFrame(days, "d string, i int").selectExpr(
+        "'N' as name", "cast(d as date) as day", "timestampadd(HOUR, i % 3, cast(d as timestamp_ntz)) as date",
+        "100D + i % 7 as open", "104D + i % 5 as high", "96D + i % 3 as low", "100D + i % 4 as close", "i")
+    gapped = df.where("i % 3 <> 1")
+    a = pipelines.momentum(df, [df, gapped], ["name"]).collect()
+    b = pipelines.momentum(df, [gapped, df], ["name"]).collect()
+    assert len(a) == len(b) == 60
+    assert sorted((str(r.date), r.base_avg) for r in a) == sorted((str(r.date), r.base_avg) for r in b)
+
+
+def test_the_grid_of_a_gap_fill_is_made_in_several_tasks(spark):
+    df = spark.createDataFrame([("2024-01-01", 1.0), ("2024-01-20", 2.0)], "d string, close double").selectExpr(
+        "'N' as name", "cast(d as timestamp_ntz) as date", "close")
+    plan = B.fill_gaps(df, 3600, ["name"], ["close"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("RepartitionByExpression") > 0
+    assert B.fill_gaps(df, 3600, ["name"], ["close"]).count() == 19 * 24 + 1

@@ -11,6 +11,7 @@ from strikelake.operators import indicators as ind
 from strikelake.operators import momentum as M
 from strikelake.operators import signals as S
 from strikelake.operators.segments import cut
+from strikelake.schemas import SERIES
 
 KEYS = ["name"]
 
@@ -125,8 +126,6 @@ def test_smoothed_bars_equal_the_recursion(spark):
 
 def test_lookback_must_fit(spark):
     df = series(spark, 8, (("A", 3),))
-    with pytest.raises(ValueError):
-        cut(df, KEYS, lookback=21, days=20)
     with pytest.raises(ValueError):
         cut(df, KEYS, lookback=5).rolling(20)
 
@@ -148,3 +147,55 @@ def test_rsi_equals_a_loop(spark):
             g, l = (13 * g + up) / 14, (13 * l + down) / 14
         assert r.rsi == pytest.approx(100 - 100 / (1 + g / l), abs=0.006)
         assert (r.last_close, r.previous_close, r.bars) == (x[-1], x[-2], len(x))
+
+
+def _jobs(spark):
+    return spark.sparkContext.statusTracker().getJobIdsForGroup("plans")
+
+
+@pytest.mark.parametrize("build", [
+    lambda bars: ind.running_stats(bars, SERIES, legs=False, days=2),
+    lambda bars: M.mmi(bars.withColumn("base_avg", F.col("close")), SERIES, days=2),
+])
+def test_building_a_plan_starts_no_job(spark, tmp_path, build):
+    days = [(f"2024-01-{d:02d}", "N", k, 100.0 + d * k, 5) for d in range(1, 11) for k in (1, 2)]
+    path = str(tmp_path / "bars")
+    (spark.createDataFrame(days, "d string, name string, k int, close double, oi long")
+     .selectExpr("name", "date'2024-02-01' as expiry", "cast(k as decimal(18,4)) as strike", "cast(d as date) as day",
+                 "cast(d as timestamp_ntz) as date", "close", "oi").write.parquet(path))
+    bars = spark.read.parquet(path)
+    spark.sparkContext.setJobGroup("plans", "plans")
+    try:
+        out = build(bars)
+        assert list(_jobs(spark)) == []
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    one = out.where("strike = 1").select("date", "strike")
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(strike), EqualTo(strike" in plan
+    assert one.count() == 10
+
+
+def test_changes_that_cancel_out_are_not_rounded_away(spark):
+    closes = [50000.0] * 18 + [50000.05, 49999.95, 50000.0]
+    df = spark.createDataFrame([(i, "2024-01-01", c) for i, c in enumerate(closes)], "i int, d string, close double").selectExpr(
+        "'N' as name", "cast(d as date) as day", "timestampadd(MINUTE, i, cast(d as timestamp_ntz)) as date", "close")
+    got = ind.roc_average(df, ["close"], ["name"]).orderBy("date").collect()[-1]["ROC_AVG_close"]
+    want = sum((closes[-1] - e) / e for e in reversed(closes[:-1])) / 2
+    assert got == want != 0.0
+    flat = df.withColumn("close", F.lit(50000.0))
+    assert ind.roc_average(flat, ["close"], ["name"]).orderBy("date").collect()[-1]["ROC_AVG_close"] == 0.0
+
+
+def test_checked_queries_cut_series_into_several_segments(spark):
+    from strikelake.plans import catalog
+    for days in (catalog.FEW, catalog.MORE):
+        seg = cut(catalog._straddles(spark, "/root/testdata/sf0.01"), SERIES, days=days, lookback=20 if days == catalog.MORE else 0)
+        assert seg.df.select("_segment").distinct().count() > 1
+
+
+def test_a_long_look_back_widens_the_segments(spark):
+    df = spark.range(400).selectExpr("'N' as name", "date_add(date'2024-01-01', cast(id as int)) as day",
+                                     "cast(date_add(date'2024-01-01', cast(id as int)) as timestamp_ntz) as date", "100D + id as close")
+    out = ind.roc_average(df, ["close"], ["name"], length=200).where("ROC_AVG_close IS NOT NULL")
+    assert out.count() == 200

@@ -46,18 +46,52 @@ def test_upsert_keeps_rows_of_a_day_it_touches(spark):
     assert rows(tables.read_candles(spark, path)) == rows(want)
 
 
-def test_a_crashed_batch_is_finished_from_staging(spark):
-    """The staged result replaces the partitions even if the table was left half replaced."""
+def test_a_crashed_batch_is_finished(spark):
+    """A batch that stopped half way left part of its rows and no record; it runs again."""
     path = fresh_dir(spark, "t")
     new = candles(spark)
-    batch = path[-8:] + "/1"
-    sinks.upsert(new, path, batch)
     (new.limit(3).write.mode("overwrite").option("partitionOverwriteMode", "static")
      .partitionBy("expiry", "day").parquet(path))
-    sinks.upsert(new, path, batch)
+    sinks.upsert(new, path, path[-8:] + "/1")
+    assert rows(tables.read_candles(spark, path)) == rows(new)
+
+
+def test_replaying_an_old_batch_undoes_nothing(spark):
+    path = fresh_dir(spark, "t")
+    new = candles(spark)
+    revised = new.withColumn("close", F.col("close") + 1)
+    for batch, n in ((new, 1), (revised, 2), (new, 1)):
+        sinks.upsert(batch, path, f"job/{n}")
+    assert rows(tables.read_candles(spark, path)) == rows(revised)
+
+
+def test_other_rows_under_a_used_id_are_taken_in(spark):
+    path = fresh_dir(spark, "t")
+    new = candles(spark)
+    early = F.col("day") < F.lit("2024-01-15")
+    sinks.upsert(new.where(early), path, "job/1")
+    sinks.upsert(new.where(~early), path, "job/1")
     assert rows(tables.read_candles(spark, path)) == rows(new)
 
 
+def test_the_newest_version_wins_whenever_it_lands(spark):
+    path = fresh_dir(spark, "t")
+    new = candles(spark)
+    pulls = {n: new.withColumn("close", F.col("close") + n).withColumn("pull", F.lit(n)) for n in (1, 2, 3)}
+    for k, n in enumerate((2, 1, 3, 2)):
+        sinks.upsert(pulls[n], path, f"job/{k}", version="pull")
+    assert rows(tables.read_candles(spark, path)) == rows(pulls[3].drop("pull"))
+
+
+def test_equal_rows_of_a_batch_are_chosen_alike(spark):
+    new = candles(spark)
+    double = new.unionByName(new.withColumn("close", F.col("close") + 1))
+    for order in (double, double.orderBy(F.rand(1))):
+        path = fresh_dir(spark, "t")
+        sinks.upsert(order, path, "job/1")
+        assert rows(tables.read_candles(spark, path)) == rows(new.withColumn("close", F.col("close") + 1))
+
+
 def test_landed_text_is_cast_and_bad_values_become_null(spark):
     path = fresh_dir(spark, "t")
     text = [f"{f.name}" for f in INSTRUMENTS]
@@ -177,3 +211,26 @@ def _table(spark):
     path = fresh_dir(spark, "t")
     sinks.upsert(candles(spark), path, path[-8:] + "/1")
     return path
+
+
+def test_refresh_reads_only_the_days_it_needs(spark):
+    """A batch of one day in the middle: the days before it that hold the look-back, itself, and those after it."""
+    out = fresh_dir(spark, "t")
+    bars = fx.bars(spark, "/root/testdata/sf0.01", "6 hours").select(*[f.name for f in CANDLES])
+    jobs.refresh_signals(spark, bars, f"{out}/candles", f"{out}/signals", "job/1")
+    day = bars.where(F.col("day") == F.lit("2024-01-16").cast("date")).withColumn("close", F.col("close") + 3)
+    sinks.upsert(day, f"{out}/candles", "job/2/candles")
+    history = jobs.touched_history(spark, day, f"{out}/candles", "job/2", 20)
+    span = history.agg(F.min("day"), F.max("day"), F.min("from_day"), F.max("to_day")).first()
+    assert span[0] >= dt.date(2024, 1, 9) and span[1] <= dt.date(2024, 1, 23)
+    assert span[2] == dt.date(2024, 1, 16) and span[1] == span[3]
+    spark.conf.set("spark.sql.maxMetadataStringLength", "4000")
+    plan = history._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    candle_scan = next(x for x in plan.split("\n") if "PartitionFilters" in x and "/candles]" in x)
+    assert re.search(r"PartitionFilters: \[[^\]]*day#\d+ >= 2024-01", candle_scan), candle_scan
+    # The result is that of all bars at once.
+    jobs.refresh_signals(spark, day, f"{out}/candles", f"{out}/signals", "job/2")
+    changed = bars.where(F.col("day") != F.lit("2024-01-16").cast("date")).unionByName(day)
+    want = pipelines.straddle_signals(changed, num_days=None, frame=S.DAY).drop("day_num", "IS_LATEST_DAY")
+    assert rows(spark.read.parquet(f"{out}/signals").select(*want.columns)) == rows(want)
