@@ -50,7 +50,7 @@ def profit_by_symbol(positions: DataFrame, quotes: DataFrame) -> DataFrame:
 def order_intents(
     signals: DataFrame, capital: float, loss: float, side: str = "BUY",
     price: str = "last_close", margin: str = "margin", max_orders: int | None = None,
-    rank_by: Sequence[str] = (),
+    rank_by: str | Sequence[str] = (),
 ) -> DataFrame:
     """Quantity and stop for every signal; no order is sent anywhere.
 
@@ -62,5 +62,5 @@ def order_intents(
     sized = F.when(F.col("quantity") > 0, F.col("quantity"))
     out = out.withColumn("stop", sizing.stop_trigger(price, sized, loss, F.col("side")))
     if max_orders is not None:
-        out = out.orderBy(*rank_by).limit(max_orders)
+        out = out.orderBy(rank_by if isinstance(rank_by, str) else list(rank_by)).limit(max_orders)
     return out
