@@ -457,6 +457,10 @@ def _candidates(found: DataFrame, shape: DataFrame) -> DataFrame:
     return stored(with_a.join(shape.toDF("b", "nb", "sb"), "b").mapInArrow(_near, "a bigint, b bigint"), "near")
 
 
+def _nodes(pairs: DataFrame) -> DataFrame:
+    return pairs.select("a").union(pairs.select("b")).toDF("node").distinct()
+
+
 def _large(found: DataFrame) -> DataFrame:
     return found.where(f"kind = {HOT}").select(F.col("x").alias("block"), F.col("y").alias("node"))
 
@@ -509,13 +513,15 @@ def classes(docs: DataFrame, group: int = GROUP, window: int = OFTEN) -> DataFra
     hot = _large(found)
     chosen = members.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     near = _candidates(found, shape)
-    wanted = near.select("a").union(near.select("b")).union(hot.select("node")).toDF("node").distinct()
-    texts = (docs.join(chosen.join(wanted, "node", "left_semi"), "doc_id").select("node", "text")
-             .mapInArrow(_same_set, "node bigint, text string"))
+    wanted = (_nodes(near).withColumn("near", F.lit(True)).union(hot.select("node", F.lit(False)))
+              .groupBy("node").agg(F.max("near").alias("near")))
+    texts = (docs.join(chosen.join(wanted, "node"), "doc_id").select("node", "text", "near")
+             .mapInArrow(_same_set, "node bigint, text string, near boolean"))
     if not members.groupBy("doc_id").count().where("count > 1").isEmpty():
         texts = texts.dropDuplicates(["node"])
-    texts = stored(texts, "texts")
-    links, parts = _link(spark, near, texts, None)
+    # Those of candidate pairs apart from those that are only needed for common blocks.
+    texts = stored(texts, "texts", "near")
+    links, parts = _link(spark, near, texts.where("near").select("node", "text"), None)
     some = stored(_common(hot, parts).select("node").distinct(), "some")
     if not some.isEmpty():
         # All blocks of the sets that met a common one tell all that are common among them.
@@ -526,7 +532,9 @@ def classes(docs: DataFrame, group: int = GROUP, window: int = OFTEN) -> DataFra
         again = (again.join(known, "node", "left").join(parts, "node", "left")
                  .select("node", "text", F.coalesce("root", "node").alias("root"), "common"))
         found = _met(again.mapInArrow(_emit_again(buckets, group, often), packed.SCHEMA), buckets, group)
-        links, parts = _link(spark, _candidates(found, shape), texts, links)
+        near = _candidates(found, shape)
+        own = stored(texts.select("node", "text").join(_nodes(near), "node", "left_semi"), "texts")
+        links, parts = _link(spark, near, own, links)
     named = members.withColumn("own", F.when(F.col("n") > 0, F.col("node")))
     root = named.join(parts.toDF("own", "root"), "own", "left").withColumn("root", F.coalesce("root", "own"))
     least = root.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least"))
