@@ -19,7 +19,6 @@ tables give no rows, or no hits.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 

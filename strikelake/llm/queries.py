@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from strikelake.llm import bwt_dedup, html_crf, lattice, packing, parity_join, phrase_index, pii, quality, secrets, urls
 
