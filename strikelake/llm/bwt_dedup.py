@@ -3,7 +3,7 @@
 A byte goes if a 50-byte string that covers it also starts in a document with a smaller id. Four passes, each dealing
 packed arrays to buckets:
 
-1. Every window of 50 bytes is named by the smallest hash of its 24-byte strings (``anchors``); equal windows have equal
+1. Every window of 50 bytes is named by the smallest hash of its 20-byte strings (``anchors``); equal windows have equal
    names, and neighbouring windows mostly share one. Names met in two documents or more go back to their documents.
 2. Runs of windows with such a name become segments (a run of r windows is r + 49 bytes), dealt by name. Of equal
    segments only the one of the smallest document needs a look: the others lie in a larger one and go as a whole.
@@ -33,7 +33,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,14 +41,15 @@ from strikelake.llm import text as tx
 from strikelake.llm.components import stored
 
 SPAN = 50  # bytes of a string that may stand once
-GRAM, FINE = 24, 40  # bytes of the strings that name windows, and of those that split frequent names
+GRAM, FINE = 20, 40  # bytes of the strings that name windows, and of those that split frequent names
 LETTER = 10  # bytes of a symbol
 RUN = 64  # windows of a segment at most
 MANY = 256  # documents that share a name beyond which it is split
 MOST = 100_000  # names of that kind that are sent to the tasks, 8 bytes each
 SHARD = 400_000  # bytes of segments that are suffix-sorted at once
+TOGETHER = 3_000_000  # bytes of segments whose transforms are merged at once, whole names
 FLUSH = 16_000_000  # bytes of texts whose names are sent together
-BUCKET = 12_000_000  # bytes of texts per bucket
+BUCKET = 8_000_000  # bytes of texts per bucket
 
 ONCE, TWICE, TEXTS, NAMES, SEGMENT, LOST, FREQUENT = range(7)
 
@@ -70,7 +70,7 @@ def anchors(data: np.ndarray, n: int, gram: int) -> np.ndarray:
     at8 = np.ndarray((len(data) - 7,), "<u8", buffer=data, strides=(1,))
     m = n - gram + 1
     h = tx.mix(at8[:m] + np.uint64(gram))
-    for k in range(8, gram, 8):
+    for k in [*range(8, gram - 8, 8), gram - 8]:
         h = tx.mix(h ^ at8[k:k + m])
     return _sliding_min(h, SPAN - gram + 1)
 
@@ -137,8 +137,8 @@ def _emit_names(buckets: int):
             several = ids[edge] != ids[edge + group - 1]
             back = np.repeat(group > 1, group)
             back[edge] = False  # the first one comes back from its bucket
-            yield from packed.rows(_deal(name[edge], buckets), ONCE, name[edge], ids[edge], key[edge], 2 * group + several)
-            yield from packed.rows(_deal(key[back], buckets), TWICE, name[back], key[back])
+            yield from _by_row(name[edge], buckets, ONCE, key[edge], name[edge], ids[edge], key[edge], 2 * group + several)
+            yield from _by_row(key[back], buckets, TWICE, key[back], name[back], key[back])
 
         for batch in batches:
             for chunk, ids, known in _read(batch):
@@ -172,7 +172,13 @@ def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict[in
 
 
 def _column(found: dict[int, list[tuple]], kind: int, k: int, of: type) -> np.ndarray:
-    return np.concatenate([np.frombuffer(v[k], of) for v in found.get(kind, [])] or [np.zeros(0, of)])
+    return np.concatenate([np.frombuffer(packed.unpress(v[k]), of) for v in found.get(kind, [])] or [np.zeros(0, of)])
+
+
+def _by_row(bucket_of: np.ndarray, buckets: int, kind: int, key: np.ndarray, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Packed rows in the order of ``key``, whose repeats then compress."""
+    order = np.argsort(key, kind="stable")
+    yield from packed.rows(_deal(bucket_of[order], buckets), kind, *(c[order] for c in columns), press=True)
 
 
 def _meet_names(buckets: int, many: int):
@@ -188,15 +194,14 @@ def _meet_names(buckets: int, many: int):
                 group = np.diff(np.append(edge, len(name)))
                 met = (ids[edge] != ids[edge + group - 1]) | np.bitwise_or.reduceat(weight & 1, edge).astype(bool)
                 back = np.repeat(met, group)
-                yield from packed.rows(_deal(key[back], buckets), NAMES, name[back], key[back])
+                yield from _by_row(key[back], buckets, NAMES, key[back], name[back], key[back])
                 total = np.add.reduceat(weight >> 1, edge)
                 often = met & (total > many)
                 if often.any():
                     yield packed.row(0, FREQUENT, name[edge][often].tobytes(), total[often].tobytes())
             # Rows of one chunk share a name; what is equal only between rows of one id, the later passes leave.
-            for name, key, _, _ in found.get(TWICE, []):
-                name, key = np.frombuffer(name, np.uint64), np.frombuffer(key, np.uint64)
-                yield from packed.rows(_deal(key, buckets), NAMES, name, key)
+            name, key = _column(found, TWICE, 0, np.uint64), _column(found, TWICE, 1, np.uint64)
+            yield from _by_row(key, buckets, NAMES, key, name, key)
 
     return run
 
@@ -205,7 +210,6 @@ def _emit_texts(buckets: int):
     """(doc_id, text) -> compressed texts dealt by row: lengths with ids, known flags, keys and the bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             for chunk, ids, known in _read(batch):
                 key = _keys(chunk, ids)
@@ -215,7 +219,7 @@ def _emit_texts(buckets: int):
                     length = chunk.offsets[part + 1] - chunk.offsets[part]
                     body = b"".join(chunk.raw(i) for i in part)
                     yield packed.row(int(to[part[0]]), TEXTS, np.concatenate([ids[part], known[part], length]).tobytes(),
-                                     key[part].tobytes(), press.compress(body))
+                                     key[part].tobytes(), packed.press(body))
 
     return run
 
@@ -223,7 +227,7 @@ def _emit_texts(buckets: int):
 def _texts(values: tuple) -> tuple[tx.Chunk, np.ndarray, np.ndarray, np.ndarray]:
     """One row of texts as a chunk, ids, known flags and keys."""
     ids, known, length = np.frombuffer(values[0], np.int64).reshape(3, -1)
-    body = zstandard.ZstdDecompressor().decompress(values[2])
+    body = packed.unpress(values[2])
     data = np.frombuffer(body + bytes(8), np.uint8)
     return tx.Chunk(0, len(ids), data, np.concatenate([[0], np.cumsum(length)])), ids, known > 0, np.frombuffer(values[1], np.uint64)
 
@@ -251,12 +255,12 @@ def _emit_segments(buckets: int, very: np.ndarray):
     """Names and texts of a bucket -> segments dealt by name; where a task has one twice, the later rows lose theirs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdCompressor(level=1)
         for _, found in _by_bucket(batches):
             name, key = _column(found, NAMES, 0, np.uint64), _column(found, NAMES, 1, np.uint64)
             wanted = np.unique(tx.mix(name ^ tx.mix(key)))
             if not len(wanted):
                 continue
+            held, size = [], 0
             for values in found.get(TEXTS, []):
                 chunk, ids, known, keys = _texts(values)
                 n, text, first, count = runs(chunk)
@@ -264,33 +268,44 @@ def _emit_segments(buckets: int, very: np.ndarray):
                 at = np.minimum(np.searchsorted(wanted, ask), len(wanted) - 1)
                 hit = (wanted[at] == ask) & known[text]
                 n, text, first, count = _cut_runs(n[hit], text[hit], first[hit], count[hit])
-                if not len(n):
-                    continue
                 hot = np.isin(n, very)
                 if hot.any():
                     n, text, first, count = (np.concatenate(p) for p in zip(
                         (n[~hot], text[~hot], first[~hot], count[~hot]), _finer(chunk, n[hot], text[hot], first[hot], count[hot])))
                 length = count + SPAN - 1
-                content = tx.hash_ranges(chunk.data, first, first + length)
-                place = first - chunk.offsets[text]
-                order = np.lexsort((ids[text], content, n))
-                new = np.append(True, (n[order][1:] != n[order][:-1]) | (content[order][1:] != content[order][:-1]))
-                least = ids[text][order][new][np.cumsum(new) - 1]
-                later = order[ids[text][order] > least]
-                yield from packed.rows(_deal(keys[text[later]], buckets), LOST, keys[text[later]], place[later], place[later] + length[later])
-                own = np.setdiff1d(order, later)
-                to = _deal(n[own], buckets)
-                by = np.argsort(to, kind="stable")
-                own, to = own[by], to[by]
-                for part in np.split(own, np.flatnonzero(np.diff(to)) + 1):  # never empty: the first of equals stays
-                    body = _ragged(chunk.data, first[part], length[part])
-                    head = np.stack([n[part], ids[text[part]].view(np.uint64), keys[text[part]], place[part].view(np.uint64),
-                                     length[part].view(np.uint64), content[part]])
-                    yield packed.row(int(_deal(n[part[:1]], buckets)[0]), SEGMENT, press.compress(head.tobytes()), press.compress(body.tobytes()))
+                if len(n):
+                    held.append((n, ids[text], keys[text], first - chunk.offsets[text], length, tx.hash_ranges(
+                        chunk.data, first, first + length), _ragged(chunk.data, first, length)))
+                    size += int(length.sum())
+                if size >= FLUSH:
+                    yield from _send_segments(held, buckets)
+                    held, size = [], 0
+            if held:
+                yield from _send_segments(held, buckets)
 
     return run
 
 
+def _send_segments(held: list[tuple], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Segments dealt by name; of equal ones those of the smallest document, while the others lose theirs at once."""
+    n, ids, keys, place, length, content, body = (np.concatenate(c) for c in zip(*held))
+    start = np.cumsum(length) - length
+    order = np.lexsort((ids, content, n))
+    new = np.append(True, (n[order][1:] != n[order][:-1]) | (content[order][1:] != content[order][:-1]))
+    least = ids[order][new][np.cumsum(new) - 1]
+    is_later = np.zeros(len(n), bool)
+    is_later[order] = ids[order] > least
+    yield from _by_row(keys[is_later], buckets, LOST, keys[is_later], keys[is_later], place[is_later], (place + length)[is_later])
+    own = np.flatnonzero(~is_later)
+    to = _deal(n[own], buckets)
+    by = np.argsort(to, kind="stable")  # documents stay in their order
+    own, to = own[by], to[by]
+    for part in np.split(own, np.flatnonzero(np.diff(to)) + 1):
+        head = [c[part].tobytes() for c in (n, ids, keys, place, length)]
+        yield packed.row(int(_deal(n[part[:1]], buckets)[0]), SEGMENT, *(packed.press(b) for b in (
+            head[0], b"".join(head[1:3]), b"".join(head[3:]), _ragged(body, start[part], length[part]).tobytes())))
+
+
 def _finer(chunk: tx.Chunk, name, text, first, count):
     """The same windows in runs of equal name and equal finer name."""
     windows = np.repeat(first - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
@@ -360,10 +375,9 @@ def repeated_windows(body: np.ndarray, length: np.ndarray, document: np.ndarray,
     has = place <= length[text] - LETTER
     source = (start[text] + place)[has]
     pad = np.concatenate([body, np.zeros(16, np.uint8)])
-    letters = tx.hash_ranges(pad, source, source + LETTER)
-    known = np.unique(letters)
-    symbol = np.zeros(len(text), np.int64)
-    symbol[has] = np.searchsorted(known, letters) + 1
+    letters = np.zeros(len(text), np.uint64)
+    letters[has] = tx.hash_ranges(pad, source, source + LETTER)
+    symbol = np.where(has, (letters >> np.uint64(32)).astype(np.int64) | 1, 0)
     # Shards of whole texts.
     left = length[text] - place
     cuts = np.concatenate([[0], np.flatnonzero(np.diff(ends[1:] // size)) + 1, [len(length)]])
@@ -380,9 +394,15 @@ def repeated_windows(body: np.ndarray, length: np.ndarray, document: np.ndarray,
         spot[shard == b] = order
     whole = place[spot] <= length[text[spot]] - SPAN
     spot, block = spot[whole], block[whole]
+    # Symbols are 32 bits of a letter's hash in the transforms; within a block the whole hashes decide.
+    exact = np.zeros(len(spot), np.uint64)
+    for k in range(SPAN // LETTER):
+        exact = tx.mix(exact ^ letters[spot + k * LETTER]) + tx._GOLD
+    order = np.lexsort((exact, block))
+    spot, block, exact = spot[order], block[order], exact[order]
     if not len(spot):
         return spot, spot
-    edge = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
+    edge = np.flatnonzero(np.append(True, (block[1:] != block[:-1]) | (exact[1:] != exact[:-1])))
     owner = document[text[spot]]
     least = np.repeat(np.minimum.reduceat(owner, edge), np.diff(np.append(edge, len(spot))))
     gone = np.sort(spot[owner > least])
@@ -393,21 +413,22 @@ def _meet_segments(buckets: int, shard: int):
     """Segments of a bucket -> byte ranges that rows lose."""
 
     def lost(key, low, high) -> Iterator[pa.RecordBatch]:
-        yield from packed.rows(_deal(key, buckets), LOST, key, low, high)
+        yield from _by_row(key, buckets, LOST, key, key, low, high)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpress = zstandard.ZstdDecompressor()
         for _, found in _by_bucket(batches):
-            for key, low, high, _ in found.get(LOST, []):
-                yield from lost(np.frombuffer(key, np.uint64), np.frombuffer(low, np.int64), np.frombuffer(high, np.int64))
-            parts = found.get(SEGMENT)
+            yield from lost(*(_column(found, LOST, k, t) for k, t in enumerate((np.uint64, np.int64, np.int64))))
+            parts = [[packed.unpress(b) for b in v] for v in found.pop(SEGMENT, [])]
             if not parts:
                 continue
-            head = np.concatenate([np.frombuffer(unpress.decompress(v[0]), np.uint64).reshape(6, -1) for v in parts], axis=1)
-            body = np.concatenate([np.frombuffer(unpress.decompress(v[1]), np.uint8) for v in parts])
-            name, key, content = head[0], head[2], head[5]
-            ids, place, length = (head[k].view(np.int64) for k in (1, 3, 4))
+            name = np.concatenate([np.frombuffer(p[0], np.uint64) for p in parts])
+            ids, key = np.concatenate([np.frombuffer(p[1], np.int64).reshape(2, -1) for p in parts], axis=1)
+            place, length = np.concatenate([np.frombuffer(p[2], np.int64).reshape(2, -1) for p in parts], axis=1)
+            key = key.view(np.uint64)
+            body = np.concatenate([np.frombuffer(p[3], np.uint8) for p in parts] + [np.zeros(8, np.uint8)])
+            del parts
             start = np.cumsum(length) - length
+            content = tx.hash_ranges(body, start, start + length)
             order = np.lexsort((ids, content, name))
             new = np.append(True, (name[order][1:] != name[order][:-1]) | (content[order][1:] != content[order][:-1]))
             group = np.cumsum(new) - 1  # of equal segments, in this order
@@ -415,30 +436,33 @@ def _meet_segments(buckets: int, shard: int):
             least = ids[first][group]
             later = order[ids[order] > least]
             yield from lost(key[later], place[later], place[later] + length[later])
-            # Different segments of one name, unless all are of one document.
+            owners = ids[order] == least
+            owners, owner_group = order[owners], group[owners]
+            # Different segments of one name, unless all are of one document, some names at a time.
             edge = np.flatnonzero(np.append(True, name[first][1:] != name[first][:-1]))
             size = np.diff(np.append(edge, len(first)))
             mixed = np.minimum.reduceat(ids[first], edge) != np.maximum.reduceat(ids[first], edge)
-            chosen = np.flatnonzero(np.repeat(mixed, size))
-            if not len(chosen):
-                continue
-            of = first[chosen]
-            text, window = repeated_windows(_ragged(body, start[of], length[of]), length[of], ids[of], shard)
-            if not len(text):
-                continue
-            # Neighbouring windows as ranges, for every row of the smallest document that has the segment.
-            fresh = np.append(True, (text[1:] != text[:-1]) | (window[1:] != window[:-1] + 1))
-            begin = np.flatnonzero(fresh)
-            finish = np.append(begin[1:], len(text)) - 1
-            seat, low, high = text[begin], window[begin], window[finish] + SPAN
-            keep = ids[order] == least
-            owners, owner_group = order[keep], group[keep]
-            lo = np.searchsorted(owner_group, chosen[seat])
-            hi = np.searchsorted(owner_group, chosen[seat], "right")
-            n = hi - lo
-            which = np.repeat(np.arange(len(seat)), n)
-            row = owners[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
-            yield from lost(key[row], place[row] + low[which], place[row] + high[which])
+            edge, size = edge[mixed], size[mixed]
+            total = np.concatenate([[0], np.cumsum(length[first])])
+            turn = np.cumsum(total[edge + size] - total[edge]) // TOGETHER
+            for names in np.split(np.arange(len(edge)), np.flatnonzero(np.diff(turn)) + 1):
+                if not len(names):
+                    continue
+                chosen = np.repeat(edge[names] - np.cumsum(size[names]) + size[names], size[names]) + np.arange(int(size[names].sum()))
+                of = first[chosen]
+                text, window = repeated_windows(_ragged(body, start[of], length[of]), length[of], ids[of], shard)
+                if not len(text):
+                    continue
+                # Neighbouring windows as ranges, for every row of the smallest document that has the segment.
+                fresh = np.append(True, (text[1:] != text[:-1]) | (window[1:] != window[:-1] + 1))
+                begin = np.flatnonzero(fresh)
+                finish = np.append(begin[1:], len(text)) - 1
+                seat, low, high = text[begin], window[begin], window[finish] + SPAN
+                lo = np.searchsorted(owner_group, chosen[seat])
+                n = np.searchsorted(owner_group, chosen[seat], "right") - lo
+                which = np.repeat(np.arange(len(seat)), n)
+                row = owners[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
+                yield from lost(key[row], place[row] + low[which], place[row] + high[which])
 
     return run
 

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 
 SCHEMA = "bucket bigint, kind int, x binary, y binary, z binary, s binary"
 NAMES = ["bucket", "kind", "x", "y", "z", "s"]
@@ -17,14 +18,23 @@ def row(bucket: int, kind: int, *values: bytes | None) -> pa.RecordBatch:
         [pa.array([bucket], pa.int64()), pa.array([kind], pa.int32()), *(pa.array([v], pa.binary()) for v in values)], names=NAMES)
 
 
-def rows(bucket: np.ndarray, kind: int, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """One row per bucket with its share of the columns as bytes, in their order."""
+def press(value: bytes) -> bytes:
+    return zstandard.compress(value, 1)
+
+
+def unpress(value: bytes) -> bytes:
+    return zstandard.decompress(value)
+
+
+def rows(bucket: np.ndarray, kind: int, *columns: np.ndarray, press: bool = False) -> Iterator[pa.RecordBatch]:
+    """One row per bucket with its share of the columns as bytes, in their order, compressed if ``press``."""
     if not len(bucket):
         return
     order = np.argsort(bucket, kind="stable")
     bucket, columns = bucket[order], [c[order] for c in columns]
     edge = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
     ends = np.append(edge[1:], len(bucket))
-    parts = [pa.array([c[i:j].tobytes() for i, j in zip(edge, ends)], pa.binary()) for c in columns]
+    form = zstandard.ZstdCompressor(level=1).compress if press else bytes
+    parts = [pa.array([form(c[i:j].tobytes()) for i, j in zip(edge, ends)], pa.binary()) for c in columns]
     parts += [pa.nulls(len(edge), pa.binary())] * (4 - len(parts))
     yield pa.RecordBatch.from_arrays([pa.array(bucket[edge].astype(np.int64)), pa.array(np.full(len(edge), kind, np.int32)), *parts], names=NAMES)
