@@ -36,8 +36,8 @@ VOCABULARY = os.environ.get("TOKENIZER_FILE", "/opt/tokenizers/byte_bpe_50k.tikt
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 ROW = 2048  # tokens of a packed row
 MATRIX_ROWS = 64
-BLOCK_TOKENS = 4_000_000
-KEPT_STRETCHES = 500_000  # encoded stretches that a task remembers
+BLOCK_TOKENS = 2_000_000
+KEPT_STRETCHES = 300_000  # encoded stretches that a task remembers
 
 _BLANK = tx.byte_set((0x20, 0x20), (0x09, 0x0D))
 SCHEMA = ("rows int, ids binary, position_ids binary, cu_seqlens binary, n_tokens bigint, "
