@@ -138,7 +138,7 @@ def test_matrices_and_round_trip(spark, tmp_path):
 # --- pieces ----------------------------------------------------------------------------------------
 
 def best_path(word: str, table: dict, p: lattice.Pieces) -> list[int]:
-    best = [(0.0, [])]
+    best = [(0, [])]
     for end in range(1, len(word) + 1):
         found = None
         for n in range(1, min(p.longest, end) + 1):
@@ -146,7 +146,7 @@ def best_path(word: str, table: dict, p: lattice.Pieces) -> list[int]:
             if piece in table:
                 ids, score = [table[piece][0]], table[piece][1]
             elif n == 1:
-                ids, score = [p.fallback[b] for b in piece.encode()], p.worst - lattice.UNKNOWN
+                ids, score = [p.fallback[b] for b in piece.encode()], p.unknown
             else:
                 continue
             total = best[end - n][0] + score
