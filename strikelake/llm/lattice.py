@@ -4,7 +4,7 @@ Texts are split before every space and around control characters, which no piece
 leading space, and a text's first word the one that SentencePiece puts before a text. Each distinct word becomes a
 lattice: its substrings up to the longest piece are exploded, equi-joined to the piece table, and the matching edges
 grouped by word; a character that no piece covers gets an edge of its UTF-8 bytes. A higher-order ``aggregate`` folds
-Viterbi over the edges by their ends: at every position the best score and the ids that reach it. The score of a path is
+Viterbi over the edges by their ends: at every position the best score and the last piece that reaches it. The score of a path is
 the sum of its pieces' log-probabilities, as the unigram algorithm has it. A merge-based table has ranks in their place
 (0, -1, -2, ...), which the law of Zipf and Mandelbrot turns into logarithms, -ln(rank + ``SHIFT``); ids can there differ
 from those of merging step by step, the decoded text can't.
@@ -22,26 +22,32 @@ columns are ignored; an empty table gives no rows. A text's own U+2581 goes thro
 
 from __future__ import annotations
 
+import json
 import math
 import os
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import sentencepiece
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strikelake.llm import text as tx
+from strikelake.llm.components import stored
 
 # Where the model file lies; the driver reads it, tasks get its pieces.
 MODEL = os.environ.get("SENTENCEPIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
-CHUNK = 24_000_000
+CHUNK = 12_000_000
+PACK_ROWS = 200_000  # words that a task packs at once
 LONGEST = 512
 UNKNOWN = 10.0  # how far below the worst piece an uncovered character scores
 SHIFT = 1000.0
+BYTES = 1 << 24  # codes from here on are code points
+WORDS = 4_000_000  # bytes of texts per partition of words
 MARK = "▁"
 
 VOCABULARY, DOCUMENTS = range(2)
@@ -70,7 +76,9 @@ class Pieces:
         if all(s <= 0 and s == int(s) for _, _, s in self.rows):  # ranks of merges
             self.rows = [(p, i, -math.log(SHIFT - s)) for p, i, s in self.rows]
         self.longest = max(len(p) for p, _, _ in self.rows)
-        self.worst = min(s for _, _, s in self.rows)
+        # Whole numbers of 2 ** -20, so that sums are exact; 34 bits hold those of a longest word.
+        self.unknown = round((min(s for _, _, s in self.rows) - UNKNOWN) * (1 << 20))
+        self.rows = [(p, i, round(s * (1 << 20))) for p, i, s in self.rows]
 
 
 @lru_cache(maxsize=4)
@@ -83,44 +91,70 @@ def pieces(model: str = MODEL) -> Pieces:
 def encode_words(words: DataFrame, table: Pieces) -> DataFrame:
     """``word, ids`` of distinct words in ``word``; if the words are partitioned by word, nothing is shuffled.
 
-    The piece table is as large as the vocabulary, whatever the corpus, and is broadcast.
+    The piece table is as large as the vocabulary, whatever the corpus, and is broadcast. An edge is one number:
+    its end, its length and its piece, or beyond ``BYTES`` the code point of a character that no piece covers.
     """
     spark = words.sparkSession
-    piece = F.broadcast(spark.createDataFrame(table.rows, "piece string, id int, score double"))
+    piece = F.broadcast(spark.createDataFrame([(p, i) for p, i, _ in table.rows], "piece string, id int"))
     ends = words.withColumn("n", F.length("word")).withColumn("at", F.explode(F.sequence(F.lit(1), F.col("n"))))
     spans = ends.withColumn("len", F.explode(F.sequence(F.lit(1), F.least(F.lit(table.longest), F.col("n") - F.col("at") + 1))))
     edges = spans.withColumn("piece", F.substring("word", F.col("at"), F.col("len"))).join(piece, "piece", "left")
     edges = edges.where("id IS NOT NULL OR len = 1")
-    # An uncovered character: its bytes' ids, at one low score.
-    code = F.transform(F.filter(F.split(F.regexp_replace(F.hex(F.encode("piece", "UTF-8")), "(..)", "$1,"), ","), lambda h: h != ""),
-                       lambda h: F.get(F.lit(table.fallback), F.conv(h, 16, 10).cast("int")))
-    own = F.when(F.col("id").isNotNull(), F.array("id")).otherwise(code)
-    score = F.coalesce("score", F.lit(table.worst - UNKNOWN))
-    edge = F.struct((F.col("at") + F.col("len") - 1).alias("end"), "len", score.alias("score"), own.alias("ids"))
+    code = F.coalesce("id", F.ascii("piece") + BYTES).cast("bigint")
+    end = (F.col("at") + F.col("len") - 1).cast("bigint")
+    edge = F.shiftleft(end, 40) + F.shiftleft(F.col("len").cast("bigint"), 32) + code
     grouped = edges.groupBy("word").agg(F.collect_list(edge).alias("edges"))
-    return grouped.select("word", viterbi(F.array_sort("edges"), table.longest).alias("ids"))
+    codes = grouped.select("word", viterbi(F.col("edges"), F.length("word"), table).alias("codes"))
+    return codes.select("word", _spelled(F.col("codes"), table).alias("ids"))
 
 
-def viterbi(edges, longest: int):
-    """Ids of the best path over edges sorted by end, then length; of equal paths the one of the shorter last piece.
+def viterbi(edges, n, table: Pieces):
+    """Codes of the best path over ``n`` positions; of equal paths the one of the shorter last piece.
 
-    The fold keeps the best (score, ids) of the last ``longest`` positions in ``past``, and that of the end which the
-    edges are at in ``best``.
+    The fold keeps one number per position so far: the best score, the last piece's length (its complement, so that the
+    shorter is greater) and its code. It adds the next position's, the greatest over the edges that end there. A
+    second fold walks back along the lengths.
     """
-    state = "struct<end:int,best:struct<score:double,ids:array<int>>,past:array<struct<score:double,ids:array<int>>>>"
-    start = F.from_json(F.lit('{"end":0,"best":{"score":0.0,"ids":[]},"past":[]}'), state)
+    by_id = [0] * len(table.bytes)
+    for _, i, s in table.rows:
+        by_id[i] = s
+    scores = F.from_json(F.lit(json.dumps(by_id)), "array<bigint>")
 
-    def step(acc, e):
-        moved = e["end"] > acc["end"]
-        past = F.when(moved, F.concat(F.slice(acc["past"], F.greatest(F.lit(1), F.size(acc["past"]) - longest + 2), longest), F.array(
-            acc["best"]))).otherwise(acc["past"])
-        before = F.get(past, F.size(past) - e["len"])
-        total = before["score"] + e["score"]
-        better = moved | (total > acc["best"]["score"])
-        best = F.when(better, F.struct(total.alias("score"), F.concat(before["ids"], e["ids"]).alias("ids"))).otherwise(acc["best"])
-        return F.struct(e["end"].alias("end"), best.alias("best"), past.alias("past"))
+    def reached(best, at):
+        def by(e):
+            size, code = F.shiftright(e, 32).bitwiseAND(255).cast("int"), e.bitwiseAND(0xFFFFFFFF)
+            own = F.when(code < BYTES, F.get(scores, code.cast("int"))).otherwise(F.lit(table.unknown))
+            return F.shiftleft(F.shiftright(F.get(best, at - size), 30) + own, 30) + F.shiftleft(31 - F.shiftright(e, 32).bitwiseAND(255), 25) + code
+        return by
 
-    return F.aggregate(edges, start, step, lambda acc: acc["best"]["ids"])
+    def step(best, at):
+        ending = F.filter(edges, lambda e: F.shiftright(e, 40) == at)
+        return F.concat(best, F.array(F.array_max(F.transform(ending, reached(best, at)))))
+
+    best = F.aggregate(F.sequence(F.lit(1), n), F.expr("array(0L)"), step)
+    walk = F.from_json(F.lit('{"skip":0,"codes":[]}'), "struct<skip:bigint,codes:array<int>>")
+
+    def back(acc, b):
+        here = F.struct((30 - F.shiftright(b, 25).bitwiseAND(31)).alias("skip"), F.concat(F.array(b.bitwiseAND((1 << 25) - 1).cast("int")), acc["codes"]).alias("codes"))
+        return F.when(acc["skip"] == 0, here).otherwise(F.struct((acc["skip"] - 1).alias("skip"), acc["codes"].alias("codes")))
+
+    return F.aggregate(F.reverse(F.slice(best, F.lit(2), n)), walk, back, lambda acc: acc["codes"])
+
+
+def _spelled(codes, table: Pieces):
+    """Ids of codes: a code point becomes the ids of its UTF-8 bytes."""
+    fallback = F.from_json(F.lit(json.dumps(table.fallback)), "array<int>")
+
+    def spell(c):
+        point = c - BYTES
+        tail = [F.lit(128) + F.shiftright(point, 6 * k).bitwiseAND(63) for k in range(3)]
+        bytes_ = (F.when(point < 0x80, F.array(point))
+                  .when(point < 0x800, F.array(F.shiftright(point, 6) + 0xC0, tail[0]))
+                  .when(point < 0x10000, F.array(F.shiftright(point, 12) + 0xE0, tail[1], tail[0]))
+                  .otherwise(F.array(F.shiftright(point, 18) + 0xF0, tail[2], tail[1], tail[0])))
+        return F.when(c < BYTES, F.array(c)).otherwise(F.transform(bytes_, lambda b: F.get(fallback, b)))
+
+    return F.when(F.exists(codes, lambda c: c >= BYTES), F.flatten(F.transform(codes, spell))).otherwise(codes)
 
 
 # --- documents as dictionary numbers ---------------------------------------------------------------
@@ -206,11 +240,24 @@ def _emit_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                 names=["chunk", "kind", "numbers", "counts", "ids", "doc_id"])
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at least ``size``, but for the last."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= size:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def _pack_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(chunk, number, ids) -> packed rows per chunk: numbers as steps, counts of ids, and the ids."""
-    for batch in batches:
-        chunk, number = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.int64)
-        lists = batch.column(2)
+    for rows in _gathered(batches, PACK_ROWS):
+        chunk, number = rows.column(0).to_numpy(), rows.column(1).to_numpy().astype(np.int64)
+        lists = rows.column(2)
         edge = lists.offsets.to_numpy().astype(np.int64)
         flat = lists.values.to_numpy().astype(np.int64)
         order = np.lexsort((number, chunk))
@@ -266,15 +313,34 @@ def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
     """``doc_id, n_tokens, ids`` of every document. ``docs`` must give the same rows in the same order each time
     it is read, as a stored table does; else the job fails rather than mixing chunks."""
+    spark = docs.sparkSession
     body = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    vocabulary = body.mapInArrow(_emit_vocabulary, "chunk bigint, number int, word string").repartition("word")
-    coded = encode_words(vocabulary.select("word").distinct(), pieces(model))
-    back = vocabulary.join(coded, "word").select("chunk", "number", "ids").mapInArrow(_pack_words, PACKED)
+    size = body.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(size // WORDS))
+    vocabulary = body.mapInArrow(_emit_vocabulary, "chunk bigint, number int, word string").repartition(parts, "word")
+    # One row per word; with all columns in it, the words are shuffled once for this and for the join.
+    distinct = vocabulary.groupBy("word").agg(F.min(F.struct("chunk", "number")).alias("_at")).where("_at IS NOT NULL").select("word")
+    coded = encode_words(distinct, pieces(model))
+    packed = vocabulary.join(coded, "word").select("chunk", "number", "ids").mapInArrow(_pack_words, PACKED)
+    with _hashed(spark):
+        back = stored(packed, "words")
     both = back.unionByName(body.mapInArrow(_emit_documents, PACKED))
     return both.repartition("chunk").sortWithinPartitions("chunk", "kind").mapInArrow(
         _assemble, "doc_id bigint, n_tokens bigint, ids array<int>")
 
 
+@contextmanager
+def _hashed(spark: SparkSession) -> Iterator[None]:
+    """Grouping by hash instead of sorting all edges: a partition has few enough words for that."""
+    name, many = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "10000000"
+    before = spark.conf.get(name)
+    spark.conf.set(name, many)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def decode(coded: DataFrame, model: str = MODEL) -> DataFrame:
     """``doc_id, text`` of ids: the pieces' bytes in a row without the first space."""
     table = pieces(model).bytes
