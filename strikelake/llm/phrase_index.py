@@ -10,15 +10,17 @@ matches ask the same lists whether an item's rarest terms stand within ``NEAR``
 
 The test items are a stated query set: they are sent to the tasks in blocks of at most ``BLOCK_BYTES``, as
 many passes as that takes, so the bound of a broadcast holds for every size of the test table. The index
-stores the postings of terms that the items use; pass ``terms=None`` to store all.
+stores the postings of terms that the items use; pass ``terms=None`` to store all. With several blocks the whole
+index is stored once and searched block after block; a row is named by its shard and its place in it.
 
 Defined results: null and empty texts have no words and no hits; null, empty or wordless items have no
-windows; equal items each count; every row of the documents gives one row; extra columns are ignored; empty
-tables give no rows, or no hits.
+windows; equal texts of several items each count, an item id counts once per document; every row of the
+documents gives one row, in one block or several; extra columns are ignored; empty tables give no rows, or no hits.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,14 +30,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strikelake.llm import text as tx
+from strikelake.llm.components import stored
 
 WINDOW = 10
 NEAR = 64  # words within which a proximity match finds an item's rarest terms
 NEAR_TERMS = 4
 BLOCK_BYTES = 32_000_000  # texts of test items that are sent to the tasks at once
 
-INDEX_SCHEMA = "doc_id array<bigint>, first binary, terms binary, heads binary, positions binary"
+INDEX_SCHEMA = "shard string, doc_id array<bigint>, first binary, terms binary, heads binary, positions binary"
 HITS_SCHEMA = "doc_id bigint, n_words bigint, n_hit bigint, items array<bigint>, near_items array<bigint>, hits binary"
+KEY_SCHEMA = "shard string, place int"  # names a row of the documents in a stored index
 
 
 @dataclass
@@ -76,6 +80,7 @@ def read_items(rows: pa.Table) -> Items:
 def build_index(docs: DataFrame, terms: np.ndarray | None = None) -> DataFrame:
     """Shards of a positional index, one row each; ``terms`` restricts it to these term hashes.
 
+    ``shard`` is a name made up when the shard is built, so it holds for a stored index.
     ``first`` bounds each document's words, ``heads`` each term's stretch of ``positions``: int64 and uint64
     arrays as little-endian bytes. Positions count the words of the shard.
     """
@@ -86,9 +91,9 @@ def build_index(docs: DataFrame, terms: np.ndarray | None = None) -> DataFrame:
             for chunk in tx.chunks(batch.column(1), lower=True):
                 shard = shard_of(chunk, terms)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([ids.slice(chunk.lo, chunk.hi - chunk.lo).to_pylist()], pa.list_(pa.int64())),
+                    pa.array([uuid.uuid4().hex]), pa.array([ids.slice(chunk.lo, chunk.hi - chunk.lo).to_pylist()], pa.list_(pa.int64())),
                     *(pa.array([a.tobytes()], pa.binary()) for a in shard),
-                ], names=["doc_id", "first", "terms", "heads", "positions"])
+                ], names=["shard", "doc_id", "first", "terms", "heads", "positions"])
 
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, INDEX_SCHEMA)
 
@@ -189,8 +194,8 @@ class Shard:
 
 
 def search(index: DataFrame, items: Items) -> DataFrame:
-    """Per document: word and hit counts, ids of items with exact and with proximity matches, and the hit
-    words as a bit set over the document's words (``hits``, null without any)."""
+    """Per document: its shard and place in it, word and hit counts, ids of items with exact and with proximity
+    matches, and the hit words as a bit set over the document's words (``hits``, null without any)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -199,45 +204,62 @@ def search(index: DataFrame, items: Items) -> DataFrame:
                 s = Shard(*(np.frombuffer(row[k], kind) for k, kind in kinds.items()), items)
                 n = len(row["doc_id"])
                 hit, counts, pairs = s.hits(items)
-                found: list[list] = [[] for _ in range(n)]
+                found: list[dict] = [{} for _ in range(n)]  # ids may repeat in the test table
                 for doc, item in pairs:
-                    found[doc].append(items.ids[item])
-                close: list[list] = [[] for _ in range(n)]
+                    found[doc][items.ids[item]] = None
+                close: list[dict] = [{} for _ in range(n)]
                 for k, terms in enumerate(items.lists):
                     for doc in s.near(terms):
-                        close[doc].append(items.ids[k])
+                        close[doc][items.ids[k]] = None
                 bits = [np.packbits(hit[s.first[i]:s.first[i + 1]]).tobytes() if counts[i] else None for i in range(n)]
                 yield pa.RecordBatch.from_arrays([
+                    pa.array([row["shard"]] * n, pa.string()), pa.array(np.arange(n, dtype=np.int32)),
                     pa.array(row["doc_id"], pa.int64()), pa.array(np.diff(s.first)), pa.array(counts.astype(np.int64)),
-                    pa.array(found, pa.list_(pa.int64())), pa.array(close, pa.list_(pa.int64())), pa.array(bits, pa.binary()),
-                ], names=["doc_id", "n_words", "n_hit", "items", "near_items", "hits"])
+                    pa.array([[*x] for x in found], pa.list_(pa.int64())), pa.array([[*x] for x in close], pa.list_(pa.int64())),
+                    pa.array(bits, pa.binary()),
+                ], names=["shard", "place", "doc_id", "n_words", "n_hit", "items", "near_items", "hits"])
 
-    return index.mapInArrow(run, HITS_SCHEMA)
+    return index.mapInArrow(run, f"{KEY_SCHEMA}, {HITS_SCHEMA}")
 
 
-def item_blocks(benchmark: DataFrame) -> Iterator[Items]:
-    """The test items in blocks of at most about ``BLOCK_BYTES``, by a hash of the id."""
+def _item_blocks(benchmark: DataFrame) -> tuple[int, Iterator[Items]]:
+    """How many blocks of at most about ``BLOCK_BYTES`` the test items make, by a hash of the id, and the blocks."""
     own = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
     size = own.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0))).first()[0]
     n = 1 + int(size // BLOCK_BYTES)
-    for k in range(n):
-        block = own.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k) if n > 1 else own
-        yield read_items(block.toArrow())
+
+    def read() -> Iterator[Items]:
+        for k in range(n):
+            block = own.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k) if n > 1 else own
+            yield read_items(block.toArrow())
+
+    return n, read()
+
+
+def item_blocks(benchmark: DataFrame) -> Iterator[Items]:
+    """The test items in blocks of at most about ``BLOCK_BYTES``; all rows of an id are in one block."""
+    return _item_blocks(benchmark)[1]
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``search`` over all blocks of the items. One block, the usual case, needs no shuffle; with more,
-    each document's parts are put together by an aggregation on its id and its number of words."""
-    parts = [search(build_index(docs, items.terms), items) for items in item_blocks(benchmark)]
-    if len(parts) == 1:
-        return parts[0]
-    whole = parts[0]
-    for part in parts[1:]:
-        whole = whole.unionByName(part)
-    return (whole.groupBy("doc_id", "n_words")
-            .agg(F.flatten(F.collect_list("items")).alias("items"), F.flatten(F.collect_list("near_items")).alias("near_items"),
+    """``search`` over all blocks of the items. One block, the usual case, needs no shuffle. With more, the whole
+    index is stored and searched block after block, and each row's parts are put together by its shard and place."""
+    n, blocks = _item_blocks(benchmark)
+    if n == 1:
+        items = next(blocks)
+        return search(build_index(docs, items.terms), items).drop("shard", "place")
+    index, whole = stored(build_index(docs), "index"), None
+    for items in blocks:
+        part = search(index, items)
+        if whole is None:  # the first part has every row, the others those with matches
+            whole = stored(part, "hits")
+        else:
+            whole = whole.unionByName(stored(part.where("n_hit > 0 OR size(near_items) > 0"), "hits"))
+    return (whole.groupBy("shard", "place")
+            .agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"),
+                 F.flatten(F.collect_list("items")).alias("items"), F.flatten(F.collect_list("near_items")).alias("near_items"),
                  F.collect_list("hits").alias("hits"))
-            .mapInArrow(_union_bits, HITS_SCHEMA))
+            .drop("shard", "place").mapInArrow(_union_bits, HITS_SCHEMA))
 
 
 def _union_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

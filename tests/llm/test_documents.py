@@ -109,6 +109,27 @@ def test_leaks_in_several_blocks_of_items(spark, odd, monkeypatch):
     assert tuples(phrase_index.digest(phrase_index.decontaminate(odd.where("doc_id < 20 AND doc_id <> 6"), bench))) == one
 
 
+def test_every_row_in_several_blocks_of_items(spark, odd, monkeypatch):
+    """Repeated rows, null ids, different texts of one id with as many words, and a repeated item."""
+    text = odd_rows()[5][1]
+    items = [(i, " ".join(text.split()[3 * i:3 * i + 15])) for i in range(30)]
+    items += [items[4], (None, "one two"), (31, text), (32, text), (33, None), (34, "")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    more = [(5, "two one"), (7, " ".join(text.split()[:119] + ["other"])), (None, text[::-1])]
+    docs = odd.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string"))
+    want = [brute.leaks([row], items)[row[0]] for row in [*odd_rows(), *more]]
+
+    def found():
+        whole = phrase_index.decontaminate(docs, bench)
+        return tuples(phrase_index.digest(whole)), sorted(str((r.doc_id, r.n_words, sorted(map(str, r.near_items)), r.hits)) for r in whole.collect())
+
+    one = found()
+    monkeypatch.setattr(phrase_index, "BLOCK_BYTES", 800)
+    assert found() == one
+    # The plain version has the null id by the name "None"; the digests leave it out.
+    assert sorted((r[1:4], r[5]) for r in one[0]) == sorted((w[:3], w[4]) for w in want)
+
+
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "alpha x x beta x gamma"), (2, "alpha " + "x " * 200 + "beta gamma"), (3, "alpha")], "doc_id long, text string")
     bench = spark.createDataFrame([(1, "gamma beta alpha")], "item_id long, text string")
