@@ -9,8 +9,9 @@ text (words, share of links, punctuation). The field has two labels, content and
 The labelled pages are composed by a fixed seed (``compose``) from layouts with menus, headers, footers, sidebars,
 notices, adverts, forms and reader comments around articles in different containers. ``train`` takes any others.
 
-Defined results: a null or empty page has an empty text; broken and cut-off markup is read as far as it goes; a page
-is judged alike however often it stands in the table; extra columns are ignored; an empty table gives no rows.
+Defined results: a null or empty page has an empty text; formulas are text, drawings aren't; broken and cut-off
+markup is read as far as it goes; a page is judged alike however often it stands in the table; extra columns are
+ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,15 +30,21 @@ from pyspark.sql import functions as F
 PAGES, EPOCHS, RATE, DECAY, SEED = 240, 6, 0.5, 1e-4, 11
 
 # Element names of HTML by how they shape text.
-RAW = "script|style|title|template|noscript|svg|math|iframe|object|canvas|select|textarea|audio|video"
-INLINE = frozenset(("a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark nobr q "
-                    "rp rt ruby s samp small span strike strong sub sup time tt u var wbr").split())
+RAW = "script|style|title|template|noscript|svg|iframe|object|canvas|select|textarea|audio|video"
+MATH = frozenset(("math semantics mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom menclose mfenced msub "
+                  "msup msubsup munder mover munderover mmultiscripts mprescripts mtable mtr mtd maction").split())
+INLINE = MATH | frozenset(("a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark nobr q "
+                           "rp rt ruby s samp small span strike strong sub sup time tt u var wbr").split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"),
           "option": ("option",)}  # an element that these open ones can't hold
 
+_ATTRIBUTES = r"(?:[^<>\"']|\"[^\"<]*\"|'[^'<]*')*+"
+# In turn: a comment, a drawing that ends at its "/>", a formula's source beside it, an element with all it holds, any other
+# tag, and scraps. A name ends at white space, "/" or ">": after a hyphen goes on that of another element.
 _MARKUP = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
+    rf"<!--.*?(?:-->|\Z)|<svg(?=[\s/>])(?:{_ATTRIBUTES}(?<=/)>|(?!{_ATTRIBUTES}>)[^<>]*/>)|<annotation\s[^>]*>[^<]*</annotation\s*>"
+    rf"|<({RAW})(?=[\s/>])[^>]*>.*?(?:</\1(?=[\s/>])[^>]*>|\Z)|<(/?)([a-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
     r"|</?[a-z][^>]*>|<[!?][^>]*(?:>|\Z)|</?[a-z][^>]*\Z", re.S | re.I)
 _NAMES = re.compile(r"(?:\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))|(\bhidden\b|display\s*:\s*none)", re.I)
 _PART = re.compile(r"[a-z]+")
@@ -89,7 +96,7 @@ def blocks(page: str) -> list[Block]:
         tag = tag.lower()
         if tag not in INLINE:
             flush()
-        elif tag == "br":
+        elif tag == "br" or tag in MATH:  # the parts of a formula are words
             parts.append(" ")
         if not m[2]:
             if tag not in INLINE:

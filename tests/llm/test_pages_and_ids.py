@@ -87,6 +87,20 @@ def test_odd_pages(spark):
     assert got[8].endswith("Title\nText is here.")
 
 
+def test_text_behind_drawings_and_custom_elements(spark):
+    """An element without an end tag, or with a name that only begins like a raw one, doesn't take the rest of the page."""
+    inner = ["<svg/>", "<svg class='i' />", "<SVG title=\"a>b\"/>", "<svg width=1/>", "<svg a=\"x/>", "<math/>", "<svg-icon></svg-icon>",
+             "<video-player src=x></video-player>", "<video-js></video-js>", "<object-view/>", "<script-loader/>", "<svg><path/><text>no</text></svg>",
+             "<svg a='/>'><text>no</text></svg>", "<svg class=\"x>no</svg><img alt=\"y\"/>", "<script>no</script foo>"]
+    pages = [f"<article><p>One sentence is here.{x}</p><p>Another sentence is there.</p></article>" for x in inner]
+    formula = "<math id=f><semantics><mfrac><mi>x</mi><mn>2</mn></mfrac><annotation encoding='application/x-tex'>no</annotation></semantics></math>"
+    pages.append(f"<article><p>So {formula} holds. <select-box>Pick one of these.</select-box></p><p>Another sentence is there.</p></article>")
+    df = spark.createDataFrame([(i, "u", h) for i, h in enumerate(pages)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_crf.extract(df).collect()}
+    want = {i: "One sentence is here.\nAnother sentence is there." for i in range(len(inner))}
+    assert got == {**want, len(inner): "So x 2 holds.\nPick one of these.\nAnother sentence is there."}
+
+
 # --- packing ---------------------------------------------------------------------------------------
 
 TEXTS = ["a  b  c  d\n\n  e é  x 's\t\tq", "", None, "ab " * 3000, "x　　 y\r\n z  \x1c q", "日本語 テキスト  é é  ß ", " \u0085 a", "q" * 5000, "same", "same"]
