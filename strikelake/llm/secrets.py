@@ -11,7 +11,10 @@ Short strings can't be told from random ones, so what counts is decided by lengt
 length class) a histogram of the p-values of *all* candidates estimates how many are truly random (these
 have uniform p-values, so twice those above one half), and hence for each cut t the share of false discoveries
 among the candidates above t. The smallest cut whose share is at most ``FDR`` holds; a stratum without
-one adds nothing. The histogram has at most ``STRATA * BINS`` rows whatever the corpus.
+one adds nothing. A stratum of fewer than ``THIN`` candidates, too few for an estimate, takes the cut of a
+histogram with those of its neighbours: the next length classes of its encoding, further ones, then all encodings.
+(A table with fewer candidates in all has no better estimate than theirs.) The histogram has at most
+``STRATA * BINS`` rows whatever the corpus.
 
 Defined results: a null text is empty; empty texts have no spans; equal rows are judged alike; extra columns are
 ignored; empty tables give no rows.
@@ -19,7 +22,8 @@ ignored; empty tables give no rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strikelake.llm import spans as sp
@@ -28,6 +32,7 @@ from strikelake.llm.components import stored
 FDR = 0.05
 BINS = 200
 STRATA = 4 * 6
+THIN = 100
 MIN_LENGTH = 20
 # The base patterns. Matches that fail their length are dropped without another try.
 ASSIGN = (r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]"""
@@ -132,15 +137,33 @@ def candidates(df: DataFrame) -> DataFrame:
 
 
 def cuts(tested: DataFrame, fdr: float = FDR) -> DataFrame:
-    """Per stratum the smallest p-value above which at most ``fdr`` of the candidates aren't random."""
+    """``stratum, cut``: per stratum the smallest p-value above which at most ``fdr`` of the candidates aren't random."""
     cell = F.least(F.floor(F.col("p") * BINS), F.lit(BINS - 1))
-    hist = tested.groupBy("stratum", cell.alias("cell")).agg(F.count(F.lit(1)).alias("n"))
-    of = Window.partitionBy("stratum")
-    above = F.sum("n").over(of.orderBy(F.desc("cell")))
-    random = 2 * F.sum(F.when(F.col("cell") >= BINS // 2, F.col("n")).otherwise(0)).over(of)
-    est = hist.withColumn("above", above).withColumn("random", random)
-    false = 1 - F.col("random") * (1 - F.col("cell") / BINS) / F.col("above")
-    return est.where(false <= fdr).groupBy("stratum").agg((F.min("cell") / BINS).alias("cut"))
+    hist: dict[tuple[str, int], np.ndarray] = {}
+    for stratum, at, n in tested.groupBy("stratum", cell.alias("cell")).agg(F.count(F.lit(1)).alias("n")).collect():
+        kind, band = stratum.rsplit("-", 1)
+        hist.setdefault((kind, int(band)), np.zeros(BINS, np.int64))[at] += n
+    out = []
+    for kind, band in hist:
+        pool = neighbourhood(hist, kind, band)
+        above = pool[::-1].cumsum()[::-1]
+        random = 2 * pool[BINS // 2:].sum()
+        seen = np.flatnonzero(pool)
+        low = seen[1 - random * (1 - seen / BINS) / above[seen] <= fdr]
+        if len(low):
+            out.append(F.struct(F.lit(f"{kind}-{band}").alias("stratum"), F.lit(float(low[0] / BINS)).alias("cut")))
+    rows = F.array(*out) if out else F.expr("cast(array() as array<struct<stratum:string,cut:double>>)")
+    return tested.sparkSession.range(1).select(F.inline(rows))
+
+
+def neighbourhood(hist: dict[tuple[str, int], np.ndarray], kind: str, band: int) -> np.ndarray:
+    """The histogram of a stratum, with those of the nearest others as long as it has fewer than ``THIN`` candidates."""
+    pool = hist[kind, band]
+    for step in range(1, len(LENGTHS) + 1):
+        if pool.sum() >= THIN:
+            return pool
+        pool = sum((hist[k] for k in ((kind, band - step), (kind, band + step)) if k in hist), pool)
+    return pool if pool.sum() >= THIN else sum(hist.values())
 
 
 def scan(docs: DataFrame) -> DataFrame:

@@ -157,6 +157,25 @@ def test_random_strings_are_told_from_words(spark):
     assert not [i for i in flagged if i >= 150]
 
 
+def test_lone_candidates_are_judged_with_their_neighbours(spark):
+    """One candidate in a length class of its encoding, beside many random ones of another class."""
+    rows = [("base64-3", (i + 0.5) / 400) for i in range(400)] + [("base64-5", 0.3), ("base32-0", 0.8), ("alnum-2", 1e-9)]
+    cut = {r.stratum: r.cut for r in secrets.cuts(spark.createDataFrame(rows, "stratum string, p double")).collect()}
+    assert cut["base64-3"] <= 0.05 and cut["base64-5"] <= 0.3 and cut["base32-0"] <= 0.8
+    structured = spark.createDataFrame([("hex-1", 1e-9)] * 300 + [("hex-2", 0.01)], "stratum string, p double")
+    assert secrets.cuts(structured).collect() == []
+
+
+def test_strata_with_enough_candidates_stand_alone():
+    np = secrets.np
+    full, thin = np.full(secrets.BINS, 2), np.zeros(secrets.BINS, np.int64)
+    thin[40] = 1
+    hist = {("hex", 0): full, ("alnum", 1): thin, ("alnum", 4): full, ("alnum", 5): full, ("base32", 2): thin}
+    assert (secrets.neighbourhood(hist, "hex", 0) == full).all()
+    assert (secrets.neighbourhood(hist, "alnum", 1) == thin + full).all()
+    assert (secrets.neighbourhood(hist, "base32", 2) == 3 * full + 2 * thin).all()
+
+
 PERSONAL = ["", None, "a@b.c_x@d.e, @x.y a.b+c@d-e.f.g.", "1.2.3.4.5.6.7.8 256.1.1.1 001.2.3.4 12.34.56", "4111 1111 1111 1111 and 4111-1111-1111-1112",
             "+1 (234) 555-0199 +12 +1234567 +1 2 3 4 5 6 7 8 9 0 1 2 3 4 5 6", "9" * 20_000, "x" * 50_000, "é😀 mail äb@c.de", "1-" * 5000 + "1", "+ 1234567890"]
 
