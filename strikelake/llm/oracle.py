@@ -71,6 +71,58 @@ SELECT page_id, host, path, CASE {rule} END AS rule, n_strict, n_soft,
 FROM h"""
 
 
+_LEVELS = """
+SELECT tree, 0 AS lvl, pos, n, digest FROM {0} UNION ALL
+SELECT tree, lvl + 1, pos // 2, (n + 1) // 2, sha256(string_agg(digest, '' ORDER BY pos)) FROM {1} WHERE n > 1 GROUP BY tree, lvl, n, pos // 2"""
+
+
+def _leaf(n_chars: str) -> str:
+    parts = " || ".join(f"coalesce(strlen({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR, '-')" for c in ("doc_id", "source", "lang", n_chars, "text"))
+    return f"sha256({parts})"
+
+
+# The checksum of the decimal id, bit by bit.
+_CRC32 = """xor(list_reduce([4294967295::BIGINT] || list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT),
+  lambda crc, byte: list_reduce([xor(crc, byte), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, bit: xor(x >> 1, (x & 1) * 3988292384))), 4294967295)"""
+
+MANIFEST = f"""
+WITH RECURSIVE
+g AS (SELECT lang AS of_lang, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree FROM (SELECT DISTINCT lang FROM documents)),
+c AS (SELECT *, n_chars + CASE WHEN {_CRC32} % 7 = 0 THEN 1 ELSE 0 END AS claimed_chars FROM documents),
+h AS (SELECT doc_id, tree, {_leaf("n_chars")} AS digest, {_leaf("coalesce(claimed_chars, n_chars)")} AS claimed
+      FROM c JOIN g ON lang IS NOT DISTINCT FROM of_lang),
+l AS (SELECT *, row_number() OVER w - 1 AS pos, count(*) OVER (PARTITION BY tree) AS n FROM h
+      WINDOW w AS (PARTITION BY tree ORDER BY doc_id NULLS FIRST, digest)),
+t AS ({_LEVELS.format("l", "t")}),
+s AS (SELECT -1::BIGINT AS tree, tree AS pos, count(*) OVER () AS n, digest FROM t WHERE n = 1),
+r AS ({_LEVELS.format("s", "r")}),
+a AS (SELECT * FROM t UNION ALL SELECT * FROM r),
+f AS (SELECT doc_id, tree AS own, pos AS place, digest AS leaf, tree, 0 AS lvl, pos, claimed AS x, '' AS proof, false AS ended FROM l
+      UNION ALL
+      SELECT doc_id, own, place, leaf, CASE WHEN me.n = 1 THEN -1 ELSE f.tree END, CASE WHEN me.n = 1 THEN 0 ELSE f.lvl + 1 END,
+             CASE WHEN me.n = 1 THEN f.tree ELSE f.pos // 2 END,
+             CASE WHEN me.n = 1 THEN x WHEN f.pos % 2 = 0 THEN sha256(x || coalesce(sib.digest, '')) ELSE sha256(sib.digest || x) END,
+             proof || CASE WHEN me.n = 1 THEN '' ELSE coalesce(sib.digest, '') END, me.n = 1 AND f.tree = -1
+      FROM f JOIN a me ON me.tree = f.tree AND me.lvl = f.lvl AND me.pos = f.pos
+           LEFT JOIN a sib ON sib.tree = f.tree AND sib.lvl = f.lvl AND sib.pos = xor(f.pos, 1)
+      WHERE NOT ended)
+SELECT doc_id, leaf, s.digest AS subroot, root.digest AS root, sha256(proof) AS proof_sha256, x AS folded_root, x = root.digest AS verified
+FROM f JOIN s ON s.pos = f.own, (SELECT digest FROM r WHERE n = 1) root WHERE ended"""
+
+MIDDLE = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+k AS (SELECT doc_id, t, regexp_extract_all(t, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u,
+             [('0x' || h[8 * i + 1:8 * i + 8])::BIGINT FOR i IN range(4)] AS h FROM d),
+c AS (SELECT *, len(u) AS n, least(h[1] % (len(u) + 1), h[2] % (len(u) + 1)) AS a, greatest(h[1] % (len(u) + 1), h[2] % (len(u) + 1)) AS b,
+             CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 50 THEN 'plain'
+                  WHEN h[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM k),
+p AS (SELECT *, coalesce(array_to_string(u[1:a], ''), '') AS p, coalesce(array_to_string(u[a + 1:b], ''), '') AS m,
+             coalesce(array_to_string(u[b + 1:n], ''), '') AS s FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+                        ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256
+FROM p"""
+
 ORACLES: dict[str, str] = {
     "op1_url_filter": _urls(),
     "op7_quality": QUALITY + """
@@ -82,4 +134,6 @@ FROM b""",
 SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
        sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)""",
+    "op11_merkle_manifest": MANIFEST,
+    "op12_fill_in_middle": MIDDLE,
 }

@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strikelake.llm import bwt_dedup, html_crf, lattice, packing, parity_join, phrase_index, pii, quality, secrets, urls
+from strikelake.llm import (
+    bwt_dedup, html_crf, lattice, merkle, middle, packing, parity_join, phrase_index, pii, quality, secrets, string_kernels, urls,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -67,6 +69,21 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.encode(_table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots and proof of every document, and the root that its copy, tampered with or not, folds to."""
+    return merkle.manifest(_table(spark, sf_dir, "documents"), merkle.tampered_chars())
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Form, bounds and hashes of every document's sample, and of the text made from it again."""
+    return middle.digest(_table(spark, sf_dir, "documents"))
+
+
+def op13_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from the labelled ones that are not held out."""
+    return string_kernels.identify(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_url_filter": op1_url_filter,
     "op2_packing": op2_packing,
@@ -78,4 +95,7 @@ QUERIES: dict[str, Query] = {
     "op8_decontamination": op8_decontamination,
     "op9_personal_data": op9_personal_data,
     "op10_sentencepiece": op10_sentencepiece,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_language": op13_language,
 }
