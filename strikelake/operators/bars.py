@@ -149,7 +149,8 @@ def first_bars(bars: DataFrame, n: int, keys: Sequence[str] = SERIES, order: str
     return bars.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
 
 
-def fill_gaps(bars: DataFrame, width_seconds: int, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
+def fill_gaps(bars: DataFrame, width_seconds: int, keys: Sequence[str], values: Sequence[str],
+              days: int = segments.DAYS_PER_SEGMENT) -> DataFrame:
     """Put each series on a fixed grid from its first to its last bar, carrying values forward.
 
     The grid is grown day by day, so no row ever holds more than one day of slots, and the days are dealt
@@ -170,7 +171,7 @@ def fill_gaps(bars: DataFrame, width_seconds: int, keys: Sequence[str], values:
         .select(*keys, "day", "date")
     )
     rows = grid.join(bars.select(*keys, "date", *values), [*keys, "date"], "left")
-    cutting = segments.cut(rows, keys, carry={v: ("last", F.col(v)) for v in values})
+    cutting = segments.cut(rows, keys, carry={v: ("last", F.col(v)) for v in values}, days=days)
     filled = cutting.df.withColumns({f"_f_{v}": cutting.running(v) for v in values})
     return cutting.finish(filled).select(
         *keys, "day", "date", *[F.col(f"_f_{v}").alias(v) for v in values])

@@ -16,9 +16,7 @@ ROC_SCALE = 100
 RANGE_LENGTH = 21
 RSI_LENGTH = 14
 RSI_LOW, RSI_HIGH = 30, 70
-# Smoothing halves the weight of a bar with every step, so beyond 60 bars a weight is below the
-# precision of a double.
-SMOOTHING_BARS = 60
+SMOOTHING = 0.5
 
 OHLC = ("open", "high", "low", "close")
 
@@ -42,23 +40,22 @@ def heikin_ashi(bars: DataFrame, keys: Sequence[str], days: int = DAYS_PER_SEGME
     """Smoothed bars: the close is the mean price of the bar, the open the mean of the smoothed
     open and close of the bar before, starting from the mean of the first open and close.
 
-    The recursion is unrolled over the last ``SMOOTHING_BARS`` bars, which equals the full recursion
-    in double precision.
+    Every bar maps the open before it to the next one, ``x -> x / 2 + close / 2``; these maps are carried over segments
+    as one map, so the recursion is followed from the first bar on. A bar that lacks a price has no smoothed prices
+    and changes nothing for the bars after it.
     """
-    seg = cut(bars, keys, lookback=SMOOTHING_BARS, days=days)
-    w = seg.window
-    df = seg.df.withColumns({"rownum": seg.rownum(), "ha_close": smoothed_close()})
-    earlier = F.collect_list("ha_close").over(w.rowsBetween(-SMOOTHING_BARS, -1))
-    # The first bar of the series seeds the recursion while it is within reach of the frame.
-    seed = F.first((F.col("open") + F.col("close")) / 2).over(
-        w.rowsBetween(-SMOOTHING_BARS, 0))
-    df = df.withColumns({"_earlier": earlier, "_seed": seed})
-    ha_open = F.aggregate("_earlier", F.col("_seed"), lambda acc, x: (acc + x) / 2)
-    df = df.withColumn("ha_open", ha_open).withColumns({
-        "ha_high": F.greatest("high", "ha_open", "ha_close"),
-        "ha_low": F.least("low", "ha_open", "ha_close"),
+    bars = bars.withColumn("ha_close", smoothed_close())
+    priced = F.col("ha_close").isNotNull()
+    seg = cut(bars, keys, days=days, carry={
+        "seed": ("first", F.when(priced, (F.col("open") + F.col("close")) / 2)),
+        "open": ("decay", F.col("ha_close") * SMOOTHING, SMOOTHING)})
+    df = seg.df.withColumn("_seed", seg.running("seed"))
+    df = seg.add_decayed(df, "ha_open", "open", F.col("_seed"), before_row=True)
+    df = df.withColumn("ha_open", F.when(priced, F.col("ha_open"))).withColumns({
+        "ha_high": F.when(priced, F.greatest("high", "ha_open", "ha_close")),
+        "ha_low": F.when(priced, F.least("low", "ha_open", "ha_close")),
     })
-    return seg.finish(df.drop("_earlier", "_seed"))
+    return seg.finish(df.drop("_seed"))
 
 
 def roc_mean(bars: DataFrame, column: str, keys: Sequence[str], length: int = ind.ROC_LENGTH,

@@ -24,8 +24,13 @@ from pyspark.sql import functions as F
 # A segment of 128 days of 3-minute bars is about 16,000 rows.
 DAYS_PER_SEGMENT = 128
 
+# Steps of a decay that are summed with their weights in one go; 2 ** 500 is far within a double.
+DECAY_BLOCK = 500
+
 _SEG, _HALO, _BEFORE, _LATEST, _ROWS = "_segment", "_halo", "_rows_before", "_latest_day", "_rows"
 
+Carried = tuple[str, Column] | tuple[str, Column, float]
+
 
 def _partial(kind: str, value: Column) -> Column:
     if kind == "sum":
@@ -53,6 +58,26 @@ def _merge(kind: str, before: Column, local: Column) -> Column:
     return F.coalesce(local, before)
 
 
+def _no_step() -> Column:
+    return F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0.0).alias("b"))
+
+
+def _step(before: Column, n: Column, b: Column, factor: float) -> Column:
+    """Two maps ``x -> factor ** n * x + b``, one after the other."""
+    return F.struct((before["n"] + n).alias("n"), (before["b"] * F.pow(F.lit(factor), n) + b).alias("b"))
+
+
+def _all_steps(steps: Column, name: str, factor: float) -> Column:
+    """Maps in an array of (order, map), one after the other."""
+    return F.aggregate(F.array_sort(steps), _no_step(), lambda acc, d: _step(acc, d[name]["n"], d[name]["b"], factor))
+
+
+def decay_steps(value: Column, order: Sequence[str], factor: float) -> Column:
+    """Aggregate: the map ``x -> factor * x + value`` of every row in turn, as one map (n, b). NULLs change nothing."""
+    steps = F.array_sort(F.collect_list(F.when(value.isNotNull(), F.struct(*order, value.alias("_b")))))
+    return F.aggregate(steps, _no_step(), lambda acc, r: _step(acc, F.lit(1).cast("bigint"), r["_b"], factor))
+
+
 def trading_days(df: DataFrame, keys: Sequence[str], day: str = "day") -> DataFrame:
     """One row per (series, day)."""
     return df.groupBy(*keys, day).agg(F.count(F.lit(1)).alias("bars"))
@@ -67,7 +92,7 @@ class Segmented:
     order: list[str]
     day: str
     lookback: int
-    carried: dict[str, tuple[str, Column]] = field(default_factory=dict)
+    carried: dict[str, Carried] = field(default_factory=dict)
     totals: tuple[str, ...] = ()
     restarted: bool = False
     frame: tuple[str, ...] = ()
@@ -114,7 +139,7 @@ class Segmented:
 
     def running(self, name: str) -> Column:
         """The carried aggregate ``name`` from the start of the series to the current row."""
-        kind, value = self.carried[name]
+        kind, value, *_ = self.carried[name]
         own = F.when(~F.col(_HALO), value)
         w = self._running
         if kind == "first":
@@ -158,6 +183,37 @@ class Segmented:
                 .withColumn(out, _merge(kind, F.col("_before_total"), F.col("_local")))
                 .drop("_local", "_before_total"))
 
+    def add_decayed(self, df: DataFrame, out: str, name: str, start: Column, before_row: bool = False) -> DataFrame:
+        """``start`` after the carried map ``x -> factor * x + value`` of every row up to the current one, or up to the
+        one before it.
+
+        Maps compose, so a row needs the one map of all earlier segments and those of its own. Within a segment
+        ``DECAY_BLOCK`` maps at a time are a weighted running sum, whatever the number of rows.
+        """
+        _, value, factor = self.carried[name]
+        own = F.when(~F.col(_HALO), value)
+        df = df.withColumn("_i", F.count(own).over(self._running))
+        df = df.withColumn("_block", F.floor((F.greatest(F.col("_i"), F.lit(1)) - 1) / F.lit(DECAY_BLOCK)).cast("bigint"))
+        in_block = (Window.partitionBy(*self.keys, _SEG, *self.frame, "_block").orderBy(*self._sorted)
+                    .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        nth = F.col("_i") - F.col("_block") * DECAY_BLOCK
+        shrunk = F.pow(F.lit(factor), nth)
+        weighted = F.sum(own * F.pow(F.lit(1 / factor), nth)).over(in_block)
+        df = df.withColumn("_own", F.coalesce(weighted * shrunk, F.lit(0.0)))
+        full = F.when(own.isNotNull() & (F.col("_i") % DECAY_BLOCK == 0), F.col("_own"))
+        df = df.withColumn("_full", F.collect_list(full).over(self._running))
+        blocks = F.aggregate(F.slice("_full", F.lit(1), F.col("_block").cast("int")), F.lit(0.0),
+                             lambda acc, b: acc * F.lit(factor ** DECAY_BLOCK) + b)
+        before = _no_step() if self.restarted else F.coalesce(F.col(f"_before_{name}"), _no_step())
+        reached = (start * F.pow(F.lit(factor), before["n"] + F.col("_i")) + before["b"] * F.pow(F.lit(factor), F.col("_i"))
+                   + blocks * shrunk + F.col("_own"))
+        df = df.withColumn(out, reached).drop("_i", "_block", "_own", "_full")
+        if before_row:
+            rows = Window.partitionBy(*self.keys, _SEG, *self.frame).orderBy(*self._sorted)
+            entered = start * F.pow(F.lit(factor), before["n"]) + before["b"]
+            df = df.withColumn(out, F.coalesce(F.lag(F.when(~F.col(_HALO), F.col(out))).over(rows), entered))
+        return df
+
     def own_rows(self, df: DataFrame) -> DataFrame:
         return df.where(~F.col(_HALO))
 
@@ -174,7 +230,7 @@ def cut(
     order: str | Sequence[str] = "date",
     day: str = "day",
     lookback: int = 0,
-    carry: dict[str, tuple[str, Column]] | None = None,
+    carry: dict[str, Carried] | None = None,
     days: int = DAYS_PER_SEGMENT,
     keep: Column | None = None,
     number_days: bool = False,
@@ -184,7 +240,8 @@ def cut(
 
     ``lookback`` is the number of earlier rows the rolling windows read in all (add them up when one
     rolling result feeds another). ``carry`` names the running aggregates: (kind, column) with kind
-    one of sum, count, min, max, first, last; the last two skip NULLs. ``order`` must be unique
+    one of sum, count, min, max, first, last; the last two skip NULLs. The kind ``decay`` has a factor as well and
+    carries the composition of the maps ``x -> factor * x + column`` for ``add_decayed``. ``order`` must be unique
     within a series and sort by ``day`` first.
 
     ``whole`` names aggregates over all rows of a series (sum, count, min or max).
@@ -200,9 +257,11 @@ def cut(
         return value if keep is None else F.when(keep, value)
 
     partials = [F.count(kept(F.lit(1))).alias("_n")]
-    for name, (kind, value) in carry.items():
+    for name, (kind, value, *factor) in carry.items():
         value = kept(value)
-        if kind in ("first", "last"):
+        if kind == "decay":
+            agg = decay_steps(value, order, *factor)
+        elif kind in ("first", "last"):
             pick = F.min_by if kind == "first" else F.max_by
             agg = pick(value, F.when(value.isNotNull(), F.struct(*order)))
         else:
@@ -225,8 +284,20 @@ def cut(
     columns = [F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias(_BEFORE),
                F.sum("_n").over(by_series).alias(_ROWS),
                (F.col(day) == F.max(day).over(by_series)).alias(_LATEST)]
-    for name, (kind, _) in carry.items():
+    decays = {name: factor for name, (kind, _, *factor) in carry.items() if kind == "decay"}
+    if decays:  # the days of a segment as one map each, which its first day holds
+        own_days = F.row_number().over(Window.partitionBy(*keys, _SEG).orderBy(day)) == 1
+        in_segment = Window.partitionBy(*keys, _SEG)
+        for name, (factor,) in decays.items():
+            steps = F.collect_list(F.struct(day, f"_p_{name}")).over(in_segment)
+            daily = daily.withColumn(f"_s_{name}", _all_steps(steps, f"_p_{name}", factor))
+        daily = daily.withColumns({f"_s_{name}": F.when(own_days, F.struct(_SEG, f"_s_{name}")) for name in decays})
+    for name, (kind, _, *factor) in carry.items():
         part = F.col(f"_p_{name}")
+        if kind == "decay":
+            steps = F.collect_list(f"_s_{name}").over(earlier)
+            columns.append(_all_steps(steps, f"_s_{name}", *factor).alias(f"_before_{name}"))
+            continue
         if kind == "first":
             before = F.min_by(part, F.when(part.isNotNull(), F.col(day)))
         elif kind == "last":

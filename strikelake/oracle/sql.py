@@ -589,7 +589,7 @@ def oracles() -> dict[str, str]:
     done = {**{k: with_ctes(v) for k, v in plain.items()}, **_signals(), **_spreads_done(), **_momentum(),
             **_positions(), **_sinks()}
     # Segments of few days change the plan, not the result.
-    again = ("roc_avg", "running_stats", "straddle_signals", "mmi", "mtf_asof", "rsi")
+    again = ("roc_avg", "running_stats", "straddle_signals", "mmi", "mtf_asof", "rsi", "heikin_ashi", "gap_fill")
     return {**done, **{f"{k}_cut": done[k] for k in again}}
 
 

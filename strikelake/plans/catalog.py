@@ -196,10 +196,12 @@ def first_n_bars(spark, sf_dir):
     return B.first_bars(_straddles(spark, sf_dir), 24).select(*SERIES, "date", "close")
 
 
+GRID_COLUMNS = ["close", "CE_close", "PE_close", "oi"]
+
+
 @query
 def gap_fill(spark, sf_dir):
-    filled = B.fill_gaps(_straddles(spark, sf_dir), 6 * 3600, SERIES, ["close", "CE_close", "PE_close", "oi"])
-    return filled
+    return B.fill_gaps(_straddles(spark, sf_dir), 6 * 3600, SERIES, GRID_COLUMNS)
 
 
 @query
@@ -395,10 +397,12 @@ def ratio_bars(spark, sf_dir):
     return M.ratio_bars(calls, puts, PAIR_KEYS)
 
 
+SMOOTHED = [*LEG, "date", "ha_open", "ha_high", "ha_low", "ha_close"]
+
+
 @query
 def heikin_ashi(spark, sf_dir):
-    out = M.heikin_ashi(fx.bars(spark, sf_dir), LEG)
-    return out.select(*LEG, "date", "ha_open", "ha_high", "ha_low", "ha_close")
+    return M.heikin_ashi(fx.bars(spark, sf_dir), LEG).select(*SMOOTHED)
 
 
 @query
@@ -497,6 +501,8 @@ _RUN = {
         fx.bars(spark, d).select(*LEG, "day", "date", "close"),
         daily_bars(spark, d).select(*LEG, "known_at", F.col("close").alias("day_close")), "day_close", "known_at", LEG, days=n)),
     "rsi": (FEW, lambda spark, d, n: M.rsi(fx.bars(spark, d), LEG, days=n)),
+    "heikin_ashi": (FEW, lambda spark, d, n: M.heikin_ashi(fx.bars(spark, d), LEG, days=n).select(*SMOOTHED)),
+    "gap_fill": (FEW, lambda spark, d, n: B.fill_gaps(_straddles(spark, d), 6 * 3600, SERIES, GRID_COLUMNS, days=n)),
 }
 for _name, (_days, _fn) in _RUN.items():
     cut_again(_name, _days, _fn)

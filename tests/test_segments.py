@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from strikelake.operators import indicators as ind
 from strikelake.operators import momentum as M
+from strikelake.operators import segments
 from strikelake.operators import signals as S
 from strikelake.operators.segments import cut
 from strikelake.schemas import SERIES
@@ -110,18 +111,50 @@ def test_momentum_does_not_depend_on_the_segment_size(spark):
     same(M.mmi(df, KEYS, days=1000), M.mmi(df, KEYS, days=22), columns)
 
 
-def test_smoothed_bars_equal_the_recursion(spark):
-    df = series(spark, 7, (("A", 200),))
-    rows = df.orderBy("date").collect()
-    want, open_, close_ = {}, None, None
+def smoothed(rows):
+    """The recursion bar by bar; a bar that lacks a price is passed over."""
+    want, before = {}, None
     for r in rows:
-        open_ = (r.open + r.close) / 2 if open_ is None else (open_ + close_) / 2
-        close_ = (r.open + r.high + r.low + r.close) / 4
-        want[r.date] = open_
-    for days in (60, 1000):
-        got = {r.date: r.ha_open for r in M.heikin_ashi(df, KEYS, days=days).collect()}
-        assert got.keys() == want.keys()
-        assert all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+        if None in (r.open, r.high, r.low, r.close):
+            want[r.name, r.date] = None
+            continue
+        open_ = (r.open + r.close) / 2 if before is None else sum(before) / 2
+        before = open_, (r.open + r.high + r.low + r.close) / 4
+        want[r.name, r.date] = open_
+    return want
+
+
+@pytest.mark.parametrize("block", [3, 500])
+@pytest.mark.parametrize("days", [1, 5, 1000])
+def test_smoothed_bars_equal_the_recursion(spark, monkeypatch, days, block):
+    """With bars that lack prices, one series that begins with some, and blocks within and beyond a segment."""
+    monkeypatch.setattr(segments, "DECAY_BLOCK", block)
+    df = series(spark, 7, (("A", 90), ("B", 2), ("C", 12)))
+    gap = ((F.hash("date") % 11) == 0) | ((F.col("name") == "C") & (F.col("day") < F.lit("2024-01-05")))
+    df = df.withColumn("low", F.when(~gap, F.col("low"))).withColumn("close", F.when((F.hash("date") % 17) != 1, F.col("close")))
+    want = {}
+    for name in "ABC":
+        want |= smoothed(df.where(F.col("name") == name).orderBy("date").collect())
+    assert None in want.values()
+    got = {(r.name, r.date): r for r in M.heikin_ashi(df, KEYS, days=days).collect()}
+    assert got.keys() == want.keys()
+    for k, open_ in want.items():
+        r = got[k]
+        if open_ is None:
+            assert (r.ha_open, r.ha_high, r.ha_low, r.ha_close) == (None,) * 4
+        else:
+            assert r.ha_open == pytest.approx(open_, rel=1e-13)
+            assert r.ha_high == max(r.high, r.ha_open, r.ha_close) and r.ha_low == min(r.low, r.ha_open, r.ha_close)
+
+
+def test_decays_restart_with_the_frame(spark):
+    df = series(spark, 12, (("A", 20),))
+    seg = cut(df, KEYS, days=3, carry={"x": ("decay", F.col("close") * 0.25, 0.75)})
+    out = seg.add_decayed(seg.restart(seg.df), "x", "x", F.lit(10.0))
+    x, day = 10.0, None
+    for r in seg.finish(out).orderBy("date").collect():
+        x, day = (10.0 if r.day != day else x) * 0.75 + r.close * 0.25, r.day
+        assert r.x == pytest.approx(x, rel=1e-12)
 
 
 def test_lookback_must_fit(spark):
