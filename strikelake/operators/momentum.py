@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strikelake.functions import prices
@@ -148,13 +148,10 @@ def rsi(bars: DataFrame, keys: Sequence[str], length: int = RSI_LENGTH,
     close, before = F.col("close"), F.lag("close").over(seg.window)
     df = seg.finish(seg.df.withColumns(
         {"rownum": seg.rownum(), "bars": seg.rows_in_series(), "_before": before}))
-    rising = close > F.col("_before")
-    gain = F.when(rising, F.try_divide(close - F.col("_before"), F.col("_before"))).otherwise(0.0) * 100
-    loss = F.when(rising, 0.0).otherwise(F.try_divide(F.col("_before") - close, close)) * 100
+    gain, loss = _gain(close, F.col("_before")), _loss(close, F.col("_before"))
     change = F.col("rownum") - 1
-    keep = F.lit((length - 1) / length)
     distance = F.col("bars") - 1 - F.greatest(change, F.lit(length))
-    weight = F.when(change >= 1, F.pow(keep, distance) / length)
+    weight = F.when(change >= 1, F.pow(F.lit((length - 1) / length), distance) / length)
     newest = F.struct("date")
     out = df.groupBy(*keys).agg(
         F.max("bars").alias("bars"),
@@ -163,10 +160,85 @@ def rsi(bars: DataFrame, keys: Sequence[str], length: int = RSI_LENGTH,
         F.max_by("close", newest).alias("last_close"),
         F.max_by("_before", newest).alias("previous_close"),
     )
-    value = (F.when(F.col("bars") <= length, F.lit(None))
-             .when(F.col("avg_loss") == 0, 100.0)
-             .otherwise(100 - 100 / (1 + F.col("avg_gain") / F.nullif(F.col("avg_loss"), F.lit(0.0)))))
-    return out.select(*keys, "bars", prices.round2(value).alias("rsi"), "last_close", "previous_close")
+    return out.select(*keys, "bars", _reading(length).alias("rsi"), "last_close", "previous_close")
+
+
+def _gain(close: Column, before: Column) -> Column:
+    return F.when(close > before, F.try_divide(close - before, before)).otherwise(0.0) * 100
+
+
+def _loss(close: Column, before: Column) -> Column:
+    return F.when(close > before, 0.0).otherwise(F.try_divide(before - close, close)) * 100
+
+
+def _reading(length: int) -> Column:
+    """The index from ``bars``, ``avg_gain`` and ``avg_loss``; NULL until there are ``length`` changes."""
+    return prices.round2(
+        F.when(F.col("bars") <= length, F.lit(None))
+        .when(F.col("avg_loss") == 0, 100.0)
+        .otherwise(100 - 100 / (1 + F.col("avg_gain") / F.nullif(F.col("avg_loss"), F.lit(0.0)))))
+
+
+# What is known of a series at the end of a day: its number of bars, the averages so far (sums over ``length`` during the
+# first changes), and its last two closes.
+RSI_STATE = ["bars", "avg_gain", "avg_loss", "last_close", "previous_close"]
+
+
+def rsi_states(bars: DataFrame, prior: DataFrame, keys: Sequence[str], length: int = RSI_LENGTH) -> DataFrame:
+    """The state of each series at the end of every day in ``bars``, as ``RSI_STATE``, and in ``start`` that before the day.
+
+    ``prior`` holds the state of a series before its first bar here, as ``RSI_STATE`` under its keys; a series that is not
+    in it starts anew. A change enters with a weight that depends on its number and on that of the day's last change only, so
+    a day is one aggregation by (series, day); the days of a series, one row each, are then folded in order.
+    """
+    keys = list(keys)
+    in_day = Window.partitionBy(*keys, "day").orderBy("date")
+    rows = bars.select(*keys, "day", "date", "close").withColumns({"_own": F.lag("close").over(in_day), "_nth": F.row_number().over(in_day)})
+    days = rows.groupBy(*keys, "day").agg(F.count(F.lit(1)).alias("_n"), F.max_by("close", "date").alias("_last"))
+    series = Window.partitionBy(*keys).orderBy("day")
+    earlier = F.coalesce(F.sum("_n").over(series.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    days = (days.join(prior.select(*keys, F.struct(*RSI_STATE).alias("_prior")), keys, "left")
+            .withColumn("_base", earlier + F.coalesce(F.col("_prior.bars"), F.lit(0)))
+            .withColumn("_entered", F.when(F.lag("day").over(series).isNull(), F.col("_prior.last_close")).otherwise(F.lag("_last").over(series))))
+    rows = rows.join(days.select(*keys, "day", "_n", "_base", "_entered"), [*keys, "day"])
+    before = F.when(F.col("_nth") == 1, F.col("_entered")).otherwise(F.col("_own"))
+    change, newest = F.col("_base") + F.col("_nth") - 1, F.col("_base") + F.col("_n") - 1
+    keep = F.lit((length - 1) / length)
+    distance = F.greatest(newest, F.lit(length)) - F.greatest(change, F.lit(length))
+    weight = F.when(change >= 1, F.pow(keep, distance) / length)
+    close = F.col("close")
+    rows = rows.withColumns({"_before": before, "_gain": _gain(close, before) * weight, "_loss": _loss(close, before) * weight})
+    sums = rows.groupBy(*keys, "day").agg(
+        F.max(newest + 1).alias("bars"), F.coalesce(F.sum("_gain"), F.lit(0.0)).alias("gain"), F.coalesce(F.sum("_loss"), F.lit(0.0)).alias("loss"),
+        F.max_by("close", "date").alias("last_close"), F.max_by("_before", "date").alias("previous_close"))
+    listed = sums.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("day", "bars", "gain", "loss", "last_close", "previous_close"))).alias("_days"))
+    listed = listed.join(prior.select(*keys, F.struct(*RSI_STATE).alias("_prior")), keys, "left")
+    nothing = F.struct(F.lit(0).cast("bigint").alias("bars"), F.lit(0.0).alias("avg_gain"), F.lit(0.0).alias("avg_loss"),
+                       F.lit(None).cast("double").alias("last_close"), F.lit(None).cast("double").alias("previous_close"))
+    start = F.when(F.col("_prior.bars").isNull(), nothing).otherwise(F.col("_prior"))
+
+    def advanced(state: Column, day: Column) -> Column:
+        shrink = F.pow(keep, F.greatest(day["bars"] - 1, F.lit(length)) - F.greatest(state["bars"] - 1, F.lit(length)))
+        return F.struct(day["bars"].alias("bars"), (state["avg_gain"] * shrink + day["gain"]).alias("avg_gain"),
+                        (state["avg_loss"] * shrink + day["loss"]).alias("avg_loss"), day["last_close"].alias("last_close"),
+                        day["previous_close"].alias("previous_close"))
+
+    def step(acc: Column, day: Column) -> Column:
+        now = advanced(acc["now"], day)
+        entry = F.struct(day["day"].alias("day"), acc["now"].alias("start"), now.alias("end"))
+        return F.struct(now.alias("now"), F.concat(acc["days"], F.array(entry)).alias("days"))
+
+    state = F.struct(*[F.col(f"start.{c}").cast(t).alias(c) for c, t in zip(RSI_STATE, ("bigint", *["double"] * 4))])
+    listed = listed.withColumn("start", start).withColumn("start", state)
+    empty = F.slice(F.array(F.struct(F.lit(None).cast("date").alias("day"), F.col("start").alias("start"), F.col("start").alias("end"))), 1, 0)
+    folded = F.aggregate("_days", F.struct(F.col("start").alias("now"), empty.alias("days")), step)["days"]
+    return listed.select(*keys, F.inline(folded)).select(*keys, "day", *[F.col(f"end.{c}").alias(c) for c in RSI_STATE], "start")
+
+
+def rsi_readings(states: DataFrame, keys: Sequence[str], length: int = RSI_LENGTH) -> DataFrame:
+    """The index of each series at its latest state."""
+    latest = states.groupBy(*keys).agg(F.max_by(F.struct("day", *RSI_STATE, "start"), "day").alias("s")).select(*keys, "s.*")
+    return latest.withColumn("rsi", _reading(length))
 
 
 def rsi_scan(readings: DataFrame, low: float = RSI_LOW, high: float = RSI_HIGH) -> DataFrame:

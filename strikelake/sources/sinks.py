@@ -23,7 +23,7 @@ def write_snapshot(df: DataFrame, path: str, partitions: Sequence[str] = ("name"
      .option("partitionOverwriteMode", "static").partitionBy(*partitions).parquet(path))
 
 
-def _read(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame | None:
+def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame | None:
     """The table as it is now, or None if there is none yet."""
     spark.catalog.refreshByPath(path)
     try:
@@ -73,14 +73,14 @@ def upsert(
         names = [F.coalesce(F.xxhash64(*sorted(new.columns)), F.lit(0)).cast("decimal(38,0)")]
         bounds = [f(c).alias(f"{f.__name__}_{c}") for c in partitions for f in (F.min, F.max)]
         seen = new.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(names[0]), F.lit(0)).cast("decimal(38,0)").alias("mark"), *bounds).first()
-        done = _read(spark, commits_path(path), _COMMIT)
+        done = read_table(spark, commits_path(path), _COMMIT)
         commit = spark.range(1).select(F.lit(batch_id).alias("batch_id"), F.lit(seen["rows"]).cast("long").alias("rows"),
                                        F.lit(seen["mark"]).cast("decimal(38,0)").alias("mark"))
         if done is not None and not done.join(commit, ["batch_id", "rows", "mark"], "left_semi").isEmpty():
             return
         if seen["rows"]:
             merged = new
-            table = _read(spark, path, new.schema)
+            table = read_table(spark, path, new.schema)
             if table is not None:
                 # Literal bounds prune the listing, the semi join keeps exactly the touched partitions.
                 for c in partitions:

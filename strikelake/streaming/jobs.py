@@ -6,11 +6,13 @@ interval for a live session, or ``availableNow`` to take in all that has landed
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Sequence
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Row, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter
 
 from strikelake.operators import bars as B
@@ -18,7 +20,7 @@ from strikelake.operators import indicators as ind
 from strikelake.operators import momentum as M
 from strikelake.operators import signals as S
 from strikelake.schemas import LEG, SERIES
-from strikelake.sources.sinks import upsert
+from strikelake.sources.sinks import read_table, upsert
 from strikelake.sources.tables import read_candles
 
 
@@ -85,7 +87,7 @@ def days_path(candles_path: str) -> str:
     return f"{candles_path.rstrip('/')}_days"
 
 
-def _within(table: DataFrame, low_high: Row, columns: Sequence[str]) -> DataFrame:
+def _within(table: DataFrame, low_high: Row | dict, columns: Sequence[str]) -> DataFrame:
     """Literal bounds, which prune the partitions that are listed."""
     for c in columns:
         table = table.where(F.col(c).between(low_high[f"min_{c}"], low_high[f"max_{c}"]))
@@ -162,15 +164,65 @@ def refresh_signals(
         batch.unpersist()
 
 
+def states_path(readings_path: str) -> str:
+    """The table of each contract's RSI state before and after every day, kept beside the readings."""
+    return f"{readings_path.rstrip('/')}_states"
+
+
+def _known(spark: SparkSession, path: str, schema: T.StructType, bounds: Row, columns: Sequence[str]) -> DataFrame:
+    """A table kept by these jobs, empty if it isn't there yet, within literal bounds."""
+    table = read_table(spark, path, schema)
+    return spark.createDataFrame([], schema) if table is None else _within(table, bounds, columns)
+
+
+def _state_schema(batch: DataFrame, keys: Sequence[str]) -> T.StructType:
+    held = T.StructType([T.StructField("bars", T.LongType()), *[T.StructField(c, T.DoubleType()) for c in M.RSI_STATE[1:]]])
+    fields = {f.name: f for f in batch.schema}
+    return T.StructType([*[fields[k] for k in keys], T.StructField("day", T.DateType()), *held, T.StructField("start", held)])
+
+
+def advanced_states(spark: SparkSession, batch: DataFrame, candles_path: str, readings_path: str, where: Row,
+                    keys: Sequence[str] = LEG) -> DataFrame:
+    """RSI states of the contracts a merged batch touches, from their first touched day on.
+
+    ``where`` has the bounds of the batch. A contract whose latest state is older than the batch goes on from it. Otherwise
+    the state before its earliest stored day not before the batch is taken, as that day holds the state it started from.
+    So neither candles nor states of a day before the batch are listed or read, and bars out of order cost the days
+    after them.
+    """
+    keys, shape = list(keys), _state_schema(batch, keys)
+    from_day = where.asDict() | {"max_day": dt.date.max}
+    touched = batch.groupBy(*keys).agg(F.min("day").alias("_first"))
+    later = (_known(spark, states_path(readings_path), shape, from_day, ["expiry", "day"]).join(touched, keys).where(F.col("day") >= F.col("_first"))
+             .groupBy(*keys).agg(F.min_by("start", "day").alias("_start")))
+    latest = (_known(spark, readings_path, shape, where, ["expiry"])
+              .select(*keys, F.col("day").alias("_day"), F.struct(*M.RSI_STATE).alias("_end")))
+    known = touched.join(later, keys, "left").join(latest, keys, "left")
+    prior = known.select(*keys, F.when(F.col("_start").isNotNull(), F.col("_start")).when(F.col("_day") < F.col("_first"), F.col("_end")).alias("s"))
+    prior = prior.where("s IS NOT NULL").select(*keys, "s.*")
+    candles = _within(read_candles(spark, candles_path, refresh=True), from_day, ["expiry", "day"])
+    return M.rsi_states(candles.join(touched, keys).where(F.col("day") >= F.col("_first")).drop("_first"), prior, keys)
+
+
 def refresh_rsi(
     spark: SparkSession, batch: DataFrame, candles_path: str, readings_path: str, batch_id: str,
     version: str | None = None, keys: Sequence[str] = LEG,
 ) -> None:
-    """Merge a batch of candles, then read the RSI of the contracts it touches anew."""
-    upsert(batch, candles_path, f"{batch_id}/candles", version=version)
-    touched = batch.select(*keys).distinct()
-    history = read_candles(spark, candles_path, refresh=True).join(touched, list(keys), "left_semi")
-    upsert(M.rsi(history, keys), readings_path, f"{batch_id}/rsi", key=list(keys), partitions=["expiry"])
+    """Merge a batch of candles, then advance the RSI of the contracts it touches. The batch is read once."""
+    batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        upsert(batch, candles_path, f"{batch_id}/candles", version=version)
+        where = _bounds(batch, ["expiry", "day"])
+        if where["min_day"] is None:
+            return
+        states = advanced_states(spark, batch, candles_path, readings_path, where, keys)
+        upsert(states, states_path(readings_path), f"{batch_id}/states", key=[*keys, "day"])
+        from_day = where.asDict() | {"max_day": dt.date.max}
+        now = _known(spark, states_path(readings_path), _state_schema(batch, keys), from_day, ["expiry", "day"])
+        now = now.join(batch.select(*keys).distinct(), list(keys), "left_semi")
+        upsert(M.rsi_readings(now, keys), readings_path, f"{batch_id}/rsi", key=list(keys), partitions=["expiry"])
+    finally:
+        batch.unpersist()
 
 
 def rsi_to(
