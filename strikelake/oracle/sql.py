@@ -561,6 +561,7 @@ def _sinks() -> dict[str, str]:
     bars = f"SELECT {cols(BAR_PLAIN, BAR_DOUBLE)} FROM bars"
     revised = {**signal_ctes("roc_rows", DAYW), "revised": UPSERTED,
                "straddle_all": CTES["straddle_all"].replace("FROM bars", "FROM revised")}
+    closed = with_ctes(f"{bars} WHERE date + INTERVAL '6 hours' <= (SELECT max(ts) FROM ticks) - INTERVAL '12 hours'")
     return {
         "candles_upsert": upserted,
         "upsert_out_of_order": upserted,
@@ -571,8 +572,8 @@ FROM bars b SEMI JOIN (SELECT * FROM contracts WHERE abs(strike - 54300) <= 3 *
         "stream_upsert": upserted,
         "stream_dedup": with_ctes(bars),
         # Bars whose end the watermark has passed: twelve hours behind the newest tick.
-        "stream_bars": with_ctes(
-            f"{bars} WHERE date + INTERVAL '6 hours' <= (SELECT max(ts) FROM ticks) - INTERVAL '12 hours'"),
+        "stream_bars": closed,
+        "stream_late": closed,
         "pull_selected": with_ctes(f"""
 SELECT {cols([f'b.{c} AS {c}' for c in BAR_PLAIN], [])}, b.open, b.high, b.low, b.close
 FROM bars b SEMI JOIN (SELECT * FROM chain WHERE abs(Strike_level) <= 3

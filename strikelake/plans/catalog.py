@@ -620,6 +620,26 @@ def stream_bars(spark, sf_dir):
     return spark.read.schema(closed.schema).parquet(f"{out}/data")
 
 
+LATE_BEFORE, SECOND_HALF = "2024-01-10", "2024-01-20"
+
+
+def late_deliveries(ticks: DataFrame) -> list[DataFrame]:
+    """Three deliveries; a tenth of the early ticks comes with the last one, far behind the watermark."""
+    late = (F.col("event_id") % 10 == 0) & (F.col("ts") < F.lit(LATE_BEFORE).cast("timestamp_ntz"))
+    second = F.col("ts") >= F.lit(SECOND_HALF).cast("timestamp_ntz")
+    return [ticks.where(~late & ~second), ticks.where(~late & second), ticks.where(late)]
+
+
+@query
+def stream_late(spark, sf_dir):
+    out = fresh_dir(spark, "stream-late")
+    for ticks in late_deliveries(fx.ticks(spark, sf_dir)):
+        ticks.write.mode("append").parquet(f"{out}/landing")
+        landed = spark.readStream.schema(ticks.schema).parquet(f"{out}/landing")
+        jobs.refresh_bars(landed, f"{out}/ticks", f"{out}/candles", _job(out), fx.BAR_WIDTH, WATERMARK)
+    return tables.read_candles(spark, f"{out}/candles")
+
+
 @query
 def stream_dedup(spark, sf_dir):
     out = fresh_dir(spark, "stream-dedup")

@@ -1,13 +1,13 @@
 """Bars, de-duplication, upsert and signals on Structured Streaming.
 
 A job is a DataFrame transformation plus a sink. ``run`` starts it with the trigger asked for: an
-interval for a live session, or ``availableNow`` to take in all that has landed and stop.
+interval for a live session, which may end at a given time, or ``availableNow`` to take in all that has landed and stop.
 """
 
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Row, SparkSession, Window, WindowSpec
@@ -24,6 +24,10 @@ from strikelake.sources.sinks import read_table, upsert
 from strikelake.sources.tables import read_candles
 
 
+# How often a stream that is to stop at a given time is looked at.
+POLL_SECONDS = 5.0
+
+
 def as_instant(ts: Column | str) -> Column:
     """A wall-clock time as the same reading in UTC: watermarks need an instant, and windows aligned
     in UTC fall where those of the wall-clock time do."""
@@ -35,16 +39,41 @@ def as_wall_clock(ts: Column) -> Column:
     return F.convert_timezone(F.current_timezone(), F.lit("UTC"), ts.cast("timestamp_ntz"))
 
 
-def run(writer: DataStreamWriter, checkpoint: str, interval: str | None = None) -> None:
-    """Start and wait. Without an interval the stream stops when everything landed is processed."""
+def session_end(day: dt.date, end_hour: int, end_minute: int) -> dt.datetime:
+    """The cutoff of a trading day as wall-clock time."""
+    return dt.datetime.combine(day, dt.time(end_hour, end_minute))
+
+
+def run(
+    writer: DataStreamWriter, checkpoint: str, interval: str | None = None, until: dt.datetime | None = None,
+    clock: Callable[[], dt.datetime] = dt.datetime.now,
+) -> None:
+    """Start and wait. Without an interval the stream stops when everything landed is processed.
+
+    With an interval and ``until`` it goes on to that time, lets the batch in work end, and then takes in what has
+    landed since once, which ends by itself. Past ``until`` already, only that last run is made. An error of the stream is
+    raised, whichever run meets it.
+    """
     writer = writer.option("checkpointLocation", checkpoint)
-    writer = writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)
-    writer.start().awaitTermination()
+    if interval and (until is None or clock() < until):
+        query = writer.trigger(processingTime=interval).start()
+        if until is None:
+            query.awaitTermination()
+            return
+        while (left := (until - clock()).total_seconds()) > 0:
+            if query.awaitTermination(min(left, POLL_SECONDS)):
+                return
+        while query.isActive and query.status["isTriggerActive"]:
+            if query.awaitTermination(POLL_SECONDS / 10):
+                return
+        query.stop()
+        query.awaitTermination()
+    writer.trigger(availableNow=True).start().awaitTermination()
 
 
 def stream_bars(ticks: DataFrame, width: str, delay: str, keys: Sequence[str] = LEG) -> DataFrame:
-    """Tumbling OHLC bars. A bar is emitted once, when the watermark has passed its end; ticks later
-    than ``delay`` are left to the batch backfill."""
+    """Tumbling OHLC bars. A bar is emitted once, when the watermark has passed its end; for ticks later
+    than ``delay`` see ``route_late``."""
     at = F.struct("event_time", "event_id")
     return (
         ticks.withColumn("event_time", as_instant("ts")).withWatermark("event_time", delay)
@@ -63,7 +92,7 @@ def stream_dedup(candles: DataFrame, delay: str) -> DataFrame:
     """Drop bars delivered again by overlapping pulls. State is kept for ``delay`` only."""
     return (candles.withColumn("event_time", as_instant("date"))
             .withWatermark("event_time", delay)
-            .dropDuplicatesWithinWatermark(["instrument_token", "date"])
+            .dropDuplicatesWithinWatermark(["instrument_token", "expiry", "date"])
             .drop("event_time"))
 
 
@@ -82,6 +111,123 @@ def upsert_to(candles: DataFrame, path: str, job: str, version: str | None = Non
     return candles.writeStream.outputMode("append").foreachBatch(write)
 
 
+# --- late ticks ----------------------------------------------------------------------------------
+
+def late_path(path: str) -> str:
+    return f"{path.rstrip('/')}/late"
+
+
+def on_time_path(path: str) -> str:
+    return f"{path.rstrip('/')}/on_time"
+
+
+_SEEN = T.StructType([T.StructField("batch", T.LongType()), T.StructField("newest", T.TimestampNTZType()), T.StructField("job", T.StringType())])
+_FILLED = T.StructType([T.StructField("upto", T.LongType()), T.StructField("job", T.StringType())])
+
+
+def _routed(ticks: T.StructType) -> T.StructType:
+    return T.StructType([*ticks.fields, T.StructField("day", T.DateType()), T.StructField("job", T.StringType()), T.StructField("batch", T.LongType())])
+
+
+def _replace(df: DataFrame, path: str, *partitions: str) -> None:
+    """Replace the partitions that ``df`` has rows for."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partitions).parquet(path)
+
+
+def split_late(batch: DataFrame, path: str, job: str, batch_id: int, width: str, delay: str) -> None:
+    """One batch of ticks dealt to the two sides of the watermark, which is the newest tick of the batches before it less
+    ``delay``: a tick is late if its bar ended by then, as Spark would judge it.
+
+    Both sides are tables by day and batch that a repeated batch replaces, not adds to. The newest tick so far is kept
+    for the last two batches of the job, so a repeated one sees what it saw.
+    """
+    spark, folder = batch.sparkSession, f"{path.rstrip('/')}/seen"
+    seen = read_table(spark, folder, _SEEN)
+    before = None if seen is None else seen.where((F.col("job") == job) & (F.col("batch") < batch_id)).agg(F.max("newest")).first()[0]
+    batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        mark = F.lit(before).cast("timestamp_ntz") - F.expr(f"INTERVAL {delay}")
+        late = F.coalesce(F.window("ts", width)["end"] <= mark, F.lit(False))
+        rows = batch.withColumn("_late", late).withColumns(
+            {"day": F.to_date("ts"), "job": F.lit(job), "batch": F.lit(batch_id).cast("bigint")})
+        for side, folder_of_side in ((~F.col("_late"), on_time_path(path)), (F.col("_late"), late_path(path))):
+            _replace(rows.where(side).drop("_late").hint("rebalance", "day"), folder_of_side, "day", "job", "batch")
+        newest = batch.agg(F.max("ts")).first()[0]
+        kept = [(batch_id - 1, before, job), (batch_id, max(filter(None, (before, newest)), default=None), job)]
+        _replace(spark.createDataFrame([k for k in kept if k[1] is not None], _SEEN).coalesce(1), folder, "job")
+    finally:
+        batch.unpersist()
+
+
+def route_late(ticks: DataFrame, path: str, job: str, width: str, delay: str) -> DataStreamWriter:
+    """Ticks in time to one table below ``path`` and those behind the watermark to another, so that none is dropped unseen.
+
+    ``stream_bars`` over ``on_time_ticks`` then meets no late tick, and ``backfill_late`` mends the bars of the others.
+    ``job`` names the checkpoint: a new one, whose batch ids start again, needs a new name.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        split_late(batch, path, job, batch_id, width, delay)
+    return ticks.writeStream.outputMode("append").foreachBatch(write)
+
+
+def on_time_ticks(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The ticks in time as a stream, in the columns of the first one. A batch of ``route_late`` must have ended before the
+    stream lists its files, else part of it may pass the watermark of the rest."""
+    return spark.readStream.schema(_routed(schema)).parquet(on_time_path(path)).select(*schema.names)
+
+
+def late_bars(spark: SparkSession, path: str, schema: T.StructType, width: str, fresh: DataFrame,
+              keys: Sequence[str] = LEG) -> DataFrame | None:
+    """The bars that the late ticks ``fresh`` belong to, built anew from all ticks; None without any.
+
+    The late ticks tell the bars and the days to read: of both sides only these days are listed, and only the ticks of
+    touched bars are aggregated. A bar's width divides the day, so a bar has the ticks of one day.
+    """
+    days = _bounds(fresh, ["day"])
+    if days["min_day"] is None:
+        return None
+    start = F.window("ts", width)["start"]
+    touched = fresh.select(*keys, start.alias("_start")).distinct()
+    sides = [read_table(spark, p, _routed(schema)) for p in (late_path(path), on_time_path(path))]
+    ticks = [_within(t, days, ["day"]).select(*schema.names, start.alias("_start")) for t in sides if t is not None]
+    whole = ticks[0] if len(ticks) == 1 else ticks[0].unionByName(ticks[1])
+    return B.ohlc_bars(whole.join(touched, [*keys, "_start"], "left_semi").drop("_start"), width, keys)
+
+
+def backfill_late(spark: SparkSession, path: str, bars_path: str, job: str, schema: T.StructType, width: str,
+                  keys: Sequence[str] = LEG) -> None:
+    """Build the bars of late ticks anew and merge them.
+
+    Beside the late ticks stands the number of the last batch taken in, so each is taken in once, and again if the job
+    failed before. A bar of more ticks is the newer version, in whatever order the stream and the backfill write it.
+    """
+    late, record = read_table(spark, late_path(path), _routed(schema)), f"{path.rstrip('/')}/filled"
+    if late is None:
+        return
+    filled = read_table(spark, record, _FILLED)
+    upto = None if filled is None else filled.where(F.col("job") == job).agg(F.max("upto")).first()[0]
+    fresh = late.where((F.col("job") == job) & (F.col("batch") > F.lit(-1 if upto is None else upto)))
+    newest = fresh.agg(F.max("batch")).first()[0]
+    if newest is None:
+        return
+    rebuilt = late_bars(spark, path, schema, width, fresh, keys)
+    upsert(rebuilt, bars_path, f"{job}/late/{newest}", version="volume")
+    _replace(spark.createDataFrame([(newest, job)], _FILLED).coalesce(1), record, "job")
+
+
+def refresh_bars(
+    ticks: DataFrame, path: str, bars_path: str, job: str, width: str, delay: str, keys: Sequence[str] = LEG,
+) -> None:
+    """Take in the ticks that have landed: route them, emit the bars that are complete, mend those that late ticks touch."""
+    spark, schema = ticks.sparkSession, ticks.schema
+    run(route_late(ticks, path, job, width, delay), f"{path}/route")
+    closed = stream_bars(on_time_ticks(spark, path, schema), width, delay, keys)
+    run(upsert_to(closed, bars_path, job, version="volume"), f"{path}/bars")
+    backfill_late(spark, path, bars_path, job, schema, width, keys)
+
+
+# --- refreshed results ---------------------------------------------------------------------------
+
 def days_path(candles_path: str) -> str:
     """The table of (series, day, bars) that is kept beside the candles."""
     return f"{candles_path.rstrip('/')}_days"

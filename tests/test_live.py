@@ -1,6 +1,7 @@
 """Jobs that keep state between batches: any order of batches gives the result of all bars at once."""
 
 import datetime as dt
+import decimal
 import random
 import re
 
@@ -110,3 +111,123 @@ def test_states_equal_a_loop(spark):
             assert [r[c] for c in ("bars", "last_close", "previous_close")] == [want[c] for c in ("bars", "last_close", "previous_close")]
             assert r.avg_gain == pytest.approx(want.avg_gain, rel=1e-12)
             assert r.start.bars == want.start.bars
+
+
+# --- late ticks ----------------------------------------------------------------------------------
+
+def landed(spark, parts, out, job, width="6 hours", delay="12 hours"):
+    for part in parts:
+        part.write.mode("append").parquet(f"{out}/landing")
+        ticks = spark.readStream.schema(part.schema).parquet(f"{out}/landing")
+        jobs.refresh_bars(ticks, f"{out}/ticks", f"{out}/candles", job, width, delay)
+    return tables.read_candles(spark, f"{out}/candles", refresh=True)
+
+
+def test_late_ticks_are_kept_apart_and_mended(spark):
+    out, ticks = fresh_dir(spark, "t"), fx.ticks(spark, SF_DIR).cache()
+    parts = catalog.late_deliveries(ticks)
+    got = landed(spark, parts[:2], out, "a")
+    assert not spark.read.schema(jobs._routed(ticks.schema)).parquet(jobs.late_path(f"{out}/ticks")).count()
+    before = {(r.instrument_token, r.date): r for r in got.collect()}
+    after = {(r.instrument_token, r.date): r for r in landed(spark, parts[2:], out, "a").collect()}
+    late = spark.read.parquet(jobs.late_path(f"{out}/ticks"))
+    assert rows(late.select(*ticks.columns)) == rows(parts[2])
+    touched = {(r.instrument_token, r.date) for r in parts[2].select("instrument_token", F.window("ts", "6 hours").start.alias("date")).distinct().collect()}
+    assert {k for k in after if after[k] != before.get(k)} == touched
+    assert sum(r.volume for r in after.values()) - sum(r.volume for r in before.values()) == parts[2].count()
+
+
+def test_a_tick_is_late_once_its_bar_has_ended_behind_the_watermark(spark):
+    shape = fx.ticks(spark, SF_DIR).schema
+    fixed = {"name": "N", "strike": decimal.Decimal(1), "instrument_type": "CE", "expiry": dt.date(2024, 2, 1), "instrument_token": 7, "k": 1}
+
+    def tick(n, at):
+        return fixed | {"ts": dt.datetime.fromisoformat(at), "event_id": n, "price": float(n)}
+
+    def batch(*ticks):
+        return spark.createDataFrame([tuple(t[c] for c in shape.names) for t in ticks], shape)
+
+    out = fresh_dir(spark, "t")
+
+    def sides():
+        return [sorted(r.event_id for r in spark.read.schema(jobs._routed(shape)).parquet(p(out)).collect()) for p in (jobs.on_time_path, jobs.late_path)]
+
+    one = batch(tick(1, "2024-01-01 10:00:00"), tick(2, "2024-01-01 00:30:00"))
+    two = batch(tick(3, "2024-01-01 08:59:59"), tick(4, "2024-01-01 07:59:59"), tick(5, "2024-01-01 12:00:00"))
+    for n, b in ((0, one), (1, two), (1, two), (1, two)):
+        jobs.split_late(b, out, "job", n, "1 hour", "1 hour")
+    # The watermark of the second batch is 09:00: the bar of 08:00 has ended by then, and a repeat changes nothing.
+    assert sides() == [[1, 2, 5], [3, 4]]
+    jobs.split_late(batch(tick(6, "2024-01-01 11:00:00"), tick(7, "2024-01-01 10:30:00")), out, "job", 2, "1 hour", "1 hour")
+    assert sides() == [[1, 2, 5, 6], [3, 4, 7]]
+    jobs.split_late(batch(), out, "job", 3, "1 hour", "1 hour")
+    assert sides() == [[1, 2, 5, 6], [3, 4, 7]]
+
+
+def test_a_backfill_reads_only_the_days_of_late_ticks(spark):
+    out, ticks = fresh_dir(spark, "t"), fx.ticks(spark, SF_DIR)
+    for n, part in enumerate(catalog.late_deliveries(ticks)):
+        jobs.split_late(part, out, "job", n, "6 hours", "12 hours")
+    fresh = spark.read.schema(jobs._routed(ticks.schema)).parquet(jobs.late_path(out)).where("day = '2024-01-05'")
+    rebuilt = jobs.late_bars(spark, out, ticks.schema, "6 hours", fresh)
+    found = scans(rebuilt, jobs.on_time_path(out), spark)
+    assert found and all(re.search(r"day#\d+ >= 2024-01-05.*day#\d+ <= 2024-01-05", x) for x in found)
+    want = fx.bars(spark, SF_DIR).where("day = '2024-01-05'").join(rebuilt, ["instrument_token", "date"], "left_semi")
+    assert rebuilt.count() > 0 and rows(rebuilt) == rows(want.select(*rebuilt.columns))
+
+
+# --- the end of a session ------------------------------------------------------------------------
+
+@pytest.fixture
+def rate(spark):
+    """A landing folder, and the stream that takes it into another."""
+    out = fresh_dir(spark, "t")
+
+    def land(n):
+        spark.range(n, n + 10).coalesce(1).write.mode("append").parquet(f"{out}/landing")
+
+    def writer():
+        return jobs.append_to(spark.readStream.schema("id long").parquet(f"{out}/landing"), f"{out}/data")
+
+    def taken():
+        return sorted(r.id for r in spark.read.schema("id long").parquet(f"{out}/data").collect())
+
+    land(0)
+    return land, writer, taken, f"{out}/checkpoint"
+
+
+def test_past_the_cutoff_a_stream_runs_once(rate):
+    land, writer, taken, checkpoint = rate
+    cutoff = jobs.session_end(dt.date(2024, 1, 2), 15, 30)
+    jobs.run(writer(), checkpoint, "1 hour", until=cutoff, clock=lambda: cutoff)
+    assert taken() == list(range(10))
+    land(10)
+    jobs.run(writer(), checkpoint, "1 hour", until=cutoff, clock=lambda: cutoff + dt.timedelta(hours=2))
+    assert taken() == list(range(20))
+
+
+def test_a_session_ends_by_itself_when_all_landed_is_taken_in(rate, monkeypatch):
+    """The interval is far longer than the session, so what lands after its first batch is left to the last run."""
+    land, writer, taken, checkpoint = rate
+    monkeypatch.setattr(jobs, "POLL_SECONDS", 0.5)
+    start, seen = dt.datetime.now(), []
+    until = start + dt.timedelta(seconds=12)
+
+    def clock():
+        if not seen and dt.datetime.now() > start + dt.timedelta(seconds=9):
+            seen.append(land(10))
+        return dt.datetime.now()
+
+    jobs.run(writer(), checkpoint, "1 hour", until=until, clock=clock)
+    assert dt.datetime.now() >= until and seen and taken() == list(range(20))
+
+
+def test_an_error_ends_the_session(spark, rate):
+    land, writer, taken, checkpoint = rate
+
+    def fail(batch, n):
+        raise ValueError("no room")
+
+    stream = writer().foreachBatch(fail)
+    with pytest.raises(Exception, match="no room"):
+        jobs.run(stream, checkpoint + "-2", "1 second", until=dt.datetime.now() + dt.timedelta(minutes=10))
