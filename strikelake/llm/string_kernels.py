@@ -10,9 +10,9 @@ texts and landmarks and ``M`` that between landmarks, the weights solve ``(K'K +
 ``K'Y``; the driver adds these small matrices and solves. A text's scores are ``k W`` with ``k`` its kernel to the landmarks,
 both matrix products over batches of texts.
 
-Bounds, all parameters: ``TRAIN_ROWS`` training texts and ``LANDMARKS`` of them as landmarks, drawn by a hash of their text, equally
-many of each language as far as there are, and shorter texts (``SHORT`` characters) before longer ones. Every document is
-scored on its whole text.
+Bounds, all parameters: the ``LANGUAGES`` most frequent languages are learned, from ``TRAIN_ROWS`` training texts, of which
+``LANDMARKS`` are landmarks; these are drawn by a hash, equally many of each language as far as there are, and shorter
+texts (``SHORT`` characters) before longer ones. Every document is scored on its whole text.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; a document without a null language whose id
 is held out, or null, teaches nothing; without any training text all are ``und``; of equal scores the first language by name
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from strikelake.llm.components import stored
 
 LONGEST = 3
-TRAIN_ROWS, LANDMARKS, SHORT = 3000, 192, 20_000
+TRAIN_ROWS, LANGUAGES, LANDMARKS, SHORT = 3000, 400, 192, 20_000
 RIDGE = 0.1
 FOLDS = 5
 UNKNOWN = "und"
@@ -140,24 +140,24 @@ def held_out(folds: int = FOLDS) -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds == 0, F.lit(False))
 
 
-def training_rows(docs: DataFrame, rows: int = TRAIN_ROWS, folds: int = FOLDS) -> DataFrame:
+def training_rows(docs: DataFrame, rows: int = TRAIN_ROWS, languages: int = LANGUAGES, folds: int = FOLDS) -> DataFrame:
     """At most ``rows`` labelled texts: ``lang``, ``text`` and ``nth``, their place among those of their language.
 
-    Drawing thins a language out to little more than its share by a hash first, so that only these rows are ranked in a window.
+    The driver sees the numbers of texts of the most frequent ``languages``. A hash of id and text then thins each out to
+    little more than its share where it is read, so that only a few rows are shuffled and ranked.
     """
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & F.col("doc_id").isNotNull() & ~held_out(folds)).select("lang", "text")
-    known = known.withColumn("_long", F.length("text") > SHORT).withColumn("_draw", F.xxhash64("text"))
-    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("_all"), F.count_if(~F.col("_long")).alias("_few"))
-    languages = Window.partitionBy(F.lit(0))
-    share = F.greatest(F.lit(1), F.floor(F.lit(rows) / F.count(F.lit(1)).over(languages)))
-    counts = counts.select(F.col("lang").alias("_lang"), "_all", "_few", share.alias("_share"))
-    near = known.join(counts, F.col("lang") == F.col("_lang"))
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & F.col("doc_id").isNotNull() & ~held_out(folds))
+    known = known.select("lang", "text", (F.length("text") > SHORT).alias("_long"), F.xxhash64("doc_id", "text").alias("_draw"))
+    counts = (known.groupBy("lang").agg(F.count(F.lit(1)).alias("all"), F.count_if(~F.col("_long")).alias("short"))
+              .orderBy(F.desc("all"), "lang").limit(languages).collect())
+    share = max(1, rows // max(1, len(counts)))
     # Twice the share is drawn, and a few more; long texts only where the short ones are too few.
-    pool = F.when(F.col("_few") >= F.col("_share"), F.col("_few")).otherwise(F.col("_all"))
-    drawn = F.pmod("_draw", F.lit(1 << 32)) * pool < (F.col("_share") * 2 + 64) * float(1 << 32)
-    near = near.where(drawn & ((F.col("_few") < F.col("_share")) | ~F.col("_long")))
+    odds = [(r.lang, r.short < share, min(1.0, (2 * share + 64) / (r.short if r.short >= share else r.all))) for r in counts[:rows]]
+    odds = docs.sparkSession.createDataFrame(odds, "lang string, _any boolean, _odds double")
+    drawn = F.pmod("_draw", F.lit(1 << 32)) < F.col("_odds") * float(1 << 32)
+    near = known.join(F.broadcast(odds), "lang").where(drawn & (F.col("_any") | ~F.col("_long")))
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("_long", "_draw", "text"))
-    return near.withColumn("nth", nth).where(F.col("nth") <= F.col("_share")).select("lang", "text", "nth")
+    return near.withColumn("nth", nth).where(F.col("nth") <= share).select("lang", "text", "nth")
 
 
 def _sets(rows: DataFrame) -> list[tuple[str, np.ndarray]]:
@@ -172,7 +172,7 @@ def _sets(rows: DataFrame) -> list[tuple[str, np.ndarray]]:
 
 def train(docs: DataFrame, rows: int = TRAIN_ROWS, landmarks: int = LANDMARKS, ridge: float = RIDGE, folds: int = FOLDS) -> Model:
     """A model from the labelled texts outside the held-out fold."""
-    sample = stored(training_rows(docs, rows, folds), "language-sample")
+    sample = stored(training_rows(docs, rows, folds=folds), "language-sample")
     languages = sorted(r.lang for r in sample.select("lang").distinct().collect())
     if not languages:
         return Model(Kernel.of([]), [], np.zeros((0, 0)))
