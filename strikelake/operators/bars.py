@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strikelake.functions import labels, prices
@@ -69,6 +69,18 @@ def day_numbers(
     return days if num_days is None else days.where(F.col("day_num") <= num_days)
 
 
+def numbered_days(bars: DataFrame, keys: Sequence[str], num_days: int | None = None, days_back: int = 0,
+                  keep: Column | None = None) -> DataFrame:
+    """As ``last_days`` for bars that come out of a shuffle by (series, day), which are evaluated once. Only bars that
+    meet ``keep`` are returned; the days of others are numbered as well."""
+    bars = segments.marked(bars.where(F.col("day").isNotNull()))
+    newest_first = Window.partitionBy(*keys).orderBy(F.col("day").desc())
+    days = (bars.groupBy(*keys, "day").agg(segments.top_mark())
+            .withColumn("day_num", F.row_number().over(newest_first).cast("bigint") - days_back).where(F.col("day_num") > 0))
+    days = days if num_days is None else days.where(F.col("day_num") <= num_days)
+    return segments.attached(bars, days, [*keys, "day"], keep)
+
+
 def last_days(
     bars: DataFrame, keys: Sequence[str] = SERIES, num_days: int | None = None, days_back: int = 0,
     calendar: DataFrame | None = None,
@@ -118,13 +130,12 @@ def straddle_bars(
         F.sum(F.when(is_pe, F.col("oi"))).alias("PE_oi"),
         *day_num,
     )
+    complete = F.col("date").isNotNull() & F.col("CE_close").isNotNull() & F.col("PE_close").isNotNull()
     if numbered and not day_num:
-        summed = summed.join(day_numbers(rows, keys), [*keys, "day"])
-    summed = summed.withColumn("ohlc4", prices.ohlc4())
-    if both_legs:
-        summed = summed.where(
-            F.col("date").isNotNull() & F.col("CE_close").isNotNull() & F.col("PE_close").isNotNull())
-    return summed
+        summed = numbered_days(summed, keys, keep=complete if both_legs else None)
+    elif both_legs:
+        summed = summed.where(complete)
+    return summed.withColumn("ohlc4", prices.ohlc4())
 
 
 def leg_bars(

@@ -1,4 +1,7 @@
-"""Indicators over bars. ``keys`` is the series; every indicator is computed for all series at once."""
+"""Indicators over bars. ``keys`` is the series; every indicator is computed for all series at once.
+
+``shared`` as for ``segments.cut``: on for bars that come out of a shuffle, off for those read from a table.
+"""
 
 from __future__ import annotations
 
@@ -93,16 +96,16 @@ def with_running_stats(seg: Segmented, df: DataFrame, legs: bool) -> DataFrame:
             "running_min_pe": seg.running("pe_min"),
         }
     df = df.withColumns(averages)
-    df = seg.add_running(df, "MAX_incremental_close_avg", "max", F.col("incremental_close_avg"))
+    df = seg.add_running(df, MAX_incremental_close_avg=("max", F.col("incremental_close_avg")))
     return df.withColumn(
         "trailing_sl",
         prices.trailing_stop_line(F.col("incremental_min_close"), F.col("incremental_close_avg")))
 
 
 def running_stats(bars: DataFrame, keys: Sequence[str] = SERIES, legs: bool = True,
-                  days: int = DAYS_PER_SEGMENT) -> DataFrame:
+                  days: int = DAYS_PER_SEGMENT, shared: bool = True) -> DataFrame:
     carry = {**close_stats(), **(leg_stats() if legs else {})}
-    seg = cut(bars, keys, carry=carry, days=days)
+    seg = cut(bars, keys, carry=carry, days=days, shared=shared)
     return seg.finish(with_running_stats(seg, seg.df, legs))
 
 
@@ -111,9 +114,9 @@ def running_stats(bars: DataFrame, keys: Sequence[str] = SERIES, legs: bool = Tr
 def roc_average(bars: DataFrame, columns: Sequence[str] = ("close", "CE_close", "PE_close"),
                 keys: Sequence[str] = SERIES, order: str | Sequence[str] = "date",
                 length: int = ROC_LENGTH, divisor: float = ROC_DIVISOR, scale: float = 1,
-                days: int = DAYS_PER_SEGMENT) -> DataFrame:
+                days: int = DAYS_PER_SEGMENT, shared: bool = True) -> DataFrame:
     """``ROC_AVG_<column>`` for each column, with one sort for all of them."""
-    seg = cut(bars, keys, order=order, lookback=length, days=days)
+    seg = cut(bars, keys, order=order, lookback=length, days=days, shared=shared)
     rocs = {f"ROC_AVG_{c}": roc_sum(c, seg.window, length, divisor, scale) for c in columns}
     out = seg.finish(seg.df.withColumns(rocs))
     if {"CE_close", "PE_close"} <= set(columns):
@@ -123,15 +126,15 @@ def roc_average(bars: DataFrame, columns: Sequence[str] = ("close", "CE_close",
 
 
 def bollinger_bands(bars: DataFrame, keys: Sequence[str] = SERIES, length: int = BOLLINGER_LENGTH,
-                    days: int = DAYS_PER_SEGMENT) -> DataFrame:
-    seg = cut(bars, keys, lookback=length, days=days)
+                    days: int = DAYS_PER_SEGMENT, shared: bool = True) -> DataFrame:
+    seg = cut(bars, keys, lookback=length, days=days, shared=shared)
     return seg.finish(seg.df.withColumns(bollinger("close", seg.rolling(length))))
 
 
 def weighted_prices(bars: DataFrame, keys: Sequence[str] = SERIES,
-                    days: int = DAYS_PER_SEGMENT) -> DataFrame:
+                    days: int = DAYS_PER_SEGMENT, shared: bool = True) -> DataFrame:
     """Running price weighted by volume (``vwap``) and by open interest (``oiwap``)."""
-    seg = cut(bars, keys, carry=weight_stats(), days=days)
+    seg = cut(bars, keys, carry=weight_stats(), days=days, shared=shared)
     return seg.finish(seg.df.withColumns(weighted_price_columns(seg)))
 
 
@@ -157,37 +160,38 @@ def leg_ratios(bars: DataFrame) -> DataFrame:
 
 
 def oi_difference(bars: DataFrame, keys: Sequence[str] = SERIES, length: int = OI_DIFF_LENGTH,
-                  days: int = DAYS_PER_SEGMENT) -> DataFrame:
+                  days: int = DAYS_PER_SEGMENT, shared: bool = True) -> DataFrame:
     """Put minus call open interest and its rolling mean."""
     seg = cut(bars.withColumn("oi_diff", F.col("PE_oi") - F.col("CE_oi")), keys,
-              lookback=length, days=days)
+              lookback=length, days=days, shared=shared)
     return seg.finish(seg.df.withColumn("oi_diff_avg", F.avg("oi_diff").over(seg.rolling(length))))
 
 
 def roc_expanding(bars: DataFrame, keys: Sequence[str] = SERIES,
-                  days: int = DAYS_PER_SEGMENT) -> DataFrame:
+                  days: int = DAYS_PER_SEGMENT, shared: bool = True) -> DataFrame:
     """Mean of all ``ROC_AVG_close`` values so far."""
     roc = F.col("ROC_AVG_close")
-    seg = cut(roc_average(bars, ["close"], keys, days=days), keys,
-              carry={"s": ("sum", roc), "n": ("count", roc)}, days=days)
-    mean = F.try_divide(seg.running("s"), F.nullif(seg.running("n"), F.lit(0).cast("bigint")))
-    return seg.finish(seg.df.withColumn("roc_mean", mean))
+    seg = cut(bars, keys, lookback=ROC_LENGTH, days=days, shared=shared)
+    df = seg.df.withColumn("ROC_AVG_close", roc_sum("close", seg.window))
+    df = seg.add_running(df, _sum=("sum", roc), _count=("count", roc))
+    mean = F.try_divide(F.col("_sum"), F.nullif(F.col("_count"), F.lit(0).cast("bigint")))
+    return seg.finish(df.withColumn("roc_mean", mean).drop("_sum", "_count"))
 
 
 def premium_decay(bars: DataFrame, keys: Sequence[str] = SERIES,
-                  days: int = DAYS_PER_SEGMENT) -> DataFrame:
+                  days: int = DAYS_PER_SEGMENT, shared: bool = True) -> DataFrame:
     """Change in percent from the first close of the series."""
-    seg = cut(bars, keys, carry={"first": ("first", F.col("close"))}, days=days)
+    seg = cut(bars, keys, carry={"first": ("first", F.col("close"))}, days=days, shared=shared)
     first = seg.running("first")
     pct = F.try_divide(F.col("close") - first, first) * 100
     return seg.finish(seg.df.withColumn("premium_decay_pct", pct))
 
 
 def extra_indicators(bars: DataFrame, keys: Sequence[str] = SERIES,
-                     days: int = DAYS_PER_SEGMENT) -> DataFrame:
+                     days: int = DAYS_PER_SEGMENT, shared: bool = True) -> DataFrame:
     """Bands, leg ratios, open-interest difference, weighted prices and decay in one pass."""
     seg = cut(bars.withColumn("oi_diff", F.col("PE_oi") - F.col("CE_oi")), keys,
-              lookback=OI_DIFF_LENGTH, days=days,
+              lookback=OI_DIFF_LENGTH, days=days, shared=shared,
               carry={**weight_stats(), "first": ("first", F.col("close"))})
     first = seg.running("first")
     out = seg.df.withColumns({
@@ -201,9 +205,9 @@ def extra_indicators(bars: DataFrame, keys: Sequence[str] = SERIES,
 
 
 def day_boundaries(bars: DataFrame, keys: Sequence[str] = SERIES,
-                   days: int = DAYS_PER_SEGMENT) -> DataFrame:
+                   days: int = DAYS_PER_SEGMENT, shared: bool = True) -> DataFrame:
     """Bars whose calendar date differs from the bar before, with their axis label."""
-    seg = cut(bars, keys, lookback=1, days=days)
+    seg = cut(bars, keys, lookback=1, days=days, shared=shared)
     today = F.to_date("date")
     changed = today != F.lag(today).over(seg.window)
     return (seg.finish(seg.df.withColumn("_changed", changed))
@@ -213,9 +217,9 @@ def day_boundaries(bars: DataFrame, keys: Sequence[str] = SERIES,
 
 
 def numbered(bars: DataFrame, keys: Sequence[str] = SERIES,
-             days: int = DAYS_PER_SEGMENT) -> DataFrame:
+             days: int = DAYS_PER_SEGMENT, shared: bool = True) -> DataFrame:
     """Add ``rownum``, 1 for the first bar of each series."""
-    seg = cut(bars, keys, days=days)
+    seg = cut(bars, keys, days=days, shared=shared)
     return seg.finish(seg.df.withColumn("rownum", seg.rownum()))
 
 

@@ -59,9 +59,9 @@ def heikin_ashi(bars: DataFrame, keys: Sequence[str], days: int = DAYS_PER_SEGME
 
 
 def roc_mean(bars: DataFrame, column: str, keys: Sequence[str], length: int = ind.ROC_LENGTH,
-             days: int = DAYS_PER_SEGMENT) -> DataFrame:
+             days: int = DAYS_PER_SEGMENT, shared: bool = False) -> DataFrame:
     """Mean rate of change in percent over the last ``length`` rows."""
-    seg = cut(bars, keys, lookback=length, days=days)
+    seg = cut(bars, keys, lookback=length, days=days, shared=shared)
     value = ind.roc_sum(column, seg.window, length, divisor=length, scale=ROC_SCALE)
     return seg.finish(seg.df.withColumn("roc_mean", value))
 
@@ -96,14 +96,14 @@ def base_average(columns: Sequence[Column]) -> Column:
 
 
 def mmi(base: DataFrame, keys: Sequence[str], column: str = "base_avg", length: int = RANGE_LENGTH,
-        days: int = DAYS_PER_SEGMENT) -> DataFrame:
+        days: int = DAYS_PER_SEGMENT, shared: bool = False) -> DataFrame:
     """Momentum lines from the base average.
 
     ``neg_mmi`` is the distance below the highest, ``pos_mmi`` the distance above the lowest value
     of the last ``length`` bars, both measured from zero at least. ``crosspoint`` holds the middle
     of the two lines where they last crossed; ``signal_up`` is the bar colour.
     """
-    seg = cut(base, keys, lookback=length + 1, days=days)
+    seg = cut(base, keys, lookback=length + 1, days=days, shared=shared)
     w, x = seg.window, F.col(column)
     df = seg.df.withColumn("rownum", seg.rownum())
     # A halo row has no own number, but it always lies a full frame behind the first own row.
@@ -120,7 +120,7 @@ def mmi(base: DataFrame, keys: Sequence[str], column: str = "base_avg", length:
     pos_before, neg_before = F.lag(pos).over(w), F.lag(neg).over(w)
     crossed = (((pos > neg) & (pos_before <= neg_before)) | ((pos < neg) & (pos_before >= neg_before)))
     df = df.withColumn("crossed", F.coalesce(crossed, F.lit(False)))
-    df = seg.add_running(df, "crosspoint", "last", F.when(F.col("crossed"), (pos + neg) / 2))
+    df = seg.add_running(df, crosspoint=("last", F.when(F.col("crossed"), (pos + neg) / 2)))
     df = df.withColumn("signal_up", F.coalesce((pos >= neg) | (x >= 0), F.lit(False)))
     return seg.finish(df.drop("_hi", "_lo"))
 

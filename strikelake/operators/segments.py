@@ -29,6 +29,8 @@ DECAY_BLOCK = 500
 
 _SEG, _HALO, _BEFORE, _LATEST, _ROWS = "_segment", "_halo", "_rows_before", "_latest_day", "_rows"
 
+_MARK, _TOP = "_mark", "_top"
+
 Carried = tuple[str, Column] | tuple[str, Column, float]
 
 
@@ -78,6 +80,31 @@ def decay_steps(value: Column, order: Sequence[str], factor: float) -> Column:
     return F.aggregate(steps, _no_step(), lambda acc, r: _step(acc, F.lit(1).cast("bigint"), r["_b"], factor))
 
 
+def marked(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """Rows with a hash over their columns, which an aggregate of them takes along for ``attached``."""
+    return df.withColumn(_MARK, F.xxhash64(*(columns or df.columns)))
+
+
+def attached(rows: DataFrame, table: DataFrame, on: Sequence[str], keep: Column | None = None) -> DataFrame:
+    """Join ``marked`` rows to a table aggregated from them, so that Spark evaluates the rows once.
+
+    A self-join runs its input twice unless both sides come from exchanges of the same columns and filters, which Spark then
+    reuses. Left alone, each side is pruned to its own needs. Here either side needs every column: the greatest hash of
+    the group is compared with the row's own, a condition that always holds, and ``keep``, which drops rows, is part of
+    it. Filters on the keys reach the source on both sides; the price is that columns the caller drops later are read.
+    """
+    here = {c: f"_on_{c}" for c in on}
+    fits = F.col(_MARK) <= F.col(_TOP)
+    condition = fits if keep is None else F.when(keep, fits)
+    for c, other in here.items():
+        condition = (F.col(c) == F.col(other)) & condition
+    return rows.join(table.withColumnsRenamed(here), condition).drop(_MARK, _TOP, *here.values())
+
+
+def top_mark() -> Column:
+    return F.max(_MARK).alias(_TOP)
+
+
 def trading_days(df: DataFrame, keys: Sequence[str], day: str = "day") -> DataFrame:
     """One row per (series, day)."""
     return df.groupBy(*keys, day).agg(F.count(F.lit(1)).alias("bars"))
@@ -96,6 +123,7 @@ class Segmented:
     totals: tuple[str, ...] = ()
     restarted: bool = False
     frame: tuple[str, ...] = ()
+    shared: tuple[str, ...] = ()
 
     @property
     def window(self) -> WindowSpec:
@@ -158,30 +186,33 @@ class Segmented:
         self.restarted, self.frame = True, (self.day,)
         return self.own_rows(df)
 
-    def add_running(self, df: DataFrame, out: str, kind: str, value: Column) -> DataFrame:
-        """A running aggregate of a column that itself depends on running aggregates.
+    def add_running(self, df: DataFrame, **added: tuple[str, Column]) -> DataFrame:
+        """Running aggregates (kind, column), by the name of the result, of columns that themselves depend on running
+        aggregates; the kinds are sum, count, min, max and last.
 
-        The rows are needed twice here: for the result, and for the totals of the earlier segments, of which
-        only this column and the keys are read. Nothing runs before an action, and filters and
-        projections of the result reach the source.
+        The rows are needed twice here: for the result, and for the totals of the earlier segments. With ``shared`` both
+        read the shuffled rows of the segments. Nothing runs before an action.
         """
-        own = F.when(~F.col(_HALO), value)
+        w, locals_, totals, merged = self._running, {}, [], {}
+        on = [*self.keys, _SEG]
+        earlier = Window.partitionBy(*self.keys).orderBy(_SEG).rowsBetween(Window.unboundedPreceding, -1)
+        befores = []
+        for out, (kind, value) in added.items():
+            own, last = F.when(~F.col(_HALO), value), kind == "last"
+            locals_[f"_local_{out}"] = (F.last(own, ignorenulls=True) if last else _partial(kind, own)).over(w)
+            total = F.max_by(own, F.when(own.isNotNull(), F.struct(*self._sorted))) if last else _partial(kind, own)
+            totals.append(total.alias(f"_total_{out}"))
+            part = F.col(f"_total_{out}")
+            before = F.last(part, ignorenulls=True) if last else _partial("sum" if kind == "count" else kind, part)
+            befores.append(before.over(earlier).alias(f"_total_{out}"))
+            merged[out] = _merge(kind, F.col(f"_total_{out}"), F.col(f"_local_{out}"))
         if self.restarted:
-            return df.withColumn(out, _partial(kind, own).over(self._running))
-        last = kind == "last"
-        w = self._running
-        local = F.last(own, ignorenulls=True) if last else _partial(kind, own)
-        df = df.withColumn("_local", local.over(w))
-        total = F.max_by(own, F.when(own.isNotNull(), F.struct(*self._sorted))) if last else _partial(kind, own)
-        before = (F.last("_total", ignorenulls=True) if last
-                  else _partial("sum" if kind == "count" else kind, F.col("_total")))
-        earlier = (Window.partitionBy(*self.keys).orderBy(_SEG)
-                   .rowsBetween(Window.unboundedPreceding, -1))
-        totals = (df.groupBy(*self.keys, _SEG).agg(total.alias("_total"))
-                  .select(*self.keys, _SEG, before.over(earlier).alias("_before_total")))
-        return (df.join(totals, [*self.keys, _SEG], "left")
-                .withColumn(out, _merge(kind, F.col("_before_total"), F.col("_local")))
-                .drop("_local", "_before_total"))
+            return df.withColumns({out: locals_[f"_local_{out}"] for out in added})
+        df = marked(df.withColumns(locals_), self.shared) if self.shared else df.withColumns(locals_)
+        top = [_TOP] if self.shared else []
+        table = df.groupBy(*on).agg(*totals, *([top_mark()] if top else [])).select(*on, *befores, *top)
+        joined = attached(df, table, on) if top else df.join(table, on, "left")
+        return joined.withColumns(merged).drop(*locals_, *[f"_total_{out}" for out in added])
 
     def add_decayed(self, df: DataFrame, out: str, name: str, start: Column, before_row: bool = False) -> DataFrame:
         """``start`` after the carried map ``x -> factor * x + value`` of every row up to the current one, or up to the
@@ -235,6 +266,7 @@ def cut(
     keep: Column | None = None,
     number_days: bool = False,
     whole: dict[str, tuple[str, Column]] | None = None,
+    shared: bool = False,
 ) -> Segmented:
     """Cut every series of ``df`` into segments of ``days`` trading days.
 
@@ -246,6 +278,9 @@ def cut(
 
     ``whole`` names aggregates over all rows of a series (sum, count, min or max).
 
+    ``shared`` is for frames that come out of a shuffle, such as bars made from legs or ticks: they are evaluated once for
+    the rows and the totals, see ``attached``. A frame read from a table is better read twice, the totals with few columns.
+
     ``keep`` drops rows; with ``number_days`` the days are numbered from the latest back in
     ``day_num``, and a day whose rows are all dropped still takes its number.
     """
@@ -268,6 +303,9 @@ def cut(
             agg = _partial(kind, value)
         partials.append(agg.alias(f"_p_{name}"))
     partials += [_partial(kind, kept(value)).alias(f"_w_{name}") for name, (kind, value) in whole.items()]
+    if shared:  # the join on the day asks for it anyway, but Spark can't carry that over the windows of the totals
+        df = marked(df.where(F.col(day).isNotNull()))
+        partials.append(top_mark())
     daily = df.groupBy(*keys, day).agg(*partials)
 
     by_series = Window.partitionBy(*keys)
@@ -314,9 +352,12 @@ def cut(
         columns.append((
             (F.coalesce(F.sum("_n").over(later), F.lit(0)) < lookback)
             & (F.col(_SEG) < F.max(_SEG).over(by_series))).alias("_feeds_next"))
-    daily = daily.select(*keys, day, _SEG, *(["day_num"] if number_days else []), *columns)
+    daily = daily.select(*keys, day, _SEG, *(["day_num"] if number_days else []), *([_TOP] if shared else []), *columns)
 
-    rows = (df if keep is None else df.where(keep)).join(daily, [*keys, day])
+    if shared:
+        rows = attached(df, daily, [*keys, day], keep)
+    else:
+        rows = (df if keep is None else df.where(keep)).join(daily, [*keys, day])
     plain = [c for c in rows.columns if c not in (_SEG, "_feeds_next")]
     if lookback:
         here = F.struct(F.col(_SEG).alias(_SEG), F.lit(False).alias(_HALO))
@@ -325,4 +366,4 @@ def cut(
         rows = rows.select(*plain, F.inline(copies))
     else:
         rows = rows.select(*plain, _SEG, F.lit(False).alias(_HALO))
-    return Segmented(rows, keys, order, day, lookback, carry, tuple(whole))
+    return Segmented(rows, keys, order, day, lookback, carry, tuple(whole), shared=tuple(rows.columns) if shared else ())

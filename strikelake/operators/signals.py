@@ -51,7 +51,7 @@ LATEST, DAY, WHOLE = "latest", "day", "series"
 
 
 def _displayed(
-    bars: DataFrame, keys: Sequence[str], frame: str, legs: bool, days: int,
+    bars: DataFrame, keys: Sequence[str], frame: str, legs: bool, days: int, shared: bool,
 ) -> tuple[Segmented, DataFrame]:
     """Rate of change over the whole history, then running statistics over the frame.
 
@@ -64,7 +64,7 @@ def _displayed(
     needed = ["date", "CE_close", "PE_close"] if legs else ["date"]
     complete = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in needed])
     seg = cut(bars, keys, lookback=ind.ROC_LENGTH, carry=stats if frame == WHOLE else None, days=days,
-              keep=complete, number_days="day_num" not in bars.columns)
+              keep=complete, number_days="day_num" not in bars.columns, shared=shared)
     seg.carried = stats
     columns = ["close", "CE_close", "PE_close"] if legs else ["close"]
     df = seg.df.withColumns({
@@ -83,7 +83,7 @@ def _displayed(
 
 def straddle_signals(
     bars: DataFrame, keys: Sequence[str] = SERIES, frame: str = LATEST,
-    days: int = DAYS_PER_SEGMENT,
+    days: int = DAYS_PER_SEGMENT, shared: bool = True,
 ) -> DataFrame:
     """All straddle analytics for every series: ROC, running statistics, StopLoss, EntryAllowed.
 
@@ -91,9 +91,9 @@ def straddle_signals(
     their days are numbered before that.
 
     ``frame`` is ``latest`` (rows of the last trading day), ``day`` (all days, each on its own) or
-    ``series`` (all days as one running frame).
+    ``series`` (all days as one running frame). ``shared`` as for ``segments.cut``.
     """
-    seg, df = _displayed(bars, keys, frame, legs=True, days=days)
+    seg, df = _displayed(bars, keys, frame, legs=True, days=days, shared=shared)
     in_day = seg.day_window()
     df = df.withColumn("_raw_stop", raw_stop())
     df = df.withColumns({
@@ -105,10 +105,10 @@ def straddle_signals(
 
 def leg_signals(
     bars: DataFrame, keys: Sequence[str] = SERIES, frame: str = LATEST,
-    days: int = DAYS_PER_SEGMENT,
+    days: int = DAYS_PER_SEGMENT, shared: bool = False,
 ) -> DataFrame:
     """Single-leg analytics: ROC and running statistics, no stop and no entry rule."""
-    seg, df = _displayed(bars, keys, frame, legs=False, days=days)
+    seg, df = _displayed(bars, keys, frame, legs=False, days=days, shared=shared)
     return seg.finish(df)
 
 

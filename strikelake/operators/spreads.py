@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strikelake.functions import prices
 from strikelake.operators import segments
-from strikelake.operators.bars import traded
+from strikelake.operators.bars import numbered_days, traded
 from strikelake.operators.indicators import ROC_LENGTH, roc_sum
 from strikelake.schemas import CALL, PUT, STRIKE
 
@@ -65,7 +65,8 @@ def pair_bars(
     def leg(side: Column, c: str) -> Column:
         return F.when(side, F.col(c))
 
-    summed = legs.groupBy(*keys, "day", "date").agg(
+    # Shuffled by (pair, day) once; the sum per bar and the numbering of days stay in place.
+    summed = legs.repartition(*keys, "day").groupBy(*keys, "day", "date").agg(
         *[prices.round2(F.sum(c)).alias(c) for c in ("open", "high", "low", "close")],
         prices.round2(F.sum(leg(is_ce, "close"))).alias("CE_close"),
         prices.round2(F.sum(leg(is_pe, "close"))).alias("PE_close"),
@@ -76,20 +77,10 @@ def pair_bars(
         prices.round2(F.sum(leg(is_pe, "ohlc4"))).alias("PE_ohlc4"),
         F.max(leg(is_ce, "strike")).alias("CE_strike"),
         F.max(leg(is_pe, "strike")).alias("PE_strike"),
+        F.concat_ws(", ", *[F.max(leg(side, "instrument_token")).cast("string") for side in (is_ce, is_pe)]).alias("instrument_token"),
     )
-    newest_first = Window.partitionBy(*keys).orderBy(F.col("day").desc())
-    numbers = (segments.trading_days(legs, keys).drop("bars")
-               .withColumn("day_num", F.row_number().over(newest_first).cast("bigint") - days_back)
-               .where(F.col("day_num") > 0))
-    if num_days is not None:
-        numbers = numbers.where(F.col("day_num") <= num_days)
-    tokens = resolved.groupBy("spread_id", "role").agg(F.concat_ws(
-        ", ",
-        F.max(F.when(is_ce, F.col("instrument_token"))).cast("string"),
-        F.max(F.when(is_pe, F.col("instrument_token"))).cast("string")).alias("instrument_token"))
-    return (summed.join(numbers, [*keys, "day"])
+    return (numbered_days(summed, keys, num_days, days_back)
             .where((F.col("CE_close") > 0) & (F.col("PE_close") > 0))
-            .join(tokens, ["spread_id", "role"])
             .withColumn("ohlc4", prices.ohlc4()))
 
 
@@ -117,7 +108,7 @@ def spread_bars(pairs: DataFrame) -> DataFrame:
 def spread_signals(spreads: DataFrame, latest_only: bool = False,
                    days: int = segments.DAYS_PER_SEGMENT) -> DataFrame:
     """Rate of change of both pairs, their difference and their sum, plus the latest-day flag."""
-    seg = segments.cut(spreads, PAIR, order=["date", "day_num"], lookback=ROC_LENGTH, days=days,
+    seg = segments.cut(spreads, PAIR, order=["date", "day_num"], lookback=ROC_LENGTH, days=days, shared=True,
                        whole={"newest": ("min", F.col("day_num"))})
     columns = ["Short_close", "Long_close", "Close_Diff1", "Close_Diff2"]
     out = seg.finish(seg.df.withColumns({

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ from strikelake.operators import momentum as M
 from strikelake.operators import positions as P
 from strikelake.operators import signals as S
 from strikelake.operators import spreads as X
-from strikelake.operators.segments import DAYS_PER_SEGMENT
+from strikelake.operators.segments import DAYS_PER_SEGMENT, cut
 from strikelake.schemas import LEG, SERIES
 from strikelake.sources.sinks import upsert, write_snapshot
 
@@ -90,6 +91,37 @@ class Comparison:
     known_at: str | None = None
 
 
+CHART = -1
+
+
+def _compared(symbols: DataFrame, chosen: Sequence[Comparison], keys: Sequence[str]) -> DataFrame:
+    """The smoothed closes of all comparisons in one frame: ``_which`` tells which, ``_known`` from when on each is known.
+
+    Comparisons on one time frame join its bars of the symbol once, with all their other bars under one tag.
+    """
+    by_frame: dict[int, list[int]] = {}
+    for n, c in enumerate(chosen):
+        by_frame.setdefault(id(symbols if c.symbol is None else c.symbol), []).append(n)
+    parts = []
+    for members in by_frame.values():
+        bars = chosen[members[0]].symbol
+        bars = symbols if bars is None else bars
+        known = {n: chosen[n].known_at or "date" for n in members}
+        for at in sorted(set(known.values())):
+            own = bars.select(*keys, "day", "date", F.col(at).alias("_known"), *M.OHLC)
+            tagged = [chosen[n].other.select(*keys, "date", F.lit(n).alias("_which"), *[F.col(c).alias(f"_b_{c}") for c in M.OHLC])
+                      for n in members if known[n] == at and chosen[n].other is not None]
+            if tagged:
+                joined = own.join(reduce(DataFrame.unionByName, tagged), [*keys, "date"])
+                ratios = [prices.ratio(c, f"_b_{c}").alias(c) for c in M.OHLC]
+                parts.append(joined.select(*keys, "_which", "day", "date", "_known", *ratios))
+            alone = [n for n in members if known[n] == at and chosen[n].other is None]
+            if alone:
+                parts.append(own.withColumn("_which", F.explode(F.array(*map(F.lit, alone)))).select(*keys, "_which", "day", "date", "_known", *M.OHLC))
+    rows = reduce(DataFrame.unionByName, parts)
+    return rows.select(*keys, "_which", "day", "date", "_known", M.smoothed_close().alias("ha_close"))
+
+
 def momentum(
     symbols: DataFrame, comparisons: Sequence[DataFrame | Comparison], keys: Sequence[str],
     length: int = ind.ROC_LENGTH, range_length: int = M.RANGE_LENGTH, days: int = DAYS_PER_SEGMENT,
@@ -99,25 +131,26 @@ def momentum(
     Each comparison is a frame of bars carrying the same keys as the symbol it is compared with, or a
     ``Comparison`` on another time frame, whose ``symbol`` are the symbol's bars on that frame. All bars of the chart
     stay; where a comparison has no value, the base average is NULL, whatever their order.
+
+    However many comparisons there are, their bars are one tagged frame with one rate of change, which meets the chart
+    in one aggregation by time; values of coarser frames are then carried forward together.
     """
     keys = list(keys)
-    base = symbols.select(*keys, "day", "date")
     chosen = [c if isinstance(c, Comparison) else Comparison(c) for c in comparisons] or [Comparison()]
-    for n, c in enumerate(chosen):
-        bars = symbols if c.symbol is None else c.symbol
-        rows = bars if c.other is None else M.ratio_bars(bars, c.other, keys)
-        value = f"roc_mean_{n}"
-        rows = rows.select(*keys, "day", "date", M.smoothed_close().alias("ha_close"))
-        part = M.roc_mean(rows, "ha_close", keys, length, days).select(*keys, "date", F.col("roc_mean").alias(value))
-        if c.known_at:
-            known = part.join(bars.select(*keys, "date", c.known_at), [*keys, "date"])
-            base = (M.as_of(base, known, value, c.known_at, keys, days)
-                    .withColumnRenamed(f"{value}_asof", value))
-        else:
-            base = base.join(part, [*keys, "date"], "left")
-    columns = [F.col(f"roc_mean_{n}") for n in range(len(chosen))]
-    base = base.withColumn("base_avg", M.base_average(columns)).select(*keys, "day", "date", "base_avg")
-    return M.mmi(base, keys, length=range_length, days=days)
+    rates = M.roc_mean(_compared(symbols, chosen, keys), "ha_close", [*keys, "_which"], length, days, shared=True)
+    events = rates.select(*keys, F.col("_known").alias("date"), F.lit(None).cast("date").alias("day"), "_which", "roc_mean")
+    chart = symbols.select(*keys, "date", "day", F.lit(CHART).alias("_which"), F.lit(None).cast("double").alias("roc_mean"))
+    rows = events.unionByName(chart).groupBy(*keys, "date").agg(
+        F.max("day").alias("day"), F.max(F.col("_which") == CHART).alias("_chart"),
+        *[F.max(F.when(F.col("_which") == n, F.col("roc_mean"))).alias(f"roc_mean_{n}") for n in range(len(chosen))])
+    coarse = [f"roc_mean_{n}" for n, c in enumerate(chosen) if c.known_at]
+    if coarse:
+        seg = cut(rows.withColumn("_day", F.to_date("date")), keys, day="_day", days=days, shared=True,
+                  carry={c: ("last", F.col(c)) for c in coarse})
+        rows = seg.finish(seg.df.withColumns({c: seg.running(c) for c in coarse})).drop("_day")
+    base = M.base_average([F.col(f"roc_mean_{n}") for n in range(len(chosen))])
+    base = rows.where("_chart").select(*keys, "day", "date", base.alias("base_avg"))
+    return M.mmi(base, keys, length=range_length, days=days, shared=True)
 
 
 def scan_and_size(

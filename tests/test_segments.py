@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import re
 
 import pytest
 from pyspark.sql import Window
@@ -12,6 +13,7 @@ from strikelake.operators import momentum as M
 from strikelake.operators import segments
 from strikelake.operators import signals as S
 from strikelake.operators.segments import cut
+from strikelake.plans import catalog
 from strikelake.schemas import SERIES
 
 KEYS = ["name"]
@@ -204,11 +206,40 @@ def test_building_a_plan_starts_no_job(spark, tmp_path, build):
     finally:
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     one = out.where("strike = 1").select("date", "strike")
-    plan = one._jdf.queryExecution().executedPlan().toString()
-    assert "PushedFilters: [IsNotNull(strike), EqualTo(strike" in plan
+    spark.conf.set("spark.sql.maxMetadataStringLength", "4000")
+    try:
+        scans = [x for x in one._jdf.queryExecution().executedPlan().toString().split("\n") if "FileScan" in x]
+    finally:
+        spark.conf.unset("spark.sql.maxMetadataStringLength")
+    # Spark infers filters over joins once, so the totals within the second level of totals stay unfiltered.
+    assert scans and sum(bool(re.search(r"PushedFilters: \[.*EqualTo\(strike", x)) for x in scans) >= max(1, len(scans) - 1)
     assert one.count() == 10
 
 
+def evaluations(df):
+    """How often the files are read in the plan that was run, after Spark's reuse of exchanges."""
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].count("FileScan")
+
+
+@pytest.mark.parametrize("name,most", [
+    ("straddle_bars", 1), ("running_stats", 1), ("straddle_signals", 1), ("roc_expanding", 1), ("stop_loss", 1), ("extra_indicators", 1),
+    ("calendar_signals", 3), ("mmi", 3), ("mmi_multi", 6)])
+def test_the_bars_are_evaluated_once(spark, name, most):
+    """Spreads read the bars and, twice, the contracts; the momentum of calls over puts reads each side and the chart."""
+    assert evaluations(catalog.QUERIES[name](spark, "/root/testdata/sf0.001")) <= most
+
+
+def test_shared_and_separate_evaluation_agree(spark):
+    df = series(spark, 11).repartition(4, "name", "day")
+    for days in (3, 1000):
+        same(ind.running_stats(df, KEYS, days=days, shared=True), ind.running_stats(df, KEYS, days=days, shared=False),
+             ["MAX_incremental_close_avg", "running_min_ce", "trailing_sl"])
+    for frame in (S.WHOLE, S.LATEST, S.DAY):
+        same(S.straddle_signals(df, KEYS, frame, days=20, shared=True), S.straddle_signals(df, KEYS, frame, days=20, shared=False),
+             ["rownum", "day_num", "StopLoss", "EntryAllowed", "ROC_AVG_CEPE_AVG"])
+
+
 def test_changes_that_cancel_out_are_not_rounded_away(spark):
     closes = [50000.0] * 18 + [50000.05, 49999.95, 50000.0]
     df = spark.createDataFrame([(i, "2024-01-01", c) for i, c in enumerate(closes)], "i int, d string, close double").selectExpr(
@@ -221,7 +252,6 @@ def test_changes_that_cancel_out_are_not_rounded_away(spark):
 
 
 def test_checked_queries_cut_series_into_several_segments(spark):
-    from strikelake.plans import catalog
     for days in (catalog.FEW, catalog.MORE):
         seg = cut(catalog._straddles(spark, "/root/testdata/sf0.01"), SERIES, days=days, lookback=20 if days == catalog.MORE else 0)
         assert seg.df.select("_segment").distinct().count() > 1
