@@ -74,6 +74,13 @@ def leg_stats() -> dict[str, tuple[str, Column]]:
     }
 
 
+# The totals of a series up to a row, by the column of the result that shows each, from which a later run can go on.
+RUNNING_TOTALS = {
+    "close_sum": "cumulative_sum_close", "close_min": "cumulative_min_close", "close_count": "cumulative_count", "oi_sum": "cumulative_sum_oi",
+    "ce_sum": "cumulative_sum_CE_close", "pe_sum": "cumulative_sum_PE_close", "ce_min": "running_min_ce", "pe_min": "running_min_pe",
+    "MAX_incremental_close_avg": "MAX_incremental_close_avg", "rows": "rownum"}
+
+
 def with_running_stats(seg: Segmented, df: DataFrame, legs: bool) -> DataFrame:
     """Running sums, averages and minima of a segmented frame, and the running maximum of the
     running average. The leg averages divide by the count of the combined close."""
@@ -81,17 +88,19 @@ def with_running_stats(seg: Segmented, df: DataFrame, legs: bool) -> DataFrame:
         "cumulative_sum_close": seg.running("close_sum"),
         "cumulative_count": seg.running("close_count"),
         "cumulative_sum_oi": seg.running("oi_sum"),
-        "incremental_min_close": seg.running("close_min"),
+        "cumulative_min_close": seg.running("close_min"),
     })
     count = F.col("cumulative_count")
     averages = {
+        "incremental_min_close": F.col("cumulative_min_close"),
         "incremental_close_avg": prices.ratio("cumulative_sum_close", count),
         "incremental_oi_avg": prices.ratio("cumulative_sum_oi", count),
     }
     if legs:
+        df = df.withColumns({"cumulative_sum_CE_close": seg.running("ce_sum"), "cumulative_sum_PE_close": seg.running("pe_sum")})
         averages |= {
-            "incremental_CE_close_avg": prices.ratio(seg.running("ce_sum"), count),
-            "incremental_PE_close_avg": prices.ratio(seg.running("pe_sum"), count),
+            "incremental_CE_close_avg": prices.ratio("cumulative_sum_CE_close", count),
+            "incremental_PE_close_avg": prices.ratio("cumulative_sum_PE_close", count),
             "running_min_ce": seg.running("ce_min"),
             "running_min_pe": seg.running("pe_min"),
         }

@@ -124,6 +124,7 @@ class Segmented:
     restarted: bool = False
     frame: tuple[str, ...] = ()
     shared: tuple[str, ...] = ()
+    initial: tuple[str, ...] = ()
 
     @property
     def window(self) -> WindowSpec:
@@ -212,6 +213,9 @@ class Segmented:
         top = [_TOP] if self.shared else []
         table = df.groupBy(*on).agg(*totals, *([top_mark()] if top else [])).select(*on, *befores, *top)
         joined = attached(df, table, on) if top else df.join(table, on, "left")
+        for out, (kind, _) in added.items():
+            if out in self.initial:
+                merged[out] = _merge(kind, F.col(f"_initial_{out}"), merged[out])
         return joined.withColumns(merged).drop(*locals_, *[f"_total_{out}" for out in added])
 
     def add_decayed(self, df: DataFrame, out: str, name: str, start: Column, before_row: bool = False) -> DataFrame:
@@ -251,7 +255,7 @@ class Segmented:
     def finish(self, df: DataFrame) -> DataFrame:
         """Drop the halo and the helper columns."""
         helpers = [_SEG, _HALO, _BEFORE, _LATEST, _ROWS, *(f"_before_{n}" for n in self.carried),
-                   *(f"_whole_{n}" for n in self.totals)]
+                   *(f"_whole_{n}" for n in self.totals), *(f"_initial_{n}" for n in self.initial)]
         return self.own_rows(df).drop(*helpers)
 
 
@@ -267,6 +271,8 @@ def cut(
     number_days: bool = False,
     whole: dict[str, tuple[str, Column]] | None = None,
     shared: bool = False,
+    warmup: Column | None = None,
+    initial: DataFrame | None = None,
 ) -> Segmented:
     """Cut every series of ``df`` into segments of ``days`` trading days.
 
@@ -281,6 +287,10 @@ def cut(
     ``shared`` is for frames that come out of a shuffle, such as bars made from legs or ticks: they are evaluated once for
     the rows and the totals, see ``attached``. A frame read from a table is better read twice, the totals with few columns.
 
+    Results can go on from earlier ones: ``initial`` has, by the keys, the totals of each series before its first row here under
+    the names of ``carry``, of what ``add_running`` adds, and ``rows``, their number (decays and the kinds first and last can't be
+    taken up). Rows that meet ``warmup`` only feed rolling windows and are dropped at the end.
+
     ``keep`` drops rows; with ``number_days`` the days are numbered from the latest back in
     ``day_num``, and a day whose rows are all dropped still takes its number.
     """
@@ -291,9 +301,10 @@ def cut(
     def kept(value: Column) -> Column:
         return value if keep is None else F.when(keep, value)
 
-    partials = [F.count(kept(F.lit(1))).alias("_n")]
+    counted = (lambda value: value) if warmup is None else (lambda value: F.when(~warmup, value))
+    partials = [F.count(kept(F.lit(1))).alias("_all"), F.count(kept(counted(F.lit(1)))).alias("_n")]
     for name, (kind, value, *factor) in carry.items():
-        value = kept(value)
+        value = kept(counted(value))
         if kind == "decay":
             agg = decay_steps(value, order, *factor)
         elif kind in ("first", "last"):
@@ -313,7 +324,7 @@ def cut(
         newest_first = by_series.orderBy(F.col(day).desc())
         daily = daily.withColumn("day_num", F.row_number().over(newest_first).cast("bigint"))
     if keep is not None:
-        daily = daily.where(F.col("_n") > 0)
+        daily = daily.where(F.col("_all") > 0)
     nth_day = F.row_number().over(by_series.orderBy(day))
     daily = daily.withColumn(_SEG, F.floor((nth_day - 1) / F.lit(days)).cast("bigint"))
 
@@ -350,20 +361,30 @@ def cut(
         later = (Window.partitionBy(*keys, _SEG).orderBy(day)
                  .rowsBetween(1, Window.unboundedFollowing))
         columns.append((
-            (F.coalesce(F.sum("_n").over(later), F.lit(0)) < lookback)
+            (F.coalesce(F.sum("_all").over(later), F.lit(0)) < lookback)
             & (F.col(_SEG) < F.max(_SEG).over(by_series))).alias("_feeds_next"))
     daily = daily.select(*keys, day, _SEG, *(["day_num"] if number_days else []), *([_TOP] if shared else []), *columns)
 
+    taken_up = ()
+    if initial is not None:
+        taken_up = tuple(c for c in initial.columns if c not in keys)
+        daily = daily.join(initial.withColumnsRenamed({c: f"_initial_{c}" for c in taken_up}), keys, "left")
+        daily = daily.withColumn(_BEFORE, F.col(_BEFORE) + F.coalesce(F.col("_initial_rows"), F.lit(0)))
+        daily = daily.withColumns({f"_before_{name}": _merge(kind, F.col(f"_initial_{name}"), F.col(f"_before_{name}")) if kind != "count"
+                                   else F.coalesce(F.col(f"_before_{name}"), F.lit(0)) + F.coalesce(F.col(f"_initial_{name}"), F.lit(0))
+                                   for name, (kind, *_) in carry.items() if name in taken_up})
     if shared:
         rows = attached(df, daily, [*keys, day], keep)
     else:
         rows = (df if keep is None else df.where(keep)).join(daily, [*keys, day])
     plain = [c for c in rows.columns if c not in (_SEG, "_feeds_next")]
+    before = F.lit(False) if warmup is None else warmup
     if lookback:
-        here = F.struct(F.col(_SEG).alias(_SEG), F.lit(False).alias(_HALO))
+        here = F.struct(F.col(_SEG).alias(_SEG), before.alias(_HALO))
         after = F.struct((F.col(_SEG) + 1).alias(_SEG), F.lit(True).alias(_HALO))
         copies = F.when(F.col("_feeds_next"), F.array(here, after)).otherwise(F.array(here))
         rows = rows.select(*plain, F.inline(copies))
     else:
-        rows = rows.select(*plain, _SEG, F.lit(False).alias(_HALO))
-    return Segmented(rows, keys, order, day, lookback, carry, tuple(whole), shared=tuple(rows.columns) if shared else ())
+        rows = rows.select(*plain, _SEG, before.alias(_HALO))
+    return Segmented(rows, keys, order, day, lookback, carry, tuple(whole), shared=tuple(rows.columns) if shared else (),
+                     initial=taken_up)

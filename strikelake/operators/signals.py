@@ -52,6 +52,7 @@ LATEST, DAY, WHOLE = "latest", "day", "series"
 
 def _displayed(
     bars: DataFrame, keys: Sequence[str], frame: str, legs: bool, days: int, shared: bool,
+    warmup: Column | None = None, initial: DataFrame | None = None,
 ) -> tuple[Segmented, DataFrame]:
     """Rate of change over the whole history, then running statistics over the frame.
 
@@ -64,10 +65,13 @@ def _displayed(
     needed = ["date", "CE_close", "PE_close"] if legs else ["date"]
     complete = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in needed])
     seg = cut(bars, keys, lookback=ind.ROC_LENGTH, carry=stats if frame == WHOLE else None, days=days,
-              keep=complete, number_days="day_num" not in bars.columns, shared=shared)
+              keep=complete, number_days="day_num" not in bars.columns, shared=shared,
+              warmup=warmup, initial=initial)
     seg.carried = stats
     columns = ["close", "CE_close", "PE_close"] if legs else ["close"]
-    df = seg.df.withColumns({
+    # The middle line of older charts: always zero, kept for those that read it.
+    df = seg.df.withColumn("MidPoint", F.lit(0))
+    df = df.withColumns({
         **{f"ROC_AVG_{c}": ind.roc_sum(c, seg.window) for c in columns},
         "IS_LATEST_DAY": seg.is_latest_day()})
     if legs:
@@ -83,7 +87,7 @@ def _displayed(
 
 def straddle_signals(
     bars: DataFrame, keys: Sequence[str] = SERIES, frame: str = LATEST,
-    days: int = DAYS_PER_SEGMENT, shared: bool = True,
+    days: int = DAYS_PER_SEGMENT, shared: bool = True, warmup: Column | None = None, initial: DataFrame | None = None,
 ) -> DataFrame:
     """All straddle analytics for every series: ROC, running statistics, StopLoss, EntryAllowed.
 
@@ -91,9 +95,12 @@ def straddle_signals(
     their days are numbered before that.
 
     ``frame`` is ``latest`` (rows of the last trading day), ``day`` (all days, each on its own) or
-    ``series`` (all days as one running frame). ``shared`` as for ``segments.cut``.
+    ``series`` (all days as one running frame). ``shared``, ``warmup`` and ``initial`` as for
+    ``segments.cut``: the last goes on from ``indicators.RUNNING_TOTALS`` of an earlier run.
     """
-    seg, df = _displayed(bars, keys, frame, legs=True, days=days, shared=shared)
+    if initial is not None and frame != WHOLE:
+        raise ValueError("only the frame of a whole series goes on from earlier totals")
+    seg, df = _displayed(bars, keys, frame, legs=True, days=days, shared=shared, warmup=warmup, initial=initial)
     in_day = seg.day_window()
     df = df.withColumn("_raw_stop", raw_stop())
     df = df.withColumns({

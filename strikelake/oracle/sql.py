@@ -120,12 +120,14 @@ def running(source: str, cum: str, legs: bool = True) -> str:
     leg_cols = f""",
   sum(CE_close) OVER {cum} / count(close) OVER {cum} AS incremental_CE_close_avg,
   sum(PE_close) OVER {cum} / count(close) OVER {cum} AS incremental_PE_close_avg,
+  sum(CE_close) OVER {cum} AS cumulative_sum_CE_close, sum(PE_close) OVER {cum} AS cumulative_sum_PE_close,
   min(CE_close) OVER {cum} AS running_min_ce, min(PE_close) OVER {cum} AS running_min_pe""" if legs else ""
     return f"""
 SELECT *, max(incremental_close_avg) OVER {cum} AS MAX_incremental_close_avg,
   (incremental_min_close + incremental_close_avg) / 2 AS trailing_sl
 FROM (SELECT *, sum(close) OVER {cum} AS cumulative_sum_close, count(close) OVER {cum} AS cumulative_count,
   CAST(sum(oi) OVER {cum} AS BIGINT) AS cumulative_sum_oi, min(close) OVER {cum} AS incremental_min_close,
+  min(close) OVER {cum} AS cumulative_min_close,
   sum(close) OVER {cum} / count(close) OVER {cum} AS incremental_close_avg,
   sum(oi) OVER {cum} / count(close) OVER {cum} AS incremental_oi_avg,
   count(*) OVER {cum} AS rownum{leg_cols}
@@ -153,16 +155,17 @@ SELECT *, CASE WHEN s3 < (incremental_min_close + incremental_close_avg) / 2
 SELECT *, min(s4) OVER {DAYW} AS StopLoss, first(CE_close) OVER {DAYW} AS CE_close_On_Open,
   first(PE_close) OVER {DAYW} AS PE_close_On_Open FROM sl4""",
         "sig": """
-SELECT *, CASE WHEN (CE_close > o OR PE_close > o) AND close > (incremental_min_close + incremental_close_avg) / 2
+SELECT *, 0 AS MidPoint, CASE WHEN (CE_close > o OR PE_close > o) AND close > (incremental_min_close + incremental_close_avg) / 2
        THEN NULL ELSE close END AS EntryAllowed, o AS Open_Max_Close
 FROM (SELECT *, greatest(CE_close_On_Open, PE_close_On_Open) AS o FROM sl5)""",
     }
 
 
 SIGNAL_PLAIN = ["name", "expiry", "strike", "day", "day_num", "date", "volume", "oi", "CE_oi", "PE_oi",
-                "rownum", "IS_LATEST_DAY", "cumulative_count", "cumulative_sum_oi"]
+                "rownum", "IS_LATEST_DAY", "MidPoint", "cumulative_count", "cumulative_sum_oi"]
 SIGNAL_DOUBLE = ["open", "high", "low", "close", "CE_close", "PE_close", "ohlc4", "ROC_AVG_close",
                  "ROC_AVG_CE_close", "ROC_AVG_PE_close", "ROC_AVG_CEPE_AVG", "cumulative_sum_close",
+                 "cumulative_min_close", "cumulative_sum_CE_close", "cumulative_sum_PE_close",
                  "incremental_min_close", "incremental_close_avg", "incremental_oi_avg",
                  "MAX_incremental_close_avg", "trailing_sl", "incremental_CE_close_avg",
                  "incremental_PE_close_avg", "running_min_ce", "running_min_pe", "StopLoss",
@@ -197,9 +200,9 @@ BAR_DOUBLE = ["open", "high", "low", "close"]
 KEYS = ["name", "expiry", "strike"]
 LEG_KEYS = ["name", "expiry", "strike", "instrument_type", "instrument_token"]
 RUN_PLAIN = ["cumulative_count", "cumulative_sum_oi"]
-RUN_DOUBLE = ["cumulative_sum_close", "incremental_min_close", "incremental_close_avg",
+RUN_DOUBLE = ["cumulative_sum_close", "cumulative_min_close", "incremental_min_close", "incremental_close_avg",
               "incremental_oi_avg", "MAX_incremental_close_avg", "trailing_sl"]
-RUN_LEGS = ["incremental_CE_close_avg", "incremental_PE_close_avg", "running_min_ce", "running_min_pe"]
+RUN_LEGS = ["cumulative_sum_CE_close", "cumulative_sum_PE_close", "incremental_CE_close_avg", "incremental_PE_close_avg", "running_min_ce", "running_min_pe"]
 INSTR = ["instrument_token", "exchange_token", "tradingsymbol", "name", "expiry", "lot_size",
          "instrument_type", "segment", "exchange"]
 UPSERTED = """
@@ -362,7 +365,7 @@ SELECT *, {r2('(open + high + low + close) / 4')} AS ohlc4, {roc('close', WL)} A
 FROM bars WHERE volume > 0"""}
     out["leg_signals"] = with_ctes(
         f"""SELECT {cols([*LEG_KEYS, 'day', 'day_num', 'date', 'oi', 'rownum', 'IS_LATEST_DAY', *RUN_PLAIN],
-                        ['close', 'ohlc4', 'ROC_AVG_close', *RUN_DOUBLE])} FROM ({running('leg_rows', CUM_L, legs=False)})""",
+                        ['close', 'ohlc4', 'ROC_AVG_close', *RUN_DOUBLE])}, 0 AS MidPoint FROM ({running('leg_rows', CUM_L, legs=False)})""",
         legs)
     return out
 
@@ -578,6 +581,13 @@ FROM bars b SEMI JOIN (SELECT * FROM contracts WHERE abs(strike - 54300) <= 3 *
 SELECT {cols([f'b.{c} AS {c}' for c in BAR_PLAIN], [])}, b.open, b.high, b.low, b.close
 FROM bars b SEMI JOIN (SELECT * FROM chain WHERE abs(Strike_level) <= 3
   AND expiry = (SELECT min(expiry) FROM contracts)) c USING (instrument_token, expiry)"""),
+        "stream_signals_series": with_ctes(
+            f"""SELECT {cols([*KEYS, 'day', 'date', 'rownum', *RUN_PLAIN], ['close', 'ROC_AVG_close', *RUN_DOUBLE, *RUN_LEGS,
+                'StopLoss', 'EntryAllowed'])} FROM sig""", revised | signal_ctes("roc_rows", CUM)),
+        "stream_signals_frame": with_ctes(
+            f"""SELECT {cols([*KEYS, 'day', 'date', 'rownum', *RUN_PLAIN], ['close', 'ROC_AVG_close', *RUN_DOUBLE, *RUN_LEGS,
+                'StopLoss', 'EntryAllowed'])} FROM sig""", revised | signal_ctes("roc_rows", CUM) | {
+                "straddle": CTES["straddle"] + " AND day_num <= 7"}),
         "stream_signals": with_ctes(
             f"""SELECT {cols([*KEYS, 'day', 'date', 'rownum'],
                 ['close', 'ROC_AVG_close', 'incremental_close_avg', 'StopLoss', 'EntryAllowed'])} FROM sig""",

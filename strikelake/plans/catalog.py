@@ -230,9 +230,10 @@ def roc_avg(spark, sf_dir):
     return out.select(*ROC_COLUMNS)
 
 
-RUNNING = ["cumulative_sum_close", "cumulative_count", "cumulative_sum_oi", "incremental_min_close",
+# The names of the result columns, which charts read.
+RUNNING = ["cumulative_sum_close", "cumulative_min_close", "cumulative_count", "cumulative_sum_oi", "incremental_min_close",
            "incremental_close_avg", "incremental_oi_avg", "MAX_incremental_close_avg", "trailing_sl"]
-RUNNING_LEGS = ["incremental_CE_close_avg", "incremental_PE_close_avg", "running_min_ce", "running_min_pe"]
+RUNNING_LEGS = ["cumulative_sum_CE_close", "cumulative_sum_PE_close", "incremental_CE_close_avg", "incremental_PE_close_avg", "running_min_ce", "running_min_pe"]
 
 
 @query
@@ -305,8 +306,9 @@ def extra_indicators(spark, sf_dir):
 
 # --- signals -------------------------------------------------------------------------------------
 
+# The names of the result columns, which charts read.
 SIGNALS = [*SERIES, "day", "day_num", "date", "open", "high", "low", "close", "volume", "oi",
-           "CE_close", "PE_close", "CE_oi", "PE_oi", "ohlc4", "rownum", "IS_LATEST_DAY",
+           "CE_close", "PE_close", "CE_oi", "PE_oi", "ohlc4", "rownum", "IS_LATEST_DAY", "MidPoint",
            "ROC_AVG_close", "ROC_AVG_CE_close", "ROC_AVG_PE_close", "ROC_AVG_CEPE_AVG",
            *RUNNING, *RUNNING_LEGS, "StopLoss", "CE_close_On_Open", "PE_close_On_Open",
            "Open_Max_Close", "EntryAllowed"]
@@ -343,7 +345,7 @@ def entry_allowed(spark, sf_dir):
 def leg_signals(spark, sf_dir):
     out = pipelines.leg_signals(fx.bars(spark, sf_dir), num_days=None, frame=S.WHOLE)
     return out.select(*LEG, "day", "day_num", "date", "close", "oi", "ohlc4", "rownum",
-                             "IS_LATEST_DAY", "ROC_AVG_close", *RUNNING)
+                             "IS_LATEST_DAY", "MidPoint", "ROC_AVG_close", *RUNNING)
 
 
 # --- spreads -------------------------------------------------------------------------------------
@@ -680,5 +682,29 @@ def stream_signals(spark, sf_dir):
         "StopLoss", "EntryAllowed")
 
 
+SERIES_SIGNALS = [*SERIES, "day", "date", "close", "rownum", "ROC_AVG_close", *RUNNING, *RUNNING_LEGS, "StopLoss", "EntryAllowed"]
+FRAME_DAYS = 7
+
+
+@query
+def stream_signals_series(spark, sf_dir):
+    """Statistics that run through the whole series; the second pull revises days in its middle."""
+    out = fresh_dir(spark, "stream-series")
+    _land_and_run(
+        _pulls(spark, sf_dir), f"{out}/landing", f"{out}/checkpoint",
+        lambda landed: jobs.series_signals_to(landed, f"{out}/candles", f"{out}/signals", _job(out), version="pull"))
+    return spark.read.parquet(f"{out}/signals").select(*SERIES_SIGNALS)
+
+
+@query
+def stream_signals_frame(spark, sf_dir):
+    """The chart's own frame of the last days, which moves on with the second pull."""
+    out = fresh_dir(spark, "stream-frame")
+    _land_and_run(
+        _pulls(spark, sf_dir), f"{out}/landing", f"{out}/checkpoint",
+        lambda landed: jobs.frame_signals_to(landed, f"{out}/candles", f"{out}/signals", _job(out), FRAME_DAYS, version="pull"))
+    return spark.read.parquet(f"{out}/signals").select(*SERIES_SIGNALS)
+
+
 def flagship(spark: SparkSession, sf_dir: str, width: str) -> DataFrame:
     return steady(straddle_query(spark, sf_dir, S.WHOLE, width).select(*SIGNALS))

@@ -93,3 +93,20 @@ def upsert(
         commit.coalesce(1).write.mode("append").parquet(commits_path(path))
     finally:
         new.unpersist()
+
+
+def replace_series(rows: DataFrame, path: str, series: DataFrame, keys: Sequence[str], partitions: Sequence[str] = ("expiry",)) -> None:
+    """All rows of the given series replaced by ``rows``; those of other series in the same partitions stay.
+
+    Doing it again gives the same table, so a job that failed half way just runs again. The partitions are columns of the key.
+    """
+    spark, bounds = rows.sparkSession, [f(c).alias(f"{f.__name__}_{c}") for c in partitions for f in (F.min, F.max)]
+    table = read_table(spark, path, rows.schema)
+    if table is not None:
+        seen = series.agg(*bounds).first()
+        for c in partitions:
+            table = table.where(F.col(c).between(seen[f"min_{c}"], seen[f"max_{c}"]))
+        old = table.join(series.select(*partitions).distinct(), list(partitions), "left_semi").join(series.select(*keys).distinct(), list(keys), "left_anti")
+        rows = old.select(*rows.columns).unionByName(rows)
+    (rows.hint("rebalance", *partitions).write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy(*partitions).parquet(path))

@@ -20,7 +20,7 @@ from strikelake.operators import indicators as ind
 from strikelake.operators import momentum as M
 from strikelake.operators import signals as S
 from strikelake.schemas import LEG, SERIES
-from strikelake.sources.sinks import read_table, upsert
+from strikelake.sources.sinks import read_table, replace_series, upsert
 from strikelake.sources.tables import read_candles
 
 
@@ -244,12 +244,14 @@ def _bounds(df: DataFrame, columns: Sequence[str]) -> Row:
     return df.agg(*[f(c).alias(f"{f.__name__}_{c}") for c in columns for f in (F.min, F.max)]).first()
 
 
-def affected_spans(days: DataFrame, touched: DataFrame, lookback: int, keys: Sequence[str] = SERIES) -> DataFrame:
+def affected_spans(days: DataFrame, touched: DataFrame, lookback: int, keys: Sequence[str] = SERIES,
+                   to_end: bool = False) -> DataFrame:
     """Per touched series the days whose signals change, ``from_day`` to ``to_day``, and ``start``, from which on bars
     are needed for them.
 
-    A changed bar alters its own day and, through the rate of change, the next ``lookback`` bars. ``touched`` has the
-    series' first and last touched day; ``days`` has (series, day, bars), so no bar is read here.
+    A changed bar alters its own day and, through the rate of change, the next ``lookback`` bars; with ``to_end``, as where
+    statistics run through the series, all days after it. ``touched`` has the series' first and last touched day;
+    ``days`` has (series, day, bars), so no bar is read here.
     """
     keys = list(keys)
     rows = days.join(touched, keys)
@@ -263,33 +265,41 @@ def affected_spans(days: DataFrame, touched: DataFrame, lookback: int, keys: Seq
     rows = rows.withColumns({"_before": nearer(newest, before), "_after": nearer(oldest, after)})
     return rows.groupBy(*keys).agg(
         F.max("first").alias("from_day"),
-        F.greatest(F.max("last"), F.max(F.when(after & (F.col("_after") < lookback), F.col("day")))).alias("to_day"),
+        F.greatest(F.max("last"), F.max(F.when(after & (F.lit(to_end) | (F.col("_after") < lookback)), F.col("day")))).alias("to_day"),
         F.least(F.max("first"), F.min(F.when(before & (F.col("_before") < lookback), F.col("day")))).alias("start"))
 
 
+def counted_days(spark: SparkSession, batch: DataFrame, candles_path: str, batch_id: str, where: Row,
+                 keys: Sequence[str] = SERIES) -> DataFrame:
+    """The table of (series, day, bars) within the batch's expiries, after the days the batch touched are counted anew from
+    their own partitions. A day without a bar of both legs counts none."""
+    keys = list(keys)
+    candles = read_candles(spark, candles_path, refresh=True)
+    own = _within(candles, where, ["expiry", "day"]).join(batch.select("expiry", "day").distinct(), ["expiry", "day"], "left_semi")
+    complete = F.col("CE_close").isNotNull() & F.col("PE_close").isNotNull()
+    counted = B.straddle_bars(own, keys, both_legs=False, numbered=False).groupBy(*keys, "day").agg(F.count_if(complete).alias("bars"))
+    upsert(counted, days_path(candles_path), f"{batch_id}/days", key=[*keys, "day"], partitions=["expiry"])
+    spark.catalog.refreshByPath(days_path(candles_path))
+    return _within(spark.read.schema(counted.schema).parquet(days_path(candles_path)), where, ["expiry"])
+
+
 def touched_history(spark: SparkSession, batch: DataFrame, candles_path: str, batch_id: str, lookback: int,
-                    keys: Sequence[str] = SERIES) -> DataFrame:
+                    keys: Sequence[str] = SERIES, to_end: bool = False) -> DataFrame:
     """Straddle bars that the signals touched by a merged batch depend on, with ``from_day`` and ``to_day``.
 
-    The days the batch touched are counted anew from their own partitions; the table of days then tells which
-    partitions of the candles are needed, and only these are listed and read.
+    The table of days tells which partitions of the candles are needed, and only these are listed and read.
     """
     keys = list(keys)
     where = _bounds(batch, ["expiry", "day"])
     if where["min_day"] is None:
         return B.straddle_bars(batch, keys, numbered=False).withColumns({"from_day": F.col("day"), "to_day": F.col("day")})
-    candles = read_candles(spark, candles_path, refresh=True)
-    own = _within(candles, where, ["expiry", "day"]).join(batch.select("expiry", "day").distinct(), ["expiry", "day"], "left_semi")
-    counted = B.straddle_bars(own, keys, numbered=False).groupBy(*keys, "day").agg(F.count(F.lit(1)).alias("bars"))
-    upsert(counted, days_path(candles_path), f"{batch_id}/days", key=[*keys, "day"], partitions=["expiry"])
-    spark.catalog.refreshByPath(days_path(candles_path))
-    days = _within(spark.read.schema(counted.schema).parquet(days_path(candles_path)), where, ["expiry"])
+    days = counted_days(spark, batch, candles_path, batch_id, where, keys)
     touched = batch.groupBy(*keys).agg(F.min("day").alias("first"), F.max("day").alias("last"))
-    spans = affected_spans(days, touched, lookback, keys)
+    spans = affected_spans(days, touched, lookback, keys, to_end)
     reach = spans.agg(F.min("start").alias("min_day"), F.max("to_day").alias("max_day")).first()
     if reach["min_day"] is None:  # no bar with both legs
         reach = where
-    candles = _within(_within(candles, where, ["expiry"]), reach, ["day"])
+    candles = _within(_within(read_candles(spark, candles_path, refresh=True), where, ["expiry"]), reach, ["day"])
     straddles = B.straddle_bars(candles, keys, numbered=False).join(spans, keys)
     return straddles.where(F.col("day").between(F.col("start"), F.col("to_day"))).drop("start")
 
@@ -310,43 +320,137 @@ def refresh_signals(
         batch.unpersist()
 
 
-def states_path(readings_path: str) -> str:
-    """The table of each contract's RSI state before and after every day, kept beside the readings."""
-    return f"{readings_path.rstrip('/')}_states"
+def totals_path(signals_path: str) -> str:
+    """The table of each series' running totals before and after every day, kept beside signals of whole series."""
+    return f"{signals_path.rstrip('/')}_totals"
+
 
+def latest_path(path: str) -> str:
+    """The newest day's row of each series of a table of states."""
+    return f"{path.rstrip('/')}_latest"
 
-def _known(spark: SparkSession, path: str, schema: T.StructType, bounds: Row, columns: Sequence[str]) -> DataFrame:
+
+def _known(spark: SparkSession, path: str, schema: T.StructType, bounds: Row | dict, columns: Sequence[str]) -> DataFrame:
     """A table kept by these jobs, empty if it isn't there yet, within literal bounds."""
     table = read_table(spark, path, schema)
     return spark.createDataFrame([], schema) if table is None else _within(table, bounds, columns)
 
 
-def _state_schema(batch: DataFrame, keys: Sequence[str]) -> T.StructType:
-    held = T.StructType([T.StructField("bars", T.LongType()), *[T.StructField(c, T.DoubleType()) for c in M.RSI_STATE[1:]]])
-    fields = {f.name: f for f in batch.schema}
+def _onwards(where: Row) -> dict:
+    return where.asDict() | {"max_day": dt.date.max}
+
+
+def states_before(spark: SparkSession, batch: DataFrame, path: str, newest: str, shape: T.StructType, where: Row,
+                  keys: Sequence[str]) -> DataFrame:
+    """The state, in columns, of each series the batch touches before its first touched day; series without one are left out.
+
+    ``path`` has a row per series and day with the state after it and, in ``start``, before it; ``newest`` each series'
+    last one. A series whose last day is older than the batch goes on from that. Otherwise its earliest day not before
+    the batch tells the state it started from. So no day before the batch is listed or read.
+    """
+    keys = list(keys)
+    held = shape["start"].dataType.names
+    touched = batch.groupBy(*keys).agg(F.min("day").alias("_first"))
+    later = (_known(spark, path, shape, _onwards(where), ["expiry", "day"]).join(touched, keys).where(F.col("day") >= F.col("_first"))
+             .groupBy(*keys).agg(F.min_by("start", "day").alias("_start")))
+    latest = (_known(spark, newest, shape, where, ["expiry"])
+              .select(*keys, F.col("day").alias("_day"), F.struct(*held).alias("_end")))
+    known = touched.join(later, keys, "left").join(latest, keys, "left")
+    state = F.when(F.col("_start").isNotNull(), F.col("_start")).when(F.col("_day") < F.col("_first"), F.col("_end"))
+    return known.select(*keys, state.alias("s")).where("s IS NOT NULL").select(*keys, "s.*")
+
+
+def _state_shape(keys: Sequence[str], fields: T.StructType, held: T.StructType) -> T.StructType:
     return T.StructType([*[fields[k] for k in keys], T.StructField("day", T.DateType()), *held, T.StructField("start", held)])
 
 
+_SUMS = {"close_count": T.LongType(), "oi_sum": T.LongType(), "rows": T.LongType()}
+_TOTALS = T.StructType([T.StructField(name, _SUMS.get(name, T.DoubleType())) for name in ind.RUNNING_TOTALS])
+
+
+def refresh_series_signals(
+    spark: SparkSession, batch: DataFrame, candles_path: str, signals_path: str, batch_id: str,
+    version: str | None = None, keys: Sequence[str] = SERIES,
+) -> None:
+    """Merge a batch of candles, then recompute and merge the signals of whole series from their first touched day on.
+
+    Statistics of this frame run from the first bar, so a bar alters all that follow it, but the running totals before
+    the batch are kept by day: nothing older than the look-back of the rate of change is read.
+    """
+    keys = list(keys)
+    batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        upsert(batch, candles_path, f"{batch_id}/candles", version=version)
+        where = _bounds(batch, ["expiry", "day"])
+        if where["min_day"] is None:
+            return
+        totals, shape = totals_path(signals_path), _state_shape(keys, batch.schema, _TOTALS)
+        history = touched_history(spark, batch, candles_path, batch_id, ind.ROC_LENGTH, keys, to_end=True)
+        prior = states_before(spark, batch, totals, latest_path(totals), shape, where, keys)
+        signals = S.straddle_signals(history, keys, S.WHOLE, warmup=F.col("day") < F.col("from_day"), initial=prior)
+        signals = signals.drop("from_day", "to_day", "day_num", "IS_LATEST_DAY")
+        upsert(signals, signals_path, f"{batch_id}/signals", key=[*keys, "date"])
+
+        touched = batch.groupBy(*keys).agg(F.min("day").alias("_first"))
+        now = _known(spark, signals_path, signals.schema, _onwards(where), ["expiry", "day"]).join(touched, keys).where(F.col("day") >= F.col("_first"))
+        end = F.max_by(F.struct(*[F.col(c).cast(_TOTALS[name].dataType).alias(name) for name, c in ind.RUNNING_TOTALS.items()]), "date")
+        ends = now.groupBy(*keys, "day").agg(end.alias("_end")).join(prior.select(*keys, F.struct(*_TOTALS.names).alias("_prior")), keys, "left")
+        start = F.coalesce(F.lag("_end").over(Window.partitionBy(*keys).orderBy("day")), F.col("_prior"))
+        upsert(ends.select(*keys, "day", "_end.*", start.alias("start")), totals, f"{batch_id}/totals", key=[*keys, "day"])
+        kept = _known(spark, totals, shape, _onwards(where), ["expiry", "day"]).join(touched.select(*keys), keys, "left_semi")
+        rest = [c for c in shape.names if c not in keys]
+        newest = kept.groupBy(*keys).agg(F.max_by(F.struct(*rest), "day").alias("_r")).select(*keys, "_r.*")
+        upsert(newest, latest_path(totals), f"{batch_id}/latest", key=keys, partitions=["expiry"])
+    finally:
+        batch.unpersist()
+
+
+def refresh_frame_signals(
+    spark: SparkSession, batch: DataFrame, candles_path: str, signals_path: str, batch_id: str, num_days: int,
+    version: str | None = None, keys: Sequence[str] = SERIES,
+) -> None:
+    """Merge a batch of candles, then replace the signals of the touched series over their last ``num_days`` days.
+
+    A new day moves the frame, and with it every running statistic, so the frame is computed again; the table of days tells
+    which days it has, and only their partitions are read.
+    """
+    keys = list(keys)
+    batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        upsert(batch, candles_path, f"{batch_id}/candles", version=version)
+        where = _bounds(batch, ["expiry", "day"])
+        if where["min_day"] is None:
+            return
+        touched = batch.select(*keys).distinct()
+        days = counted_days(spark, batch, candles_path, batch_id, where, keys).join(touched, keys, "left_semi")
+        newest_first = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("day").desc()))
+        framed = days.select(*keys, "day", newest_first.alias("_nth")).where(F.col("_nth") <= num_days).drop("_nth")
+        candles = _within(_within(read_candles(spark, candles_path, refresh=True), where, ["expiry"]), _bounds(framed, ["day"]), ["day"])
+        straddles = B.straddle_bars(candles.join(framed, [*keys, "day"], "left_semi"), keys, both_legs=False, numbered=False)
+        signals = S.straddle_signals(straddles, keys, S.WHOLE)
+        replace_series(signals, signals_path, touched, keys)
+    finally:
+        batch.unpersist()
+
+
+def states_path(readings_path: str) -> str:
+    """The table of each contract's RSI state before and after every day, kept beside the readings."""
+    return f"{readings_path.rstrip('/')}_states"
+
+
+_RSI = T.StructType([T.StructField("bars", T.LongType()), *[T.StructField(c, T.DoubleType()) for c in M.RSI_STATE[1:]]])
+
+
 def advanced_states(spark: SparkSession, batch: DataFrame, candles_path: str, readings_path: str, where: Row,
                     keys: Sequence[str] = LEG) -> DataFrame:
-    """RSI states of the contracts a merged batch touches, from their first touched day on.
+    """RSI states of the contracts a merged batch touches, from their first touched day on; ``where`` has its bounds.
 
-    ``where`` has the bounds of the batch. A contract whose latest state is older than the batch goes on from it. Otherwise
-    the state before its earliest stored day not before the batch is taken, as that day holds the state it started from.
-    So neither candles nor states of a day before the batch are listed or read, and bars out of order cost the days
-    after them.
+    Bars out of order cost the days after them; no candle of a day before the batch is read.
     """
-    keys, shape = list(keys), _state_schema(batch, keys)
-    from_day = where.asDict() | {"max_day": dt.date.max}
+    keys = list(keys)
+    prior = states_before(spark, batch, states_path(readings_path), readings_path, _state_shape(keys, batch.schema, _RSI), where, keys)
     touched = batch.groupBy(*keys).agg(F.min("day").alias("_first"))
-    later = (_known(spark, states_path(readings_path), shape, from_day, ["expiry", "day"]).join(touched, keys).where(F.col("day") >= F.col("_first"))
-             .groupBy(*keys).agg(F.min_by("start", "day").alias("_start")))
-    latest = (_known(spark, readings_path, shape, where, ["expiry"])
-              .select(*keys, F.col("day").alias("_day"), F.struct(*M.RSI_STATE).alias("_end")))
-    known = touched.join(later, keys, "left").join(latest, keys, "left")
-    prior = known.select(*keys, F.when(F.col("_start").isNotNull(), F.col("_start")).when(F.col("_day") < F.col("_first"), F.col("_end")).alias("s"))
-    prior = prior.where("s IS NOT NULL").select(*keys, "s.*")
-    candles = _within(read_candles(spark, candles_path, refresh=True), from_day, ["expiry", "day"])
+    candles = _within(read_candles(spark, candles_path, refresh=True), _onwards(where), ["expiry", "day"])
     return M.rsi_states(candles.join(touched, keys).where(F.col("day") >= F.col("_first")).drop("_first"), prior, keys)
 
 
@@ -363,8 +467,7 @@ def refresh_rsi(
             return
         states = advanced_states(spark, batch, candles_path, readings_path, where, keys)
         upsert(states, states_path(readings_path), f"{batch_id}/states", key=[*keys, "day"])
-        from_day = where.asDict() | {"max_day": dt.date.max}
-        now = _known(spark, states_path(readings_path), _state_schema(batch, keys), from_day, ["expiry", "day"])
+        now = _known(spark, states_path(readings_path), _state_shape(keys, batch.schema, _RSI), _onwards(where), ["expiry", "day"])
         now = now.join(batch.select(*keys).distinct(), list(keys), "left_semi")
         upsert(M.rsi_readings(now, keys), readings_path, f"{batch_id}/rsi", key=list(keys), partitions=["expiry"])
     finally:
@@ -387,3 +490,18 @@ def signals_to(
                         f"{job}/{batch_id}", version)
     return candles.writeStream.outputMode("append").foreachBatch(write)
 
+
+def series_signals_to(
+    candles: DataFrame, candles_path: str, signals_path: str, job: str, version: str | None = None,
+) -> DataStreamWriter:
+    def write(batch: DataFrame, batch_id: int) -> None:
+        refresh_series_signals(batch.sparkSession, batch, candles_path, signals_path, f"{job}/{batch_id}", version)
+    return candles.writeStream.outputMode("append").foreachBatch(write)
+
+
+def frame_signals_to(
+    candles: DataFrame, candles_path: str, signals_path: str, job: str, num_days: int, version: str | None = None,
+) -> DataStreamWriter:
+    def write(batch: DataFrame, batch_id: int) -> None:
+        refresh_frame_signals(batch.sparkSession, batch, candles_path, signals_path, f"{job}/{batch_id}", num_days, version)
+    return candles.writeStream.outputMode("append").foreachBatch(write)

@@ -9,8 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from strikelake.operators import momentum as M
-from strikelake.plans import catalog
-from strikelake.schemas import CANDLES, LEG
+from strikelake.operators import signals as S
+from strikelake.plans import catalog, pipelines
+from strikelake.schemas import CANDLES, LEG, SERIES
 from strikelake.session import fresh_dir
 from strikelake.sources import fixtures as fx
 from strikelake.sources import tables
@@ -231,3 +232,51 @@ def test_an_error_ends_the_session(spark, rate):
     stream = writer().foreachBatch(fail)
     with pytest.raises(Exception, match="no room"):
         jobs.run(stream, checkpoint + "-2", "1 second", until=dt.datetime.now() + dt.timedelta(minutes=10))
+
+
+# --- signals of longer frames --------------------------------------------------------------------
+
+SHOWN = catalog.SERIES_SIGNALS
+
+
+def test_series_signals_in_any_order_equal_the_batch(spark, bars):
+    """The later half first, then the earlier one, a day of the middle revised, and the last day once more."""
+    out = fresh_dir(spark, "t")
+    revised = days_of(bars, 12).withColumn("close", F.col("close") + 3)
+    batches = [bars.where("dayofmonth(day) >= 15"), bars.where("dayofmonth(day) < 15"), revised, days_of(bars, 30), bars.limit(0)]
+    for n, batch in enumerate(batches):
+        jobs.refresh_series_signals(spark, batch, f"{out}/candles", f"{out}/signals", f"{out[-8:]}/{n}")
+    want = pipelines.straddle_signals(tables.read_candles(spark, f"{out}/candles", refresh=True), num_days=None, frame=S.WHOLE)
+    got = spark.read.parquet(f"{out}/signals")
+    assert rows(catalog.steady(got.select(*SHOWN))) == rows(catalog.steady(want.select(*SHOWN)))
+
+
+def test_totals_before_a_batch_are_found_without_older_days(spark, bars):
+    out = fresh_dir(spark, "t")
+    jobs.refresh_series_signals(spark, bars.where("dayofmonth(day) < 28"), f"{out}/candles", f"{out}/signals", f"{out[-8:]}/1")
+    batch, totals = days_of(bars, 28), jobs.totals_path(f"{out}/signals")
+    where = jobs._bounds(batch, ["expiry", "day"])
+    prior = jobs.states_before(spark, batch, totals, jobs.latest_path(totals), jobs._state_shape(SERIES, batch.schema, jobs._TOTALS), where, SERIES)
+    found = scans(prior, totals, spark)
+    assert found and all(re.search(r"PartitionFilters: \[[^\]]*day#\d+ >= 2024-01-28", x) for x in found)
+    last = pipelines.straddle_signals(bars.where("dayofmonth(day) < 28"), num_days=None, frame=S.WHOLE)
+    want = {(r.expiry, r.strike): r for r in last.where("IS_LATEST_DAY").groupBy(*SERIES).agg(
+        F.max_by(F.struct("rownum", "cumulative_sum_close", "MAX_incremental_close_avg"), "date").alias("r")).select(*SERIES, "r.*").collect()}
+    got = {(r.expiry, r.strike): r for r in prior.collect()}
+    assert got.keys() == want.keys()
+    for k, r in got.items():
+        assert r.rows == want[k].rownum and r.close_sum == pytest.approx(want[k].cumulative_sum_close)
+        assert r.MAX_incremental_close_avg == pytest.approx(want[k].MAX_incremental_close_avg)
+    # With the day merged, the signals need the look-back only.
+    jobs.upsert(batch, f"{out}/candles", f"{out[-8:]}/2/candles")
+    history = jobs.touched_history(spark, batch, f"{out}/candles", f"{out[-8:]}/2", 20, to_end=True)
+    assert history.agg(F.min("day")).first()[0] >= dt.date(2024, 1, 21)
+
+
+def test_a_frame_of_days_moves_on(spark, bars):
+    out = fresh_dir(spark, "t")
+    batches = [bars.where("dayofmonth(day) <= 20"), days_of(bars, 21).where("strike < 54400"), days_of(bars, 18).withColumn("close", F.col("close") + 1)]
+    for n, batch in enumerate(batches):
+        jobs.refresh_frame_signals(spark, batch, f"{out}/candles", f"{out}/signals", f"{out[-8:]}/{n}", 5)
+        want = pipelines.straddle_signals(tables.read_candles(spark, f"{out}/candles", refresh=True), num_days=5, frame=S.WHOLE)
+        assert rows(catalog.steady(spark.read.parquet(f"{out}/signals").select(*SHOWN))) == rows(catalog.steady(want.select(*SHOWN)))
