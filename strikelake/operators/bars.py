@@ -36,11 +36,12 @@ def ohlc_bars(ticks: DataFrame, width: str, keys: Sequence[str] = LEG) -> DataFr
 
 
 def latest_version(df: DataFrame, keys: Sequence[str], version: str) -> DataFrame:
-    """One row per key: the one with the greatest ``version``. Aggregated before the shuffle."""
-    rest = [c for c in df.columns if c not in keys]
+    """One row per key: the one with the greatest ``version``, and of equal ones the greatest by all other columns, so that the
+    choice never depends on the order of the rows. Aggregated before the shuffle."""
+    rest = [c for c in df.columns if c not in keys and c != version]
     return (df.groupBy(*keys)
-            .agg(F.max_by(F.struct(*rest), F.col(version)).alias("r"))
-            .select(*keys, "r.*"))
+            .agg(F.max(F.struct(version, *rest)).alias("r"))
+            .select(*[F.col(c) if c in keys else F.col(f"r.{c}").alias(c) for c in df.columns]))
 
 
 def traded(bars: DataFrame) -> DataFrame:
@@ -105,22 +106,26 @@ def straddle_bars(
     days_back: int = 0,
     both_legs: bool = True,
     numbered: bool = True,
+    calendar: DataFrame | None = None,
+    dealt: bool = False,
 ) -> DataFrame:
     """Call and put bars of a strike summed per bar time.
 
     A bar with one leg only has NULL in the other leg's columns; it still counts its day in
     ``day_num`` and is dropped after that unless ``both_legs`` is off. ``numbered=False`` leaves out
-    the day number and the join it takes.
+    the day number and the join it takes. ``calendar`` as for ``last_days``. ``dealt`` says that the legs lie together by
+    (series, day) already, as in a bucketed table, and are not to be shuffled for it.
     """
     rows = traded(legs)
     if num_days is not None or days_back:
-        rows = last_days(rows, keys, num_days, days_back)
+        rows = last_days(rows, keys, num_days, days_back, calendar)
         day_num = [F.max("day_num").alias("day_num")]
     else:
         day_num = []
     is_ce, is_pe = F.col("instrument_type") == CALL, F.col("instrument_type") == PUT
     # Shuffled by (series, day) once; the sum per bar and all that follows per day stays in place.
-    summed = rows.repartition(*keys, "day").groupBy(*keys, "day", "date").agg(
+    together = rows if dealt else rows.repartition(*keys, "day")
+    summed = together.groupBy(*keys, "day", "date").agg(
         *[prices.round2(F.sum(c)).alias(c) for c in ("open", "high", "low", "close")],
         F.sum("volume").alias("volume"),
         F.sum("oi").alias("oi"),
@@ -140,9 +145,10 @@ def straddle_bars(
 
 def leg_bars(
     legs: DataFrame, keys: Sequence[str] = LEG, num_days: int | None = None, days_back: int = 0,
+    calendar: DataFrame | None = None,
 ) -> DataFrame:
     """Single-leg bars: traded, day numbered, positive close, with ``ohlc4``."""
-    return (last_days(traded(legs), keys, num_days, days_back)
+    return (last_days(traded(legs), keys, num_days, days_back, calendar)
             .where(F.col("close") > 0)
             .withColumn("ohlc4", prices.ohlc4()))
 
@@ -154,10 +160,23 @@ def latest_day_flag(bars: DataFrame, keys: Sequence[str] = SERIES) -> DataFrame:
             .withColumn("IS_LATEST_DAY", F.col("day") == F.col("_last")).drop("_last"))
 
 
-def first_bars(bars: DataFrame, n: int, keys: Sequence[str] = SERIES, order: str = "date") -> DataFrame:
-    """The first ``n`` bars of each series; Spark keeps ``n`` per task before the shuffle."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    return bars.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
+def first_bars(bars: DataFrame, n: int, keys: Sequence[str] = SERIES, order: str = "date",
+               calendar: DataFrame | None = None) -> DataFrame:
+    """The first ``n`` bars of each series.
+
+    Which days they lie on follows from the running count of bars by day, of which there are few: whole days are
+    taken by a join, and only the day in which the ``n``-th bar falls is ranked, by (series, day). So no task holds more
+    than a day, whatever ``n``. ``calendar``, rows of (series, day, bars) such as the table kept beside the candles, spares
+    counting them; on a table partitioned by day the join then prunes the scan to the days needed.
+    """
+    keys = list(keys)
+    days = segments.trading_days(bars, keys) if calendar is None else calendar.select(*keys, "day", "bars")
+    earlier = Window.partitionBy(*keys).orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    left = F.lit(n) - F.coalesce(F.sum("bars").over(earlier), F.lit(0))
+    days = days.select(*keys, "day", "bars", left.alias("_left")).where(F.col("_left") > 0)
+    rows = bars.join(days.withColumnRenamed("bars", "_bars"), [*keys, "day"])
+    in_day = F.row_number().over(Window.partitionBy(*keys, "day").orderBy(order))
+    return rows.withColumn("_nth", in_day).where(F.col("_nth") <= F.col("_left")).drop("_nth", "_left", "_bars")
 
 
 def fill_gaps(bars: DataFrame, width_seconds: int, keys: Sequence[str], values: Sequence[str],

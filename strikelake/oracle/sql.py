@@ -260,6 +260,12 @@ SELECT *, dense_rank() OVER (PARTITION BY {LEG} ORDER BY day DESC) - 1 AS day_nu
     return {
         "ohlc_bars": bars,
         "candles_load": bars,
+        "candles_rejected": """
+SELECT CASE WHEN oi % 11 <> 0 THEN CAST(instrument_token AS VARCHAR) END AS instrument_token, CAST(expiry AS VARCHAR) AS expiry,
+  CAST(volume AS VARCHAR) AS volume, CAST(oi AS VARCHAR) AS oi,
+  concat_ws(',', CASE WHEN oi % 11 = 0 THEN 'instrument_token' END, CASE WHEN oi % 3 = 0 THEN 'date' END,
+            CASE WHEN volume % 5 = 0 OR volume % 7 = 0 THEN 'close' END) AS reasons
+FROM bars WHERE oi % 11 = 0 OR oi % 3 = 0 OR volume % 5 = 0 OR volume % 7 = 0""",
         "bars_clean": f"SELECT * REPLACE ({r6('close + 0.5')} AS close) FROM bars WHERE volume > 0",
         "leg_bars": f"""SELECT {cols([*BAR_PLAIN, 'day_num'], [*BAR_DOUBLE, 'ohlc4'])} FROM ({leg_days})
 WHERE close > 0 AND day_num BETWEEN 1 AND 5""",

@@ -153,6 +153,24 @@ def candles_load(spark, sf_dir):
     return tables.load_candles(spark, path)
 
 
+def spoiled(bars: DataFrame) -> DataFrame:
+    """The candles as text, some of it no value: closes, times and tokens by the bar's volume and open interest."""
+    volume, oi = F.col("volume"), F.col("oi")
+    broken = {"close": F.when(volume % 5 == 0, "n/a").when(volume % 7 == 0, F.lit(None)).otherwise(F.col("close").cast("string")),
+              "date": F.when(oi % 3 == 0, "yesterday").otherwise(F.col("date").cast("string")),
+              "instrument_token": F.when(oi % 11 == 0, F.lit(None)).otherwise(F.col("instrument_token").cast("string"))}
+    return bars.select([broken[c].alias(c) if c in broken else F.col(c).cast("string").alias(c) for c in bars.columns])
+
+
+@query
+def candles_rejected(spark, sf_dir):
+    """What a pull can't take in, with the columns at fault."""
+    path = fresh_dir(spark, "landing-spoiled")
+    spoiled(fx.bars(spark, sf_dir)).write.option("ignoreNullFields", "false").json(path)
+    rows = tables.read_judged(spark, path, CANDLES, required=tables.REQUIRED["candles"])
+    return tables.rejected(rows).select("instrument_token", "expiry", "volume", "oi", F.concat_ws(",", tables.REASONS).alias("reasons"))
+
+
 def _delivered_twice(spark, sf_dir):
     """Bars delivered by two pulls; the second revises the close."""
     bars = fx.bars(spark, sf_dir)

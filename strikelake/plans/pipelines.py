@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from strikelake.functions import prices
@@ -18,7 +18,8 @@ from strikelake.operators import positions as P
 from strikelake.operators import signals as S
 from strikelake.operators import spreads as X
 from strikelake.operators.segments import DAYS_PER_SEGMENT, cut
-from strikelake.schemas import LEG, SERIES
+from strikelake.schemas import CANDLES, LEG, SERIES
+from strikelake.sources import tables
 from strikelake.sources.sinks import upsert, write_snapshot
 
 
@@ -47,23 +48,46 @@ def pull(
     upsert(C.bars_of(landed, chain), candles_path, batch_id, version=version)
 
 
+def take_in(
+    spark: SparkSession, landing: str, candles_path: str, rejects_path: str, batch_id: str, fmt: str = "json",
+    version: str | None = None,
+) -> dict[str, int]:
+    """Landed candles into the table, and what does not parse, or lacks a key or a close, beside it with the reasons.
+
+    Both counts are observed while the rejected rows are written, in one pass over the landing folder; the rows of a batch
+    taken in again replace those it left before.
+    """
+    rows = tables.read_judged(spark, landing, CANDLES, fmt, tables.REQUIRED["candles"])
+    seen = Observation("landed")
+    counted = rows.observe(seen, F.count(F.lit(1)).alias("rows"), F.count_if(F.size(tables.REASONS) > 0).alias("rejected"))
+    (tables.rejected(counted).withColumn("batch", F.lit(batch_id)).write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(rejects_path))
+    good = tables.accepted(rows, CANDLES).withColumn("day", F.to_date("date"))
+    upsert(good, candles_path, batch_id, version=version)
+    return seen.get
+
+
 def straddle_signals(
     legs: DataFrame, num_days: int | None = 2, days_back: int = 0, frame: str = S.LATEST,
-    keys: Sequence[str] = SERIES, days: int = DAYS_PER_SEGMENT,
+    keys: Sequence[str] = SERIES, days: int = DAYS_PER_SEGMENT, calendar: DataFrame | None = None,
 ) -> DataFrame:
-    """Straddle analytics of every underlying, expiry and strike."""
-    bars = B.straddle_bars(legs, keys, num_days, days_back, both_legs=False, numbered=False)
+    """Straddle analytics of every underlying, expiry and strike.
+
+    ``calendar``, rows of (series, day) such as the table kept beside the candles, tells the last days without reading
+    bars; on a table partitioned by day only these are then read.
+    """
+    bars = B.straddle_bars(legs, keys, num_days, days_back, both_legs=False, numbered=False, calendar=calendar)
     return S.straddle_signals(bars, keys, frame, days)
 
 
 def leg_signals(
     legs: DataFrame, num_days: int | None = 2, days_back: int = 0, frame: str = S.LATEST,
-    keys: Sequence[str] = LEG, days: int = DAYS_PER_SEGMENT,
+    keys: Sequence[str] = LEG, days: int = DAYS_PER_SEGMENT, calendar: DataFrame | None = None,
 ) -> DataFrame:
-    """Analytics of every single contract."""
+    """Analytics of every single contract; ``calendar`` as for ``straddle_signals``, by contract."""
     rows = B.traded(legs)
     if num_days is not None or days_back:
-        rows = B.last_days(rows, keys, num_days, days_back)
+        rows = B.last_days(rows, keys, num_days, days_back, calendar)
     rows = rows.withColumn("ohlc4", prices.ohlc4())
     return S.leg_signals(rows, keys, frame, days)
 

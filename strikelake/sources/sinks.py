@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Sequence
 
 from pyspark import StorageLevel
@@ -10,10 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strikelake.schemas import SERIES
+
 CANDLE_KEY = ["instrument_token", "expiry", "date"]
 CANDLE_PARTITIONS = ["expiry", "day"]
+# The record of batches is kept in so many files, each with those whose ids fall to its slot.
+COMMIT_SLOTS = 64
 _COMMIT = T.StructType([T.StructField("batch_id", T.StringType()), T.StructField("rows", T.LongType()),
-                        T.StructField("mark", T.DecimalType(38, 0))])
+                        T.StructField("mark", T.DecimalType(38, 0)), T.StructField("slot", T.IntegerType())])
 
 
 def write_snapshot(df: DataFrame, path: str, partitions: Sequence[str] = ("name", "segment")) -> None:
@@ -23,6 +28,12 @@ def write_snapshot(df: DataFrame, path: str, partitions: Sequence[str] = ("name"
      .option("partitionOverwriteMode", "static").partitionBy(*partitions).parquet(path))
 
 
+def write_bucketed(df: DataFrame, table: str, buckets: int, keys: Sequence[str] = (*SERIES, "day")) -> None:
+    """Replace a catalogue table whose rows lie in buckets by (series, day), so that what is grouped or joined by these is not
+    shuffled again: ``bars.straddle_bars`` with ``dealt``, and the joins on its days."""
+    (df.repartition(buckets, *keys).write.mode("overwrite").bucketBy(buckets, *keys).sortBy(*keys).format("parquet").saveAsTable(table))
+
+
 def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame | None:
     """The table as it is now, or None if there is none yet."""
     spark.catalog.refreshByPath(path)
@@ -39,6 +50,12 @@ def commits_path(path: str) -> str:
     return f"{path.rstrip('/')}_commits"
 
 
+def _recorded(spark: SparkSession, path: str, slot: int) -> list[tuple]:
+    """The batches recorded in a slot: the one file of it is read, however many batches there have been."""
+    done = read_table(spark, commits_path(path), _COMMIT)
+    return [] if done is None else [tuple(r) for r in done.where(F.col("slot") == slot).collect()]
+
+
 def newest(rows: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
     """One row per key: the greatest by ``order``, and of equal ones by all other columns, so that the choice
     never depends on the order of the rows. Aggregated before the shuffle."""
@@ -64,7 +81,7 @@ def upsert(
     Only the partitions the batch touches are read and rewritten, in one job that replaces them as it
     commits. A batch is recorded beside the table with its id, its number of rows and a checksum of them; the
     same batch again is skipped, so replaying an old one undoes nothing, while other rows under a used
-    id are taken in. After a crash before the record the batch runs again and gives the same table.
+    id are taken in. The record is one file per slot of ids, so it neither grows in files nor is read whole. After a crash before the record the batch runs again and gives the same table.
     """
     spark = batch.sparkSession
     order = [version] if version else []
@@ -73,10 +90,9 @@ def upsert(
         names = [F.coalesce(F.xxhash64(*sorted(new.columns)), F.lit(0)).cast("decimal(38,0)")]
         bounds = [f(c).alias(f"{f.__name__}_{c}") for c in partitions for f in (F.min, F.max)]
         seen = new.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(names[0]), F.lit(0)).cast("decimal(38,0)").alias("mark"), *bounds).first()
-        done = read_table(spark, commits_path(path), _COMMIT)
-        commit = spark.range(1).select(F.lit(batch_id).alias("batch_id"), F.lit(seen["rows"]).cast("long").alias("rows"),
-                                       F.lit(seen["mark"]).cast("decimal(38,0)").alias("mark"))
-        if done is not None and not done.join(commit, ["batch_id", "rows", "mark"], "left_semi").isEmpty():
+        slot = zlib.crc32(batch_id.encode()) % COMMIT_SLOTS
+        done, commit = _recorded(spark, path, slot), (batch_id, seen["rows"], seen["mark"], slot)
+        if commit in done:
             return
         if seen["rows"]:
             merged = new
@@ -90,7 +106,8 @@ def upsert(
                 merged = newest(both, key, [*order, "_late"]).drop("_late")
             (merged.hint("rebalance", *partitions).write.mode("overwrite")
              .option("partitionOverwriteMode", "dynamic").partitionBy(*partitions).parquet(path))
-        commit.coalesce(1).write.mode("append").parquet(commits_path(path))
+        (spark.createDataFrame([*done, commit], _COMMIT).coalesce(1).write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic").partitionBy("slot").parquet(commits_path(path)))
     finally:
         new.unpersist()
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,6 +24,49 @@ def read_landed(spark: SparkSession, path: str, schema: T.StructType, fmt: str =
     return typed(reader.format(fmt).load(path), schema)
 
 
+CORRUPT, REASONS, RECORD = "_corrupt", "reasons", "record"
+# What a row is worth nothing without.
+REQUIRED = {"candles": ("instrument_token", "expiry", "date", "close"), "instruments": ("instrument_token", "name", "expiry", "instrument_type")}
+
+
+def judged(landed: DataFrame, schema: T.StructType, required: Sequence[str] = ()) -> DataFrame:
+    """Landed text with ``reasons``: the columns whose text is no value of their type, and required ones without any.
+
+    A record that is no row at all, which the reader puts into ``_corrupt``, has the reason ``record``.
+    """
+    found = []
+    if CORRUPT in landed.columns:
+        found.append(F.when(F.col(CORRUPT).isNotNull(), F.lit(RECORD)))
+    for f in schema:
+        if f.name in landed.columns:
+            text = F.col(f.name)
+            wrong = text.isNotNull() & text.try_cast(f.dataType).isNull()
+            missing = text.isNull() if f.name in required else F.lit(False)
+            found.append(F.when(wrong | missing, F.lit(f.name)))
+    reasons = F.array_compact(F.array(*found))
+    if CORRUPT in landed.columns:  # of a broken record the missing columns say nothing more
+        reasons = F.when(F.col(CORRUPT).isNotNull(), F.array(F.lit(RECORD))).otherwise(reasons)
+    return landed.withColumn(REASONS, reasons)
+
+
+def read_judged(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "json", required: Sequence[str] = ()) -> DataFrame:
+    """A landing folder as text with ``reasons``; nothing is dropped, not even lines that are no record."""
+    text = T.StructType([*as_landing(schema).fields, T.StructField(CORRUPT, T.StringType())])
+    reader = spark.read.schema(text).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
+    if fmt == "csv":
+        reader = reader.option("header", True)
+    return judged(reader.format(fmt).load(path), schema, required)
+
+
+def accepted(judged_rows: DataFrame, schema: T.StructType) -> DataFrame:
+    return typed(judged_rows.where(F.size(REASONS) == 0), schema)
+
+
+def rejected(judged_rows: DataFrame) -> DataFrame:
+    """The rows to be looked at, as they landed."""
+    return judged_rows.where(F.size(REASONS) > 0)
+
+
 def load_instruments(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
     return read_landed(spark, path, INSTRUMENTS, fmt)
 
