@@ -14,7 +14,9 @@ a dictionary and the documents as dictionary numbers. Only the dictionaries are
 packed per chunk, and the documents, a byte or two a word, meet them there. A frequent word has one row per chunk, so no
 group is larger than the number of chunks; nothing grows with a document's or a source's share.
 
-A word beyond ``LONGEST`` code points is cut there and its parts are encoded by themselves.
+A word beyond ``LONGEST`` code points is cut around its characters that no piece has, where no edge can cross, so texts without
+spaces in scripts the table lacks come out as from their whole lattice. Only a stretch of more than ``LONGEST`` covered characters
+is cut between two of them, and its parts are encoded by themselves.
 
 Defined results: null and empty texts have no ids; a repeated row is encoded each time; a null doc_id is kept; extra
 columns are ignored; an empty table gives no rows. A text's own U+2581 goes through its bytes, so every text comes back.
@@ -43,7 +45,7 @@ from strikelake.llm.components import stored
 MODEL = os.environ.get("SENTENCEPIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 CHUNK = 12_000_000
 PACK_ROWS = 200_000  # words that a task packs at once
-LONGEST = 512
+LONGEST = 2048
 UNKNOWN = 10.0  # how far below the worst piece an uncovered character scores
 SHIFT = 1000.0
 BYTES = 1 << 24  # codes from here on are code points
@@ -76,9 +78,15 @@ class Pieces:
         if all(s <= 0 and s == int(s) for _, _, s in self.rows):  # ranks of merges
             self.rows = [(p, i, -math.log(SHIFT - s)) for p, i, s in self.rows]
         self.longest = max(len(p) for p, _, _ in self.rows)
-        # Whole numbers of 2 ** -20, so that sums are exact; 34 bits hold those of a longest word.
-        self.unknown = round((min(s for _, _, s in self.rows) - UNKNOWN) * (1 << 20))
-        self.rows = [(p, i, round(s * (1 << 20))) for p, i, s in self.rows]
+        # Whole numbers, so that sums are exact, and so small that 33 bits hold the worst path of a longest word.
+        worst = min(s for _, _, s in self.rows) - UNKNOWN
+        scale = 2 ** min(20, math.floor(math.log2((1 << 33) / (LONGEST * -worst))))
+        self.unknown = round(worst * scale)
+        self.rows = [(p, i, round(s * scale)) for p, i, s in self.rows]
+        known = {c for p, _, _ in self.rows for c in p}
+        # Flags of the code points that some piece has; no piece spans any other.
+        self.covered = np.zeros(0x110000, bool)
+        self.covered[[ord(c) for c in known]] = True
 
 
 @lru_cache(maxsize=4)
@@ -111,27 +119,27 @@ def encode_words(words: DataFrame, table: Pieces) -> DataFrame:
 def viterbi(edges, n, table: Pieces):
     """Codes of the best path over ``n`` positions; of equal paths the one of the shorter last piece.
 
-    The fold keeps one number per position so far: the best score, the last piece's length (its complement, so that the
-    shorter is greater) and its code. It adds the next position's, the greatest over the edges that end there. A
-    second fold walks back along the lengths.
+    The fold goes over the edges once, sorted by their ends. It keeps one number per position so far: the best score, the
+    last piece's length (its complement, so that the shorter is greater) and its code, and the greatest yet over the
+    edges of the position at hand. A second fold walks back along the lengths.
     """
     by_id = [0] * len(table.bytes)
     for _, i, s in table.rows:
         by_id[i] = s
     scores = F.from_json(F.lit(json.dumps(by_id)), "array<bigint>")
 
-    def reached(best, at):
-        def by(e):
-            size, code = F.shiftright(e, 32).bitwiseAND(255).cast("int"), e.bitwiseAND(0xFFFFFFFF)
-            own = F.when(code < BYTES, F.get(scores, code.cast("int"))).otherwise(F.lit(table.unknown))
-            return F.shiftleft(F.shiftright(F.get(best, at - size), 30) + own, 30) + F.shiftleft(31 - F.shiftright(e, 32).bitwiseAND(255), 25) + code
-        return by
-
-    def step(best, at):
-        ending = F.filter(edges, lambda e: F.shiftright(e, 40) == at)
-        return F.concat(best, F.array(F.array_max(F.transform(ending, reached(best, at)))))
-
-    best = F.aggregate(F.sequence(F.lit(1), n), F.expr("array(0L)"), step)
+    def step(acc, e):
+        end, size, code = F.shiftright(e, 40), F.shiftright(e, 32).bitwiseAND(255).cast("int"), e.bitwiseAND(0xFFFFFFFF)
+        further = end != acc["end"]
+        # The best of the position before is pushed with the first edge of the next one.
+        before = F.when(further & (size == 1), acc["top"]).otherwise(F.get(acc["best"], end.cast("int") - size))
+        own = F.when(code < BYTES, F.get(scores, code.cast("int"))).otherwise(F.lit(table.unknown))
+        reached = F.shiftleft(F.shiftright(before, 30) + own, 30) + F.shiftleft(31 - size.cast("bigint"), 25) + code
+        return F.struct(F.when(further, F.concat(acc["best"], F.array(acc["top"]))).otherwise(acc["best"]).alias("best"), end.alias("end"),
+                        F.when(further, reached).otherwise(F.greatest(acc["top"], reached)).alias("top"))
+
+    nothing = F.expr(f"named_struct('best', array(0L), 'end', 1L, 'top', {-(1 << 63) + 1}L)")
+    best = F.aggregate(F.sort_array(edges), nothing, step, lambda acc: F.concat(acc["best"], F.array(acc["top"])))
     walk = F.from_json(F.lit('{"skip":0,"codes":[]}'), "struct<skip:bigint,codes:array<int>>")
 
     def back(acc, b):
@@ -180,7 +188,25 @@ def _unvarint(data: bytes) -> np.ndarray:
     return np.add.reduceat((b & 127).astype(np.int64) << (7 * place), first)
 
 
-def _words(chunk: tx.Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _cuts(data: np.ndarray, points: np.ndarray, covered: np.ndarray) -> np.ndarray:
+    """Where a long word, whose code points begin at ``points``, is cut."""
+    codes = np.frombuffer(data[points[0]:].tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
+    apart = ~covered[codes]
+    here = apart.copy()
+    here[1:] |= apart[:-1]
+    here[0] = True
+    begins = np.flatnonzero(here)
+    size = np.diff(np.append(begins, len(codes)))
+    # Uncovered characters in a row stay together as long as they fit.
+    lone, stretches = [], []
+    for b, n in zip(begins.tolist(), size.tolist()):
+        if not stretches or n > 1 or not apart[b] or b - lone[-1] >= LONGEST or not apart[b - 1]:
+            lone.append(b)
+            stretches.extend(range(b, b + n, LONGEST))
+    return points[np.array(stretches[1:], np.int64)]
+
+
+def _words(chunk: tx.Chunk, covered: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The chunk's bytes with a space before each text, where words begin, and each text's first word."""
     bounds = chunk.offsets
     filled = np.diff(bounds) > 0
@@ -192,17 +218,19 @@ def _words(chunk: tx.Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     length = np.diff(np.append(starts, len(data)))
     cuts = []
     for i in np.flatnonzero(length > LONGEST):
-        points = starts[i] + np.flatnonzero((data[starts[i]:starts[i] + length[i]] & 0xC0) != 0x80)
-        cuts.append(points[LONGEST::LONGEST])
+        own = data[starts[i]:starts[i] + length[i]]
+        points = starts[i] + np.flatnonzero((own & 0xC0) != 0x80)
+        if len(points) > LONGEST:
+            cuts.append(_cuts(data[:starts[i] + length[i]], points, covered))
     if cuts:
         starts = np.sort(np.concatenate([starts, *cuts]))
     return np.append(data, np.zeros(8, np.uint8)), starts, np.searchsorted(starts, bounds)
 
 
-def _dictionary(chunk: tx.Chunk) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _dictionary(chunk: tx.Chunk, covered: np.ndarray) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """A name of the chunk by its content, its bytes, bounds of its distinct words from frequent to rare, the words as
     numbers and each text's first word."""
-    data, starts, first = _words(chunk)
+    data, starts, first = _words(chunk, covered)
     ends = np.append(starts[1:], len(data) - 8)
     _, at, of, n = np.unique(tx.hash_ranges(data, starts, ends), return_index=True, return_inverse=True, return_counts=True)
     order = np.argsort(-n, kind="stable")
@@ -213,11 +241,11 @@ def _dictionary(chunk: tx.Chunk) -> tuple[int, np.ndarray, np.ndarray, np.ndarra
     return name - (1 << 63), data, starts[at], ends[at], rank[of], first
 
 
-def _emit_vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _emit_vocabulary(batches: Iterator[pa.RecordBatch], covered: np.ndarray) -> Iterator[pa.RecordBatch]:
     """(doc_id, text) -> chunk, number, word."""
     for batch in batches:
         for chunk in tx.chunks(batch.column(1), limit=CHUNK):
-            name, data, starts, ends, _, _ = _dictionary(chunk)
+            name, data, starts, ends, _, _ = _dictionary(chunk, covered)
             for lo in range(0, len(starts), 50_000):
                 a, b = starts[lo:lo + 50_000], ends[lo:lo + 50_000]
                 size = b - a
@@ -228,11 +256,11 @@ def _emit_vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
                     lo, lo + len(a), dtype=np.int32)), word], names=["chunk", "number", "word"])
 
 
-def _emit_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _emit_documents(batches: Iterator[pa.RecordBatch], covered: np.ndarray) -> Iterator[pa.RecordBatch]:
     """(doc_id, text) -> one packed row per chunk."""
     for batch in batches:
         for chunk in tx.chunks(batch.column(1), limit=CHUNK):
-            name, _, _, _, numbers, first = _dictionary(chunk)
+            name, _, _, _, numbers, first = _dictionary(chunk, covered)
             ids = batch.column(0).slice(chunk.lo, chunk.hi - chunk.lo).to_pylist()
             yield pa.RecordBatch.from_arrays([
                 pa.array([name], pa.int64()), pa.array([DOCUMENTS], pa.int32()), pa.array([_varint(numbers)], pa.binary()),
@@ -317,14 +345,15 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
     body = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     size = body.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(size // WORDS))
-    vocabulary = body.mapInArrow(_emit_vocabulary, "chunk bigint, number int, word string").repartition(parts, "word")
+    covered = pieces(model).covered
+    vocabulary = body.mapInArrow(lambda batches: _emit_vocabulary(batches, covered), "chunk bigint, number int, word string").repartition(parts, "word")
     # One row per word; with all columns in it, the words are shuffled once for this and for the join.
     distinct = vocabulary.groupBy("word").agg(F.min(F.struct("chunk", "number")).alias("_at")).where("_at IS NOT NULL").select("word")
     coded = encode_words(distinct, pieces(model))
     packed = vocabulary.join(coded, "word").select("chunk", "number", "ids").mapInArrow(_pack_words, PACKED)
     with _hashed(spark):
         back = stored(packed, "words")
-    both = back.unionByName(body.mapInArrow(_emit_documents, PACKED))
+    both = back.unionByName(body.mapInArrow(lambda batches: _emit_documents(batches, covered), PACKED))
     return both.repartition("chunk").sortWithinPartitions("chunk", "kind").mapInArrow(
         _assemble, "doc_id bigint, n_tokens bigint, ids array<int>")
 

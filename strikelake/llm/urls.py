@@ -6,7 +6,8 @@ a term counts if no letter or digit stands before or after it. One strict term,
 reject.
 
 Rules are applied by native expressions, one URL at a time and without a join; terms in tasks on Arrow batches.
-The vocabulary is a parameter of fixed size and travels with the task.
+The vocabulary is a parameter, or a table of at most ``MOST_TERMS`` terms; it travels with the task, and a Python worker builds
+its automaton once.
 
 Defined results: a null URL, or one without ``://``, has an empty host and path and fits no rule; the vocabulary
 still looks at its whole text, and a null has no hits; repeated rows are judged alike; extra columns go through
@@ -16,10 +17,11 @@ still looks at its whole text, and a null has no hits; repeated rows are judged
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import ahocorasick
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,6 +35,8 @@ SOFT = ("cheap", "pills", "spam", "farm", "free", "casino", "poker", "bet", "bet
         "adult", "sexy", "dating", "torrent", "crack", "keygen", "discount", "replica", "win", "bonus", "click")
 SOFT_HITS = 2
 
+MOST_TERMS = 200_000
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORD = frozenset("abcdefghijklmnopqrstuvwxyz0123456789")
 
@@ -58,7 +62,9 @@ def rule_of(host_: Column, path_: Column, rules: tuple[tuple[str, str, str], ...
     return out
 
 
+@lru_cache(maxsize=4)
 def automaton(strict: tuple[str, ...], soft: tuple[str, ...]) -> ahocorasick.Automaton:
+    """A term listed as both counts as strict."""
     a = ahocorasick.Automaton()
     for weight, terms in ((1, soft), (SOFT_HITS, strict)):
         for term in terms:
@@ -67,6 +73,15 @@ def automaton(strict: tuple[str, ...], soft: tuple[str, ...]) -> ahocorasick.Aut
     return a
 
 
+def load_vocabulary(spark: SparkSession, path: str) -> tuple[tuple[str, ...], tuple[str, ...]]:
+    """Strict and soft terms of a Parquet table ``term, weight`` (``strict`` or ``soft``), lower-cased, without empty ones."""
+    table = spark.read.parquet(path).select(lower_ascii(F.trim("term")).alias("term"), "weight")
+    terms = table.where("term <> '' AND weight IN ('strict', 'soft')").distinct().limit(MOST_TERMS + 1).collect()
+    if len(terms) > MOST_TERMS:
+        raise ValueError(f"a vocabulary has {MOST_TERMS} terms at most")
+    return tuple(tuple(sorted(t.term for t in terms if t.weight == weight)) for weight in ("strict", "soft"))
+
+
 def _hits(a: ahocorasick.Automaton, url: str) -> tuple[int, int]:
     """Distinct strict and soft terms of a lower-cased URL that stand between boundaries."""
     strict, soft = set(), set()
@@ -99,9 +114,10 @@ def mark(pages: DataFrame, url: str = "url", strict: tuple[str, ...] = STRICT, s
     return pages.mapInArrow(run, T.StructType([*pages.schema.fields, *added.fields]))
 
 
-def judge(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES) -> DataFrame:
+def judge(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, strict: tuple[str, ...] = STRICT,
+          soft: tuple[str, ...] = SOFT, soft_hits: int = SOFT_HITS) -> DataFrame:
     """Per page: page_id, host, path, the deciding rule, the verdict, and the vocabulary's counts."""
-    marked = mark(pages.select("page_id", "url"))
+    marked = mark(pages.select("page_id", "url"), strict=strict, soft=soft, soft_hits=soft_hits)
     parts = marked.withColumn("host", host(F.col("url"))).withColumn("path", path(F.col("url")))
     ruled = parts.withColumn("by", rule_of(F.col("host"), F.col("path"), rules))
     words = F.when(F.col("rejected"), "block").otherwise("allow")

@@ -170,8 +170,34 @@ def best_path(word: str, table: dict, p: lattice.Pieces) -> list[int]:
     return best[-1][1]
 
 
+def split_words(text: str | None) -> list[str]:
+    return re.findall(r"\x20[^\x20\x00-\x1F]*|[^\x20\x00-\x1F]+|[\x00-\x1F]", " " + text) if text else []
+
+
+@pytest.mark.parametrize("longest", [2048, 40])
+def test_long_words_are_those_of_the_whole_lattice(spark, tmp_path, monkeypatch, longest):
+    """Uncovered characters in any number, alone and in rows, before and behind words; long words that fit."""
+    monkeypatch.setattr(lattice, "LONGEST", longest)
+    lattice.pieces.cache_clear()
+    p = lattice.pieces()
+    table, rng = {piece: (i, s) for piece, i, s in p.rows}, random.Random(9)
+    rare = [chr(c) for c in range(0x4E00, 0x4F00) if not p.covered[c]]
+    assert len(rare) > 50
+    texts = ["".join(rng.choice(rare) for _ in range(n)) + word for n in (1, 39, 40, 41, 100, 264, 270, 700, 5000) for word in ("international", "", " the")]
+    texts += ["".join(rng.choice(rare) * rng.randint(0, 3) + rng.choice(["station", "the", "x"]) for _ in range(400)), "國國" * 3000]
+    if longest > 1000:
+        texts += ["international" * 60, "xyz" * 600]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "docs"))
+    coded = lattice.encode(spark.read.parquet(str(tmp_path / "docs")))
+    got = {r.doc_id: list(r.ids) for r in coded.collect()}
+    assert got == {d: [i for w in split_words(t) for i in best_path(w, table, p)] for d, t in enumerate(texts)}
+    assert {r.doc_id: r.text for r in lattice.decode(coded).collect()} == dict(enumerate(texts))
+    lattice.pieces.cache_clear()
+
+
 def test_pieces(spark, tmp_path):
-    texts = [*TEXTS, " a  b\nThe tioned\t x ", "x" * 3000 + " é日本語😀▁ y", "\n\n", " ", "tion the "]
+    texts = [*TEXTS, " a  b\nThe tioned\t x ", "x" * 1900 + " é日本語😀▁ y", "\n\n", " ", "tion the "]
     rows = [(i, t, 1) for i, t in enumerate(texts)] + [(None, "tion the ", 1), (3, texts[3], 1)]
     spark.createDataFrame(rows, "doc_id long, text string, chunk int").write.parquet(str(tmp_path / "docs"))
     coded = lattice.encode(spark.read.parquet(str(tmp_path / "docs")))
@@ -179,8 +205,7 @@ def test_pieces(spark, tmp_path):
     table = {piece: (i, s) for piece, i, s in p.rows}
 
     def ids(text: str | None) -> list[int]:
-        words = re.findall(r"\x20[^\x20\x00-\x1F]*|[^\x20\x00-\x1F]+|[\x00-\x1F]", " " + text) if text else []
-        return [i for w in words for k in range(0, len(w), lattice.LONGEST) for i in best_path(w[k:k + lattice.LONGEST], table, p)]
+        return [i for w in split_words(text) for i in best_path(w, table, p)]
 
     got = [(r.doc_id, list(r.ids)) for r in coded.collect()]
     assert sorted(got, key=str) == sorted(((d, ids(t)) for d, t, _ in rows), key=str)
@@ -193,3 +218,22 @@ def test_numbers_in_few_bytes():
     for bits in range(1, 34):
         v = rng.integers(0, 1 << bits, 200)
         assert (lattice._unvarint(lattice._varint(v)) == v).all()
+
+
+# --- vocabulary ------------------------------------------------------------------------------------
+
+def test_a_vocabulary_of_thousands_of_terms(spark, tmp_path):
+    rng = random.Random(3)
+    made = sorted({"".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(6000)})
+    rows = [(t.upper() if k % 3 else f" {t} ", "strict" if k % 10 == 0 else "soft") for k, t in enumerate(made)]
+    spark.createDataFrame([*rows, ("", "strict"), (None, "soft"), ("zzz", "other")], "term string, weight string").write.parquet(str(tmp_path / "v"))
+    strict, soft = urls.load_vocabulary(spark, str(tmp_path / "v"))
+    assert sorted([*strict, *soft]) == made and len(strict) > 400
+    pages = [(i, "http://x.org/" + rng.choice("/-._").join(rng.choice([rng.choice(made), "q" + rng.choice(made), "777"]) for _ in range(rng.randint(1, 5))))
+             for i in range(400)] + [(400, None), (401, "")]
+    got = {r.page_id: (r.n_strict, r.n_soft, r.verdict) for r in urls.judge(
+        spark.createDataFrame(pages, "page_id long, url string"), rules=(), strict=strict, soft=soft, soft_hits=3).collect()}
+    for i, url in pages:
+        found = set(re.findall(r"[a-z0-9]+", (url or "").lower()))
+        n_strict, n_soft = len(found & set(strict)), len(found & set(soft))
+        assert got[i] == (n_strict, n_soft, "block" if n_strict or n_soft >= 3 else "allow"), url
