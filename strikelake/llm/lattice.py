@@ -44,12 +44,12 @@ from strikelake.llm.components import stored
 # Where the model file lies; the driver reads it, tasks get its pieces.
 MODEL = os.environ.get("SENTENCEPIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 CHUNK = 12_000_000
-PACK_ROWS = 200_000  # words that a task packs at once
+PACK_ROWS = 100_000  # words that a task packs at once
 LONGEST = 2048
 UNKNOWN = 10.0  # how far below the worst piece an uncovered character scores
 SHIFT = 1000.0
 BYTES = 1 << 24  # codes from here on are code points
-WORDS = 4_000_000  # bytes of texts per partition of words
+WORDS = 1_500_000  # bytes of texts per partition of words
 MARK = "▁"
 
 VOCABULARY, DOCUMENTS = range(2)
