@@ -50,6 +50,7 @@ GENERATORS = {
 # Words that announce personal data, and words that announce other numbers.
 CUES = r"(?i)(?:phone|tel|call|mobile|cell|fax|whatsapp|mail|contact|reach|write|ssn|social|passport|iban|account|konto|telefon)[^\n]{0,16}$"
 OTHER = r"(?i)(?:version|order|invoice|isbn|part|item|page|section|release|build|ratio|score|total|sum|no\.|#|\$|€|%)[^\n]{0,6}$"
+PROPOSAL = "struct<start:int,end:int,g:int,p:double>"
 FEATURES = ("digits", "letters", "signs", "length", "kinds", "cue", "other", "bracket", "round", "after_unit", "generator")
 
 
@@ -265,24 +266,28 @@ def proposals(found: DataFrame) -> DataFrame:
     """Add ``added``: the proposals that pass their cut, don't overlap a base span, nor a likelier proposal.
     ``found`` has base spans."""
     trees, a, b, cut = _model(found.sparkSession, TRAIN, SEED)
-    none = F.expr("cast(array() as array<struct<start:int,end:int,g:int,p:double>>)")
+    none = F.expr(f"cast(array() as array<{PROPOSAL}>)")
     df, all_ = found, []
     for g, (name, pattern) in enumerate(GENERATORS.items()):
         df = sp.with_matches(df, "text", f"_{name}", pattern)
-        free = sp.apart(F.col(f"_{name}"), F.concat(*BASE))
+        free = sp.apart(F.col(f"_{name}"), *(F.col(k) for k in BASE))
         likely = F.filter(F.transform(free, _scored(g, trees, a, b)), _passes(cut[g]))
         all_.append(F.when(F.size(f"_{name}") > 0, likely).otherwise(none))
     df = df.withColumn("_all", F.concat(*all_))
-    best = F.filter("_all", lambda s: ~F.exists("_all", lambda o: (s["start"] < o["end"]) & (o["start"] < s["end"]) & _likelier(o, s)))
-    return df.withColumn("added", best).drop("_all", *(f"_{n}" for n in GENERATORS))
+    best = sp.unbeaten(F.col("_all"), len(GENERATORS), PROPOSAL, _likelier)
+    return df.withColumn("added", F.array_sort(best)).drop("_all", *(f"_{n}" for n in GENERATORS))
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """Add base spans by kind and ``added`` spans to (doc_id, text)."""
+def _scanned(docs: DataFrame) -> DataFrame:
     body = docs.withColumn("text", F.coalesce("text", F.lit("")))
     return proposals(base_spans(body))
 
 
+def scan(docs: DataFrame) -> DataFrame:
+    """``doc_id`` and ``text`` with base spans by kind and ``added`` spans; other columns, whatever their names, stay out."""
+    return _scanned(docs.select("doc_id", "text"))
+
+
 def _named(kind: str) -> Column:
     return F.transform(kind, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(kind).alias("kind")))
 
@@ -306,7 +311,7 @@ def digest(found: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame) -> DataFrame:
     """The documents with every span replaced by its kind in brackets; all other columns stay as they are."""
-    found = scan(docs.select(F.struct(*docs.columns).alias("_own"), "text"))
+    found = _scanned(docs.select(F.struct(*docs.columns).alias("_own"), "text"))
     spans = F.concat(*(_named(k) for k in BASE), *(_added(g) for g in range(len(GENERATORS))))
     clean = found.withColumn("_spans", spans).withColumn("text", sp.redacted("text", F.col("_spans")))
     keep_null = F.when(F.col("_own.text").isNotNull(), F.col("text"))

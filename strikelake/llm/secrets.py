@@ -133,7 +133,7 @@ def battery(candidates: DataFrame) -> DataFrame:
 def candidates(df: DataFrame) -> DataFrame:
     """Add ``tokens``: the candidates outside the base spans."""
     df = sp.with_matches(df, "text", "tokens", TOKEN, lambda m: m.rlike("[0-9]") & m.rlike("[A-Za-z]"))
-    return df.withColumn("tokens", sp.apart(F.col("tokens"), F.concat("assign", "access", "hex")))
+    return df.withColumn("tokens", sp.apart(F.col("tokens"), F.col("assign"), F.col("access"), F.col("hex")))
 
 
 def cuts(tested: DataFrame, fdr: float = FDR) -> DataFrame:

@@ -2,12 +2,14 @@
 
 import os
 import random
+import time
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from strikelake.llm import bwt_dedup, parity_join, phrase_index, pii, quality, secrets
+from strikelake.llm import bwt_dedup, parity_join, phrase_index, pii, quality, secrets, spans
 from strikelake.llm import text as tx
 from tests.llm import brute
 
@@ -181,7 +183,7 @@ PERSONAL = ["", None, "a@b.c_x@d.e, @x.y a.b+c@d-e.f.g.", "1.2.3.4.5.6.7.8 256.1
 
 
 def test_personal_data(spark):
-    docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(PERSONAL)] + [(2, PERSONAL[2], 1)], "doc_id long, text string, email int").select("doc_id", "text")
+    docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(PERSONAL)] + [(2, PERSONAL[2], 1)], "doc_id long, text string, email int")
     got = [tuple(r)[:6] for r in pii.digest(pii.scan(docs)).collect()]
     assert sorted(got) == sorted((i, *brute.personal(t)) for i, t in [*enumerate(PERSONAL), (2, PERSONAL[2])])
 
@@ -195,6 +197,68 @@ def test_proposals_and_redaction(spark):
     assert out[2].text == "SSN [ID_NUMBER] é" and out[4].text == "call me at [LOCAL_PHONE] now"
 
 
+def _disjoint(rng, n, g):
+    """Spans of one kind that don't overlap, some of them touching."""
+    out, at = [], 0
+    for _ in range(n):
+        start = at + rng.choice((0, 1, 3, 9))
+        at = start + rng.choice((1, 2, 5, 30))
+        out.append((start, at, g, rng.choice((0.5, 0.75, 0.9))))
+    return out
+
+
+def test_swept_spans_equal_those_of_all_pairs(spark):
+    """Chains, containment and ties; more spans than a block holds."""
+    rng = random.Random(3)
+    rows = [[_disjoint(rng, rng.choice((0, 1, 5, 40)), g) for g in range(4)] for _ in range(60)]
+    rows += [[_disjoint(rng, 700, g) for g in range(4)], [[], [], [], []]]
+    of = "array<struct<start:int,end:int,g:int,p:double>>"
+    df = spark.createDataFrame([(i, sum(r, [])) for i, r in enumerate(rows)], f"id int, s {of}")
+    got = df.select("id", spans.unbeaten(F.col("s"), 4, pii.PROPOSAL, pii._likelier).alias("s")).collect()
+
+    def likelier(o, s):
+        return (-o[3], o[0], o[2]) < (-s[3], s[0], s[2])
+
+    for r in got:
+        every = sum(rows[r.id], [])
+        want = [s for s in every if not any(s[0] < o[1] and o[0] < s[1] and likelier(o, s) for o in every)]
+        assert sorted(map(tuple, r.s)) == sorted(want)
+
+
+def test_spans_apart_equal_those_of_all_pairs(spark):
+    rng = random.Random(4)
+    rows = [[_disjoint(rng, rng.choice((0, 1, 7, 300)), g) for g in range(3)] for _ in range(40)]
+    full = [(i, *([(s[0], s[1], f"b{s[0]}", "x", "y") for s in part] for part in r)) for i, r in enumerate(rows)]
+    df = spark.createDataFrame(full, f"id int, a {spans.SPAN}, b {spans.SPAN}, c {spans.SPAN}")
+    for r in df.select("id", spans.apart(F.col("a"), F.col("b"), F.col("c")).alias("s")).collect():
+        a, b, c = rows[r.id]
+        want = [(s[0], s[1], f"b{s[0]}", "x", "y") for s in a if not any(s[0] < o[1] and o[0] < s[1] for o in b + c)]
+        assert [tuple(s) for s in r.s] == want
+
+
+def test_redaction_of_many_and_overlapping_spans(spark):
+    rng = random.Random(6)
+    text = "".join(rng.choice("abé😀 \n") for _ in range(9000))
+    own = [(s, e, f"k{g}") for g in range(2) for s, e, _, _ in _disjoint(rng, 600, g) if e <= len(text)]
+    df = spark.createDataFrame([(text, own), (text, []), ("", [])], "text string, s array<struct<start:int,end:int,kind:string>>")
+    out, at = "", 0
+    for start, end, kind in sorted(own):
+        if end > at:
+            out, at = out + text[at:max(at, start)] + f"[{kind.upper()}]", end
+    assert [r[0] for r in df.select(spans.redacted("text", F.col("s"))).collect()] == [out + text[at:], text, ""]
+
+
+def test_a_text_of_twenty_thousand_numbers(spark):
+    text = "\n".join(f"call +1 (212) 555-{i:05d} or (212) 555-{i % 9000 + 1000} x" for i in range(10_000))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    started = time.time()
+    found = pii.digest(pii.scan(docs)).first()
+    clean = pii.redact(docs).first().text
+    assert time.time() - started < 90
+    assert tuple(found)[:6] == (1, *brute.personal(text))
+    assert clean.count("[PHONE]") == found.n_phone == 10_000 and clean.count("\n") == 9_999
+
+
 def test_boosted_trees_on_held_out_examples(spark):
     rows = pii.labelled_examples(spark, 2000, seed=99)
     trees, a, b, cut = pii._model(spark, pii.TRAIN, pii.SEED)
