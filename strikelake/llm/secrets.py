@@ -72,13 +72,15 @@ def encoding(body: Column) -> Column:
             .when(body.rlike(r"^[A-Za-z0-9]+$"), "alnum").otherwise("base64"))
 
 
+def _by_encoding(kind: Column, values: dict) -> Column:
+    """The value of an encoding, from one literal map."""
+    return F.element_at(F.create_map(*(F.lit(x) for pair in values.items() for x in pair)), kind)
+
+
 def _codes(body: Column, kind: Column) -> Column:
     plain = F.translate(F.translate(body, "=", ""), "-_", "+/")
     plain = F.when(kind == "hex", F.lower(plain)).otherwise(plain)
-    alphabet = F.lit(ALPHABETS["base64"])
-    for name in ("hex", "base32", "alnum"):
-        alphabet = F.when(kind == name, ALPHABETS[name]).otherwise(alphabet)
-    return F.transform(F.split(plain, ""), lambda c: F.instr(alphabet, c) - 1)
+    return sp.bound(_by_encoding(kind, ALPHABETS), lambda alphabet: F.transform(F.split(plain, ""), lambda c: F.instr(alphabet, c) - 1))
 
 
 def battery(candidates: DataFrame) -> DataFrame:
@@ -86,11 +88,8 @@ def battery(candidates: DataFrame) -> DataFrame:
     with a candidate in ``body``. Small p-values mean structure."""
     df = candidates.withColumn("encoding", encoding(F.col("body")))
     df = df.withColumn("codes", F.filter(_codes(F.col("body"), F.col("encoding")), lambda c: c >= 0))
-    size = {"hex": 16, "base32": 32, "alnum": 62, "base64": 64}
-    k = F.lit(size["base64"])
-    for name in ("hex", "base32", "alnum"):
-        k = F.when(F.col("encoding") == name, size[name]).otherwise(k)
-    df = df.withColumn("k", k).withColumn("n", F.size("codes"))
+    size = {name: len(alphabet) for name, alphabet in ALPHABETS.items()}
+    df = df.withColumns({"k": _by_encoding(F.col("encoding"), size), "n": F.size("codes")})
     # Uniformity over classes with about five expected codes each; the tail by the cube root of chi-squared.
     df = df.withColumn("classes", F.greatest(F.lit(2), F.least("k", (F.col("n") / 5).cast("int"))))
     df = df.withColumn("cells", F.transform("codes", lambda c: (c * F.col("classes") / F.col("k")).cast("int")))
@@ -177,7 +176,7 @@ def scan(docs: DataFrame) -> DataFrame:
     own = ["doc_id", row.alias("_row"), *(F.transform(k, lambda s: s.dropFields("before", "after")).alias(k)
                                           for k in ("assign", "access", "hex", "tokens"))]
     named = stored(candidates(base_spans(body)).select(*own), "secrets")
-    tested = battery(named.select("_row", F.inline("tokens")))
+    tested = stored(battery(named.select("_row", F.inline("tokens"))).select("_row", "start", "end", "stratum", "p"), "tested")
     kept = (tested.join(F.broadcast(cuts(tested)), "stratum").where("p >= cut").select("_row", "start", "end").distinct()
             .groupBy("_row").agg(F.collect_list(F.struct("start", "end")).alias("random")))
     none = F.expr("cast(array() as array<struct<start:int,end:int>>)")
