@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from strikelake.llm import bwt_dedup, parity_join, phrase_index, pii, quality, secrets, spans
 from strikelake.llm import text as tx
+from strikelake.llm.components import components
 from tests.llm import brute
 
 SMALL = "/root/testdata/sf0.001"
@@ -339,3 +340,32 @@ def test_pipeline_stages(spark):
     from strikelake.llm import lattice
 
     assert {r.doc_id: r.text for r in lattice.decode(docs).collect()} == {r.doc_id: r.text or "" for r in before}
+
+
+def test_components_of_a_random_graph(spark):
+    """A long path, a star, self-loops, repeated and turned edges, against a plain union of sets."""
+    rng = random.Random(8)
+    edges = [(i, i + 1) for i in range(100, 140)] + [(200, 200 + i) for i in range(1, 60)] + [(5, 5), (300, 301), (301, 300), (300, 301)]
+    edges += [(rng.randrange(400, 480), rng.randrange(400, 480)) for _ in range(50)]
+    root = {}
+
+    def find(x):
+        while root.get(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            low, high = sorted((find(a), find(b)))
+            root[high] = low
+    want = {x: find(x) for a, b in edges if a != b for x in (a, b)}
+    got = components(spark, spark.createDataFrame(edges, "a long, b long"))
+    assert tuples(got) == sorted(want.items(), key=str)
+    assert components(spark, spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_clashing_names_of_the_cascade(odd):
+    with pytest.raises(ValueError):
+        quality.cascade(odd)
+    marked = quality.cascade(odd, prefix="_")
+    assert marked.columns == [*odd.columns, "_kept", "_rejected_by"] and marked.count() == odd.count()
