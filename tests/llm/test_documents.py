@@ -1,7 +1,9 @@
 """Operators on documents against plain versions: odd rows, ties, repeats, hot groups."""
 
+import math
 import os
 import random
+import re
 import time
 
 import duckdb
@@ -160,6 +162,38 @@ def test_random_strings_are_told_from_words(spark):
     assert not [i for i in flagged if i >= 150]
 
 
+def _plain_p(body):
+    """Encoding and p-values of uniformity, runs, serial correlation and of the three together, with the exact erfc."""
+    kind = next((k for k, p in (("hex", "[0-9a-f]+|[0-9A-F]+"), ("base32", "[A-Z2-7]+=*"), ("alnum", "[A-Za-z0-9]+")) if re.fullmatch(p, body)), "base64")
+    text = body.replace("=", "").replace("-", "+").replace("_", "/")
+    alphabet = secrets.ALPHABETS[kind]
+    codes = [alphabet.index(c) for c in (text.lower() if kind == "hex" else text)]
+    n, k = len(codes), len(alphabet)
+    m = max(2, min(k, n // 5))
+    chi = sum((sum(c * m // k == j for c in codes) - n / m) ** 2 * m / n for j in range(m))
+    free = m - 1
+    z = ((chi / free) ** (1 / 3) - 1 + 2 / (9 * free)) / math.sqrt(2 / (9 * free))
+    half = [2 * c >= k for c in codes]
+    up, low = sum(half), n - sum(half)
+    runs, mean = 1 + sum(a != b for a, b in zip(half, half[1:])), 2 * up * low / n + 1
+    spread = 2 * up * low * (2 * up * low - n) / (n * n * (n - 1))
+    mid = sum(codes) / n
+    rho = sum((a - mid) * (b - mid) for a, b in zip(codes, codes[1:])) / sum((c - mid) ** 2 for c in codes)
+    ps = [math.erfc(z / math.sqrt(2)) / 2, math.erfc(abs(runs - mean) / math.sqrt(2 * spread)), math.erfc(abs(rho * n + 1) / math.sqrt(2 * n))]
+    h = -sum(math.log(p) for p in ps)
+    return kind, *ps, math.exp(-h) * (1 + h + h * h / 2)
+
+
+def test_p_values_of_the_battery(spark):
+    rng = random.Random(12)
+    bodies = ["".join(rng.choice(a + extra) for _ in range(n)) for a in secrets.ALPHABETS.values()
+              for extra in ("", a[:4] * 4) for n in (20, 33, 64, 150, 400)] + ["ab12" * 8 + "c", "A2B3C4D5" * 3 + "QQ==", "x-_Y/9z" * 6]
+    df = spark.createDataFrame([(b,) for b in bodies], "body string")
+    for r in secrets.battery(df).select("body", "encoding", "p_chi", "p_runs", "p_serial", "p").collect():
+        kind, *want = _plain_p(r.body)
+        assert r.encoding == kind and list(r)[2:] == pytest.approx(want, rel=1e-2, abs=1e-5)
+
+
 def test_lone_candidates_are_judged_with_their_neighbours(spark):
     """One candidate in a length class of its encoding, beside many random ones of another class."""
     rows = [("base64-3", (i + 0.5) / 400) for i in range(400)] + [("base64-5", 0.3), ("base32-0", 0.8), ("alnum-2", 1e-9)]
