@@ -49,6 +49,8 @@ LONGEST = 2048
 UNKNOWN = 10.0  # how far below the worst piece an uncovered character scores
 SHIFT = 1000.0
 BYTES = 1 << 24  # codes from here on are code points
+LOW = 30  # bits of a length's complement and a code
+PLACE = 12  # bits of a place in a word
 WORDS = 1_500_000  # bytes of texts per partition of words
 MARK = "▁"
 
@@ -100,7 +102,8 @@ def encode_words(words: DataFrame, table: Pieces) -> DataFrame:
     """``word, ids`` of distinct words in ``word``; if the words are partitioned by word, nothing is shuffled.
 
     The piece table is as large as the vocabulary, whatever the corpus, and is broadcast. An edge is one number:
-    its end, its length and its piece, or beyond ``BYTES`` the code point of a character that no piece covers.
+    its end, its start, and in ``LOW`` bits its length's complement and its piece, or beyond ``BYTES`` the code point of a
+    character that no piece covers.
     """
     spark = words.sparkSession
     piece = F.broadcast(spark.createDataFrame([(p, i) for p, i, _ in table.rows], "piece string, id int"))
@@ -109,8 +112,8 @@ def encode_words(words: DataFrame, table: Pieces) -> DataFrame:
     edges = spans.withColumn("piece", F.substring("word", F.col("at"), F.col("len"))).join(piece, "piece", "left")
     edges = edges.where("id IS NOT NULL OR len = 1")
     code = F.coalesce("id", F.ascii("piece") + BYTES).cast("bigint")
-    end = (F.col("at") + F.col("len") - 1).cast("bigint")
-    edge = F.shiftleft(end, 40) + F.shiftleft(F.col("len").cast("bigint"), 32) + code
+    start = (F.col("at") - 1).cast("bigint")
+    edge = F.shiftleft(start + F.col("len"), LOW + PLACE) + F.shiftleft(start, LOW) + F.shiftleft(31 - F.col("len").cast("bigint"), 25) + code
     grouped = edges.groupBy("word").agg(F.collect_list(edge).alias("edges"))
     codes = grouped.select("word", viterbi(F.col("edges"), F.length("word"), table).alias("codes"))
     return codes.select("word", _spelled(F.col("codes"), table).alias("ids"))
@@ -119,27 +122,26 @@ def encode_words(words: DataFrame, table: Pieces) -> DataFrame:
 def viterbi(edges, n, table: Pieces):
     """Codes of the best path over ``n`` positions; of equal paths the one of the shorter last piece.
 
-    The fold goes over the edges once, sorted by their ends. It keeps one number per position so far: the best score, the
-    last piece's length (its complement, so that the shorter is greater) and its code, and the greatest yet over the
-    edges of the position at hand. A second fold walks back along the lengths.
+    The fold goes over the edges once, sorted by their ends, the longest first. It keeps one number per position: the best
+    score, and in ``LOW`` bits the last piece's length (its complement, so that the shorter is greater) and its code. The first
+    edge of a position, there is always one of a character, adds its number; a better one later on replaces it. A second
+    fold walks back along the lengths.
     """
     by_id = [0] * len(table.bytes)
     for _, i, s in table.rows:
         by_id[i] = s
     scores = F.from_json(F.lit(json.dumps(by_id)), "array<bigint>")
 
-    def step(acc, e):
-        end, size, code = F.shiftright(e, 40), F.shiftright(e, 32).bitwiseAND(255).cast("int"), e.bitwiseAND(0xFFFFFFFF)
-        further = end != acc["end"]
-        # The best of the position before is pushed with the first edge of the next one.
-        before = F.when(further & (size == 1), acc["top"]).otherwise(F.get(acc["best"], end.cast("int") - size))
-        own = F.when(code < BYTES, F.get(scores, code.cast("int"))).otherwise(F.lit(table.unknown))
-        reached = F.shiftleft(F.shiftright(before, 30) + own, 30) + F.shiftleft(31 - size.cast("bigint"), 25) + code
-        return F.struct(F.when(further, F.concat(acc["best"], F.array(acc["top"]))).otherwise(acc["best"]).alias("best"), end.alias("end"),
-                        F.when(further, reached).otherwise(F.greatest(acc["top"], reached)).alias("top"))
-
-    nothing = F.expr(f"named_struct('best', array(0L), 'end', 1L, 'top', {-(1 << 63) + 1}L)")
-    best = F.aggregate(F.sort_array(edges), nothing, step, lambda acc: F.concat(acc["best"], F.array(acc["top"])))
+    def step(best, e):
+        end, code = F.shiftright(e, LOW + PLACE).cast("int"), e.bitwiseAND((1 << 25) - 1).cast("int")
+        before = F.get(best, F.shiftright(e, LOW).bitwiseAND((1 << PLACE) - 1).cast("int"))
+        own = F.when(code < BYTES, F.get(scores, code)).otherwise(F.lit(table.unknown))
+        reached = F.shiftleft(F.shiftright(before, LOW) + own, LOW) + e.bitwiseAND((1 << LOW) - 1)
+        return (F.when(F.size(best) == end, F.concat(best, F.array(reached)))
+                .when(F.element_at(best, -1) < reached, F.concat(F.slice(best, F.lit(1), end), F.array(reached)))
+                .otherwise(best))
+
+    best = F.aggregate(F.sort_array(edges), F.expr("array(0L)"), step)
     walk = F.from_json(F.lit('{"skip":0,"codes":[]}'), "struct<skip:bigint,codes:array<int>>")
 
     def back(acc, b):
@@ -348,9 +350,12 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
     covered = pieces(model).covered
     vocabulary = body.mapInArrow(lambda batches: _emit_vocabulary(batches, covered), "chunk bigint, number int, word string").repartition(parts, "word")
     # One row per word; with all columns in it, the words are shuffled once for this and for the join.
-    distinct = vocabulary.groupBy("word").agg(F.min(F.struct("chunk", "number")).alias("_at")).where("_at IS NOT NULL").select("word")
-    coded = encode_words(distinct, pieces(model))
-    packed = vocabulary.join(coded, "word").select("chunk", "number", "ids").mapInArrow(_pack_words, PACKED)
+    distinct = vocabulary.groupBy("word").agg(F.min("chunk").alias("_chunk"), F.min("number").alias("_number"))
+    coded = encode_words(distinct.where("_chunk IS NOT NULL AND _number IS NOT NULL").select("word"), pieces(model))
+    # The partitions are small to bound the memory of a lattice. A task takes several one after another and packs them
+    # together: a file each would cost more than their rows, as executors without Hadoop's native code start processes for every file.
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    packed = vocabulary.join(coded, "word").select("chunk", "number", "ids").coalesce(tasks).mapInArrow(_pack_words, PACKED)
     with _hashed(spark):
         back = stored(packed, "words")
     both = back.unionByName(body.mapInArrow(lambda batches: _emit_documents(batches, covered), PACKED))

@@ -10,6 +10,7 @@ import pytest
 
 from strikelake.llm import html_crf, lattice, oracle, packing, queries, urls
 from strikelake.llm import text as tx
+from strikelake.llm.components import stored as stored
 from tests.compare import connect, difference
 
 SMALL, SF = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
@@ -213,6 +214,18 @@ def test_pieces(spark, tmp_path):
     assert lattice.encode(spark.read.parquet(str(tmp_path / "docs")).limit(0)).collect() == []
 
 
+def test_many_partitions_of_words_write_few_files(spark, tmp_path, monkeypatch):
+    """An executor starts processes for every file that it writes, so small partitions of words share files."""
+    monkeypatch.setattr(lattice, "WORDS", 100)
+    kept = []
+    monkeypatch.setattr(lattice, "stored", lambda df, label: kept.append(stored(df, label)) or kept[-1])
+    texts = [f"{i} " + " ".join(f"w{i * k}" for k in range(20)) for i in range(200)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "docs"))
+    coded = lattice.encode(spark.read.parquet(str(tmp_path / "docs")))
+    assert {r.doc_id: r.text for r in lattice.decode(coded).collect()} == dict(enumerate(texts))
+    assert len(kept[0].inputFiles()) <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_numbers_in_few_bytes():
     rng = np.random.default_rng(1)
     for bits in range(1, 34):
