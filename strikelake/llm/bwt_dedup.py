@@ -19,7 +19,10 @@ packed arrays to buckets:
 A name that very many documents share (a common line goes on differently in each) is dealt by a finer name, over
 40-byte strings, so that no bucket gathers it; the ``MOST`` most frequent names are told to all tasks for that, and
 don't change the result. Equal segments within a task are sent once. Segments, and so all arrays, are
-bounded by a bucket; buckets grow with the size of the texts. Names and symbols are 64-bit hashes.
+bounded by a bucket; their number grows with the size of the texts. Names and symbols are 64-bit hashes.
+
+Every task sends every bucket a row of each kind, so rows grow with the square of the buckets. So a task packs as much as
+its memory holds into a row, buckets become larger before they become more (``FULL``), and rows are read together again.
 
 Defined results: null and empty texts have no bytes; rows of equal id don't take from each other; rows without an id
 neither take nor lose; repeated rows each get a row; extra columns are ignored; an empty table gives no rows.
@@ -46,10 +49,14 @@ LETTER = 10  # bytes of a symbol
 RUN = 64  # windows of a segment at most
 MANY = 256  # documents that share a name beyond which it is split
 MOST = 100_000  # names of that kind that are sent to the tasks, 8 bytes each
-SHARD = 400_000  # bytes of segments that are suffix-sorted at once
-TOGETHER = 3_000_000  # bytes of segments whose transforms are merged at once, whole names
-FLUSH = 16_000_000  # bytes of texts whose names are sent together
-BUCKET = 8_000_000  # bytes of texts per bucket
+SHARD = 50_000  # bytes of segments that are suffix-sorted at once; so small that a merge stays in the cache
+TOGETHER = 400_000  # bytes of segments whose transforms are merged at once, whole names
+FLUSH = 32_000_000  # bytes of texts that are sent, or whose names are, together
+SEND = 16_000_000  # bytes of segments that are sent together
+STRETCH = 1 << 15  # windows that are named at once, so that their hashes stay in the processor's cache
+PIECE = 1_000_000  # bytes of texts of a bucket that are read at once, whole texts
+BUCKET, FULL = 8_000_000, 24_000_000  # bytes of texts per bucket, and those it grows to
+ENOUGH = 128  # buckets from which on they grow rather than become more
 
 ONCE, TWICE, TEXTS, NAMES, SEGMENT, LOST, FREQUENT = range(7)
 
@@ -65,14 +72,16 @@ def _sliding_min(h: np.ndarray, width: int) -> np.ndarray:
 
 def anchors(data: np.ndarray, n: int, gram: int) -> np.ndarray:
     """The name of the window at each byte: the smallest hash of its strings of ``gram`` bytes. ``data`` is padded."""
-    if n < SPAN:
-        return np.zeros(0, np.uint64)
-    at8 = np.ndarray((len(data) - 7,), "<u8", buffer=data, strides=(1,))
-    m = n - gram + 1
-    h = tx.mix(at8[:m] + np.uint64(gram))
-    for k in [*range(8, gram - 8, 8), gram - 8]:
-        h = tx.mix(h ^ at8[k:k + m])
-    return _sliding_min(h, SPAN - gram + 1)
+    names = np.empty(max(0, n - SPAN + 1), np.uint64)
+    at8 = np.ndarray((max(0, len(data) - 7),), "<u8", buffer=data, strides=(1,))
+    width = SPAN - gram + 1
+    for a in range(0, len(names), STRETCH):
+        m = min(STRETCH, len(names) - a) + width - 1
+        h = tx.mix(at8[a:a + m] + np.uint64(gram))
+        for k in [*range(8, gram - 8, 8), gram - 8]:
+            h = tx.mix(h ^ at8[a + k:a + k + m])
+        names[a:a + STRETCH] = _sliding_min(h, width)
+    return names
 
 
 def runs(chunk: tx.Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -194,13 +203,15 @@ def _meet_names(buckets: int, many: int):
                 group = np.diff(np.append(edge, len(name)))
                 met = (ids[edge] != ids[edge + group - 1]) | np.bitwise_or.reduceat(weight & 1, edge).astype(bool)
                 back = np.repeat(met, group)
-                yield from _by_row(key[back], buckets, NAMES, key[back], name[back], key[back])
+                name_back, key_back = name[back], key[back]
                 total = np.add.reduceat(weight >> 1, edge)
                 often = met & (total > many)
                 if often.any():
                     yield packed.row(0, FREQUENT, name[edge][often].tobytes(), total[often].tobytes())
+            else:
+                name_back, key_back = name, key
             # Rows of one chunk share a name; what is equal only between rows of one id, the later passes leave.
-            name, key = _column(found, TWICE, 0, np.uint64), _column(found, TWICE, 1, np.uint64)
+            name, key = (np.concatenate([own, _column(found, TWICE, k, np.uint64)]) for k, own in enumerate((name_back, key_back)))
             yield from _by_row(key, buckets, NAMES, key, name, key)
 
     return run
@@ -210,32 +221,48 @@ def _emit_texts(buckets: int):
     """(doc_id, text) -> compressed texts dealt by row: lengths with ids, known flags, keys and the bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            ids, known, key, length = (np.concatenate(c) for c in zip(*(h[:4] for h in held)))
+            raw = [text for h in held for text in h[4]]
+            to = _deal(key, buckets)
+            order = np.argsort(to, kind="stable")
+            parts = np.split(order, np.flatnonzero(np.diff(to[order])) + 1)
+            yield from packed.several([int(to[part[0]]) for part in parts], TEXTS, (
+                (np.concatenate([ids[part], known[part], length[part]]).tobytes(), key[part].tobytes(),
+                 packed.press(b"".join([raw[i] for i in part]))) for part in parts))
+
         for batch in batches:
             for chunk, ids, known in _read(batch):
-                key = _keys(chunk, ids)
-                to = _deal(key, buckets)
-                order = np.argsort(to, kind="stable")
-                for part in np.split(order, np.flatnonzero(np.diff(to[order])) + 1):
-                    length = chunk.offsets[part + 1] - chunk.offsets[part]
-                    body = b"".join(chunk.raw(i) for i in part)
-                    yield packed.row(int(to[part[0]]), TEXTS, np.concatenate([ids[part], known[part], length]).tobytes(),
-                                     key[part].tobytes(), packed.press(body))
+                held.append((ids, known, _keys(chunk, ids), np.diff(chunk.offsets), [chunk.raw(i) for i in range(len(ids))]))
+                size += chunk.size
+                if size >= FLUSH:
+                    yield from flush()
+                    held, size = [], 0
+        if held:
+            yield from flush()
 
     return run
 
 
-def _texts(values: tuple) -> tuple[tx.Chunk, np.ndarray, np.ndarray, np.ndarray]:
-    """One row of texts as a chunk, ids, known flags and keys."""
-    ids, known, length = np.frombuffer(values[0], np.int64).reshape(3, -1)
-    body = packed.unpress(values[2])
-    data = np.frombuffer(body + bytes(8), np.uint8)
-    return tx.Chunk(0, len(ids), data, np.concatenate([[0], np.cumsum(length)])), ids, known > 0, np.frombuffer(values[1], np.uint64)
+def _texts(rows: list[tuple]) -> Iterator[tuple[tx.Chunk, np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows of texts, about ``PIECE`` bytes at a time, as a chunk, ids, known flags and keys."""
+    held, size = [], 0
+    for k, values in enumerate(rows):
+        held.append((*np.frombuffer(values[0], np.int64).reshape(3, -1), np.frombuffer(values[1], np.uint64), packed.unpress(values[2])))
+        size += len(held[-1][4])
+        if size >= PIECE or k == len(rows) - 1:
+            ids, known, length, key = (np.concatenate(c) for c in zip(*(h[:4] for h in held)))
+            data = np.frombuffer(b"".join([*(h[4] for h in held), bytes(8)]), np.uint8)
+            yield tx.Chunk(0, len(ids), data, np.concatenate([[0], np.cumsum(length)])), ids, known > 0, key
+            held, size = [], 0
 
 
 def _ragged(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
     """The given stretches of ``data`` one after another."""
-    to = np.cumsum(length) - length
-    return data[np.repeat(start - to, length) + np.arange(int(length.sum()))]
+    held = data.tobytes()
+    return np.frombuffer(b"".join([held[a:b] for a, b in zip(start.tolist(), (start + length).tolist())]), np.uint8)
 
 
 def _frequent(names: DataFrame) -> np.ndarray:
@@ -257,12 +284,11 @@ def _emit_segments(buckets: int, very: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, found in _by_bucket(batches):
             name, key = _column(found, NAMES, 0, np.uint64), _column(found, NAMES, 1, np.uint64)
-            wanted = np.unique(tx.mix(name ^ tx.mix(key)))
+            wanted = np.sort(tx.mix(name ^ tx.mix(key)))
             if not len(wanted):
                 continue
             held, size = [], 0
-            for values in found.get(TEXTS, []):
-                chunk, ids, known, keys = _texts(values)
+            for chunk, ids, known, keys in _texts(found.get(TEXTS, [])):
                 n, text, first, count = runs(chunk)
                 ask = tx.mix(n ^ tx.mix(keys[text]))
                 at = np.minimum(np.searchsorted(wanted, ask), len(wanted) - 1)
@@ -277,7 +303,7 @@ def _emit_segments(buckets: int, very: np.ndarray):
                     held.append((n, ids[text], keys[text], first - chunk.offsets[text], length, tx.hash_ranges(
                         chunk.data, first, first + length), _ragged(chunk.data, first, length)))
                     size += int(length.sum())
-                if size >= FLUSH:
+                if size >= SEND:
                     yield from _send_segments(held, buckets)
                     held, size = [], 0
             if held:
@@ -288,7 +314,8 @@ def _emit_segments(buckets: int, very: np.ndarray):
 
 def _send_segments(held: list[tuple], buckets: int) -> Iterator[pa.RecordBatch]:
     """Segments dealt by name; of equal ones those of the smallest document, while the others lose theirs at once."""
-    n, ids, keys, place, length, content, body = (np.concatenate(c) for c in zip(*held))
+    n, ids, keys, place, length, content = (np.concatenate(c) for c in zip(*(h[:6] for h in held)))
+    body = b"".join([h[6] for h in held])
     start = np.cumsum(length) - length
     order = np.lexsort((ids, content, n))
     new = np.append(True, (n[order][1:] != n[order][:-1]) | (content[order][1:] != content[order][:-1]))
@@ -300,10 +327,13 @@ def _send_segments(held: list[tuple], buckets: int) -> Iterator[pa.RecordBatch]:
     to = _deal(n[own], buckets)
     by = np.argsort(to, kind="stable")  # documents stay in their order
     own, to = own[by], to[by]
-    for part in np.split(own, np.flatnonzero(np.diff(to)) + 1):
-        head = [c[part].tobytes() for c in (n, ids, keys, place, length)]
-        yield packed.row(int(_deal(n[part[:1]], buckets)[0]), SEGMENT, *(packed.press(b) for b in (
-            head[0], b"".join(head[1:3]), b"".join(head[3:]), _ragged(body, start[part], length[part]).tobytes())))
+    edge = np.flatnonzero(np.append(True, to[1:] != to[:-1]))
+    ends = np.append(edge[1:], len(own))
+    n, ids, keys, place, length, start = (c[own] for c in (n, ids, keys, place, length, start))
+    stop = start + length
+    yield from packed.several(to[edge], SEGMENT, ([packed.press(b) for b in (
+        n[i:j].tobytes(), ids[i:j].tobytes() + keys[i:j].tobytes(), place[i:j].tobytes() + length[i:j].tobytes(),
+        b"".join([body[a:b] for a, b in zip(start[i:j].tolist(), stop[i:j].tolist())]))] for i, j in zip(edge, ends)))
 
 
 def _finer(chunk: tx.Chunk, name, text, first, count):
@@ -320,7 +350,7 @@ def _finer(chunk: tx.Chunk, name, text, first, count):
 
 def _stable_order(values: np.ndarray) -> np.ndarray:
     """Stable sorting permutation of numbers below 2 ** 32, by 16 bits at a time."""
-    order = np.argsort((values & 0xFFFF).astype(np.uint16), kind="stable")
+    order = np.argsort(values.astype(np.uint16), kind="stable")
     if len(values) and int(values.max()) > 0xFFFF:
         order = order[np.argsort((values >> 16).astype(np.uint16)[order], kind="stable")]
     return order
@@ -346,22 +376,34 @@ def _phase_starts(left: np.ndarray) -> np.ndarray:
     return np.arange(len(left)) - start < LETTER
 
 
+def _letters(body: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the ``LETTER`` bytes from each byte on."""
+    at8 = np.ndarray((len(body) + 8,), "<u8", buffer=np.concatenate([body, np.zeros(15, np.uint8)]), strides=(1,))
+    letters = np.empty(len(body), np.uint64)
+    for a in range(0, len(body), STRETCH):
+        m = min(STRETCH, len(body) - a)
+        h = tx.mix(at8[a:a + m] + np.uint64(LETTER))
+        letters[a:a + m] = tx.mix(h ^ (at8[a + LETTER - 8:a + LETTER - 8 + m] + tx._GOLD))
+    return letters
+
+
 def merge(transforms: list[np.ndarray], ended: list[int], passes: int) -> tuple[np.ndarray, np.ndarray]:
     """Interleave of the shards' rows sorted by their first ``passes`` symbols (the shard of each row), and blocks of rows
     that agree in them. ``ended`` has each shard's number of suffixes without a symbol, which come first."""
-    shard = np.repeat(np.arange(len(transforms), dtype=np.int32), [len(t) for t in transforms])
-    block = np.zeros(len(shard), np.int64)
-    symbol = np.empty(len(shard), np.int64)
-    without = np.repeat(np.arange(len(transforms), dtype=np.int32), ended)
+    few, short = np.uint16 if len(transforms) < 1 << 16 else np.uint32, np.int32 if sum(map(len, transforms)) < 1 << 31 else np.int64
+    shard = np.repeat(np.arange(len(transforms), dtype=few), [len(t) for t in transforms])
+    block = np.zeros(len(shard), short)
+    symbol = np.empty(len(shard), np.uint32)
+    without = np.repeat(np.arange(len(transforms), dtype=few), ended)
+    rows = np.concatenate(transforms).astype(np.uint32)
     for _ in range(passes):
-        for b, t in enumerate(transforms):  # a shard's rows keep their order in every interleave
-            symbol[shard == b] = t
+        symbol[_stable_order(shard)] = rows  # a shard's rows keep their order in every interleave
         order = _stable_order(symbol)
         sorted_ = symbol[order]
         shard, block = shard[order], block[order]
         shard[:len(without)] = without
         block[:len(without)] = np.arange(-len(without), 0)
-        block = np.cumsum(np.append(True, (sorted_[1:] != sorted_[:-1]) | (block[1:] != block[:-1])))
+        block = np.cumsum(np.append(True, (sorted_[1:] != sorted_[:-1]) | (block[1:] != block[:-1])), dtype=short)
     return shard, block
 
 
@@ -372,14 +414,13 @@ def repeated_windows(body: np.ndarray, length: np.ndarray, document: np.ndarray,
     text = np.repeat(np.arange(len(length)), n)
     place = np.arange(int(ends[-1])) - ends[text]
     start = np.cumsum(length) - length
-    has = place <= length[text] - LETTER
+    left = length[text] - place
+    has = left >= LETTER
     source = (start[text] + place)[has]
-    pad = np.concatenate([body, np.zeros(16, np.uint8)])
     letters = np.zeros(len(text), np.uint64)
-    letters[has] = tx.hash_ranges(pad, source, source + LETTER)
-    symbol = np.where(has, (letters >> np.uint64(32)).astype(np.int64) | 1, 0)
+    letters[has] = _letters(body)[source]
+    symbol = np.where(has, (letters >> np.uint64(32)).astype(np.uint32) | np.uint32(1), np.uint32(0))
     # Shards of whole texts.
-    left = length[text] - place
     cuts = np.concatenate([[0], np.flatnonzero(np.diff(ends[1:] // size)) + 1, [len(length)]])
     orders, transforms, ended = [], [], []
     for a, b in zip(ends[cuts[:-1]], ends[cuts[1:]]):
@@ -390,18 +431,20 @@ def repeated_windows(body: np.ndarray, length: np.ndarray, document: np.ndarray,
             ended.append(int((symbol[a:b] == 0).sum()))
     shard, block = merge(transforms, ended, SPAN // LETTER)
     spot = np.empty(len(shard), np.int64)
-    for b, order in enumerate(orders):
-        spot[shard == b] = order
-    whole = place[spot] <= length[text[spot]] - SPAN
+    spot[_stable_order(shard)] = np.concatenate(orders)
+    whole = (left >= SPAN)[spot]
     spot, block = spot[whole], block[whole]
-    # Symbols are 32 bits of a letter's hash in the transforms; within a block the whole hashes decide.
-    exact = np.zeros(len(spot), np.uint64)
-    for k in range(SPAN // LETTER):
-        exact = tx.mix(exact ^ letters[spot + k * LETTER]) + tx._GOLD
-    order = np.lexsort((exact, block))
-    spot, block, exact = spot[order], block[order], exact[order]
     if not len(spot):
         return spot, spot
+    # Symbols are 32 bits of a letter's hash in the transforms; within a block the whole hashes decide.
+    exact = np.zeros(len(text) - SPAN, np.uint64)
+    for a in range(0, len(exact), STRETCH):
+        for k in range(SPAN // LETTER):
+            exact[a:a + STRETCH] = tx.mix(exact[a:a + STRETCH] ^ letters[a + k * LETTER:][:len(exact[a:a + STRETCH])]) + tx._GOLD
+    exact = exact[spot]
+    if ((block[1:] == block[:-1]) & (exact[1:] != exact[:-1])).any():
+        order = np.lexsort((exact, block))
+        spot, block, exact = spot[order], block[order], exact[order]
     edge = np.flatnonzero(np.append(True, (block[1:] != block[:-1]) | (exact[1:] != exact[:-1])))
     owner = document[text[spot]]
     least = np.repeat(np.minimum.reduceat(owner, edge), np.diff(np.append(edge, len(spot))))
@@ -412,57 +455,59 @@ def repeated_windows(body: np.ndarray, length: np.ndarray, document: np.ndarray,
 def _meet_segments(buckets: int, shard: int):
     """Segments of a bucket -> byte ranges that rows lose."""
 
-    def lost(key, low, high) -> Iterator[pa.RecordBatch]:
-        yield from _by_row(key, buckets, LOST, key, key, low, high)
+    def among(rows: list[tuple]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        parts = [[packed.unpress(b) for b in v] for v in rows]
+        if not parts:
+            return
+        name = np.concatenate([np.frombuffer(p[0], np.uint64) for p in parts])
+        ids, key = np.concatenate([np.frombuffer(p[1], np.int64).reshape(2, -1) for p in parts], axis=1)
+        place, length = np.concatenate([np.frombuffer(p[2], np.int64).reshape(2, -1) for p in parts], axis=1)
+        key = key.view(np.uint64)
+        body = np.concatenate([np.frombuffer(p[3], np.uint8) for p in parts] + [np.zeros(8, np.uint8)])
+        del parts
+        start = np.cumsum(length) - length
+        content = tx.hash_ranges(body, start, start + length)
+        order = np.lexsort((ids, content, name))
+        new = np.append(True, (name[order][1:] != name[order][:-1]) | (content[order][1:] != content[order][:-1]))
+        group = np.cumsum(new) - 1  # of equal segments, in this order
+        first = order[new]
+        least = ids[first][group]
+        later = order[ids[order] > least]
+        yield key[later], place[later], place[later] + length[later]
+        owners = ids[order] == least
+        owners, owner_group = order[owners], group[owners]
+        # Different segments of one name, unless all are of one document, some names at a time.
+        edge = np.flatnonzero(np.append(True, name[first][1:] != name[first][:-1]))
+        size = np.diff(np.append(edge, len(first)))
+        mixed = np.minimum.reduceat(ids[first], edge) != np.maximum.reduceat(ids[first], edge)
+        edge, size = edge[mixed], size[mixed]
+        total = np.concatenate([[0], np.cumsum(length[first])])
+        turn = np.cumsum(total[edge + size] - total[edge]) // TOGETHER
+        for names in np.split(np.arange(len(edge)), np.flatnonzero(np.diff(turn)) + 1):
+            if not len(names):
+                continue
+            chosen = np.repeat(edge[names] - np.cumsum(size[names]) + size[names], size[names]) + np.arange(int(size[names].sum()))
+            of = first[chosen]
+            text, window = repeated_windows(_ragged(body, start[of], length[of]), length[of], ids[of], shard)
+            if not len(text):
+                continue
+            # Neighbouring windows as ranges, for every row of the smallest document that has the segment.
+            fresh = np.append(True, (text[1:] != text[:-1]) | (window[1:] != window[:-1] + 1))
+            begin = np.flatnonzero(fresh)
+            finish = np.append(begin[1:], len(text)) - 1
+            seat, low, high = text[begin], window[begin], window[finish] + SPAN
+            lo = np.searchsorted(owner_group, chosen[seat])
+            n = np.searchsorted(owner_group, chosen[seat], "right") - lo
+            which = np.repeat(np.arange(len(seat)), n)
+            row = owners[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
+            yield key[row], place[row] + low[which], place[row] + high[which]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, found in _by_bucket(batches):
-            yield from lost(*(_column(found, LOST, k, t) for k, t in enumerate((np.uint64, np.int64, np.int64))))
-            parts = [[packed.unpress(b) for b in v] for v in found.pop(SEGMENT, [])]
-            if not parts:
-                continue
-            name = np.concatenate([np.frombuffer(p[0], np.uint64) for p in parts])
-            ids, key = np.concatenate([np.frombuffer(p[1], np.int64).reshape(2, -1) for p in parts], axis=1)
-            place, length = np.concatenate([np.frombuffer(p[2], np.int64).reshape(2, -1) for p in parts], axis=1)
-            key = key.view(np.uint64)
-            body = np.concatenate([np.frombuffer(p[3], np.uint8) for p in parts] + [np.zeros(8, np.uint8)])
-            del parts
-            start = np.cumsum(length) - length
-            content = tx.hash_ranges(body, start, start + length)
-            order = np.lexsort((ids, content, name))
-            new = np.append(True, (name[order][1:] != name[order][:-1]) | (content[order][1:] != content[order][:-1]))
-            group = np.cumsum(new) - 1  # of equal segments, in this order
-            first = order[new]
-            least = ids[first][group]
-            later = order[ids[order] > least]
-            yield from lost(key[later], place[later], place[later] + length[later])
-            owners = ids[order] == least
-            owners, owner_group = order[owners], group[owners]
-            # Different segments of one name, unless all are of one document, some names at a time.
-            edge = np.flatnonzero(np.append(True, name[first][1:] != name[first][:-1]))
-            size = np.diff(np.append(edge, len(first)))
-            mixed = np.minimum.reduceat(ids[first], edge) != np.maximum.reduceat(ids[first], edge)
-            edge, size = edge[mixed], size[mixed]
-            total = np.concatenate([[0], np.cumsum(length[first])])
-            turn = np.cumsum(total[edge + size] - total[edge]) // TOGETHER
-            for names in np.split(np.arange(len(edge)), np.flatnonzero(np.diff(turn)) + 1):
-                if not len(names):
-                    continue
-                chosen = np.repeat(edge[names] - np.cumsum(size[names]) + size[names], size[names]) + np.arange(int(size[names].sum()))
-                of = first[chosen]
-                text, window = repeated_windows(_ragged(body, start[of], length[of]), length[of], ids[of], shard)
-                if not len(text):
-                    continue
-                # Neighbouring windows as ranges, for every row of the smallest document that has the segment.
-                fresh = np.append(True, (text[1:] != text[:-1]) | (window[1:] != window[:-1] + 1))
-                begin = np.flatnonzero(fresh)
-                finish = np.append(begin[1:], len(text)) - 1
-                seat, low, high = text[begin], window[begin], window[finish] + SPAN
-                lo = np.searchsorted(owner_group, chosen[seat])
-                n = np.searchsorted(owner_group, chosen[seat], "right") - lo
-                which = np.repeat(np.arange(len(seat)), n)
-                row = owners[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
-                yield from lost(key[row], place[row] + low[which], place[row] + high[which])
+            lost = [[_column(found, LOST, k, t) for k, t in enumerate((np.uint64, np.int64, np.int64))]]
+            lost.extend(among(found.pop(SEGMENT, [])))
+            key, low, high = (np.concatenate(c) for c in zip(*lost))
+            yield from _by_row(key, buckets, LOST, key, key, low, high)
 
     return run
 
@@ -478,8 +523,7 @@ def _remove(kept: bool):
             key, low, high = (_column(found, LOST, k, t) for k, t in enumerate((np.uint64, np.int64, np.int64)))
             order = np.argsort(key, kind="stable")
             key, low, high = key[order], low[order], high[order]
-            for values in found.get(TEXTS, []):
-                chunk, ids, known, keys = _texts(values)
+            for chunk, ids, known, keys in _texts(found.get(TEXTS, [])):
                 a, b = np.searchsorted(key, keys), np.searchsorted(key, keys, "right")
                 n = b - a
                 row = np.repeat(np.arange(len(keys)), n)
@@ -521,10 +565,14 @@ def _lost(docs: DataFrame, buckets: int, many: int, shard: int) -> DataFrame:
     return stored(_dealt(segments, buckets).mapInArrow(_meet_segments(buckets, shard), packed.SCHEMA), "lost")
 
 
+def _buckets(size: int) -> int:
+    return max(16, min(size // BUCKET, max(ENOUGH, size // FULL)))
+
+
 def _removed(docs: DataFrame, kept: bool, schema: str, many: int, shard: int) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(16, int(size // BUCKET))
+    buckets = _buckets(int(size))
     lost = _lost(docs, buckets, many, shard)
     texts = docs.mapInArrow(_emit_texts(buckets), packed.SCHEMA)
     return _dealt(lost.unionByName(texts), buckets).mapInArrow(_remove(kept), schema)

@@ -130,8 +130,9 @@ def hash_ranges(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         h[left] = mix((h[left] ^ word) + _GOLD)
         done += 8
         left = left[rest > 8]
-    for i in np.flatnonzero(length > _LONG):
-        h[i] = xxhash.xxh3_64_intdigest(data[starts[i]:ends[i]].tobytes())
+    long = np.flatnonzero(length > _LONG)
+    view = memoryview(data)
+    h[long] = np.fromiter((xxhash.xxh3_64_intdigest(view[a:b]) for a, b in zip(starts[long].tolist(), ends[long].tolist())), np.uint64, len(long))
     return h
 
 

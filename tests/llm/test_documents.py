@@ -326,6 +326,47 @@ def test_merged_transforms_find_repeated_windows():
             assert list(zip(text.tolist(), window.tolist())) == want
 
 
+def test_rows_sent_to_buckets_stay_few(monkeypatch):
+    """A task sends a bucket one row of a kind, however many batches, rows and sets of names it reads."""
+    import pyarrow as pa
+
+    rng, np = random.Random(2), bwt_dedup.np
+    shared = [words(rng, 40) for _ in range(60)]
+    docs = [(k, f"{words(rng, 10, 10**6)} {shared[k % 60]} {words(rng, 10, 10**6)}") for k in range(240)] + [(500, None), (None, "x")]
+    batches = [pa.RecordBatch.from_arrays([pa.array([d], pa.int64()), pa.array([t], pa.string())], names=["doc_id", "text"]) for d, t in docs]
+
+    def sent(rows):
+        return pa.Table.from_batches(sorted(rows, key=lambda b: (b["bucket"][0].as_py(), b["kind"][0].as_py()))).to_batches()
+
+    def one_by_one(rows):
+        return [b.slice(i, 1) for b in rows for i in range(b.num_rows)]
+
+    texts = one_by_one(bwt_dedup._emit_texts(16)(iter(batches)))
+    assert len(texts) <= 16
+    found = [r for _, kinds in bwt_dedup._by_bucket(sent(texts)) for r in bwt_dedup._texts(kinds[bwt_dedup.TEXTS])]
+    back = [(int(i) if k else None, c.raw(j).decode()) for c, ids, known, _ in found for j, (i, k) in enumerate(zip(ids, known))]
+    assert sorted(back, key=str) == sorted(((d, t or "") for d, t in docs), key=str)
+
+    names = one_by_one(bwt_dedup._emit_names(1)(iter(batches)))
+    met = one_by_one(bwt_dedup._meet_names(1, 256)(sent(names)))
+    whole = one_by_one(bwt_dedup._emit_texts(1)(iter(batches)))
+    segments = one_by_one(bwt_dedup._emit_segments(1, np.zeros(0, np.uint64))(sent(met + whole)))
+    monkeypatch.setattr(bwt_dedup, "TOGETHER", 2000)
+    lost = one_by_one(bwt_dedup._meet_segments(1, 400_000)(sent(segments)))
+    assert len(met) == len(lost) == 1
+    monkeypatch.undo()
+    again = one_by_one(bwt_dedup._meet_segments(1, 400_000)(sent(segments)))
+    assert [b["x"] for b in lost] and len(again) == 1
+    gone = pa.concat_tables([pa.Table.from_batches([b]) for b in bwt_dedup._remove(False)(sent(lost + whole))])
+    assert sorted((tuple(r.values()) for r in gone.to_pylist()), key=str) == brute.repeats(docs)
+
+
+def test_buckets_grow_before_they_become_many():
+    assert [bwt_dedup._buckets(n) for n in (0, 10**8, 864 * 10**6)] == [16, 16, 108]
+    assert bwt_dedup._buckets(2 * 10**9) == 128 and bwt_dedup._buckets(10**10) ** 2 < 200_000
+    assert all(n / bwt_dedup._buckets(n) < 25_000_000 for n in range(10**9, 6 * 10**10, 10**9))
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, source string")
     bench = spark.createDataFrame([], "item_id long, text string")
