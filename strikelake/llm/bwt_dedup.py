@@ -51,8 +51,7 @@ MANY = 256  # documents that share a name beyond which it is split
 MOST = 100_000  # names of that kind that are sent to the tasks, 8 bytes each
 SHARD = 50_000  # bytes of segments that are suffix-sorted at once; so small that a merge stays in the cache
 TOGETHER = 400_000  # bytes of segments whose transforms are merged at once, whole names
-FLUSH = 32_000_000  # bytes of texts that are sent, or whose names are, together
-SEND = 16_000_000  # bytes of segments that are sent together
+FLUSH = 16_000_000  # bytes of texts or segments that are sent, or whose names are, together
 STRETCH = 1 << 15  # windows that are named at once, so that their hashes stay in the processor's cache
 PIECE = 1_000_000  # bytes of texts of a bucket that are read at once, whole texts
 BUCKET, FULL = 8_000_000, 24_000_000  # bytes of texts per bucket, and those it grows to
@@ -303,7 +302,7 @@ def _emit_segments(buckets: int, very: np.ndarray):
                     held.append((n, ids[text], keys[text], first - chunk.offsets[text], length, tx.hash_ranges(
                         chunk.data, first, first + length), _ragged(chunk.data, first, length)))
                     size += int(length.sum())
-                if size >= SEND:
+                if size >= FLUSH:
                     yield from _send_segments(held, buckets)
                     held, size = [], 0
             if held:
